@@ -44,14 +44,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, spread: st
     own = [c for c in groups.columns if c != key]
     top = groups.orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_GROUPS)
     hot = F.broadcast(top.select(F.col(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in own]))
-    cold_key = f"_cold_{key}"
-    rest = groups.select(F.concat(F.lit("="), F.col(key).cast("string")).alias(cold_key), *own)
-    first = rows.join(hot, key, "left").withColumn(
-        cold_key,
-        F.when(F.col("_hot") | F.col(key).isNull(), F.concat(F.lit("#"), F.xxhash64(spread).cast("string"))).otherwise(F.concat(F.lit("="), F.col(key).cast("string"))),
-    )
-    both = first.join(rest, cold_key, "left")
-    return both.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in own])
+    elsewhere, plain = F.xxhash64(spread), F.col(key)
+    if dict(rows.dtypes)[key] == "string":
+        elsewhere, plain = F.concat(F.lit("#"), elsewhere.cast("string")), F.concat(F.lit("="), plain)
+    rest = groups.select(plain.alias("_cold"), *own)
+    # a row of a hot key may meet another group by chance; its columns aren't used then
+    first = rows.join(hot, key, "left").withColumn("_cold", F.when(F.col("_hot") | F.col(key).isNull(), elsewhere).otherwise(plain))
+    both = first.join(rest, "_cold", "left")
+    found = F.when(F.col("_hot"), F.lit(1)).when(F.col(key).isNotNull(), F.lit(2))
+    return both.select(*rows.columns, *[F.when(found == 1, F.col(f"_h_{c}")).when(found == 2, F.col(c)).alias(c) for c in own])
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, bound: int = BROADCAST_ROWS) -> DataFrame:
