@@ -12,8 +12,10 @@ from .language import identify
 from .mixing import with_copies
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import scan as scan_pii
 from .quality_model import scores
 from .quality_rules import COUNTS, judge
+from .secrets import scan as scan_secrets
 from .sharding import kd_shards
 
 
@@ -29,6 +31,14 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -65,6 +75,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_model": op2_quality_model,
+    "op3_pii": op3_pii,
+    "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
     "op7_language": op7_language,
