@@ -141,22 +141,25 @@ def _best_pattern(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, lim
 
 
 def _fullest(lengths: np.ndarray, left: np.ndarray, limit: int) -> np.ndarray:
-    """The longest piece that is left, then the subset of the others that fills the rest best (bounded subset sums)."""
+    """The longest piece that is left with the pieces that fill the rest best, long ones first (bounded subset sums)."""
     counts = np.zeros(len(lengths), int)
     i = int(np.flatnonzero(left)[-1])
-    counts[i], room = 1, limit - lengths[i]
+    counts[i], room = 1, int(limit - lengths[i])
     stock = left.copy()
     stock[i] -= 1
-    while room > 0:
-        fit = np.flatnonzero((stock > 0) & (lengths <= room))
-        if not len(fit):
-            break
-        exact = [(j, np.searchsorted(lengths, room - lengths[j])) for j in fit[::-1][:64]]
-        pair = next(((j, k) for j, k in exact if k < len(lengths) and lengths[k] == room - lengths[j] and stock[k] > (k == j)), None)
-        j = fit[-1] if pair is None else pair[0]
-        counts[j] += 1
-        stock[j] -= 1
-        room -= lengths[j]
+    mask, sums, lots = (1 << (room + 1)) - 1, [1], []
+    for j in np.flatnonzero((stock > 0) & (lengths <= room)):
+        k, n = 1, min(int(stock[j]), room // int(lengths[j]))
+        while n > 0:
+            take = min(k, n)
+            lots.append((int(j), take, take * int(lengths[j])))
+            sums.append((sums[-1] | (sums[-1] << lots[-1][2])) & mask)
+            n, k = n - take, 2 * k
+    at = sums[-1].bit_length() - 1
+    for (j, take, size), before in zip(reversed(lots), reversed(sums[:-1]), strict=True):
+        if at >= size and before >> (at - size) & 1:
+            counts[j] += take
+            at -= size
     return counts
 
 
