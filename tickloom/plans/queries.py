@@ -1,2 +1,740 @@
-QUERIES = {}
-ORACLE = {}
+"""One query for each operation of the library over the given tables, and the same in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import calendar, text
+from ..operators import backtest, candles, market, news, orders, portfolio, scores, stories
+from ..sources import tables
+from .inputs import NEWS_SQL, PRICES_SQL, bars, bars_sql, prices, table, ticks
+from .inputs import news as news_of
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, rounded: str = "") -> Callable[[Query], Query]:
+    """Register a query; `rounded` names the doubles that both sides round to 6 places."""
+    columns = rounded.split()
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.round(c, 6) for c in columns}) if columns else df
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in columns)}) FROM ({sql})" if columns else sql
+        return f
+
+    return add
+
+
+# candles ---------------------------------------------------------------------------------------
+
+
+@query("a1_resample_candles", f"WITH {bars_sql()} SELECT * FROM bars", "volume amount")
+def _(s, d):
+    return bars(s, d)
+
+
+
+
+@query(
+    "p1_clean_candles",
+    """WITH x AS (SELECT event_id, event_type AS ticker, time_bucket(INTERVAL 10 MINUTES, ts) AS ts, ts AS end_ts, CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS close,
+         CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS volume FROM events)
+       SELECT ticker, ts, close, volume FROM x WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY event_id) = 1""",
+)
+def _(s, d):
+    start = F.window("ts", "10 minutes")["start"]
+    price = F.when(F.col("event_id") % 50 == 0, "n/a").otherwise(F.col("price").cast("string"))
+    volume = F.when(F.col("event_id") % 7 != 0, F.col("volume").cast("string"))
+    raw = ticks(s, d).select("event_id", "ticker", start.alias("ts"), F.col("ts").alias("end_ts"), *[price.alias(c) for c in candles.PRICES], volume.alias("volume"), volume.alias("amount"))
+    return candles.clean_candles(raw, "event_id").select("ticker", "ts", "close", "volume")
+
+
+@query(
+    "p2_drop_incomplete_last",
+    f"WITH {bars_sql()} SELECT ticker, ts, end_ts FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) > 1 OR end_ts >= ts + INTERVAL 30 MINUTES - INTERVAL 61 SECONDS",
+)
+def _(s, d):
+    return candles.drop_incomplete_last(bars(s, d), 30).select("ticker", "ts", "end_ts")
+
+
+@query("w13_latest_candle", f"WITH {bars_sql()} SELECT ticker, max(ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY ticker")
+def _(s, d):
+    return candles.latest_candle(bars(s, d))
+
+
+@query("a13_timestamp_count", f"WITH {bars_sql()} SELECT count(DISTINCT ts) AS n FROM bars WHERE ts < TIMESTAMP '2024-01-20'")
+def _(s, d):
+    return candles.timestamp_count(bars(s, d), "2024-01-20")
+
+
+@query("u1_recent_timestamps", f"WITH {bars_sql()} SELECT DISTINCT ts FROM bars ORDER BY ts DESC LIMIT 49")
+def _(s, d):
+    return candles.recent_timestamps(bars(s, d), 48)
+
+
+@query(
+    "j5_bars_as_of",
+    f"""WITH {bars_sql()}, g AS (SELECT DISTINCT time_bucket(INTERVAL 1 DAY, ts) AS as_of FROM bars)
+        SELECT bars.ticker, as_of, row_number() OVER (PARTITION BY bars.ticker, as_of ORDER BY ts DESC) AS back, ts, close FROM bars JOIN g ON ts < as_of QUALIFY back <= 16""",
+)
+def _(s, d):
+    b = bars(s, d)
+    grid = b.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("as_of")).distinct()
+    return candles.bars_as_of(b, grid, 16).select("ticker", "as_of", "back", "ts", "close")
+
+
+# calendar --------------------------------------------------------------------------------------
+
+_SECONDS = "hour(ts) * 3600 + minute(ts) * 60 + second(ts)"
+_OPEN = f"CASE WHEN isodow(ts) >= 6 THEN {_SECONDS} BETWEEN 36000 AND 68400 ELSE {_SECONDS} BETWEEN 25200 AND 85800 END"
+
+
+@query("p4_market_open", f"SELECT event_id, {_OPEN} AS is_open FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", calendar.market_open(F.col("ts")).alias("is_open"))
+
+
+@query(
+    "p5_selector_due",
+    f"""WITH {bars_sql()} SELECT DISTINCT ts, m AS minutes, m <= 30 OR (hour(ts) * 60 + minute(ts) >= 720 AND (hour(ts) * 60 + minute(ts) - 720) % m = 0) AS due
+        FROM bars, (SELECT unnest([30, 60, 120, 240]) AS m)""",
+)
+def _(s, d):
+    t = bars(s, d).select("ts").distinct().withColumn("minutes", F.explode(F.array(*map(F.lit, (30, 60, 120, 240)))))
+    return t.withColumn("due", calendar.selector_due(F.col("ts"), F.col("minutes")))
+
+
+@query(
+    "w11_next_decision",
+    f"""WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 30 MINUTES)) AS ts), o AS (SELECT ts AS slot FROM g WHERE {_OPEN})
+        SELECT event_id, slot + INTERVAL 1 MINUTE AS as_of FROM events ASOF LEFT JOIN o ON events.ts < o.slot""",
+)
+def _(s, d):
+    grid = calendar.decision_grid(s, "2024-01-01", "2024-03-01", 30, 1)
+    slots = grid.select(F.expr("as_of - interval 1 minute").alias("ts"), F.lit(None).cast("long").alias("event_id"), "as_of")
+    e = table(s, d, "events").select("ts", "event_id", F.lit(None).cast("timestamp_ntz").alias("as_of"))
+    # slots of a day and the next two hold the next open one; each event looks up its day's list
+    days = slots.withColumn("day", F.explode(F.sequence(F.expr("to_date(ts) - 2"), F.to_date("ts")))).groupBy("day").agg(F.array_sort(F.collect_list("as_of")).alias("list"))
+    first = F.element_at(F.filter("list", lambda t: t > F.expr("ts + interval 1 minute")), 1)
+    x = e.drop("as_of").withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day", "left")
+    return x.select("event_id", F.when(F.size(F.filter("list", lambda t: t > F.expr("ts + interval 1 minute"))) > 0, first).alias("as_of"))
+
+
+# text ------------------------------------------------------------------------------------------
+
+
+@query(
+    "p6_clean_text",
+    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents""",
+)
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(text.clean_text(F.col("text")), 256).alias("h"))
+
+
+def _like(column: str, parts: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
+
+
+@query("p7_is_news_url", f"SELECT page_id, NOT {_like('lower(url)', text.OTHER_PATHS)} AND {_like('lower(url)', text.NEWS_PATHS)} AS is_news FROM pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", text.is_news_url(F.col("url")).alias("is_news"))
+
+
+@query("p8_valid_news_text", f"SELECT doc_id, length(trim(text, ' ' || chr(10) || chr(9))) >= 300 AND NOT {_like('lower(text)', text.BAD_PHRASES)} AS valid FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.is_valid_news_text(F.col("text")).alias("valid"))
+
+
+_WORDS = r"list_filter(regexp_extract_all(replace(lower(title), 'ё', 'е'), '[a-zа-я0-9]+'), lambda w: length(w) >= 3)"
+
+
+@query("f1_title_tokens", f"WITH {NEWS_SQL} SELECT doc_id, array_to_string({_WORDS}, ' ') AS tokens FROM news WHERE NOT regexp_matches(title, '[А-я]')")
+def _(s, d):
+    n = news_of(s, d).filter(~F.col("title").rlike("[А-я]"))
+    return n.select("doc_id", F.array_join(text.title_tokens(F.col("title")), " ").alias("tokens"))
+
+
+@query("f2_title_numbers", rf"WITH {NEWS_SQL} SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+(?:[,.]\d+)?'))) AS n FROM news")
+def _(s, d):
+    return news_of(s, d).select("doc_id", F.size(text.title_numbers(F.col("text"))).cast("long").alias("n"))
+
+
+@query("p11_redact_text", rf"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{text.SECRET_VALUE}') OR regexp_matches(text, '{text.LONG_SECRET}') THEN '[REDACTED]' ELSE text END AS text FROM conversations")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", text.redact_text(F.col("text")).alias("text"))
+
+
+# scores and portfolios -------------------------------------------------------------------------
+
+
+@query(
+    "j9_price_pairs",
+    f"""WITH {PRICES_SQL}, g AS (SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS p, lead(as_of) OVER (ORDER BY as_of) AS n FROM (SELECT DISTINCT as_of FROM prices))
+        SELECT x.as_of, x.ticker, x.price, a.price AS prev_price, b.price AS next_price FROM prices x JOIN g USING (as_of)
+        LEFT JOIN prices a ON a.as_of = g.p AND a.ticker = x.ticker LEFT JOIN prices b ON b.as_of = g.n AND b.ticker = x.ticker""",
+)
+def _(s, d):
+    return portfolio.price_pairs(prices(s, d))
+
+
+def _scores(s, d):
+    pairs = portfolio.price_pairs(prices(s, d))
+    value = F.when((F.col("price") > 0) & (F.col("prev_price") > 0), F.round(F.col("price") / F.col("prev_price") - 1, 9))
+    return scores.percentile_scores(pairs.withColumn("value", value))
+
+
+_PAIRS = f"""{PRICES_SQL}, g AS (SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS p, lead(as_of) OVER (ORDER BY as_of) AS n FROM (SELECT DISTINCT as_of FROM prices)),
+    pairs AS (SELECT x.as_of, x.ticker, x.price, a.price AS prev_price, b.price AS next_price FROM prices x JOIN g USING (as_of)
+        LEFT JOIN prices a ON a.as_of = g.p AND a.ticker = x.ticker LEFT JOIN prices b ON b.as_of = g.n AND b.ticker = x.ticker),
+    vals AS (SELECT *, CASE WHEN price > 0 AND prev_price > 0 THEN round(price / prev_price - 1, 9) END AS value FROM pairs),
+    scored AS (SELECT *, CASE WHEN value IS NULL THEN 0.5 ELSE row_number() OVER (PARTITION BY as_of, value IS NULL ORDER BY value, ticker) / count(*) OVER (PARTITION BY as_of, value IS NULL) END AS score FROM vals)"""
+
+
+@query("w1_percentile_scores", f"WITH {_PAIRS} SELECT as_of, ticker, score FROM scored", "score")
+def _(s, d):
+    return _scores(s, d).select("as_of", "ticker", "score")
+
+
+_PARAMS = [("fast", 1.0, 0.0, 0.55, 1.0, 1.0, True), ("even", 1.0, 1.0, 0.6, 0.0, 1.0, True), ("longs", 2.0, 1.0, 0.5, 2.0, 0.8, False), ("sharp", 1.0, 0.5, 0.7, 2.0, 1.0, True)]
+
+
+def _params(s):
+    return s.createDataFrame(_PARAMS, "selector string, forecast_weight double, news_weight double, threshold double, rank_power double, max_gross double, allow_short boolean")
+
+
+def _targets(s, d):
+    x = _scores(s, d).select("as_of", "ticker", F.col("ticker").alias("ord"), F.col("score").alias("forecast"), F.lit(0.5).alias("news"), F.lit(True).alias("tradable"))
+    return portfolio.target_weights(x, _params(s))
+
+
+_PARAM_ROWS = ", ".join(f"('{p[0]}', {', '.join(map(str, p[1:6]))}, {str(p[6]).lower()})" for p in _PARAMS)
+_TARGETS = f"""{_PAIRS}, params AS (SELECT * FROM (VALUES {_PARAM_ROWS}) v(selector, fw, nw, threshold, rank_power, max_gross, allow_short)),
+    blended AS (SELECT as_of, ticker, p.*, round((CAST(fw AS DOUBLE) * score + CAST(nw AS DOUBLE) * 0.5::DOUBLE) / CAST(fw + nw AS DOUBLE), 12) AS bull,
+        round((CAST(fw AS DOUBLE) * (1 - score) + CAST(nw AS DOUBLE) * 0.5::DOUBLE) / CAST(fw + nw AS DOUBLE), 12) AS bear FROM scored, params p),
+    sided AS (SELECT *, CASE WHEN bull >= threshold AND (NOT allow_short OR bull > bear) THEN 'long' WHEN allow_short AND bear >= threshold AND bear > bull THEN 'short' END AS side FROM blended),
+    ranked AS (SELECT *, CASE WHEN side = 'long' THEN bull ELSE bear END AS s, pow(row_number() OVER (PARTITION BY as_of, selector ORDER BY CASE WHEN side = 'long' THEN bull ELSE bear END DESC, ticker), -rank_power) AS raw FROM sided WHERE side IS NOT NULL),
+    targets AS (SELECT as_of, selector, ticker, side, s AS score, CASE WHEN side = 'long' THEN 1 ELSE -1 END * max_gross * raw / sum(raw) OVER (PARTITION BY as_of, selector) AS weight FROM ranked)"""
+
+
+@query("w5_target_weights", f"WITH {_TARGETS} SELECT * FROM targets", "score weight")
+def _(s, d):
+    return _targets(s, d)
+
+
+def _returns(s, d):
+    pairs = portfolio.price_pairs(prices(s, d)).select("as_of", "ticker", "price", "next_price")
+    return portfolio.paper_returns(_targets(s, d).select("as_of", "selector", "ticker", "weight"), pairs)
+
+
+_RETURNS = f"""{_TARGETS}, rets AS (SELECT as_of, selector, sum(CASE WHEN price > 0 AND next_price > 0 THEN weight * (next_price / price - 1) ELSE 0 END) AS ret
+    FROM targets JOIN pairs USING (as_of, ticker) GROUP BY ALL)"""
+
+
+@query("a10_paper_returns", f"WITH {_RETURNS} SELECT * FROM rets", "ret")
+def _(s, d):
+    return _returns(s, d)
+
+
+def _weights(s, d):
+    names = s.createDataFrame([(p[0], i) for i, p in enumerate(_PARAMS)], "selector string, ord int")
+    r = _returns(s, d).join(F.broadcast(names), "selector").select(F.col("as_of").alias("ts"), "selector", "ord", F.round("ret", 9).alias("ret"))
+    return scores.rolling_rank_weights(r)
+
+
+_NAMES = ", ".join(f"('{p[0]}', {i})" for i, p in enumerate(_PARAMS))
+_ROLLED = f"""{_RETURNS}, names AS (SELECT * FROM (VALUES {_NAMES}) v(selector, ord)),
+    dense AS (SELECT t.ts, names.selector, ord, coalesce(round(r.ret, 9), 0) AS ret FROM (SELECT DISTINCT as_of AS ts FROM rets) t CROSS JOIN names LEFT JOIN rets r ON r.as_of = t.ts AND r.selector = names.selector),
+    sums AS (SELECT *, count(ret) OVER w AS n, coalesce(sum(ret) OVER w, 0) AS total FROM dense WINDOW w AS (PARTITION BY selector ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+    places AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY CASE WHEN n >= 6 THEN round(total, 12) ELSE 0 END DESC, ord) AS rank FROM sums),
+    rolled AS (SELECT ts, selector, rank, pow(rank, -2.0) / sum(pow(rank, -2.0)) OVER (PARTITION BY ts) AS weight, ret FROM places)"""
+
+
+@query("w2_rolling_rank_weights", f"WITH {_ROLLED} SELECT * FROM rolled", "weight ret")
+def _(s, d):
+    return _weights(s, d)
+
+
+@query("w3_combine_returns", f"WITH {_ROLLED} SELECT ts, sum(ret * weight) AS ret FROM rolled GROUP BY ts", "ret")
+def _(s, d):
+    return scores.combine_returns(_weights(s, d))
+
+
+_BLEND = f"{_ROLLED}, blended2 AS (SELECT t.as_of, t.ticker, sum(r.weight * t.weight) AS weight FROM targets t JOIN rolled r ON r.ts = t.as_of AND r.selector = t.selector GROUP BY ALL)"
+
+
+def _blend(s, d):
+    w = _weights(s, d).select(F.col("ts").alias("as_of"), "selector", "weight")
+    return portfolio.blend_weights(w, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
+
+
+@query("a11_blend_weights", f"WITH {_BLEND} SELECT * FROM blended2", "weight")
+def _(s, d):
+    return _blend(s, d)
+
+
+@query(
+    "m6_decide",
+    f"""WITH {_BLEND}, grossed AS (SELECT *, sum(abs(weight)) OVER (PARTITION BY as_of) AS gross FROM blended2)
+        SELECT as_of, ticker, weight * CASE WHEN gross > 0.5 THEN 0.5 / gross ELSE 1 END AS weight FROM grossed WHERE abs(weight * CASE WHEN gross > 0.5 THEN 0.5 / gross ELSE 1 END) >= 1e-12""",
+    "weight",
+)
+def _(s, d):
+    return portfolio.normalize_gross(_blend(s, d), 0.5)
+
+
+@query(
+    "a12_conflict_metrics",
+    f"""WITH {_ROLLED}, c AS (SELECT t.as_of, t.ticker, r.weight * t.weight AS c FROM targets t JOIN rolled r ON r.ts = t.as_of AND r.selector = t.selector WHERE abs(r.weight * t.weight) >= 1e-12)
+        SELECT as_of, ticker, sum(greatest(c, 0)) AS long_sum, sum(greatest(-c, 0)) AS short_sum, sum(c) AS net, 2 * least(sum(greatest(c, 0)), sum(greatest(-c, 0))) AS cancelled FROM c GROUP BY ALL""",
+    "long_sum short_sum net cancelled",
+)
+def _(s, d):
+    w = _weights(s, d).select(F.col("ts").alias("as_of"), "selector", "weight")
+    return portfolio.conflict_metrics(w, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
+
+
+@query(
+    "w7_held_weights",
+    f"""WITH {PRICES_SQL}, t AS (SELECT DISTINCT as_of AS ts FROM prices), x AS (SELECT selector, ts, m, m <= 30 OR (hour(ts) * 60 + minute(ts) >= 720 AND (hour(ts) * 60 + minute(ts) - 720) % m = 0) AS due FROM t, (VALUES ('a', 30), ('b', 720), ('c', 500)) v(selector, m))
+        SELECT selector, ts, due, last_value(CASE WHEN due OR rn = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY selector ORDER BY ts) AS computed_at FROM (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY ts) AS rn FROM x)""",
+)
+def _(s, d):
+    t = prices(s, d).select(F.col("as_of").alias("ts")).distinct()
+    periods = F.explode(F.map_from_arrays(F.array(*map(F.lit, "abc")), F.array(*map(F.lit, (30, 720, 500)))))
+    x = t.select("ts", periods.alias("selector", "m"))
+    return portfolio.held_times(x.withColumn("due", calendar.selector_due(F.col("ts"), F.col("m"))).drop("m"))
+
+
+@query(
+    "a6_interval_features",
+    f"""WITH {_PAIRS}, x AS (SELECT as_of, score AS f, least(1, greatest(0, price / 97)) AS s, price / 10000 AS cost FROM scored)
+        SELECT as_of, avg(f) AS forecast_mean, stddev_pop(f) AS forecast_std, max(f) - min(f) AS forecast_spread, avg(s) AS news_mean, avg(abs(f - s)) AS disagreement_mean, max(cost) AS cost_max, CAST(count(*) AS DOUBLE) AS tradable_count,
+            CAST(hour(as_of) AS DOUBLE) AS hour, CAST(isodow(as_of) - 1 AS DOUBLE) AS day_of_week FROM x GROUP BY as_of""",
+    "forecast_mean forecast_std forecast_spread news_mean disagreement_mean cost_max",
+)
+def _(s, d):
+    x = _scores(s, d).select("as_of", "ticker", F.col("score").alias("forecast"), (F.col("price") / 97).alias("news_score"), F.lit(0.5).alias("confidence"), (F.col("price") / 10000).alias("cost"), F.lit(True).alias("tradable"), F.lit(1).alias("news_count"))
+    keep = "as_of forecast_mean forecast_std forecast_spread news_mean disagreement_mean cost_max tradable_count hour day_of_week".split()
+    return scores.interval_features(x).select(*keep)
+
+
+@query(
+    "w17_carry_forward",
+    f"""WITH {PRICES_SQL}, t AS (SELECT as_of, count(*) >= 8 AND day(as_of) % 3 = 0 AS has_scores FROM prices GROUP BY as_of)
+        SELECT *, last_value(CASE WHEN has_scores THEN as_of END IGNORE NULLS) OVER (ORDER BY as_of) AS source_as_of FROM t""",
+)
+def _(s, d):
+    t = prices(s, d).groupBy("as_of").agg(((F.count("*") >= 8) & (F.dayofmonth("as_of") % 3 == 0)).alias("has_scores"))
+    return scores.carry_forward(t)
+
+
+# backtest --------------------------------------------------------------------------------------
+
+
+@query(
+    "w8_valid_targets",
+    f"""WITH {bars_sql()}, c AS (SELECT ticker, ts, count(*) OVER (PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS n_context FROM bars),
+        v AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM c WHERE n_context >= 20)
+        SELECT ticker, ts, n_context, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS rolling_step FROM v WHERE back <= 200""",
+)
+def _(s, d):
+    return backtest.valid_targets(bars(s, d), 1440, 20, 200).select("ticker", "ts", "n_context", "rolling_step")
+
+
+@query(
+    "j11_common_targets",
+    f"""WITH {bars_sql()}, c AS (SELECT ticker, ts, count(*) OVER (PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS n FROM bars),
+        v AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM c WHERE n >= 20), k AS (SELECT * FROM v WHERE back <= 200)
+        SELECT ticker, ts FROM k WHERE ts IN (SELECT ts FROM k WHERE ticker = (SELECT min(event_type) FROM events))""",
+)
+def _(s, d):
+    t = backtest.valid_targets(bars(s, d), 1440, 20, 200)
+    first = ticks(s, d).agg(F.min("ticker")).first()[0]
+    return backtest.common_targets(t, first).select("ticker", "ts")
+
+
+@query(
+    "w10_eval_windows",
+    f"""WITH {bars_sql()}, x AS (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars)
+        SELECT ticker, ts, i FROM x WHERE i >= 64 AND (i - 64) % 12 = 0 AND i + 12 <= n QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY i DESC) <= 10""",
+)
+def _(s, d):
+    return backtest.eval_windows(bars(s, d), 64, 12, 10)
+
+
+def _predictions(s, d):
+    w = Window.partitionBy("ticker").orderBy("ts")
+    b = bars(s, d).withColumns({"last": F.lag("close").over(w), "older": F.lag("close", 2).over(w)}).filter("older is not null")
+    models = F.explode(F.array(F.struct(F.lit("last").alias("model"), F.col("last").alias("prediction")), F.struct(F.lit("trend").alias("model"), (2 * F.col("last") - F.col("older")).alias("prediction"))))
+    x = b.select("ticker", "ts", "last", F.col("close").alias("actual"), models.alias("m")).select("ticker", "ts", "last", "actual", "m.*")
+    hit = F.signum(F.col("prediction") - F.col("last")) == F.signum(F.col("actual") - F.col("last"))
+    confidence = 1 / (1 + F.abs(F.col("prediction") - F.col("last")) / 50)
+    return x.withColumns({"hit": hit, "confidence": confidence}).withColumn("confident", F.col("confidence") >= 0.6)
+
+
+@query(
+    "a2_backtest_summary",
+    f"""WITH {bars_sql()}, l AS (SELECT ticker, ts, close AS actual, lag(close) OVER w AS last, lag(close, 2) OVER w AS older FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+        m AS (SELECT ticker, ts, last, actual, 'last' AS model, last AS prediction FROM l WHERE older IS NOT NULL UNION ALL SELECT ticker, ts, last, actual, 'trend', 2 * last - older FROM l WHERE older IS NOT NULL),
+        p AS (SELECT *, CAST(sign(prediction - last) = sign(actual - last) AS DOUBLE) AS hit, 1 / (1 + abs(prediction - last) / 50) AS confidence, prediction - actual AS err FROM m)
+        SELECT model, ticker, ts, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse, avg(CASE WHEN actual <> 0 THEN abs(err / actual) END) AS mape, avg(hit) AS accuracy, avg(confidence) AS confidence,
+            avg(CAST(confidence >= 0.6 AS DOUBLE)) AS coverage, avg(CASE WHEN confidence >= 0.6 THEN hit END) AS strict_accuracy, count(*) AS n FROM p GROUP BY GROUPING SETS ((model), (model, ticker), (model, ts))""",
+    "mae rmse mape accuracy confidence coverage strict_accuracy",
+)
+def _(s, d):
+    return backtest.backtest_summary(_predictions(s, d))
+
+
+@query(
+    "a5_sample_consensus",
+    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+       c AS (SELECT vec_id, v, len(list_filter(v, lambda x: x < 0)) AS a, len(list_filter(v, lambda x: x = 0)) AS b, len(list_filter(v, lambda x: x > 0)) AS c FROM s),
+       t AS (SELECT *, greatest(a, b, c) AS best FROM c)
+       SELECT vec_id, list_sum(v) / len(v) AS prediction, CASE WHEN a = best THEN -1 WHEN b = best THEN 0 ELSE 1 END AS vote, best / len(v) AS confidence, best / len(v) >= 0.55 AS confident FROM t""",
+    "prediction confidence",
+)
+def _(s, d):
+    e = table(s, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    c = backtest.sample_consensus(F.col("v"), F.lit(0.0), F.lit(1.0), 0.55)
+    return e.select("vec_id", c.alias("c")).select("vec_id", "c.prediction", "c.vote", "c.confidence", "c.confident")
+
+
+@query(
+    "w15_context_matrix",
+    f"""WITH {bars_sql()}, x AS (SELECT ticker, ts, close, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
+        SELECT ticker, ts, greatest(-5, least(5, (close - m) / (sd + 1e-5))) AS z_last FROM x WHERE n = 16""",
+    "z_last",
+)
+def _(s, d):
+    return backtest.context_matrix(bars(s, d), 16).select("ticker", "ts", F.element_at("z", -1).alias("z_last"))
+
+
+def mean_of_last(context) -> list[float]:
+    """A predictor for tests and queries: the mean close and the last one."""
+    return [float(context["close"].mean()), float(context["close"].iloc[-1])]
+
+
+@query(
+    "m1_rolling_backtest",
+    f"""WITH {bars_sql()}, c AS (SELECT ticker, ts, count(*) OVER (PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS n FROM bars),
+        v AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM c WHERE n >= 20),
+        x AS (SELECT ticker, ts, close AS actual, avg(close) OVER w AS mean_close, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS last_close FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING))
+        SELECT x.* FROM x JOIN v USING (ticker, ts) WHERE back <= 100""",
+    "mean_close",
+)
+def _(s, d):
+    b = bars(s, d)
+    out = backtest.rolling_backtest(b, backtest.valid_targets(b, 1440, 20, 100), mean_of_last, 16)
+    return out.select("ticker", "ts", "actual", F.col("samples")[0].alias("mean_close"), "last_close")
+
+
+# news ------------------------------------------------------------------------------------------
+
+_TERMS = {"AAA": ["thing", "than"], "BBB": ["ment", "leur"], "CCC": ["und", "der"], "DDD": ["with", "this that"]}
+
+
+def _tags(s, d):
+    return news.tag_entities(news_of(s, d), _TERMS)
+
+
+_TAG_SQL = " UNION ALL ".join(f"SELECT news_id, '{t}' AS ticker FROM news WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN_])({'|'.join(w)})($|[^\\pL\\pN_])')" for t, w in _TERMS.items())
+
+
+@query("n1_tag_entities", f"WITH {NEWS_SQL} {_TAG_SQL}")
+def _(s, d):
+    return _tags(s, d).select("news_id", "ticker")
+
+
+@query(
+    "a7_ticker_stats",
+    f"""WITH {NEWS_SQL}, tags AS ({_TAG_SQL}), p AS (SELECT news_id, count(DISTINCT ticker) AS n FROM tags GROUP BY news_id)
+        SELECT count(*) AS total, count(n) AS tagged, count(*) - count(n) AS untagged, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS multi FROM news LEFT JOIN p USING (news_id)""",
+)
+def _(s, d):
+    return news.ticker_stats(news_of(s, d), _tags(s, d))
+
+
+@query(
+    "u2_merge_tags",
+    f"""WITH {NEWS_SQL}, tags AS ({_TAG_SQL}), x AS (SELECT news_id, ticker, 'regex' AS m FROM tags UNION ALL SELECT news_id, CASE WHEN doc_id % 2 = 0 THEN 'AAA' ELSE 'CCC' END, 'source' FROM news WHERE doc_id % 3 = 0)
+        SELECT news_id, ticker, string_agg(DISTINCT m, ',' ORDER BY m) AS matched_by FROM x GROUP BY ALL""",
+)
+def _(s, d):
+    regex = _tags(s, d).withColumn("matched_by", F.lit("regex"))
+    own = news_of(s, d).filter("doc_id % 3 = 0").select("news_id", F.when(F.col("doc_id") % 2 == 0, "AAA").otherwise("CCC").alias("ticker"), F.array(F.lit("source")).alias("terms"), F.lit("source").alias("matched_by"))
+    return news.merge_tags(regex, own).drop("terms")
+
+
+def _context(s, d):
+    n = news_of(s, d).select("news_id", F.col("ts").alias("received_at"))
+    tags = _tags(s, d).select("news_id", "ticker", F.when(F.col("ticker") == "BBB", "cluster").when(F.col("ticker") == "DDD", "marketwide").otherwise("direct").alias("relation"), F.lit(0.8).alias("strength"))
+    none = s.createDataFrame([], "news_id string, story_id string")
+    grid = n.select(F.expr("date_trunc('HOUR', received_at) + interval 6 hours").cast("timestamp_ntz").alias("as_of")).distinct()
+    return news.context_dedupe(news.news_context(n, tags, none, grid))
+
+
+_CONTEXT = f"""{NEWS_SQL}, tags AS ({_TAG_SQL}), g AS (SELECT DISTINCT date_trunc('hour', ts) + INTERVAL 6 HOURS AS as_of FROM news),
+    context AS (SELECT as_of, news_id, ts AS received_at, ticker, CASE WHEN ticker = 'BBB' THEN 'cluster' WHEN ticker = 'DDD' THEN 'marketwide' WHEN ticker IS NOT NULL THEN 'direct' END AS relation FROM news JOIN g ON CAST(ts AS DATE) = CAST(as_of AS DATE) AND ts <= as_of LEFT JOIN tags USING (news_id))"""
+
+
+@query("j2_news_context", f"WITH {_CONTEXT} SELECT as_of, count(*) AS n, count(ticker) AS tagged FROM context GROUP BY as_of")
+def _(s, d):
+    return _context(s, d).groupBy("as_of").agg(F.count("*").alias("n"), F.count("ticker").alias("tagged"))
+
+
+@query(
+    "j4_context_route",
+    f"""WITH {_CONTEXT} SELECT as_of, news_id, ticker, CASE WHEN relation IN ('direct', 'cluster') AND ticker IN ('AAA', 'BBB') THEN 'ticker' WHEN relation = 'marketwide' OR ticker IS NULL THEN 'market' END AS route,
+        CASE WHEN relation = 'cluster' THEN 0.6 WHEN relation IS NOT NULL THEN 0.8 END AS strength FROM context WHERE route IS NOT NULL""",
+    "strength",
+)
+def _(s, d):
+    return news.context_route(_context(s, d), ["AAA", "BBB"]).select("as_of", "news_id", "ticker", "route", "strength")
+
+
+@query("j7_seed_direct_tags", f"WITH {NEWS_SQL}, tags AS ({_TAG_SQL}) SELECT news_id, ticker, 'medium' AS confidence, 0.65::DOUBLE AS strength FROM tags JOIN news USING (news_id) WHERE NOT (doc_id % 5 = 0 AND ticker = 'AAA')")
+def _(s, d):
+    stored = news_of(s, d).filter("doc_id % 5 = 0").select("news_id", F.lit("AAA").alias("ticker"), F.lit("direct").alias("relation"))
+    return news.seed_direct_tags(_tags(s, d), stored).select("news_id", "ticker", "confidence", "strength")
+
+
+@query(
+    "j6_untagged_news",
+    f"WITH {NEWS_SQL}, tags AS ({_TAG_SQL}) SELECT news_id, ts AS received_at FROM news WHERE news_id NOT IN (SELECT news_id FROM tags) ORDER BY ts, news_id LIMIT 50",
+)
+def _(s, d):
+    n = news_of(s, d).select("news_id", F.col("ts").alias("received_at"), F.lit(None).cast("string").alias("story_id"))
+    return news.untagged(n, _tags(s, d), 50).select("news_id", "received_at")
+
+
+@query(
+    "p9_normalize_items",
+    f"""WITH {NEWS_SQL} SELECT news_id, length(title) AS title_chars, greatest(CASE WHEN doc_id % 4 = 0 THEN 0.9 ELSE 0.1 END, CASE WHEN source = 'src0' THEN 0.7 WHEN source = 'src1' THEN 0.4 END)::DOUBLE AS confidence FROM news WHERE doc_id % 9 <> 0""",
+    "confidence",
+)
+def _(s, d):
+    n = news_of(s, d).withColumns({"url": F.lit(""), "text": F.when(F.col("doc_id") % 9 == 0, " \n ").otherwise(F.col("text")), "confidence": F.when(F.col("doc_id") % 4 == 0, 0.9).otherwise(0.1)})
+    trust = s.createDataFrame([("src0", 0.7), ("src1", 0.4)], "source string, trust double")
+    return news.normalize_items(n, trust).select("news_id", F.char_length("title").cast("long").alias("title_chars"), "confidence")
+
+
+@query("p10_news_identity", f"""WITH {NEWS_SQL} SELECT doc_id, source || ':' || CASE WHEN doc_id % 2 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE sha256('{{"text": null, "title": "' || replace(replace(title, '\\', '\\\\'), '"', '\\"') || '", "url": null}}') END AS news_id FROM news""")
+def _(s, d):
+    n = news_of(s, d).withColumns({"url": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "external_id": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise("")})
+    return news.news_identity(n).select("doc_id", "news_id")
+
+
+# stories ---------------------------------------------------------------------------------------
+
+
+def _records(s, d):
+    n = news_of(s, d).withColumns({"url": F.lit(""), "payload_hash": F.sha2("text", 256)})
+    return stories.story_records(n)
+
+
+_STORY_WORDS = f"list_distinct({_WORDS})"
+_RECORDS = f"""{NEWS_SQL}, records AS (SELECT news_id, source, doc_id * 180 AS t, sha256(text) AS h, {_STORY_WORDS} AS tokens, array_to_string({_WORDS}, ' ') AS k, list_distinct(regexp_extract_all(title, '\\d+(?:[,.]\\d+)?')) AS nums FROM news),
+    rarity AS (SELECT token, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM records) GROUP BY token)"""
+
+
+@query("n3_token_rarity", f"WITH {_RECORDS} SELECT * FROM rarity")
+def _(s, d):
+    return stories.token_rarity(_records(s, d))
+
+
+_SCORED = f"""{_RECORDS}, sig AS (SELECT *, len(list_filter(tokens, lambda w: NOT regexp_full_match(w, '[0-9]+'))) AS nw FROM records),
+    pairs AS (SELECT x.news_id AS a, y.news_id AS b, x.tokens AS ta, y.tokens AS tb, x.nums AS na, y.nums AS nb, x.k AS ka, y.k AS kb, x.h AS ha, y.h AS hb, (x.nw >= 3 OR (x.nw >= 2 AND len(x.nums) > 0)) AND (y.nw >= 3 OR (y.nw >= 2 AND len(y.nums) > 0)) AS ok
+        FROM sig x JOIN sig y ON x.news_id < y.news_id AND x.source <> y.source AND abs(x.t - y.t) <= 3600),
+    c AS (SELECT *, list_intersect(ta, tb) AS shared, len(list_intersect(na, nb)) AS nn FROM pairs),
+    r AS (SELECT a, b, count(*) AS rare FROM (SELECT a, b, unnest(shared) AS token FROM c) JOIN rarity USING (token) WHERE df <= 8 GROUP BY a, b),
+    s AS (SELECT c.a, c.b, ha = hb AS same, ok AND len(ta) > 0 AND len(tb) > 0 AS ok, (CASE WHEN ka <> '' AND ka = kb THEN 100 ELSE 0 END) + (CASE WHEN len(shared) >= 3 THEN 25 ELSE 0 END) + (CASE WHEN coalesce(rare, 0) >= 2 THEN 25 ELSE 0 END)
+        + (CASE WHEN len(shared) / (len(ta) + len(tb) - len(shared)) >= 0.45 THEN 30 WHEN len(shared) / (len(ta) + len(tb) - len(shared)) >= 0.32 THEN 18 ELSE 0 END)
+        + (CASE WHEN len(shared) / least(len(ta), len(tb)) >= 0.65 THEN 20 WHEN len(shared) / least(len(ta), len(tb)) >= 0.5 THEN 10 ELSE 0 END)
+        + (CASE WHEN nn > 0 THEN 10 WHEN len(na) > 0 AND len(nb) > 0 AND len(shared) < 4 THEN -20 ELSE 0 END) AS pts FROM c LEFT JOIN r USING (a, b)),
+    scored AS (SELECT a, b, CASE WHEN same THEN 100 WHEN ok THEN pts ELSE 0 END::DOUBLE AS score FROM s)"""
+
+
+@query("n5_pair_score", f"WITH {_SCORED} SELECT * FROM scored WHERE score >= 70")
+def _(s, d):
+    r = stories.stable(_records(s, d))
+    return stories.pair_scores(stories.candidate_pairs(r), stories.token_rarity(r))
+
+
+def _stories(s, d):
+    r = stories.stable(_records(s, d))
+    scored = stories.stable(stories.pair_scores(stories.candidate_pairs(r), stories.token_rarity(r)))
+    return stories.assign_stories(r, scored)
+
+
+@query("n6_assign_stories")
+def _(s, d):
+    return _stories(s, d)
+
+
+@query("a9_story_aggregate")
+def _(s, d):
+    return stories.story_aggregate(_stories(s, d).join(news_of(s, d).select("news_id", "ts", "title", "source"), "news_id"))
+
+
+# orders ----------------------------------------------------------------------------------------
+
+
+def _orders(s, d):
+    line = table(s, d, "lineitem").filter("l_linenumber <= 3")
+    held = F.when(F.col("l_linenumber") == 1, F.col("l_partkey") % 40).otherwise(0)
+    sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
+    x = line.select(F.col("l_orderkey").alias("as_of"), F.col("l_linenumber").cast("string").alias("ticker"), held.cast("long").alias("lots"), (sign * F.col("l_quantity") / 100).alias("target_weight"), (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("price"), F.lit(10).alias("lot_size"), F.lit(100000.0).alias("equity"))
+    return orders.order_candidates(x)
+
+
+_ORDERS = """lines AS (SELECT l_orderkey AS as_of, CAST(l_linenumber AS VARCHAR) AS ticker, CASE WHEN l_linenumber = 1 THEN l_partkey % 40 ELSE 0 END AS lots, CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * l_quantity / 100 AS target_weight,
+        l_extendedprice / l_quantity / 10 AS price FROM lineitem WHERE l_linenumber <= 3),
+    t AS (SELECT *, CAST(sign(100000.0::DOUBLE * target_weight / price) * floor(abs(100000.0::DOUBLE * target_weight / price) / 10) AS BIGINT) AS target_lots FROM lines WHERE price > 0),
+    cand AS (SELECT *, target_lots - lots AS delta, CASE WHEN target_lots > lots THEN 'B' ELSE 'S' END AS direction, abs(target_lots - lots) AS requested, 10 * price AS lot_value FROM t WHERE target_lots <> lots AND abs(target_lots - lots) * 10 * price >= 100)"""
+
+
+@query("o1_order_candidates", f"WITH {_ORDERS} SELECT as_of, ticker, direction, requested, target_lots, target_weight, lot_value FROM cand", "lot_value target_weight")
+def _(s, d):
+    return _orders(s, d).select("as_of", "ticker", "direction", "requested", "target_lots", "target_weight", "lot_value")
+
+
+@query("o4_cash_cap")
+def _(s, d):
+    x = _orders(s, d).withColumns({"quantity": F.col("requested"), "cash": F.lit(60000.0)})
+    return orders.cash_cap(x)
+
+
+@query(
+    "o2_depth_cost",
+    """WITH l AS (SELECT l_orderkey, l_extendedprice / l_quantity AS price, l_quantity AS q, sum(l_quantity) OVER w - l_quantity AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice / l_quantity, l_quantity, l_linenumber ROWS UNBOUNDED PRECEDING)),
+       f AS (SELECT *, least(q, greatest(60 - before, 0)) AS take FROM l)
+       SELECT l_orderkey, sum(take) AS filled, CASE WHEN sum(take) > 0 THEN abs(sum(take * price) / sum(take) / 1500 - 1) ELSE 0 END AS cost, sum(take) < 60 AS shortfall FROM f GROUP BY l_orderkey""",
+    "filled cost",
+)
+def _(s, d):
+    level = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), "l_linenumber")
+    books = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(level)).alias("levels"))
+    return books.select("l_orderkey", orders.depth_cost(F.col("levels"), F.lit(60.0), F.lit(1500.0)).alias("x")).select("l_orderkey", "x.*")
+
+
+@query(
+    "j10_position_targets",
+    """SELECT coalesce(h.as_of, t.as_of) AS as_of, coalesce(h.ticker, t.ticker) AS ticker, coalesce(lots, 0) AS lots, coalesce(w, 0) AS target_weight FROM
+        (SELECT o_custkey AS as_of, o_orderstatus AS ticker, count(*) AS lots FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL) h
+        FULL JOIN (SELECT o_custkey AS as_of, o_orderstatus AS ticker, avg(o_totalprice) / 1000000 AS w FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL) t ON h.as_of = t.as_of AND h.ticker = t.ticker""",
+    "target_weight",
+)
+def _(s, d):
+    o = table(s, d, "orders").withColumnsRenamed({"o_custkey": "as_of", "o_orderstatus": "ticker"})
+    held = o.filter("o_orderkey % 2 = 0").groupBy("as_of", "ticker").agg(F.count("*").alias("lots"))
+    target = o.filter("o_orderkey % 3 = 0").groupBy("as_of", "ticker").agg((F.avg("o_totalprice") / 1000000).alias("target_weight"))
+    return orders.position_targets(held, target)
+
+
+@query(
+    "a16_equity",
+    """SELECT o_custkey AS as_of, CASE WHEN sum(o_totalprice * (o_orderkey % 3)) = 0 AND max(greatest(c_acctbal, 0)) = 0 THEN 100000 ELSE sum(o_totalprice * (o_orderkey % 3)) + max(greatest(c_acctbal, 0)) END AS equity FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""",
+    "equity",
+)
+def _(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    x = o.select(F.col("o_custkey").alias("as_of"), (-(F.col("o_orderkey") % 3)).alias("lots"), F.lit(1).alias("lot_size"), F.col("o_totalprice").alias("price"), "c_acctbal")
+    return orders.equity(x, F.col("c_acctbal")).select("as_of", "equity")
+
+
+@query(
+    "o5_ledger_admit",
+    """WITH l AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 3 = 0), u AS (SELECT day, count(*) AS used FROM l GROUP BY day),
+       x AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS dup FROM orders WHERE o_orderkey % 2 = 0 )
+       SELECT order_key, CASE WHEN dup THEN 'duplicate_skipped' WHEN coalesce(used, 0) + sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY order_key ROWS UNBOUNDED PRECEDING) <= 4 THEN 'dry_run' ELSE 'blocked' END AS status FROM x LEFT JOIN u USING (day)""",
+)
+def _(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("order_key"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("seq"))
+    return orders.ledger_admit(o.filter("order_key % 2 = 0"), o.filter("order_key % 3 = 0"), 4).select("order_key", "status")
+
+
+# market ----------------------------------------------------------------------------------------
+
+
+@query(
+    "p12_cost_snapshot",
+    """WITH q AS (SELECT p_partkey, p_retailprice AS last_price, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_retailprice - p_size / 100.0::DOUBLE END AS bid, p_retailprice + p_size / 50.0::DOUBLE AS ask FROM part), m AS (SELECT *, bid > 0 AND ask > 0 AS ok, (bid + ask) / 2 AS mid FROM q)
+       SELECT p_partkey, NOT ok AS missing_bbo, CASE WHEN ok THEN (ask - bid) / mid END AS spread, CASE WHEN ok THEN greatest((ask - bid) / mid / 2, 0.0005) ELSE 0.0015 END AS cost FROM m""",
+    "spread cost",
+)
+def _(s, d):
+    p = table(s, d, "part")
+    q = p.select("p_partkey", F.col("p_retailprice").alias("last_price"), F.lit(None).cast("double").alias("prev_price"), F.when(F.col("p_size") % 5 == 0, 0.0).otherwise(F.col("p_retailprice") - F.col("p_size") / 100).alias("bid"), (F.col("p_retailprice") + F.col("p_size") / 50).alias("ask"))
+    return market.cost_snapshot(q).select("p_partkey", "missing_bbo", "spread", "cost")
+
+
+@query(
+    "p14_orderbook_levels",
+    """WITH x AS (SELECT l_suppkey AS ticker, CASE WHEN l_returnflag = 'R' THEN 'bid' ELSE 'ask' END AS side, l_extendedprice AS price, l_quantity AS quantity FROM lineitem WHERE l_extendedprice > 0)
+       SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END, quantity) AS level FROM x QUALIFY level <= 10""",
+)
+def _(s, d):
+    label = F.when(F.col("l_returnflag") == "R", "Buy").otherwise("SELL")
+    x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), label.alias("side"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return market.orderbook_levels(x)
+
+
+@query(
+    "j1_universe_candidates",
+    """SELECT c_custkey AS secid, c_acctbal AS cap FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 ORDER BY cap DESC, secid LIMIT 20""",
+)
+def _(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("secid"), F.col("c_nationkey").alias("board"), F.col("c_acctbal").alias("cap"))
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("board"))
+    return market.universe_candidates(c, n.join(c.select("secid", "board"), "board"), 20).select("secid", "cap")
+
+
+# sources and sinks -----------------------------------------------------------------------------
+
+
+@query(
+    "io5_append_ignore",
+    "SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0) GROUP BY user_id",
+)
+def _(s, d):
+    e = table(s, d, "events").select("user_id", "event_id")
+    return tables.append_ignore(e.filter("event_id % 97 = 0"), e, ["user_id"], "event_id")
+
+
+@query(
+    "io6_upsert_replace",
+    "SELECT event_type, user_id, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1",
+)
+def _(s, d):
+    e = table(s, d, "events").select("event_type", "user_id", "ts", "event_id", "value")
+    return tables.upsert_replace(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["event_type", "user_id"], "ts", "event_id")
+
+
+@query(
+    "io7_replace_children",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 = 0 THEN l_quantity * 2 ELSE l_quantity END AS q FROM lineitem WHERE l_orderkey % 10 <> 0 OR l_linenumber = 1",
+)
+def _(s, d):
+    x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"))
+    new = x.filter("l_orderkey % 10 = 0 and l_linenumber = 1").withColumn("q", F.col("q") * 2)
+    return tables.replace_children(x, x.filter("l_orderkey % 10 = 0").select("l_orderkey"), new, ["l_orderkey"])
+
+
+@query("p18_discover_links")
+def _(s, d):
+    p = table(s, d, "pages")
+    links = p.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("""<a\\s[^>]*href=["']([^"'#]+)"""), F.lit(1))).alias("pos", "href"))
+    absolute = F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.expr("try_parse_url(url, 'PROTOCOL')"), F.lit("://"), F.expr("try_parse_url(url, 'HOST')"), F.regexp_replace("href", "^(?!/)", "/")))
+    x = links.withColumn("link", absolute).filter((F.col("link") != F.col("url")) & F.col("link").isNotNull())
+    first = x.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter("n <= 20").select("page_id", "link", "n")
