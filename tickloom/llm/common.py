@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Most groups whose rows are joined by broadcast: any other group holds at most a thousandth of the rows.
-HOT_GROUPS = 1000
 #: Most rows of a key table that is broadcast after its size has been counted.
 BROADCAST_ROWS = 200_000
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that executors share, and go on from there."""
-    sc = df.sparkSession.sparkContext
+    """Write df as a table in the checkpoint folder that executors share, and read it from there.
+
+    checkpoint() would keep the partitioning and order that the plan had; over
+    rounds of joins those descriptions multiply until planning takes minutes.
+    The table has none, so a join shuffles both sides and may split hot keys.
+    """
+    session = df.sparkSession
+    sc = session.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: str | Column) -> Column:
@@ -33,33 +40,21 @@ def unit_random(*parts: str | Column, seed: int = 0) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
-    """Left join of groups (one row a key, with columns of their own) to rows, safe for hot keys.
+def attach(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Left join of groups (one row a key, with columns of their own) to rows, whose keys may be hot.
 
-    The HOT_GROUPS heaviest groups go by broadcast; their rows then take a key
-    that occurs nowhere, spread by the column `spread`, so the join of all other
-    rows meets no key with over a thousandth of the rows. Rows without a group
-    get nulls. `weight` orders the groups and is kept.
+    Rebalancing leaves the groups without a partitioning by the key, so both
+    sides of a sort-merge join are shuffled for it and Spark's skew join can
+    split a hot key's rows among tasks.
     """
-    own = [c for c in groups.columns if c != key]
-    top = groups.orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_GROUPS)
-    hot = F.broadcast(top.select(F.col(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in own]))
-    elsewhere, plain = F.xxhash64(spread), F.col(key)
-    if dict(rows.dtypes)[key] == "string":
-        elsewhere, plain = F.concat(F.lit("#"), elsewhere.cast("string")), F.concat(F.lit("="), plain)
-    rest = groups.select(plain.alias("_cold"), *own)
-    # a row of a hot key may meet another group by chance; its columns aren't used then
-    first = rows.join(hot, key, "left").withColumn("_cold", F.when(F.col("_hot") | F.col(key).isNull(), elsewhere).otherwise(plain))
-    both = first.join(rest, "_cold", "left")
-    found = F.when(F.col("_hot"), F.lit(1)).when(F.col(key).isNotNull(), F.lit(2))
-    return both.select(*rows.columns, *[F.when(found == 1, F.col(f"_h_{c}")).when(found == 2, F.col(c)).alias(c) for c in own])
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    return rows.join(groups.hint("rebalance"), key, "left")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of a key table: by broadcast if a count shows at most `bound` rows, else as attach()."""
     if table.limit(bound + 1).count() <= bound:
         return rows.join(F.broadcast(table), key, "left")
-    return attach(rows, table, key, weight, spread)
+    return attach(rows, table, key)
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str, total: int, key_bound: int) -> DataFrame:
@@ -71,8 +66,6 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str, total
     per_key = max(64, -(-total // (4000 * max(1, key_bound))))
     b = F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(per_key)).cast("int")
     rows = rows.withColumn("_b", b)
-    from pyspark.sql import Window
-
     counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
     inner = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1

@@ -9,24 +9,22 @@ from .common import attach, stable
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) of every id (long) in links (a, b); root is one id of the component.
+    """(id, root) of every id (long) in links (a, b); root is the smallest id of the component.
 
-    Each round points every id at its smallest neighbour, follows pointers once
-    more, and replaces ids in the links by where they point; links within one id
-    vanish. Tables stay distributed and are checkpointed each round; ids with
-    many links are met by attach(). No links give no rows.
+    Each round every id takes the smallest root among its own and its
+    neighbours', then its root's root, until no root changes. Tables stay
+    distributed and are checkpointed each round. No links give no rows.
     """
-    edges = stable(links.select("a", "b").filter("a <> b").distinct())
-    roots = stable(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")))
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"), F.count("*").alias("w"))
-        near = stable(near.select(F.col("a").alias("id"), "to", "w"))
-        hop = near.groupBy("to").agg(F.count("*").alias("n")).join(near.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
-        point = stable(attach(near, hop, "to", "n", "id").select("id", F.coalesce("next", "to").alias("new"), "w"))
-        moved = attach(edges.withColumnRenamed("a", "id"), point, "id", "w", "b").select(F.col("new").alias("a"), F.col("b").alias("id"))
-        moved = attach(moved, point, "id", "w", "a").select(F.col("new").alias("b"), "a")
-        edges = stable(moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        counts = roots.groupBy("root").agg(F.count("*").alias("n")).join(point.select(F.col("id").alias("root"), "new"), "root", "left")
-        roots = stable(attach(roots, counts, "root", "n", "id").select("id", F.coalesce("new", "root").alias("root")))
-    return roots
+    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    both = stable(both.select(F.col("e.a").alias("to"), F.col("e.b").alias("id")).filter("id <> to").distinct())
+    roots = both.groupBy("to").agg(F.least(F.min("id"), F.first("to")).alias("root")).withColumnRenamed("to", "id")
+    roots = stable(roots)
+    while True:
+        heard = attach(both, roots, "id").select(F.col("to").alias("id"), "root", F.lit(None).cast("long").alias("old"))
+        least = heard.union(roots.select("id", "root", F.col("root").alias("old"))).groupBy("id").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        least = stable(least)
+        hop = least.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        after = stable(attach(least, hop, "root").select("id", F.coalesce("next", "root").alias("root"), "old"))
+        if after.filter("root <> old").isEmpty():
+            return after.select("id", "root")
+        roots = after.select("id", "root")

@@ -36,13 +36,13 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("len", F.octet_length("text").cast("long"))
     lengths = base.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1")
     prefix = F.xxhash64(F.translate(F.substring("text", 1, prefix_chars), UPPER, LOWER), F.col("len"))
-    same_length = lookup(base.select("doc_id", "len", prefix.alias("prefix")), lengths, "len", "n", "doc_id").filter("n is not null")
+    same_length = lookup(base.select("doc_id", "len", prefix.alias("prefix")), lengths, "len").filter("n is not null")
     prefixes = stable(same_length.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"))
-    flagged = lookup(base.select("doc_id", "text", prefix.alias("prefix")), prefixes, "prefix", "n", "doc_id")
+    flagged = lookup(base.select("doc_id", "text", prefix.alias("prefix")), prefixes, "prefix")
     alike = F.col("n").isNotNull()
     rows = stable(flagged.select("doc_id", "text", alike.alias("alike"), (alike | F.lit(hash_all)).alias("wanted")).mapInArrow(_hashes, "doc_id long, alike boolean, sha string"))
     groups = rows.filter("alike").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    found = attach(rows, groups, "sha", "group_size", "doc_id")
+    found = attach(rows, groups, "sha")
     keep = F.coalesce("keep_id", "doc_id")
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 

@@ -121,7 +121,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageFilter:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = known.groupBy("lang").agg(F.count("*").alias("docs"))
     rate = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 20)) < F.lit(float(1 << 20)) * fit_docs / F.col("docs")
-    chosen = lookup(known.select("doc_id", "text", "lang"), sizes, "lang", "docs", "doc_id").filter(rate)
+    chosen = lookup(known.select("doc_id", "text", "lang"), sizes, "lang").filter(rate)
     counts = chosen.select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     r = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     rated = counts.withColumn("rate", r).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))

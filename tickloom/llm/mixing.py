@@ -58,9 +58,9 @@ def _cut(rows: DataFrame, need: DataFrame) -> DataFrame:
     return over.select("skey", F.col("first_out.x").alias("cut_x"), F.col("first_out.doc_id").alias("cut_id"))
 
 
-def _before(x: Column, i: Column) -> Column:
-    """Whether a row stands before its source's cut; with no cut, all do."""
-    return F.col("cut_x").isNull() | (x < F.col("cut_x")) | ((x == F.col("cut_x")) & (i < F.col("cut_id")))
+def _before(cut_x: Column, cut_id: Column) -> Column:
+    """Whether a row (x, doc_id) stands before its source's cut; with no cut, all do."""
+    return cut_x.isNull() | (F.col("x") < cut_x) | ((F.col("x") == cut_x) & (F.col("doc_id") < cut_id))
 
 
 def with_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7, fills: int = 2) -> DataFrame:
@@ -77,8 +77,9 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # "t" sorts behind every "s..."
-    marked = docs.select(*own).withColumn("size", word_count("text")).withColumn("skey", skey).withColumn("u", unit_random(F.coalesce("doc_id", F.lit(-1)), seed=seed))
-    narrow = stable(marked.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "skey", "size", "u"))
+    i = F.coalesce("doc_id", F.lit(-1)).cast("long")
+    marked = docs.select(F.struct(*own).alias("row"), i.alias("doc_id"), skey.alias("skey"), word_count("text").alias("size"), unit_random(i, seed=seed).alias("u"))
+    narrow = stable(marked.select("doc_id", "skey", "size", "u"))
     targets = source_targets(narrow.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
     share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = targets.withColumn("base", F.least(F.floor(share_of + 1e-12), F.lit(int(most)))).withColumn("p", F.greatest(share_of - F.col("base"), F.lit(0.0)))
@@ -89,29 +90,29 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         q = (F.col("u") / (1 - F.col("u"))) / odds
         return rows.withColumn("x", F.when(F.col("p") > 0, F.least(q / (1 + q), F.lit(1 - 2.0**-40))).otherwise(F.col("u")))
 
-    rows = stable(ranked(lookup(narrow, plan.select("skey", "n", "p"), "skey", "n", "doc_id")).select("doc_id", "skey", "size", "x"))
+    rows = stable(ranked(lookup(narrow, plan.select("skey", "p"), "skey")).select("doc_id", "skey", "size", "x"))
     need, cuts = plan.select("skey", "words"), []
     for _ in range(fills):
         cut = stable(_cut(rows, need))
-        at = stable(need.join(cut, "skey", "left").withColumn("n", F.col("words")))
-        cuts.append(at.drop("n"))
-        seen = lookup(rows, at, "skey", "n", "doc_id").withColumn("in", _before(F.col("x"), F.col("doc_id")) & (F.col("size") <= F.col("words")))
+        at = stable(need.join(cut, "skey", "left"))
+        cuts.append(at)
+        seen = lookup(rows, at, "skey").withColumn("in", _before(F.col("cut_x"), F.col("cut_id")) & (F.col("size") <= F.col("words")))
         took = seen.filter("in").groupBy("skey").agg(F.sum("size").alias("took"))
         need = stable(need.join(took, "skey", "left").select("skey", (F.col("words") - F.coalesce("took", F.lit(0))).alias("words")))
-        rows = stable(lookup(seen.filter("not in").select("doc_id", "skey", "size", "x"), need.withColumn("n", F.col("words")), "skey", "n", "doc_id").filter("size <= words").select("doc_id", "skey", "size", "x"))
+        rows = stable(lookup(seen.filter("not in").select("doc_id", "skey", "size", "x"), need, "skey").filter("size <= words").select("doc_id", "skey", "size", "x"))
     for k, c in enumerate(cuts):
         plan = plan.join(c.select("skey", *[F.col(v).alias(f"{v}_{k}") for v in ("words", "cut_x", "cut_id")]), "skey", "left")
     plan = stable(plan.drop("words"))
-    out = ranked(lookup(marked, plan, "skey", "n", "u"))
-    picked, i = F.lit(False), F.coalesce("doc_id", F.lit(-1))
+    out = ranked(lookup(marked, plan, "skey"))
+    picked = F.lit(False)
     for k in range(fills):
-        x, cx, ci = F.col("x"), F.col(f"cut_x_{k}"), F.col(f"cut_id_{k}")
-        front = cx.isNull() | (x < cx) | ((x == cx) & (i < ci))
+        front = _before(F.col(f"cut_x_{k}"), F.col(f"cut_id_{k}"))
         picked = picked | (front & (F.col("p") > 0) & (F.col("size") <= F.col(f"words_{k}")))
-    return out.withColumn("copies", (F.col("base") + picked.cast("int")).cast("int")).select(*own, "size", "source_size", "target", "copies")
+    return out.withColumn("copies", (F.col("base") + picked.cast("int")).cast("int")).select("row.*", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: each row repeated as often as the mix takes it."""
-    out = with_copies(docs, **how)
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    kept = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_document"))
+    out = with_copies(kept, **how)
+    return out.filter("copies > 0").select("_document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_document.*")

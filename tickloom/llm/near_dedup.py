@@ -18,12 +18,16 @@ WORDS, NUM, DEN = 5, 3, 4
 #: Hash values that a sketch retains, and those that linked sketches share at least. At the threshold itself
 #: the shared ones are 48 of 64 on average, and under 32 with probability 4e-6; sets of at most K words are exact.
 K, SHARED = 64, 32
+#: The same for texts that meet in long lists: 192 of 256 on average, under 159 with probability 2e-6.
+LONG_K, LONG_SHARED = 256, 159
 #: Union-sketch estimates of K values under this are turned down: 5.5 standard deviations under 0.75.
 LEAST_ESTIMATE = 0.45
-#: A retained value of more texts than this comes last in the order of values.
-RARE = 32
-#: Members of a block of a long list.
+#: Members of a list that is compared pair by pair at once.
+SHORT = 32
+#: Members of a block of a longer list.
 BLOCK = 256
+#: Members in turn that stand for a long list before it is compared pair by pair.
+TURNS = 2
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -36,10 +40,10 @@ class _WordHashes(dict):
 
 
 def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; of the whole text if it has fewer words."""
+    """Sorted distinct hashes (int64) of the 5-word shingles; of the whole text if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.int64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     s = np.zeros(n, np.uint64)
@@ -50,7 +54,7 @@ def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
     s ^= s >> np.uint64(29)
     s *= _M[4]
     s ^= s >> np.uint64(32)
-    return np.unique(s)
+    return np.unique(s.view(np.int64))
 
 
 def _key(s: np.ndarray) -> str:
@@ -61,90 +65,81 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for b in batches:
         sets = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
-        cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.string()), pa.array([s[:K].view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))]
+        cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.string()), pa.array([s[:K].tolist() for s in sets], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "key", "sketch"])
 
 
-def _fulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for b in batches:
-        for k in range(0, b.num_rows, 256):
-            part = b.slice(k, 256)
-            sets = [shingle_set(t.as_py(), hashes) for t in part.column(1)]
-            fit = [i for i, (s, key) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if _key(s) == key]
-            cid = part.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i in fit], pa.int64()), pa.array([sets[i].tobytes() for i in fit], pa.binary())], names=["cid", "words"])
+def _sets(first: int | None):
+    """Of rows (cid, text, key) whose text has that key: the first values of the set, or all, as bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [shingle_set(t.as_py(), hashes) for t in part.column(1)]
+                fit = [i for i, (s, key) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if _key(s) == key]
+                cid = part.column(0).to_pylist()
+                words = pa.array([sets[i].tobytes() for i in fit], pa.binary()) if first is None else pa.array([sets[i][:first].tolist() for i in fit], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i in fit], pa.int64()), words], names=["cid", "words"])
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for i, (x, y, nx, ny) in enumerate(zip(*[b.column(c).to_pylist() for c in ("a_sketch", "b_sketch", "na", "nb")], strict=True)):
-            p, q = (np.array(z, np.int64).view(np.uint64) for z in (x, y))
-            union = np.union1d(p, q)
-            if max(nx, ny) > K:
-                union = union[:K]
-            both = np.isin(union, p).astype(int) + np.isin(union, q)
-            share = (both == 2).sum() / len(union)
-            keep.append(share >= (LEAST_ESTIMATE if max(nx, ny) > K else NUM / DEN))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+    return run
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column("a_words"), b.column("b_words"), strict=True):
-            p, q = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+            p, q = (np.frombuffer(z.as_buffer(), np.int64) for z in (x, y))
             both = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
 
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, text, key) of the classes in ids (cid): a text of each, more where ids of documents repeat."""
+    wanted = stable(ids.join(classes.select("cid", "key", F.col("rep").alias("doc_id")), "cid"))
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("cid", "text", "key")
+
+
 def _with_both(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
-    """pairs (a, b, ...) with column `what` of both; b may be in many pairs, so its row is repeated for every 64 of them."""
-    many = pairs.groupBy("b").agg(F.count("*").alias("_n"))
-    right = of.join(many.withColumnRenamed("b", "cid"), "cid").select(F.col("cid").alias("b"), F.col(what).alias(f"b_{what}"), F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 64).cast("int"))).alias("_s"), "_n")
-    salts = attach(pairs, many, "b", "_n", "a").withColumn("_s", F.pmod(F.xxhash64("a"), F.floor(F.col("_n") / 64) + 1).cast("int")).drop("_n")
-    left = salts.join(of.select(F.col("cid").alias("a"), F.col(what).alias(f"a_{what}")), "a")
-    return left.join(right.drop("_n"), ["b", "_s"]).drop("_s")
+    """pairs (a, b, ...) with column `what` of both; a hot b is left to the skew join."""
+    left = pairs.join(of.select(F.col("cid").alias("a"), F.col(what).alias(f"a_{what}")), "a")
+    return left.join(of.select(F.col("cid").alias("b"), F.col(what).alias(f"b_{what}")), "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b, na, nb) whose sets reach the similarity: first by union sketches, then by the full sets."""
-    likely = stable(_with_both(pairs, classes.select("cid", "sketch"), "sketch").mapInArrow(_estimate, "a long, b long"))
-    wanted = stable(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key", F.col("rep").alias("doc_id")), "cid"))
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    words = texts.select("cid", "text", "key").mapInArrow(_fulls, "cid long, words binary").groupBy("cid").agg(F.first("words").alias("words"))
+    likely = stable(_with_both(pairs, classes.select("cid", "sketch"), "sketch").filter(_alike("a_sketch", "b_sketch", "na", "nb")).select("a", "b"))
+    texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs)
+    words = texts.mapInArrow(_sets(None), "cid long, words binary")
     return stable(_with_both(likely, words, "words").mapInArrow(_exact, "a long, b long"))
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """(value, cid, n): of each class the values of its sketch that must meet one of any linked class.
+def _lists(sketches: DataFrame, k: int, shared: int) -> DataFrame:
+    """(value, cid, n, m): lists of m > 1 classes, from sketches (cid, n, sketch) of k values.
 
-    Values are ordered, alike for all classes, by whether more than RARE classes
-    have them, how many, and the value. Two sketches that share t values share
-    one among the first len - t + 1 of both in any such order. t is the exact
-    bound where the set and all that can be linked to it lie within K values,
-    SHARED otherwise.
+    Values are ordered, alike for all classes, by how many classes have them,
+    then by value. Two sketches that share t values share one among the first
+    len - t + 1 of both in any such order; t is the exact bound where a set and
+    all that can be linked to it lie within k values, `shared` otherwise. Values
+    of one class alone come first and make no list, so a text needs a large
+    part in common with others to be in any.
     """
-    values = classes.select("cid", F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("df")).filter(F.col("df") > RARE)
-    hot = stable(values)
-    n, have = F.col("n"), F.least(F.col("n"), F.lit(K))
-    t = F.when(n * DEN <= K * NUM, F.ceil(n * NUM / DEN)).otherwise(F.least(F.ceil(n * NUM / DEN), F.lit(SHARED)))
-    first = (have - t + 1).cast("int")
-    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        table = F.broadcast(hot)
-    else:
-        table = hot
-    long = classes.select("cid", "n", first.alias("first"), F.explode("sketch").alias("value")).join(table, "value").groupBy("cid").agg(F.collect_list(F.struct("df", "value")).alias("common"))
-    known = classes.select("cid", "n", first.alias("first"), "sketch").join(long, "cid", "left")
-    common = F.coalesce("common", F.expr("cast(array() as array<struct<df:bigint,value:bigint>>)"))
-    late = F.transform(F.array_sort(common), lambda x: x["value"])
-    order = F.concat(F.array_except("sketch", late), late)
-    return known.select("cid", "n", F.explode(F.slice(order, F.lit(1), F.col("first"))).alias("value"))
+    values = sketches.select("cid", F.explode("sketch").alias("value"))
+    counts = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    common = attach(values, counts, "value").filter("df is not null").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    n, have = F.col("n"), F.least(F.col("n"), F.lit(k))
+    t = F.when(n * DEN <= k * NUM, F.ceil(n * NUM / DEN)).otherwise(F.least(F.ceil(n * NUM / DEN), F.lit(shared)))
+    first = (F.size("common") - t + 1).cast("int")
+    posts = sketches.select("cid", "n").join(common, "cid").filter(first > 0).select("cid", "n", F.explode(F.slice("common", F.lit(1), first)).alias("x"))
+    posts = stable(posts.select("x.value", "cid", "n"))
+    # values of one passage have the same classes: one list stands for all of them
+    heads = posts.groupBy("value").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30))).alias("y")).filter("m > 1")
+    heads = heads.groupBy("m", "x", "y").agg(F.min("value").alias("value")).select("value", "m")
+    return stable(attach(posts, heads, "value").filter("m is not null").select("value", "cid", "n", "m"))
 
 
 def _pairs(a: DataFrame) -> DataFrame:
@@ -153,27 +148,37 @@ def _pairs(a: DataFrame) -> DataFrame:
     return a.filter(allowed).select("a", "b", "na", "nb").distinct()
 
 
-def _stars(lists: DataFrame, round_: int) -> DataFrame:
-    """Each member of a list with one member that stands for the list."""
-    first = F.struct((F.col("cid") if round_ == 0 else F.xxhash64("cid", "value", F.lit(round_))).alias("o"), F.col("cid"), F.col("n"))
-    heads = lists.groupBy("value").agg(F.min(first).alias("h"), F.count("*").alias("m")).select("value", F.col("h.cid").alias("b"), F.col("h.n").alias("nb"), "m")
-    return _pairs(attach(lists.select("value", F.col("cid").alias("a"), F.col("n").alias("na")), heads, "value", "m", "a"))
+def _stars(lists: DataFrame, turn: int = 0) -> DataFrame:
+    """Each member of a list with one member that stands for the list: the smallest, in later turns one by a hash."""
+    order = F.xxhash64("cid", "value", F.lit(turn)) if turn else F.col("cid")
+    heads = lists.groupBy("value").agg(F.min(F.struct(order.alias("o"), "cid", "n")).alias("h")).select("value", F.col("h.cid").alias("b"), F.col("h.n").alias("nb"))
+    return _pairs(attach(lists.select("value", F.col("cid").alias("a"), F.col("n").alias("na")), heads, "value"))
 
 
-def _open_lists(live: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their component, of the lists that still hold two components or more."""
-    members = live.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = members.groupBy("value").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return stable(attach(members, mixed.select("value", "m"), "value", "m", "cid").filter("m is not null"))
+    members = attach(lists, roots.withColumnRenamed("id", "cid"), "cid").withColumn("root", F.coalesce("root", "cid"))
+    mixed = members.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return stable(attach(members, mixed.select("value", "lo"), "value").filter("lo is not null").drop("lo"))
+
+
+def _alike(a: str, b: str, na: str, nb: str):
+    """Whether the union sketch of two sketches leaves the similarity possible (exact for sets within K values)."""
+    shared, every = F.array_intersect(a, b), F.array_union(a, b)
+    union = F.slice(F.array_sort(every), 1, K)
+    large = F.greatest(na, nb) > K
+    return F.when(large, F.size(F.array_intersect(union, shared)) >= LEAST_ESTIMATE * F.size(union)).otherwise(F.size(shared) * DEN >= F.size(every) * NUM)
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """All pairs of a list's members that are in different components, by blocks of BLOCK members."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    side = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    left = side.select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    right = side.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    return _pairs(left.join(right, ["value", "x", "y"]).filter("ra <> rb and a < b"))
+def _across(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of a list's members that are in different components and alike by sketches, by blocks of BLOCK members."""
+    own = lists.join(classes.select("cid", "sketch"), "cid").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    side = own.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = side.select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("block").alias("x"), every.alias("y"))
+    right = side.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("block").alias("y"), every.alias("x"))
+    sized = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+    return _pairs(left.join(right, ["value", "x", "y"]).filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & sized & _alike("sa", "sb", "na", "nb")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,10 +189,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sequence if there are fewer words). Rows with equal sets form a class. The
     classes of a value's list are compared with one member first, and components
     are built from the links; only lists that still hold several components are
-    looked at again: with another member (long lists), then pair by pair across
-    components, in blocks. So copies aren't expanded into pairs, and each pair
-    that shares a value of its prefix is verified on the full sets or already
-    connected. Null texts and those without words have n_shingles 0, and are
+    looked at again. The texts of long ones meet once more by larger sketches,
+    whose lists are far shorter, with TURNS members in turn. What is then left is
+    compared pair by pair across components, by sketches and in blocks. So copies aren't
+    expanded into pairs, and each pair that shares a value of its prefix is
+    verified on the full sets or already connected. Null texts and those without words have n_shingles 0, and are
     linked with nothing. Rows that repeat an id stand for their own texts. An
     empty table gives no rows; other columns are ignored.
     """
@@ -195,25 +201,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stable(docs.mapInArrow(_sketches, "doc_id long, n long, key string, sketch array<long>"))
     groups = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stable(groups.withColumn("cid", F.monotonically_increasing_id()))
-    posts = stable(_prefixes(classes))
-    heads = posts.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
-    live = stable(attach(posts, heads, "value", "m", "cid").filter("m is not null").select("value", "cid", "n"))
-    links = _verified(stable(_stars(live, 0)), classes, docs)
+    lists = _lists(classes, K, SHARED)
+    links = _verified(stable(_stars(lists)), classes, docs)
     roots = components(links)
-    lists = _open_lists(live, roots)
-    if not lists.filter(F.col("m") > RARE).isEmpty():
-        again = stable(_stars(lists.filter(F.col("m") > RARE), 1))
-        links = stable(links.union(_verified(again, classes, docs)))
-        roots = components(links)
-        lists = _open_lists(live, roots)
-    if not lists.isEmpty():
-        links = links.union(_verified(stable(_across(lists)), classes, docs))
-        roots = components(links)
-    ids = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "rep", "copies", F.coalesce("root", "cid").alias("root"))
-    ids = stable(ids)
-    least = ids.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("w"))
-    named = stable(attach(ids, least, "root", "w", "key").select("key", "copies", "component_id"))
-    out = attach(rows.select("doc_id", "n", "key"), named, "key", "copies", "doc_id")
+    left = _open_lists(lists, roots)
+    rest, long = left.filter(F.col("m") <= SHORT), left.filter(F.col("m") > SHORT)
+    if not long.isEmpty():
+        larger = _texts(long.select("cid").distinct(), classes, docs).mapInArrow(_sets(LONG_K), "cid long, words array<long>")
+        larger = stable(larger.dropDuplicates(["cid"]).withColumnRenamed("words", "sketch").join(classes.select("cid", "n"), "cid"))
+        lists = _lists(larger, LONG_K, LONG_SHARED)
+        again = _open_lists(lists, roots)
+        for turn in range(1, TURNS + 1):
+            if not again.isEmpty():
+                links = stable(links.union(_verified(stable(_stars(again, turn)), classes, docs)))
+                roots = components(links)
+                again = _open_lists(lists, roots)
+        # a value heads a list of its own in each of the two indexes
+        rest = _open_lists(rest.drop("root").withColumn("value", F.xxhash64("value", F.lit(1))).unionByName(again.drop("root")), roots)
+    if not rest.isEmpty():
+        more = _verified(stable(_across(rest, classes)), classes, docs)
+        if not more.isEmpty():
+            roots = components(links.union(more))
+    ids = stable(classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "rep", F.coalesce("root", "cid").alias("root")))
+    least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = attach(ids, least, "root").select("key", "component_id")
+    out = attach(rows.select("doc_id", "n", "key"), named, "key")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -87,11 +87,11 @@ def kd_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
                 moved = F.when(right, F.lit(made)).otherwise(moved)
                 after[i], after[made] = k // 2, k - k // 2
                 made += 1
-        tree = stable(tree.withColumn("node", moved)) if "node" not in tree.columns else stable(tree.withColumn("node", moved))
+        tree = stable(tree.withColumn("node", moved))
         node, open_nodes = F.col("node"), after
     ids = {i: s for s, i in enumerate(sorted(open_nodes))}
     shard = F.lit(0)
     for i, s in ids.items():
         shard = F.when(node == i, F.lit(s)).otherwise(shard)
-    placed = attach(rows, tree.select("tkey", "n", shard.cast("int").alias("shard")), "tkey", "n", "doc_id")
+    placed = attach(rows, tree.select("tkey", shard.cast("int").alias("shard")), "tkey")
     return numbered(placed, ["shard"], ["doc_id", "tkey"], "slot", ends["n"], shards).select("doc_id", "size", "text_crc32", "shard", "slot")
