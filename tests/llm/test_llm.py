@@ -103,6 +103,27 @@ def test_near_dedup(spark, rows, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_block_pairs_lose_no_link():
+    """Two blocks of sets within a sketch: every pair at the similarity, across components, is found once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.choice(1 << 30, 120, replace=False)
+    sets = [set(rng.choice(base, rng.integers(80, 120), replace=False).tolist()) for _ in range(60)]
+    block, root = [i % 2 for i in range(60)], [i // 3 for i in range(60)]
+    found = []
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        at = [i for i in range(60) if block[i] in (x, y)]
+        table = pa.table({"cid": pa.array(at, pa.int64()), "n": pa.array([len(sets[i]) for i in at], pa.int64()), "root": pa.array([root[i] for i in at], pa.int64()),
+                          "block": pa.array([block[i] for i in at], pa.int32()), "sketch": pa.array([sorted(sets[i]) for i in at], pa.list_(pa.int32()))})
+        out = near_dedup._block_pairs((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
+        found += [tuple(sorted((r["a"], r["b"]))) for r in out]
+    linked = {(i, j) for i in range(60) for j in range(i) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) and root[i] != root[j]}
+    assert linked and len(found) == len(set(found))
+    assert {(j, i) for i, j in linked} <= set(found)
+
+
 def test_near_dedup_long_lists(spark):
     """A large group of near copies and a passage that most texts share, so lists are long and stay open."""
     rng = random.Random(8)

@@ -24,8 +24,8 @@ LONG_K, LONG_SHARED = 256, 159
 LEAST_ESTIMATE = 0.45
 #: Members of a list that is compared pair by pair at once.
 SHORT = 32
-#: Members of a block of a longer list.
-BLOCK = 256
+#: Members of a block of a longer list, and values that are counted at once within one.
+BLOCK, COLUMNS = 1024, 1024
 #: Members in turn that stand for a long list before it is compared pair by pair.
 TURNS = 2
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -171,14 +171,61 @@ def _alike(a: str, b: str, na: str, nb: str):
 
 
 def _across(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a list's members that are in different components and alike by sketches, by blocks of BLOCK members."""
-    own = lists.join(classes.select("cid", "sketch"), "cid").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    side = own.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = side.select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("block").alias("x"), every.alias("y"))
-    right = side.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("block").alias("y"), every.alias("x"))
+    """Pairs of a short list's members that are in different components and alike by sketches."""
+    own = lists.join(classes.select("cid", "sketch"), "cid")
+    left = own.select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    right = own.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     sized = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
-    return _pairs(left.join(right, ["value", "x", "y"]).filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & sized & _alike("sa", "sb", "na", "nb")))
+    return _pairs(left.join(right, "value").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & sized & _alike("sa", "sb", "na", "nb")))
+
+
+def _least_shared(n: np.ndarray, k: int, shared: int) -> np.ndarray:
+    """Values that sketches of k values share at least if a set of n is linked, as in _lists()."""
+    three_quarters = -(-n * NUM // DEN)
+    return np.where(n * DEN <= k * NUM, three_quarters, np.minimum(three_quarters, shared))
+
+
+def _block_pairs(key: tuple, block: pa.Table) -> pa.Table:
+    """Pairs of two blocks' members (of one block, if x = y) whose larger sketches share enough values.
+
+    Values are cut to 32 bits: rarely two become equal, so one value more than
+    is counted may be shared.
+    """
+    cid, n, root, at = (block.column(c).to_numpy() for c in ("cid", "n", "root", "block"))
+    lists = block.column("sketch").combine_chunks()
+    member = np.repeat(np.arange(len(cid)), lists.value_lengths().to_numpy())
+    _, value, uses = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    place = np.cumsum(uses > 1) - 1
+    common = uses[value] > 1
+    member, value = member[common], place[value[common]]
+    order = np.argsort(value, kind="stable")
+    member, value = member[order], value[order]
+    x, y = np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py())
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        here = slice(*np.searchsorted(value, (lo, lo + COLUMNS)))
+        has = np.zeros((len(cid), COLUMNS), np.float32)
+        has[member[here], value[here] - lo] = 1
+        shared += has[x] @ has[y].T
+    shared += 1
+    nx, ny = n[x][:, None], n[y][None, :]
+    least, most = np.minimum(nx, ny), np.maximum(nx, ny)
+    needed = np.maximum(_least_shared(nx, LONG_K, LONG_SHARED), _least_shared(ny, LONG_K, LONG_SHARED))
+    whole = (most > LONG_K) | (shared * DEN >= NUM * (nx + ny - shared))
+    fit = (least * DEN >= most * NUM) & (shared >= needed) & whole & (root[x][:, None] != root[y][None, :])
+    if key[1] == key[2]:
+        fit &= cid[x][:, None] < cid[y][None, :]
+    i, j = np.nonzero(fit)
+    return pa.table({"a": cid[x][i], "b": cid[y][j], "na": n[x][i], "nb": n[y][j]})
+
+
+def _blocks(lists: DataFrame, larger: DataFrame) -> DataFrame:
+    """Pairs of a long list's members that are in different components and alike by larger sketches, by two blocks of BLOCK members at a time."""
+    own = lists.join(larger.select("cid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "cid")
+    own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cid", "n", "root", "block", "sketch")
+    return _pairs(met.groupBy("value", "x", "y").applyInArrow(_block_pairs, "a long, b long, na long, nb long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -191,9 +238,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are built from the links; only lists that still hold several components are
     looked at again. The texts of long ones meet once more by larger sketches,
     whose lists are far shorter, with TURNS members in turn. What is then left is
-    compared pair by pair across components, by sketches and in blocks. So copies aren't
-    expanded into pairs, and each pair that shares a value of its prefix is
-    verified on the full sets or already connected. Null texts and those without words have n_shingles 0, and are
+    compared pair by pair across components, by sketches: short lists in a join,
+    long ones by counting the values that two blocks of members share. So copies
+    aren't expanded into pairs, and each pair that shares a value of its prefix
+    is turned down by its sketches, verified on the full sets or already
+    connected. Null texts and those without words have n_shingles 0, and are
     linked with nothing. Rows that repeat an id stand for their own texts. An
     empty table gives no rows; other columns are ignored.
     """
@@ -216,8 +265,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 links = stable(links.union(_verified(stable(_stars(again, turn)), classes, docs)))
                 roots = components(links)
                 again = _open_lists(lists, roots)
+        wide = again.filter(F.col("m") > SHORT)
+        if not wide.isEmpty():
+            links = stable(links.union(_verified(stable(_blocks(wide, larger)), classes, docs)))
+            roots = components(links)
         # a value heads a list of its own in each of the two indexes
-        rest = _open_lists(rest.drop("root").withColumn("value", F.xxhash64("value", F.lit(1))).unionByName(again.drop("root")), roots)
+        again = again.filter(F.col("m") <= SHORT).drop("root")
+        rest = _open_lists(rest.drop("root").withColumn("value", F.xxhash64("value", F.lit(1))).unionByName(again), roots)
     if not rest.isEmpty():
         more = _verified(stable(_across(rest, classes)), classes, docs)
         if not more.isEmpty():
