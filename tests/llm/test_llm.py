@@ -113,13 +113,24 @@ def test_block_pairs_lose_no_link():
     sets = [set(rng.choice(base, rng.integers(80, 120), replace=False).tolist()) for _ in range(60)]
     block, root = [i % 2 for i in range(60)], [i // 3 for i in range(60)]
     found = []
+
+    def joined(edges):
+        groups = {r: {r} for r in root}
+        for p, q in map(tuple, edges):
+            both = groups[p] | groups[q]
+            groups.update(dict.fromkeys(both, both))
+        return {frozenset(g) for g in groups.values()}
+
+    linked = {(i, j) for i in range(60) for j in range(i) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) and root[i] != root[j]}
     for x, y in ((0, 0), (0, 1), (1, 1)):
         at = [i for i in range(60) if block[i] in (x, y)]
         table = pa.table({"cid": pa.array(at, pa.int64()), "n": pa.array([len(sets[i]) for i in at], pa.int64()), "root": pa.array([root[i] for i in at], pa.int64()),
                           "block": pa.array([block[i] for i in at], pa.int32()), "sketch": pa.array([sorted(sets[i]) for i in at], pa.list_(pa.int32()))})
         out = near_dedup._block_pairs((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
         found += [tuple(sorted((r["a"], r["b"]))) for r in out]
-    linked = {(i, j) for i in range(60) for j in range(i) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) and root[i] != root[j]}
+        few = near_dedup._block_forest((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
+        true = {frozenset((root[i], root[j])) for i, j in linked if sorted((block[i], block[j])) == [x, y]}
+        assert joined(frozenset((root[r["a"]], root[r["b"]])) for r in few) == joined(true) and len(few) < 20
     assert linked and len(found) == len(set(found))
     assert {(j, i) for i, j in linked} <= set(found)
 

@@ -20,6 +20,8 @@ WORDS, NUM, DEN = 5, 3, 4
 K, SHARED = 64, 32
 #: The same for texts that meet in long lists: 192 of 256 on average, under 159 with probability 2e-6.
 LONG_K, LONG_SHARED = 256, 159
+#: Shared values of LONG_K from which two texts are so alike that one such pair may stand for others of its group.
+STRONG = 200
 #: Union-sketch estimates of K values under this are turned down: 5.5 standard deviations under 0.75.
 LEAST_ESTIMATE = 0.45
 #: Members of a list that is compared pair by pair at once.
@@ -185,11 +187,31 @@ def _least_shared(n: np.ndarray, k: int, shared: int) -> np.ndarray:
     return np.where(n * DEN <= k * NUM, three_quarters, np.minimum(three_quarters, shared))
 
 
-def _block_pairs(key: tuple, block: pa.Table) -> pa.Table:
+def _forest(near: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Pairs of places that connect the components (by root) of the graph `near` as all its pairs do, fewer than there are roots."""
+    fresh, pairs = np.ones(len(root), bool), []
+    for start in range(len(root)):
+        if not fresh[start]:
+            continue
+        reached = np.flatnonzero(root == root[start]).tolist()
+        fresh[reached] = False
+        while reached:
+            u = reached.pop()
+            for v in np.flatnonzero(near[u] & fresh):
+                if fresh[v]:
+                    pairs.append((u, v))
+                    same = np.flatnonzero(root == root[v])
+                    fresh[same] = False
+                    reached.extend(same.tolist())
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def _block_pairs(key: tuple, block: pa.Table, forest: bool = False) -> pa.Table:
     """Pairs of two blocks' members (of one block, if x = y) whose larger sketches share enough values.
 
     Values are cut to 32 bits: rarely two become equal, so one value more than
-    is counted may be shared.
+    is counted may be shared. With forest, only pairs that connect all members
+    that whole sets or STRONG shared values show to be alike.
     """
     cid, n, root, at = (block.column(c).to_numpy() for c in ("cid", "n", "root", "block"))
     lists = block.column("sketch").combine_chunks()
@@ -207,25 +229,38 @@ def _block_pairs(key: tuple, block: pa.Table) -> pa.Table:
         has = np.zeros((len(cid), COLUMNS), np.float32)
         has[member[here], value[here] - lo] = 1
         shared += has[x] @ has[y].T
-    shared += 1
+    if not forest:
+        shared += 1
     nx, ny = n[x][:, None], n[y][None, :]
     least, most = np.minimum(nx, ny), np.maximum(nx, ny)
     needed = np.maximum(_least_shared(nx, LONG_K, LONG_SHARED), _least_shared(ny, LONG_K, LONG_SHARED))
     whole = (most > LONG_K) | (shared * DEN >= NUM * (nx + ny - shared))
     fit = (least * DEN >= most * NUM) & (shared >= needed) & whole & (root[x][:, None] != root[y][None, :])
+    if forest:
+        fit &= (most <= LONG_K) | (shared >= STRONG)
+        near = np.zeros((len(cid), len(cid)), bool)
+        near[np.ix_(x, y)] = fit
+        near |= near.T
+        u, v = _forest(near, root).T
+        u, v = np.where(cid[u] < cid[v], u, v), np.where(cid[u] < cid[v], v, u)
+        return pa.table({"a": cid[u], "b": cid[v], "na": n[u], "nb": n[v]})
     if key[1] == key[2]:
         fit &= cid[x][:, None] < cid[y][None, :]
     i, j = np.nonzero(fit)
     return pa.table({"a": cid[x][i], "b": cid[y][j], "na": n[x][i], "nb": n[y][j]})
 
 
-def _blocks(lists: DataFrame, larger: DataFrame) -> DataFrame:
+def _block_forest(key: tuple, block: pa.Table) -> pa.Table:
+    return _block_pairs(key, block, forest=True)
+
+
+def _blocks(lists: DataFrame, larger: DataFrame, pairs=_block_pairs) -> DataFrame:
     """Pairs of a long list's members that are in different components and alike by larger sketches, by two blocks of BLOCK members at a time."""
     own = lists.join(larger.select("cid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "cid")
     own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cid", "n", "root", "block", "sketch")
-    return _pairs(met.groupBy("value", "x", "y").applyInArrow(_block_pairs, "a long, b long, na long, nb long"))
+    return _pairs(met.groupBy("value", "x", "y").applyInArrow(pairs, "a long, b long, na long, nb long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,7 +274,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     looked at again. The texts of long ones meet once more by larger sketches,
     whose lists are far shorter, with TURNS members in turn. What is then left is
     compared pair by pair across components, by sketches: short lists in a join,
-    long ones by counting the values that two blocks of members share. So copies
+    long ones by counting the values that two blocks of members share, first for
+    the pairs that connect what is surely alike, then for all others. So copies
     aren't expanded into pairs, and each pair that shares a value of its prefix
     is turned down by its sketches, verified on the full sets or already
     connected. Null texts and those without words have n_shingles 0, and are
@@ -266,9 +302,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 roots = components(links)
                 again = _open_lists(lists, roots)
         wide = again.filter(F.col("m") > SHORT)
-        if not wide.isEmpty():
-            links = stable(links.union(_verified(stable(_blocks(wide, larger)), classes, docs)))
-            roots = components(links)
+        # groups of texts that are surely alike become one component; then every pair across components is looked at
+        for pairs in (_block_forest, _block_pairs):
+            if not wide.isEmpty():
+                more = _verified(stable(_blocks(wide, larger, pairs)), classes, docs)
+                if not more.isEmpty():
+                    links = stable(links.union(more))
+                    roots = components(links)
+                    wide = _open_lists(wide.drop("root"), roots)
         # a value heads a list of its own in each of the two indexes
         again = again.filter(F.col("m") <= SHORT).drop("root")
         rest = _open_lists(rest.drop("root").withColumn("value", F.xxhash64("value", F.lit(1))).unionByName(again), roots)
