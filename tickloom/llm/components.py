@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stable
+from .common import lookup, stable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,18 +13,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every id takes the smallest root among its own and its
     neighbours', then its root's root, until no root changes. Tables stay
-    distributed and are checkpointed each round. No links give no rows.
+    distributed and are written each round; roots are broadcast while a count
+    shows few enough, and joined by shuffles beyond that. No links give no rows.
     """
     both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
     both = stable(both.select(F.col("e.a").alias("to"), F.col("e.b").alias("id")).filter("id <> to").distinct())
     roots = both.groupBy("to").agg(F.least(F.min("id"), F.first("to")).alias("root")).withColumnRenamed("to", "id")
     roots = stable(roots)
     while True:
-        heard = attach(both, roots, "id").select(F.col("to").alias("id"), "root", F.lit(None).cast("long").alias("old"))
+        heard = lookup(both, roots, "id").select(F.col("to").alias("id"), "root", F.lit(None).cast("long").alias("old"))
         least = heard.union(roots.select("id", "root", F.col("root").alias("old"))).groupBy("id").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         least = stable(least)
         hop = least.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        after = stable(attach(least, hop, "root").select("id", F.coalesce("next", "root").alias("root"), "old"))
+        after = stable(lookup(least, hop, "root").select("id", F.coalesce("next", "root").alias("root"), "old"))
         if after.filter("root <> old").isEmpty():
             return after.select("id", "root")
         roots = after.select("id", "root")

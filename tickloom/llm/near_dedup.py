@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, stable
+from .common import BROADCAST_ROWS, attach, lookup, stable
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4
@@ -159,9 +159,9 @@ def _stars(lists: DataFrame, turn: int = 0) -> DataFrame:
 
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their component, of the lists that still hold two components or more."""
-    members = attach(lists, roots.withColumnRenamed("id", "cid"), "cid").withColumn("root", F.coalesce("root", "cid"))
-    mixed = members.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return stable(attach(members, mixed.select("value", "lo"), "value").filter("lo is not null").drop("lo"))
+    members = stable(lookup(lists, roots.withColumnRenamed("id", "cid"), "cid").withColumn("root", F.coalesce("root", "cid")))
+    mixed = stable(members.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value", "lo"))
+    return stable(lookup(members, mixed, "value").filter("lo is not null").drop("lo"))
 
 
 def _alike(a: str, b: str, na: str, nb: str):
