@@ -195,3 +195,21 @@ def test_marks_are_frozen_during_a_run(spark):
     marks = spark.createDataFrame([("s", "1", T)], "source string, mark_id string, mark_at timestamp_ntz")
     assert {r.external_id: r.late for r in jobs.late_items(items, marks).collect()} == {"1": True, "2": False, "3": False, "0": True}
     assert jobs.advance_marks(marks, items).first().mark_id == "2"
+
+
+def test_extract_articles(spark):
+    from tickloom.sources.feeds import extract_articles
+
+    html = '<html><title>T</title><script>var x="<p>";</script><body><time datetime="2024-01-02">x</time><h1>Head</h1><article><p>a <b>b</b></p></article></body></html>'
+    got = extract_articles(spark.createDataFrame([(1, html), (2, None), (3, "<title>only")], "page_id long, html string")).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, "Head", "2024-01-02", "a b"), (2, "", None, ""), (3, "only", None, "only")]
+
+
+def test_selector_model_needs_rows_and_a_varied_label(spark):
+    from tickloom.operators.selectors import fit_selector_model
+
+    rows = spark.range(60).selectExpr("cast('2024-01-01' as timestamp_ntz) + make_interval(0,0,0,0,id) as ts", "'a' as selector", "cast(id % 2 as double) as x0", "cast(id % 2 as double) as label")
+    model = fit_selector_model(rows, ["x0"])
+    assert all(abs(r.prediction - r.label) < 0.05 for r in model.transform(rows).collect())
+    assert fit_selector_model(rows.limit(47), ["x0"]) is None
+    assert fit_selector_model(rows.withColumn("label", rows.x0 * 0), ["x0"]) is None

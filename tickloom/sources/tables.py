@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def read_block_lines(lines: DataFrame, block: str) -> DataFrame:
+    """Cells (block, row, name, value) of that block in lines (value), one JSON document each; block numbers the documents."""
+    kind = "map<string, struct<columns: array<string>, data: array<array<string>>>>"
+    blocks = lines.select(F.from_json("value", kind)[block].alias("b"), F.monotonically_increasing_id().alias("block")).filter("b is not null")
+    rows = blocks.select("block", "b.columns", F.posexplode("b.data").alias("row", "cells"))
+    return rows.select("block", "row", F.inline(F.arrays_zip(F.col("columns").alias("name"), F.col("cells").alias("value"))))
+
+
 def read_block_json(spark: SparkSession, path: str, block: str) -> DataFrame:
     """Rows of {block: {columns: [...], data: [[...]]}} as (row, column, value); a missing block gives none."""
     kind = "map<string, struct<columns: array<string>, data: array<array<string>>>>"
