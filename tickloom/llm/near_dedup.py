@@ -206,7 +206,7 @@ def _forest(near: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
-def _block_pairs(key: tuple, block: pa.Table, forest: bool = False) -> pa.Table:
+def _compared(key: tuple, block: pa.Table, forest: bool) -> pa.Table:
     """Pairs of two blocks' members (of one block, if x = y) whose larger sketches share enough values.
 
     Values are cut to 32 bits: rarely two become equal, so one value more than
@@ -250,8 +250,12 @@ def _block_pairs(key: tuple, block: pa.Table, forest: bool = False) -> pa.Table:
     return pa.table({"a": cid[x][i], "b": cid[y][j], "na": n[x][i], "nb": n[y][j]})
 
 
+def _block_pairs(key: tuple, block: pa.Table) -> pa.Table:
+    return _compared(key, block, False)
+
+
 def _block_forest(key: tuple, block: pa.Table) -> pa.Table:
-    return _block_pairs(key, block, forest=True)
+    return _compared(key, block, True)
 
 
 def _blocks(lists: DataFrame, larger: DataFrame, pairs=_block_pairs) -> DataFrame:
