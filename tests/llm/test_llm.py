@@ -357,3 +357,13 @@ def test_numbered_is_gapless(spark):
     x = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("k"))
     out = common.numbered(x, ["k"], ["doc_id"], "slot", 5000, 3).groupBy("k").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("n")).collect()
     assert all(r.a == 0 and r.b == r.n - 1 for r in out)
+
+
+def test_blocks_run_on_spark(spark):
+    same, other = list(range(0, 300 << 32, 1 << 32)), list(range(1 << 50, (1 << 50) + (300 << 32), 1 << 32))
+    members = [(0, same), (1, same), (2, other), (3, other)]
+    lists = spark.createDataFrame([(9, c, 300, 4, c) for c, _ in members], "value long, cid long, n long, m long, root long")
+    larger = spark.createDataFrame([(c, 300, v[:256]) for c, v in members], "cid long, n long, sketch array<long>")
+    for pairs in (near_dedup._block_pairs, near_dedup._block_forest):
+        got = near_dedup._blocks(lists, larger, pairs).select("a", "b").collect()
+        assert sorted(map(tuple, got)) == [(0, 1), (2, 3)]
