@@ -213,3 +213,39 @@ def test_selector_model_needs_rows_and_a_varied_label(spark):
     assert all(abs(r.prediction - r.label) < 0.05 for r in model.transform(rows).collect())
     assert fit_selector_model(rows.limit(47), ["x0"]) is None
     assert fit_selector_model(rows.withColumn("label", rows.x0 * 0), ["x0"]) is None
+
+
+def test_all_lines_of_an_order_become_candidates(spark):
+    """o1, w16, o3 and o4 against a loop over every line of lineitem, up to seven tickers an order."""
+    import math
+
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    cand = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").collect():
+        price = r.l_extendedprice / r.l_quantity / 10
+        weight = (-1.0 if r.l_returnflag == "R" else 1.0) * r.l_quantity / 100
+        if price > 0:
+            raw = 100000.0 * weight / price
+            target = int(math.copysign(math.floor(abs(raw) / 10), raw))
+            held = r.l_partkey % 40 if r.l_linenumber == 1 else 0
+            if target != held and abs(target - held) * 10 * price >= 100:
+                cand.setdefault(r.l_orderkey, []).append((target > held, -abs(weight), str(r.l_linenumber), abs(target - held), 10 * price, abs(target) > abs(held)))
+    want = {n: [] for n in ("o1_order_candidates", "w16_order_priority", "o3_liquidity_cap", "o4_cash_cap")}
+    for key, lines in cand.items():
+        left = 60000.0
+        for place, (buy, _, ticker, q, value, adds) in enumerate(sorted(lines), 1):
+            want["o1_order_candidates"].append((key, ticker, q))
+            want["w16_order_priority"].append((key, ticker, place))
+            room = key % 40 if key % 3 == 0 else math.floor(20000 / value) if key % 2 == 0 and adds else q
+            want["o3_liquidity_cap"].append((key, ticker, min(q, room)))
+            if buy:
+                q = min(q, int(left // value))
+                left = max(left - q * value, 0)
+            if q > 0 and q * value >= 100:
+                want["o4_cash_cap"].append((key, ticker, q))
+    assert {t for _, t, _ in want["w16_order_priority"]} == set("1234567")
+    for name, last in (("o1_order_candidates", "requested"), ("w16_order_priority", "priority"), ("o3_liquidity_cap", "allowed"), ("o4_cash_cap", "quantity")):
+        got = entry.queries()[name](spark, data).select("as_of", "ticker", last).collect()
+        assert sorted(map(tuple, got)) == sorted(want[name])

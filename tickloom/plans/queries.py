@@ -590,7 +590,7 @@ def _(s, d):
 
 
 def _orders(s, d):
-    line = table(s, d, "lineitem").filter("l_linenumber <= 3")
+    line = table(s, d, "lineitem")
     held = F.when(F.col("l_linenumber") == 1, F.col("l_partkey") % 40).otherwise(0)
     sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
     x = line.select(F.col("l_orderkey").alias("as_of"), F.col("l_linenumber").cast("string").alias("ticker"), held.cast("long").alias("lots"), (sign * F.col("l_quantity") / 100).alias("target_weight"), (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("price"), F.lit(10).alias("lot_size"), F.lit(100000.0).alias("equity"))
