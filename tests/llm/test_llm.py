@@ -257,6 +257,30 @@ def test_disguises_map_back(text, found):
     assert [text[a:b] for _, a, b in every] == [found] and not [x for x in base if x not in every]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("at 192 dot 168 dot 1 dot 17 now", "ip", "192 dot 168 dot 1 dot 17"),
+        ("host one nine two dot one six eight dot one dot one seven up", "ip", "one nine two dot one six eight dot one dot one seven"),
+        ("host 192 [dot] one six eight dot 1 (dot) seven up", "ip", "192 [dot] one six eight dot 1 (dot) seven"),
+        ("mail joe@foo dot com ok", "email", "joe@foo dot com"),
+        ("mail joe at foo.com ok", "email", "joe at foo.com"),
+        ("mail joe dot doe at foo dot ch ok", "email", "joe dot doe at foo dot ch"),
+        ("mail joe [at] foo dot nl ok", "email", "joe [at] foo dot nl"),
+        ("mail j\u043ee \u0430t f\u043eo d\u043et pl ok", "email", "j\u043ee \u0430t f\u043eo d\u043et pl"),
+        ("call pl\u200bus \u043ene two one two five five five one two thr\u0435e four ok", "phone", "pl\u200bus \u043ene two one two five five five one two thr\u0435e four"),
+    ],
+)
+def test_disguises_on_top_of_each_other_map_back(text, kind, found):
+    base, every = pii.find(text)
+    assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in every] == [(kind, found)]
+
+
+def test_places_are_no_addresses():
+    for t in ("more at www.foo.com now", "it ended at noon.It was late", "one. two. three. four.", "one dot two dot three", ". at foo.com", " at foo dot com"):
+        assert pii.find(t) == ([], [])
+
+
 def test_plain_prose_has_no_disguise():
     for t in ("meet at noon on the dot and go", "look at the dot there", "one two three go", "five (5) at [home]"):
         assert pii.find(t) == ([], [])

@@ -37,9 +37,20 @@ _SPELLED = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _RUN = re.compile(rf"(?i)(?<![a-z])(?:plus[\s-]+)?{_SPELLED}(?:[\s,-]+{_SPELLED}){{3,}}(?![a-z])")
 _WORD = re.compile(r"[a-z]+", re.I)
 _BRACKET = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
-# Last labels of a domain that is written in plain words.
-_LAST = "(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|eu|example)"
-_PLAIN = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]+(?:(?:\.| dot )[a-z0-9_%+-]+)* at [a-z0-9-]+(?:(?:\.| dot )[a-z0-9-]+)*? dot {_LAST}(?: dot {_LAST})?(?![a-z0-9-])")
+_OCTET = rf"(?:[0-9]+|{_SPELLED}(?:[\s,-]+{_SPELLED}){{0,2}})"
+_QUAD = re.compile(rf"(?i)(?<![a-z0-9.]){_OCTET}(?:(?:\.|[\s,-]+dot[\s,-]+){_OCTET}){{3}}(?![a-z0-9])")
+_PART = re.compile(r"(?i)[\s,-]*(?:([a-z]+)|[0-9]+|\.)")
+# Last labels of a domain where only its "at" is a word, as in "joe at foo.com".
+_LAST = frozenset(
+    "com org net edu gov mil int info biz io co name pro dev app online site xyz example test ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz "
+    "ca cc cd cf cg ch ci ck cl cm cn cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py "
+    "qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+_HOST = re.compile(r"(?i)( at |@)([a-z0-9-]+(?:(?:\.| dot )[a-z0-9-]+)*(?:\.| dot )([a-z]{2,}))(?![a-z0-9-])")
+# Before these words' "dot" a domain is meant only with a known last label: "look at the dot there".
+_DETERMINED = re.compile(r"(?:^|[. ])(?:the|a|an|this|that|each|every|one|no|any|some|my|your|his|her|its|our|their) dot ")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+-")
 _JOINT = re.compile(r"(?i) (at|dot) ")
 
 
@@ -69,42 +80,111 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return [(k, m.start(), m.end()) for k, kind in enumerate(KINDS) if on[k] for m in PATTERNS[kind].finditer(text) if _valid(kind, m.group())]
 
 
-def _edits(text: str, low: str) -> list[tuple[int, int, str]]:
-    """Replacements (start, end, by) of the transducers, each over the text as it is; the first of overlapping ones counts."""
-    found: list[tuple[int, int, str]] = []
-    if " dot " in low and " at " in low:
-        for m in _PLAIN.finditer(text):
-            found += [(m.start() + j.start(), m.start() + j.end(), "@" if j[1].lower() == "at" else ".") for j in _JOINT.finditer(m.group())]
+Edits = list[tuple[int, int, str]]
+
+
+def _odd(text: str, low: str) -> Edits:
+    """Look-alike and invisible characters."""
+    return [] if text.isascii() else [(m.start(), m.end(), LOOKALIKES.get(m.group(), "")) for m in _ODD.finditer(text)]
+
+
+def _brackets(text: str, low: str) -> Edits:
+    """at and dot in brackets."""
     if any(f"{o}{w}{c}" in low for w in ("at", "dot") for o, c in ("[]", "()", "{}", "<>")) or re.search(r"[\[({<]\s+(?:at|dot)\b|\b(?:at|dot)\s+[\])}>]", low):
-        found += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKET.finditer(text)]
+        return [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKET.finditer(text)]
+    return []
+
+
+def _quads(text: str, low: str) -> Edits:
+    """The four numbers of an ip in digits or digit words, joined by dots or the word dot."""
+    found: Edits = []
+    if "dot" in low or any(f"{w}." in low for w in DIGIT_WORDS):
+        for m in _QUAD.finditer(text):
+            for x in _PART.finditer(text, m.start(), m.end()):
+                if x[1]:
+                    found.append((x.start(), x.end(), "." if x[1].lower() == "dot" else DIGIT_WORDS[x[1].lower()]))
+                elif not x[0][0].isdigit() and x[0] != ".":
+                    # the white space between the word dot and digits
+                    found.append((x.start(), x.end(), x[0].lstrip(" ,-\t\n\r\f\v")))
+    return found
+
+
+def _runs(text: str, low: str) -> Edits:
+    """Runs of four or more digit words."""
+    found: Edits = []
     if sum(map(low.count, DIGIT_WORDS)) >= 4:
         for m in _RUN.finditer(text):
             words = [(m.start() + w.start(), m.start() + w.end(), w.group().lower()) for w in _WORD.finditer(m.group())]
             for i, (a, _, w) in enumerate(words):
                 found.append((a, words[i + 1][0] if i + 1 < len(words) else m.end(), DIGIT_WORDS.get(w, "+")))
-    if not text.isascii():
-        found += [(m.start(), m.end(), LOOKALIKES.get(m.group(), "")) for m in _ODD.finditer(text)]
-    return sorted(found)
+    return found
+
+
+def _local_start(text: str, end: int) -> int:
+    """Where the local part that ends at `end` starts; its parts are joined by dots or the word dot."""
+    at = end
+    while True:
+        start = at
+        while at and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == start:
+            return min(at + 5 if text[at : at + 5].lower() == " dot " else at + 1, end) if at < end else end
+        if at and text[at - 1] == ".":
+            at -= 1
+        elif text[max(at - 5, 0) : at].lower() == " dot ":
+            at -= 5
+        else:
+            return at
+
+
+def _plain(text: str, low: str) -> Edits:
+    """at and dot as plain words, both or one of them."""
+    found: Edits = []
+    if " at " not in low and not ("@" in text and " dot " in low):
+        return found
+    for m in _HOST.finditer(text):
+        worded, host, last = m[1] != "@", m[2].lower(), m[3]
+        known = last.lower() in _LAST
+        if " dot " not in host and not (worded and known and (last.islower() or last.isupper()) and not host.startswith("www.")):
+            continue
+        if not known and _DETERMINED.search(host):
+            continue
+        start = _local_start(text, m.start())
+        if start < m.start():
+            found += [(j.start(), j.end(), "@" if j[1].lower() == "at" else ".") for j in _JOINT.finditer(text, start, m.end())]
+    return found
 
 
-def deobfuscated(text: str) -> tuple[str, list[int], list[int]] | None:
-    """The normalised text, and for each of its characters the source's start and end; None if nothing is to do."""
-    edits = _edits(text, text.lower())
-    if not edits:
-        return None
-    out, starts, ends, at = [], [], [], 0
-    for a, b, by in [*edits, (len(text), len(text), "")]:
+#: Each over the output of the one before.
+TRANSDUCERS = (_odd, _brackets, _quads, _runs, _plain)
+
+
+def _applied(text: str, starts: list[int] | range, ends: list[int] | range, edits: Edits) -> tuple[str, list[int], list[int]]:
+    """text with edits made, and the maps of its characters to the source carried along; the first of overlapping edits counts."""
+    out, s, e, at = [], [], [], 0
+    for a, b, by in [*sorted(edits), (len(text), len(text), "")]:
         if a < at:
             continue
         out.append(text[at:a])
-        starts.extend(range(at, a))
-        ends.extend(range(at + 1, a + 1))
-        out.append(by)
-        starts.extend([a] * len(by))
-        # white space behind the last word of a run isn't part of it
-        ends.extend([a + len(text[a:b].rstrip(" ,-\n\t"))] * len(by))
+        s.extend(starts[at:a])
+        e.extend(ends[at:a])
+        if by:
+            out.append(by)
+            s.extend([starts[a]] * len(by))
+            # white space behind the last word of a run isn't part of it
+            e.extend([ends[a + max(len(text[a:b].rstrip(" ,-\n\t")), 1) - 1]] * len(by))
         at = b
-    return "".join(out), starts, ends
+    return "".join(out), s, e
+
+
+def deobfuscated(text: str) -> tuple[str, list[int], list[int]] | None:
+    """The normalised text, and for each of its characters the source's start and end; None if nothing is to do."""
+    now, starts, ends, low = text, range(len(text)), range(1, len(text) + 1), text.lower()
+    for transducer in TRANSDUCERS:
+        if edits := transducer(now, low):
+            now, starts, ends = _applied(now, starts, ends, edits)
+            low = now.lower()
+    return None if isinstance(starts, range) else (now, starts, ends)
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -144,9 +224,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Spans are of code points of the whole text, end exclusive. n_ columns and
     base_sha256 are of the base patterns over the text as it is; spans holds
-    those and what the transducers bring to light: look-alike and invisible
-    characters, digits as words (runs of four or more), and at/dot in brackets
-    or between words. A disguised span is left out where a base span of its kind
+    those and what the transducers, each over the output of the one before,
+    bring to light: look-alike and invisible characters, at/dot in brackets, ips
+    with dots or digits as words, digits as words (runs of four or more), and
+    at/dot between words. Any last label of two or more letters will do where
+    the host has a dot as a word, other than after a determiner ("at the dot
+    there"); there, and where only its "at" is a word ("joe at foo.com"), the
+    label must be a known one, and in the latter the host not start with www. A
+    disguised span is left out where a base span of its kind
     overlaps it. Null texts are empty, with no spans (''). Ids may repeat or be
     null. An empty table gives no rows; other columns are ignored.
     """
