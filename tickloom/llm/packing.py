@@ -169,8 +169,9 @@ def solve_patterns(histogram: dict[int, int], limit: int = 1024, iterations: int
     The configuration program min sum(x) with each length covered is solved by
     multiplicative weights: each step prices a pattern by the knapsack DP under
     the current weights, raises x for it, and lowers the weights of the lengths
-    that it covers. The solution is scaled to cover, rounded down without taking
-    more pieces than there are, and the rest is packed best fit, longest first.
+    that it covers. The solution is scaled so that no length is over-covered and
+    rounded down; its patterns that are at least 99.5 % full are taken, and the
+    rest, mostly the larger part, is packed by subset sums, longest first.
     Its work depends on the number of lengths, not of pieces.
     """
     lengths = np.array(sorted(n for n in histogram if 0 < n < limit), int)
