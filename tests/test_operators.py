@@ -249,3 +249,42 @@ def test_all_lines_of_an_order_become_candidates(spark):
     for name, last in (("o1_order_candidates", "requested"), ("w16_order_priority", "priority"), ("o3_liquidity_cap", "allowed"), ("o4_cash_cap", "quantity")):
         got = entry.queries()[name](spark, data).select("as_of", "ticker", last).collect()
         assert sorted(map(tuple, got)) == sorted(want[name])
+
+
+def test_stories_chain_without_a_bound(spark):
+    """A component that chains over a hundred hours: streamed in slices against a replay that keeps everything, with a window's state and few rounds."""
+    import pandas as pd
+
+    rng = random.Random(6)
+    items = [(f"n{i:04}", f"s{rng.randrange(5)}", i * 900) for i in range(400)]
+    links = [(items[i][0], items[j][0], float(rng.choice([70, 80, 100]))) for i in range(400) for j in range(i + 1, min(i + 5, 400)) if j == i + 1 or rng.random() < 0.6]
+    near = {}
+    for a, b, score in links:
+        near.setdefault(a, []).append((b, score))
+        near.setdefault(b, []).append((a, score))
+    story, sources, start = {}, {}, {}
+    for n, source, t in items:
+        can = [(-score, start[story[o]], o) for o, score in near[n] if o in story and source not in sources[story[o]]]
+        s = story[min(can)[2]] if can else n
+        story[n] = s
+        sources.setdefault(s, set()).add(source)
+        start.setdefault(s, (t, n))
+    want = {n: s for n, s in story.items() if list(story.values()).count(s) > 1}
+    records = spark.createDataFrame(items, "news_id string, source string, t long")
+    scored = spark.createDataFrame(links, "a string, b string, score double")
+    rounds, kept = [], stories.stable
+    stories.stable = lambda df: rounds.append(1) or kept(df)
+    try:
+        assert {r.news_id: r.story_id for r in stories.assign_stories(records, scored).collect()} == want
+    finally:
+        stories.stable = kept
+    assert len(rounds) < 30
+
+    rows = pd.DataFrame([(n, s, t, "n0000", [o for o, _ in near[n]], [x for _, x in near[n]]) for n, s, t in items], columns=["news_id", "source", "t", "root", "others", "scores"])
+    replay = stories._greedy(rows[i : i + 7] for i in range(0, len(rows), 7))
+    got = pd.concat([next(replay)])
+    most = 0
+    for part in replay:
+        most = max(most, len(replay.gi_frame.f_locals["story_of"]))
+        got = pd.concat([got, part])
+    assert dict(zip(got.news_id, got.story_id)) == story and most <= 5

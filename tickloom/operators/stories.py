@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,47 +88,70 @@ def pair_scores(pairs: DataFrame, rarity: DataFrame) -> DataFrame:
 
 
 def _components(pairs: DataFrame) -> DataFrame:
-    """(news_id, root): smallest id of each component, by rounds over the links."""
+    """(news_id, root): smallest id of each component, by rounds over the links, each with a hop to the root's root."""
     links = stable(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = stable(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "news_id"))
     while True:
         heard = links.join(roots, links["b"] == roots["news_id"]).select(F.col("a").alias("news_id"), "root").union(roots)
-        new = stable(heard.groupBy("news_id").agg(F.min("root").alias("root")))
+        least = stable(heard.groupBy("news_id").agg(F.min("root").alias("root")))
+        hop = least.select(F.col("news_id").alias("root"), F.col("root").alias("next"))
+        new = stable(least.join(hop, "root").select("news_id", F.col("next").alias("root")))
         if new.exceptAll(roots).isEmpty():
             return new
         roots = new
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """In order of time, an item joins its best-scored earlier item's story if that lacks its source."""
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In order of root, time and id, an item joins its best-scored earlier item's story if that lacks its source.
+
+    Links reach no further than the window, so only items of the last window
+    and their stories (sources, start, and how many of those items) are held.
+    """
+    root, recent = None, deque()
     story_of: dict[str, str] = {}
     sources: dict[str, set] = {}
     start: dict[str, tuple] = {}
-    for r in group.sort_values(["t", "news_id"]).itertuples():
-        best = None
-        for other, score in zip(r.others, r.scores, strict=True):
-            s = story_of.get(other)
-            if s is not None and r.source not in sources[s]:
-                rank = (-score, start[s], other)
-                best = min(best, (rank, s)) if best else (rank, s)
-        s = best[1] if best else r.news_id
-        story_of[r.news_id] = s
-        sources.setdefault(s, set()).add(r.source)
-        start.setdefault(s, (r.t, r.news_id))
-    return pd.DataFrame({"news_id": list(story_of), "story_id": list(story_of.values())})
+    held: Counter = Counter()
+    for batch in batches:
+        out = []
+        for r in batch.itertuples():
+            if r.root != root:
+                root = r.root
+                for state in (recent, story_of, sources, start, held):
+                    state.clear()
+            while recent and recent[0][0] < r.t - WINDOW_SECONDS:
+                s = story_of.pop(recent.popleft()[1])
+                held[s] -= 1
+                if not held[s]:
+                    del held[s], sources[s], start[s]
+            best = None
+            for other, score in zip(r.others, r.scores, strict=True):
+                s = story_of.get(other)
+                if s is not None and r.source not in sources[s]:
+                    rank = (-score, start[s], other)
+                    best = min(best, (rank, s)) if best else (rank, s)
+            s = best[1] if best else r.news_id
+            story_of[r.news_id] = s
+            recent.append((r.t, r.news_id))
+            held[s] += 1
+            sources.setdefault(s, set()).add(r.source)
+            start.setdefault(s, (r.t, r.news_id))
+            out.append(s)
+        yield pd.DataFrame({"news_id": batch["news_id"].to_numpy(), "story_id": pd.Series(out, dtype=object)})
 
 
 def assign_stories(records: DataFrame, scored: DataFrame) -> DataFrame:
     """(news_id, story_id) of items in stories of two or more; a story's id is its first item's.
 
     A decision reads only items of its own connected component, so components
-    are replayed apart and in parallel; each holds the reports of one event.
+    are replayed in parallel. A component may chain over any time: its rows
+    stream in order of time through one task, which holds a window of them.
     """
     roots = _components(scored)
     both = scored.select(F.col("a").alias("news_id"), F.col("b").alias("o"), "score").union(scored.select(F.col("b"), F.col("a"), "score"))
     near = both.groupBy("news_id").agg(F.sort_array(F.collect_list(F.struct("o", "score"))).alias("l")).select("news_id", F.col("l.o").alias("others"), F.col("l.score").alias("scores"))
     items = records.select("news_id", "source", "t").join(roots, "news_id").join(near, "news_id")
-    out = items.groupBy("root").applyInPandas(_greedy, "news_id string, story_id string")
+    out = items.repartition("root").sortWithinPartitions("root", "t", "news_id").mapInPandas(_greedy, "news_id string, story_id string")
     return out.withColumn("n", F.count("*").over(Window.partitionBy("story_id"))).filter("n > 1").drop("n")
 
 
