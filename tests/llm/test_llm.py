@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import common, exact_dedup, language, mixing, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, textstats
-from tickloom.llm.components import components
+from tickloom.llm.components import components, joined
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, key string, size long, kept boolean"
 WORDS = "the of and with house river stone light paper cloud table green small under over again never many these those".split()
@@ -115,6 +115,7 @@ def test_block_pairs_lose_no_link():
     found = []
 
     def joined(edges):
+        """Groups of roots that the edges connect."""
         groups = {r: {r} for r in root}
         for p, q in map(tuple, edges):
             both = groups[p] | groups[q]
@@ -129,8 +130,7 @@ def test_block_pairs_lose_no_link():
         out = near_dedup._block_pairs((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
         found += [tuple(sorted((r["a"], r["b"]))) for r in out]
         few = near_dedup._block_forest((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
-        true = {frozenset((root[i], root[j])) for i, j in linked if sorted((block[i], block[j])) == [x, y]}
-        assert joined(frozenset((root[r["a"]], root[r["b"]])) for r in few) == joined(true) and len(few) < 20
+        assert joined(frozenset((root[r["a"]], root[r["b"]])) for r in few) == joined(frozenset((root[r["a"]], root[r["b"]])) for r in out) and len(few) < 20
     assert linked and len(found) == len(set(found))
     assert {(j, i) for i, j in linked} <= set(found)
 
@@ -150,6 +150,39 @@ def test_near_dedup_long_lists(spark):
     check_near(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    long, far = prose(random.Random(1), 40), prose(random.Random(2), 40)
+    x, y, alone, shout = "same words in every one of these texts", "quite another text that has its own words", "a text alone without any copies at all", "!!! ??? $$$"
+    rows = [(1, x), (2, y), (None, x), (None, y), (None, y), (None, alone), (None, alone), (3, long), (None, long + " end"), (3, far), (4, far.upper()), (4, far), (5, None), (None, None), (6, ""), (7, alone + " x y z u v w a b c d e f g h")]
+    data = spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, th long")
+    left = sorted(exact_dedup.drop_copies(data).select("doc_id", "text").collect(), key=str)
+    exact, want = {}, []
+    for i, t in rows:
+        exact.setdefault(lower(t), []).append((i, t))
+    for group in exact.values():
+        top = max((i for i, _ in group if i is not None), default=None)
+        want.append((top, lower(group[0][1])))
+    assert sorted([(i, lower(t)) for i, t in left], key=str) == sorted(want, key=str)
+    near = near_dedup.drop_near_copies(data).select("doc_id", "text", "th").collect()
+    assert sorted([(i, t) for i, t, _ in near if (t or "").strip()], key=str) == sorted([(1, x), (2, y), (None, alone), (3, long), (3, far), (7, rows[-1][1])], key=str)
+    assert sum(not (t or "").strip() for _, t, _ in near) == 3
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(100, 400)], "doc_id long, quality int")
+    taught = spark.createDataFrame([(i, prose(random.Random(i), 30) if i % 2 else shout * 20) for i in range(100, 400)] + [(None, shout * 20), (500, shout * 20), (500, prose(random.Random(0), 30)), (None, prose(random.Random(7), 30))], "doc_id long, text string")
+    kept = quality_model.drop_poor(taught, marks).collect()
+    assert all(r.text != shout * 20 for r in kept) and sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 500 for r in kept) == 1
+
+
+def check_roots(found, least):
+    """One row an id but for roots, and the same groups as `least` (id to the smallest of its component)."""
+    got = [(r.id, r.root) for r in found.collect()]
+    named = dict(got)
+    assert len(named) == len(got) and not set(named) & set(named.values())
+    groups = {}
+    for i in least:
+        groups.setdefault(named.get(i, i), set()).add(i)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(i for i in least if least[i] == x) for x in set(least.values())}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(30)] + [(7, 7)]
@@ -158,7 +191,16 @@ def test_components(spark):
         for a, b in links:
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
-    assert {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == root
+    rng.shuffle(links)
+    found = components(spark.createDataFrame(links, "a long, b long"))
+    check_roots(found, root)
+    # links between components are added to those found before
+    more = [(3, 120), (45, 46), (45, 45), (200, 201)]
+    for _ in range(60):
+        for a, b in links + more:
+            if a != b:
+                root[a] = root[b] = min(root.get(a, a), root.get(b, b))
+    check_roots(joined(found, spark.createDataFrame(more, "a long, b long")), root)
 
 
 def test_mixing(docs, rows):

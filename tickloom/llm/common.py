@@ -24,7 +24,10 @@ def stable(df: DataFrame) -> DataFrame:
     session = df.sparkSession
     sc = session.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
@@ -40,7 +43,7 @@ def unit_random(*parts: str | Column, seed: int = 0) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
     """Left join of groups (one row a key, with columns of their own) to rows, whose keys may be hot.
 
     Rebalancing leaves the groups without a partitioning by the key, so both
@@ -50,11 +53,23 @@ def attach(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return rows.join(groups.hint("rebalance"), key, "left")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join of a key table: by broadcast if a count shows at most `bound` rows, else as attach()."""
-    if table.limit(bound + 1).count() <= bound:
-        return rows.join(F.broadcast(table), key, "left")
-    return attach(rows, table, key)
+def at_most(table: DataFrame, n: int) -> int:
+    """The number of rows of table, or n if that is less."""
+    return table.limit(n).count()
+
+
+def sized(table: DataFrame, n: int, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """table, which has n rows at most, for a join: broadcast if that is within the bound, else as in attach()."""
+    return F.broadcast(table) if n <= bound else table.hint("rebalance")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of a key table: by broadcast if a count shows at most `bound` rows, else as attach().
+
+    The table is computed for the count and again for the join: where that costs
+    more than a read, pass it through stable() first.
+    """
+    return rows.join(sized(table, at_most(table, bound + 1), bound), key, "left")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str, total: int, key_bound: int) -> DataFrame:
@@ -75,3 +90,32 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str, total
         .withColumn(out, (F.coalesce("_first", F.lit(0)) + F.col("_i")).cast("long"))
         .drop("_b", "_i", "_first")
     )
+
+
+def text_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """With the id, tells a row's text from others of that id; a null id has hashes of its own."""
+    return F.xxhash64(text, F.col(doc_id).isNull())
+
+
+def one_a_group(docs: DataFrame, members: DataFrame, largest: bool) -> DataFrame:
+    """docs (doc_id, text) with one row of each group, by the largest or smallest id; a null id comes last.
+
+    members (doc_id, th, gid) names the group of each row, th being text_hash();
+    rows with a null gid all stay. Of one id's texts in a group the one with the
+    largest or smallest hash stays, and of equal rows one. What is joined to the
+    documents is the list of those to drop, broadcast while a count shows it
+    small; only rows that occur twice are shuffled to become one.
+    """
+    one = members.filter("gid is not null").groupBy("gid", "doc_id", "th").agg(F.count("*").alias("n"))
+    one = stable(one)
+    named = F.struct(F.col("doc_id").isNull() if not largest else F.col("doc_id").isNotNull(), "doc_id", "th")
+    best = one.groupBy("gid").agg((F.max if largest else F.min)(named).alias("best"))
+    first = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.th") == F.col("th"))
+    marked = attach(one, best, "gid").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("th").alias("_th"), first.alias("_first"), "n")
+    marked = stable(marked.filter("n > 1 or not _first").drop("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), text_hash().alias("_th"))
+    found = lookup(rows, marked, ["_id", "_th"])
+    out = found.filter("_first is null")
+    if not marked.filter("_first").isEmpty():
+        out = out.unionByName(found.filter("_first").dropDuplicates(["_id", "_th"]))
+    return out.select("_row.*")

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, lookup, stable
+from .common import attach, lookup, one_a_group, stable, text_hash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        wanted = b.column("wanted").to_pylist()
-        sha = [hashlib.sha256((t or "").encode().lower()).hexdigest() if w else None for t, w in zip(b.column("text").to_pylist(), wanted, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("alike"), pa.array(sha, pa.string())], names=["doc_id", "alike", "sha"])
+def _lowered(text: str | Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
+def _hashed(docs: DataFrame, prefix_chars: int, hash_all: bool) -> DataFrame:
+    """doc_id, th (text_hash()), alike (length and prefix hash repeat), sha (of alike rows; with hash_all of all)."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    length = F.octet_length("text").cast("long")
+    prefix = F.xxhash64(_lowered(F.substring("text", 1, prefix_chars)), length)
+    narrow = stable(base.select(length.alias("len"), prefix.alias("prefix")))
+    lengths = stable(narrow.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1"))
+    same_length = lookup(narrow, lengths, "len").filter("n is not null")
+    prefixes = stable(same_length.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"))
+    flagged = lookup(base.withColumn("prefix", prefix), prefixes, "prefix")
+    alike = F.col("n").isNotNull()
+    sha = F.sha2(_lowered("text").cast("binary"), 256)
+    return stable(flagged.select("doc_id", "th", alike.alias("alike"), (sha if hash_all else F.when(alike, sha)).alias("sha")))
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False) -> DataFrame:
@@ -33,25 +41,17 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False
     kept if its id is. A null doc_id is kept only if the group has no other id.
     An empty table gives no rows; other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("len", F.octet_length("text").cast("long"))
-    lengths = base.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1")
-    prefix = F.xxhash64(F.translate(F.substring("text", 1, prefix_chars), UPPER, LOWER), F.col("len"))
-    same_length = lookup(base.select("doc_id", "len", prefix.alias("prefix")), lengths, "len").filter("n is not null")
-    prefixes = stable(same_length.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"))
-    flagged = lookup(base.select("doc_id", "text", prefix.alias("prefix")), prefixes, "prefix")
-    alike = F.col("n").isNotNull()
-    rows = stable(flagged.select("doc_id", "text", alike.alias("alike"), (alike | F.lit(hash_all)).alias("wanted")).mapInArrow(_hashes, "doc_id long, alike boolean, sha string"))
+    rows = _hashed(docs, prefix_chars, hash_all)
     groups = rows.filter("alike").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     found = attach(rows, groups, "sha")
     keep = F.coalesce("keep_id", "doc_id")
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another, larger doc_id has. Repeated rows of one id and text become one."""
-    found = stable(exact_dedup(docs).select("doc_id", "kept"))
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    out = docs.join(ids.filter("not kept").select("doc_id"), "doc_id", "left_anti")
-    if not ids.filter("kept and n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.select(*docs.columns)
+def drop_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
+    """docs with one row of each group of equal texts, that of the largest id (null last; of its texts the one of the largest hash).
+
+    All columns of docs come through.
+    """
+    rows = _hashed(docs, prefix_chars, hash_all=False)
+    return one_a_group(docs, rows.select("doc_id", "th", F.when(F.col("alike"), F.col("sha")).alias("gid")), largest=True)

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, lookup, stable
-from .components import components
+from .common import BROADCAST_ROWS, attach, lookup, one_a_group, stable, text_hash
+from .components import components, joined
 
 WORDS, NUM, DEN = 5, 3, 4
 #: Hash values that a sketch retains, and those that linked sketches share at least. At the threshold itself
@@ -20,16 +20,14 @@ WORDS, NUM, DEN = 5, 3, 4
 K, SHARED = 64, 32
 #: The same for texts that meet in long lists: 192 of 256 on average, under 159 with probability 2e-6.
 LONG_K, LONG_SHARED = 256, 159
-#: Shared values of LONG_K from which two texts are so alike that one such pair may stand for others of its group.
-STRONG = 200
 #: Union-sketch estimates of K values under this are turned down: 5.5 standard deviations under 0.75.
 LEAST_ESTIMATE = 0.45
 #: Members of a list that is compared pair by pair at once.
 SHORT = 32
 #: Members of a block of a longer list, and values that are counted at once within one.
 BLOCK, COLUMNS = 1024, 1024
-#: Members in turn that stand for a long list before it is compared pair by pair.
-TURNS = 2
+#: Members in turn that stand for a long list before its blocks are compared, and passes over forests of their pairs before all pairs.
+TURNS, FORESTS = 2, 3
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -67,12 +65,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for b in batches:
         sets = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
-        cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.string()), pa.array([s[:K].tolist() for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "key", "sketch"])
+        cols = [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.string()), pa.array([s[:K].tolist() for s in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", "key", "sketch"])
 
 
 def _sets(first: int | None):
-    """Of rows (cid, text, key) whose text has that key: the first values of the set, or all, as bytes."""
+    """Of rows (cid, text): the first values of the set, or all, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -80,10 +78,8 @@ def _sets(first: int | None):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 sets = [shingle_set(t.as_py(), hashes) for t in part.column(1)]
-                fit = [i for i, (s, key) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if _key(s) == key]
-                cid = part.column(0).to_pylist()
-                words = pa.array([sets[i].tobytes() for i in fit], pa.binary()) if first is None else pa.array([sets[i][:first].tolist() for i in fit], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i in fit], pa.int64()), words], names=["cid", "words"])
+                words = pa.array([s.tobytes() for s in sets], pa.binary()) if first is None else pa.array([s[:first].tolist() for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), words], names=["cid", "words"])
 
     return run
 
@@ -100,10 +96,11 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cid, text, key) of the classes in ids (cid): a text of each, more where ids of documents repeat."""
-    wanted = stable(ids.join(classes.select("cid", "key", F.col("rep").alias("doc_id")), "cid"))
+    """(cid, text) of the classes in ids (cid): the text that stands for each, more than once where its row is."""
+    wanted = stable(ids.join(classes.select("cid", F.coalesce("rep", F.lit(0)).alias("rep"), "th"), "cid"))
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("cid", "text", "key")
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), text_hash().alias("th"), "text")
+    return rows.join(F.broadcast(wanted) if small else wanted, ["rep", "th"]).select("cid", "text")
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
@@ -116,7 +113,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """Those of pairs (a, b, na, nb) whose sets reach the similarity: first by union sketches, then by the full sets."""
     likely = stable(_with_both(pairs, classes.select("cid", "sketch"), "sketch").filter(_alike("a_sketch", "b_sketch", "na", "nb")).select("a", "b"))
     texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs)
-    words = texts.mapInArrow(_sets(None), "cid long, words binary")
+    words = texts.mapInArrow(_sets(None), "cid long, words binary").dropDuplicates(["cid"])
     return stable(_with_both(likely, words, "words").mapInArrow(_exact, "a long, b long"))
 
 
@@ -187,22 +184,17 @@ def _least_shared(n: np.ndarray, k: int, shared: int) -> np.ndarray:
     return np.where(n * DEN <= k * NUM, three_quarters, np.minimum(three_quarters, shared))
 
 
-def _forest(near: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Pairs of places that connect the components (by root) of the graph `near` as all its pairs do, fewer than there are roots."""
-    fresh, pairs = np.ones(len(root), bool), []
-    for start in range(len(root)):
-        if not fresh[start]:
-            continue
-        reached = np.flatnonzero(root == root[start]).tolist()
-        fresh[reached] = False
-        while reached:
-            u = reached.pop()
-            for v in np.flatnonzero(near[u] & fresh):
-                if fresh[v]:
-                    pairs.append((u, v))
-                    same = np.flatnonzero(root == root[v])
-                    fresh[same] = False
-                    reached.extend(same.tolist())
+def _forest(shared: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Pairs of places, those with most shared values first, that connect what all pairs with shared > 0 connect, but for equal roots."""
+    out, best, link, pairs = np.ones(len(root), bool), np.zeros(len(root), np.float32), np.zeros(len(root), np.int64), []
+    for _ in range(len(root)):
+        v = int(np.where(out, best, -1).argmax())
+        if 0 < best[v] < np.inf:
+            pairs.append((link[v], v))
+        out[v] = False
+        near = np.where(root == root[v], np.inf, shared[v])
+        closer = near > best
+        best[closer], link[closer] = near[closer], v
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
@@ -210,8 +202,8 @@ def _compared(key: tuple, block: pa.Table, forest: bool) -> pa.Table:
     """Pairs of two blocks' members (of one block, if x = y) whose larger sketches share enough values.
 
     Values are cut to 32 bits: rarely two become equal, so one value more than
-    is counted may be shared. With forest, only pairs that connect all members
-    that whole sets or STRONG shared values show to be alike.
+    is counted may be shared. With forest, only the most alike pairs that
+    connect the members as all of them would.
     """
     cid, n, root, at = (block.column(c).to_numpy() for c in ("cid", "n", "root", "block"))
     lists = block.column("sketch").combine_chunks()
@@ -229,19 +221,16 @@ def _compared(key: tuple, block: pa.Table, forest: bool) -> pa.Table:
         has = np.zeros((len(cid), COLUMNS), np.float32)
         has[member[here], value[here] - lo] = 1
         shared += has[x] @ has[y].T
-    if not forest:
-        shared += 1
+    shared += 1
     nx, ny = n[x][:, None], n[y][None, :]
     least, most = np.minimum(nx, ny), np.maximum(nx, ny)
     needed = np.maximum(_least_shared(nx, LONG_K, LONG_SHARED), _least_shared(ny, LONG_K, LONG_SHARED))
     whole = (most > LONG_K) | (shared * DEN >= NUM * (nx + ny - shared))
     fit = (least * DEN >= most * NUM) & (shared >= needed) & whole & (root[x][:, None] != root[y][None, :])
     if forest:
-        fit &= (most <= LONG_K) | (shared >= STRONG)
-        near = np.zeros((len(cid), len(cid)), bool)
-        near[np.ix_(x, y)] = fit
-        near |= near.T
-        u, v = _forest(near, root).T
+        near = np.zeros((len(cid), len(cid)), np.float32)
+        near[np.ix_(x, y)] = np.where(fit, shared, 0)
+        u, v = _forest(np.maximum(near, near.T), root).T
         u, v = np.where(cid[u] < cid[v], u, v), np.where(cid[u] < cid[v], v, u)
         return pa.table({"a": cid[u], "b": cid[v], "na": n[u], "nb": n[v]})
     if key[1] == key[2]:
@@ -267,32 +256,10 @@ def _blocks(lists: DataFrame, larger: DataFrame, pairs=_block_pairs) -> DataFram
     return _pairs(met.groupBy("value", "x", "y").applyInArrow(pairs, "a long, b long, na long, nb long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    A-Z are lower-cased, words are runs of characters other than space and
-    U+0009 to U+000D, a set holds the distinct 5-word shingles (the whole
-    sequence if there are fewer words). Rows with equal sets form a class. The
-    classes of a value's list are compared with one member first, and components
-    are built from the links; only lists that still hold several components are
-    looked at again. The texts of long ones meet once more by larger sketches,
-    whose lists are far shorter, with TURNS members in turn. What is then left is
-    compared pair by pair across components, by sketches: short lists in a join,
-    long ones by counting the values that two blocks of members share, first for
-    the pairs that connect what is surely alike, then for all others. So copies
-    aren't expanded into pairs, and each pair that shares a value of its prefix
-    is turned down by its sketches, verified on the full sets or already
-    connected. Null texts and those without words have n_shingles 0, and are
-    linked with nothing. Rows that repeat an id stand for their own texts. An
-    empty table gives no rows; other columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stable(docs.mapInArrow(_sketches, "doc_id long, n long, key string, sketch array<long>"))
-    groups = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stable(groups.withColumn("cid", F.monotonically_increasing_id()))
+def _roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, root): the components of the classes that links connect; classes without a row are their own root."""
     lists = _lists(classes, K, SHARED)
-    links = _verified(stable(_stars(lists)), classes, docs)
-    roots = components(links)
+    roots = components(_verified(stable(_stars(lists)), classes, docs))
     left = _open_lists(lists, roots)
     rest, long = left.filter(F.col("m") <= SHORT), left.filter(F.col("m") > SHORT)
     if not long.isEmpty():
@@ -302,17 +269,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         again = _open_lists(lists, roots)
         for turn in range(1, TURNS + 1):
             if not again.isEmpty():
-                links = stable(links.union(_verified(stable(_stars(again, turn)), classes, docs)))
-                roots = components(links)
+                roots = joined(roots, _verified(stable(_stars(again, turn)), classes, docs))
                 again = _open_lists(lists, roots)
         wide = again.filter(F.col("m") > SHORT)
-        # groups of texts that are surely alike become one component; then every pair across components is looked at
-        for pairs in (_block_forest, _block_pairs):
+        # the most alike pairs connect most of a group; then every pair across components is looked at
+        for pairs in [_block_forest] * FORESTS + [_block_pairs]:
             if not wide.isEmpty():
                 more = _verified(stable(_blocks(wide, larger, pairs)), classes, docs)
                 if not more.isEmpty():
-                    links = stable(links.union(more))
-                    roots = components(links)
+                    roots = joined(roots, more)
                     wide = _open_lists(wide.drop("root"), roots)
         # a value heads a list of its own in each of the two indexes
         again = again.filter(F.col("m") <= SHORT).drop("root")
@@ -320,20 +285,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         more = _verified(stable(_across(rest, classes)), classes, docs)
         if not more.isEmpty():
-            roots = components(links.union(more))
-    ids = stable(classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "rep", F.coalesce("root", "cid").alias("root")))
-    least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = attach(ids, least, "root").select("key", "component_id")
-    out = attach(rows.select("doc_id", "n", "key"), named, "key")
+            roots = joined(roots, more)
+    return roots
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, th (text_hash()), n, gid (its component, null without words), component_id (null: all its ids are) of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = stable(docs.withColumn("th", text_hash()).mapInArrow(_sketches, "doc_id long, th long, n long, key string, sketch array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "sketch")).alias("x")
+    groups = rows.filter("n > 0").groupBy("key").agg(first)
+    classes = stable(groups.select("key", F.col("x.doc_id").alias("rep"), "x.th", "x.n", "x.sketch", F.monotonically_increasing_id().alias("cid")))
+    roots = _roots(classes, docs)
+    ids = stable(lookup(classes.select("key", "rep", F.col("cid").alias("id")), roots, "id").select("key", "rep", F.coalesce("root", "id").alias("gid")))
+    least = ids.groupBy("gid").agg(F.min("rep").alias("component_id"))
+    named = attach(ids, least, "gid").select("key", "gid", "component_id")
+    return attach(rows.select("doc_id", "th", "n", "key"), named, "key")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    A-Z are lower-cased, words are runs of characters other than space and
+    U+0009 to U+000D, a set holds the distinct 5-word shingles (the whole
+    sequence if there are fewer words). Rows with equal sets form a class. The
+    classes of a value's list are compared with one member first, and components
+    are built from the links; only lists that still hold several components are
+    looked at again. The texts of long ones meet once more by larger sketches,
+    whose lists are far shorter, with TURNS members in turn. What is then left is
+    compared pair by pair across components, by sketches: short lists in a join,
+    long ones by counting the values that two blocks of members share, first for
+    forests of the most alike pairs, then for all others. So copies
+    aren't expanded into pairs, and each pair that shares a value of its prefix
+    is turned down by its sketches, verified on the full sets or already
+    connected. Null texts and those without words have n_shingles 0, and are
+    linked with nothing. Rows that repeat an id stand for their own texts; a
+    null id is in no component_id unless its component has no other. An
+    empty table gives no rows; other columns are ignored.
+    """
+    out = _judged(docs)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document, the smallest id, of each component. Repeated rows of that id and text become one."""
-    found = stable(near_duplicates(docs).select("doc_id", "kept"))
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    out = docs.join(ids.filter("not kept").select("doc_id"), "doc_id", "left_anti")
-    if not ids.filter("kept and n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.select(*docs.columns)
+    """docs with one row of each component, that of the smallest id (null last; of its texts the one of the smallest hash).
+
+    Rows without words, null texts included, all stay. All columns of docs come through.
+    """
+    return one_a_group(docs, _judged(docs).select("doc_id", "th", "gid"), largest=False)

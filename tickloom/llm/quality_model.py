@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import stable, unit_random
 from .textstats import RATIOS, text_stats
 
-#: Hashed words, factors, labelled rows that the model is fitted on at most, passes over them.
+#: Hashed words, factors, labelled rows that the model is fitted on (as expected), passes over them.
 BUCKETS, FACTORS, FIT_ROWS, PASSES = 1 << 16, 8, 8192, 6
 STEPS = 8
 DENSE = len(RATIOS) * STEPS
@@ -99,14 +99,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket_of = _Buckets()
     for b in batches:
         rows = [_sparse(t.as_py(), bucket_of) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()), b.column(1)], names=["ids", "vals", "quality"])
+        yield pa.RecordBatch.from_arrays([pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()), b.column(1), b.column(2).cast(pa.int64())], names=["ids", "vals", "quality", "doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorisationMachine | None:
-    """Model from at most fit_rows labelled rows that aren't held out, picked by a hash of the id; None without both labels."""
-    marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
-    chosen = stable(marks.filter(~held_out()).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(fit_rows))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(_features, "ids binary, vals binary, quality double").limit(2 * fit_rows).toPandas()
+    """Model from about fit_rows labelled ids that aren't held out, those with a small hash; None without both labels.
+
+    An id with several labels counts with the smallest, one with several texts
+    with that of the smallest hash.
+    """
+    marks = stable(labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality")))
+    chosen = stable(marks.filter(unit_random("doc_id", seed=9) < fit_rows / max(1, marks.count())))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(_features, "ids binary, vals binary, quality double, doc_id long")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("ids", "vals").alias("h"), "ids", "vals", "quality")).alias("x"))
+    got = one.select("doc_id", "x.ids", "x.vals", "x.quality").toPandas()
     y = got["quality"].to_numpy(float)
     if len(set(y)) < 2:
         return None
@@ -117,6 +123,30 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Factori
     return model
 
 
+def _scorer(session: SparkSession, model: FactorisationMachine):
+    """Column function: the score of a text."""
+    shared = session.sparkContext.broadcast((model.w0, model.w.astype(np.float32), model.v.astype(np.float32)))
+
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = FactorisationMachine.__new__(FactorisationMachine)
+        m.w0, m.w, m.v = shared.value
+        bucket_of = _Buckets()
+        for t in texts:
+            s = [m.score([_sparse(x.as_py(), bucket_of) for x in t.slice(k, 64)]) for k in range(0, len(t), 64)]
+            yield pa.array(np.concatenate([np.zeros(0), *s]))
+
+    return F.arrow_udf(score, "double")
+
+
+def score_column(docs: DataFrame, labels: DataFrame) -> Column:
+    """The score of column text, by a model fitted on docs and labels; with labels of one kind only, that kind, with none 0.5."""
+    model = fit(docs, labels)
+    if model is None:
+        kind = labels.filter(~held_out()).agg(F.avg("quality")).first()[0]
+        return F.lit(0.5 if kind is None else float(kind))
+    return _scorer(docs.sparkSession, model)(F.col("text"))
+
+
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= threshold) of every row of docs (doc_id, text).
 
@@ -126,27 +156,14 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     that kind (or 0.5). Ids may repeat or be null (then not held out). An empty
     table gives no rows; other columns are ignored.
     """
-    model = fit(docs, labels)
-    if model is None:
-        kind = labels.filter(~held_out()).agg(F.avg("quality")).first()[0]
-        out = docs.select(F.col("doc_id").cast("long"), F.lit(0.5 if kind is None else float(kind)).alias("score"))
-    else:
-        shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.w.astype(np.float32), model.v.astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = FactorisationMachine.__new__(FactorisationMachine)
-            m.w0, m.w, m.v = shared.value
-            bucket_of = _Buckets()
-            for b in batches:
-                s = [m.score([_sparse(t.as_py(), bucket_of) for t in b.column(1).slice(k, 64)]) for k in range(0, b.num_rows, 64)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0), *s]))], names=["doc_id", "score"])
-
-        out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), score_column(docs, labels).alias("score"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    found = stable(scores(docs, labels, threshold=threshold))
-    rejected = found.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that the classifier rejects, each by its own text, in one pass.
+
+    Null and repeated ids, null and empty texts, and any other columns are no
+    special case: a row stays if its score reaches the threshold.
+    """
+    return docs.filter(score_column(docs, labels) >= threshold)
