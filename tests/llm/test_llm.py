@@ -126,9 +126,13 @@ def test_block_pairs_lose_no_link():
     for x, y in ((0, 0), (0, 1), (1, 1)):
         at = [i for i in range(60) if block[i] in (x, y)]
         table = pa.table({"cid": pa.array(at, pa.int64()), "n": pa.array([len(sets[i]) for i in at], pa.int64()), "root": pa.array([root[i] for i in at], pa.int64()),
-                          "block": pa.array([block[i] for i in at], pa.int32()), "sketch": pa.array([sorted(sets[i]) for i in at], pa.list_(pa.int32()))})
+                          "block": pa.array([block[i] for i in at], pa.int32()), "sketch": pa.array([sorted(sets[i]) for i in at], pa.list_(pa.int32())), "earlier": pa.array([[i] for i in at], pa.list_(pa.int64()))})
         out = near_dedup._block_pairs((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
         found += [tuple(sorted((r["a"], r["b"]))) for r in out]
+        # members 0 to 9 were in one list before: their pairs are left to it, all others are found
+        before = table.set_column(5, "earlier", pa.array([[5, 3 + i] if i < 10 else [100 + i] for i in at], pa.list_(pa.int64())))
+        later = near_dedup._block_pairs((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), before).to_pylist()
+        assert later == [r for r in out if max(r["a"], r["b"]) >= 10]
         few = near_dedup._block_forest((pa.scalar(1), pa.scalar(x, pa.int32()), pa.scalar(y, pa.int32())), table).to_pylist()
         assert joined(frozenset((root[r["a"]], root[r["b"]])) for r in few) == joined(frozenset((root[r["a"]], root[r["b"]])) for r in out) and len(few) < 20
     assert linked and len(found) == len(set(found))

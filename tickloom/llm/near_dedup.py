@@ -198,35 +198,48 @@ def _forest(shared: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
-def _compared(key: tuple, block: pa.Table, forest: bool) -> pa.Table:
-    """Pairs of two blocks' members (of one block, if x = y) whose larger sketches share enough values.
-
-    Values are cut to 32 bits: rarely two become equal, so one value more than
-    is counted may be shared. With forest, only the most alike pairs that
-    connect the members as all of them would.
-    """
-    cid, n, root, at = (block.column(c).to_numpy() for c in ("cid", "n", "root", "block"))
-    lists = block.column("sketch").combine_chunks()
-    member = np.repeat(np.arange(len(cid)), lists.value_lengths().to_numpy())
+def _overlaps(lists: pa.ListArray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values the lists at x share with those at y; a list has a value once."""
+    member = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     _, value, uses = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
     place = np.cumsum(uses > 1) - 1
     common = uses[value] > 1
     member, value = member[common], place[value[common]]
     order = np.argsort(value, kind="stable")
     member, value = member[order], value[order]
-    x, y = np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py())
     shared = np.zeros((len(x), len(y)), np.float32)
     for lo in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
         here = slice(*np.searchsorted(value, (lo, lo + COLUMNS)))
-        has = np.zeros((len(cid), COLUMNS), np.float32)
+        has = np.zeros((len(lists), COLUMNS), np.float32)
         has[member[here], value[here] - lo] = 1
         shared += has[x] @ has[y].T
-    shared += 1
+    return shared
+
+
+def _compared(key: tuple, block: pa.Table, forest: bool) -> pa.Table:
+    """Pairs of two blocks' members (of one block, if x = y) whose larger sketches share enough values.
+
+    Two members of several lists are compared in the one of the smallest value;
+    earlier holds a member's lists before this one. Sketch values are cut to 32
+    bits: rarely two become equal, so one value more than is counted may be
+    shared. With forest, only the most alike pairs that connect the members as
+    all of them would.
+    """
+    cid, n, root, at = (block.column(c).to_numpy() for c in ("cid", "n", "root", "block"))
+    x, y = np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py())
+
+    def sized(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        nx, ny = n[x][:, None], n[y][None, :]
+        return (np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM) & (root[x][:, None] != root[y][None, :])
+
+    todo = sized(x, y) & (_overlaps(block.column("earlier").combine_chunks(), x, y) == 0)
+    some = todo.any(1), todo.any(0)
+    x, y, todo = x[some[0]], y[some[1]], todo[np.ix_(*some)]
+    shared = _overlaps(block.column("sketch").combine_chunks(), x, y) + 1
     nx, ny = n[x][:, None], n[y][None, :]
-    least, most = np.minimum(nx, ny), np.maximum(nx, ny)
     needed = np.maximum(_least_shared(nx, LONG_K, LONG_SHARED), _least_shared(ny, LONG_K, LONG_SHARED))
-    whole = (most > LONG_K) | (shared * DEN >= NUM * (nx + ny - shared))
-    fit = (least * DEN >= most * NUM) & (shared >= needed) & whole & (root[x][:, None] != root[y][None, :])
+    whole = (np.maximum(nx, ny) > LONG_K) | (shared * DEN >= NUM * (nx + ny - shared))
+    fit = todo & (shared >= needed) & whole
     if forest:
         near = np.zeros((len(cid), len(cid)), np.float32)
         near[np.ix_(x, y)] = np.where(fit, shared, 0)
@@ -248,11 +261,16 @@ def _block_forest(key: tuple, block: pa.Table) -> pa.Table:
 
 
 def _blocks(lists: DataFrame, larger: DataFrame, pairs=_block_pairs) -> DataFrame:
-    """Pairs of a long list's members that are in different components and alike by larger sketches, by two blocks of BLOCK members at a time."""
-    own = lists.join(larger.select("cid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "cid")
+    """Pairs of a long list's members that are in different components and alike by larger sketches, by two blocks of BLOCK members at a time.
+
+    A pair is found once, however many lists (at most LONG_K) its members share.
+    """
+    sketch = larger.select("cid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
+    every = lists.groupBy("cid").agg(F.collect_list("value").alias("every"))
+    own = lists.join(sketch, "cid").join(every, "cid").withColumn("earlier", F.filter("every", lambda v: v < F.col("value")))
     own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cid", "n", "root", "block", "sketch")
+    met = met.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cid", "n", "root", "block", "sketch", "earlier")
     return _pairs(met.groupBy("value", "x", "y").applyInArrow(pairs, "a long, b long, na long, nb long"))
 
 
