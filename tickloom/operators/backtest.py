@@ -43,15 +43,19 @@ def sample_consensus(samples: Column, last_close: Column, actual: Column, thresh
 
 
 def backtest_summary(pred: DataFrame) -> DataFrame:
-    """Errors and accuracies by model, by (model, ticker) and by (model, ts), in one pass of grouping sets."""
+    """Errors, accuracies, mean seconds and bars by model, by (model, ticker) and by (model, ts), in one pass of grouping sets.
+
+    pred may have columns seconds and bars (of a prediction); without them both are null.
+    """
     err = F.col("prediction") - F.col("actual")
     x = pred.withColumns({"err": err, "pct": F.when(F.col("actual") != 0, F.abs(err / F.col("actual")))})
-    x.createOrReplaceTempView("_backtest_pred")
-    return pred.sparkSession.sql(
-        """SELECT model, ticker, ts, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse, avg(pct) AS mape, avg(cast(hit AS double)) AS accuracy,
-                  avg(confidence) AS confidence, avg(cast(confident AS double)) AS coverage, avg(CASE WHEN confident THEN cast(hit AS double) END) AS strict_accuracy, count(*) AS n
-           FROM _backtest_pred GROUP BY GROUPING SETS ((model), (model, ticker), (model, ts))"""
-    )
+    x = x.withColumns({c: F.lit(None).cast("double") for c in ("seconds", "bars") if c not in pred.columns})
+    sets = [[F.col("model")], [F.col("model"), F.col("ticker")], [F.col("model"), F.col("ts")]]
+    return x.groupingSets(sets, "model", "ticker", "ts").agg(
+        F.avg(F.abs("err")).alias("mae"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"), F.avg("pct").alias("mape"), F.avg(F.col("hit").cast("double")).alias("accuracy"),
+        F.avg("confidence").alias("confidence"), F.avg(F.col("confident").cast("double")).alias("coverage"), F.avg(F.when(F.col("confident"), F.col("hit").cast("double"))).alias("strict_accuracy"),
+        F.avg(F.col("seconds").cast("double")).alias("seconds"), F.avg(F.col("bars").cast("double")).alias("bars"), F.count("*").alias("n"),
+    )
 
 
 def context_matrix(bars: DataFrame, length: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -24,19 +26,33 @@ def news_identity(news: DataFrame) -> DataFrame:
     return x.withColumn("news_id", F.concat_ws(":", "source", F.coalesce(F.nullif(F.col("external_id"), F.lit("")), F.col("payload_hash"))))
 
 
-def _quoted(k: str):
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(k), r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+def _quoted(k: str) -> Column:
+    """A text as JSON: quotes, backslashes and control characters escaped, all else as it is."""
+    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f"}
+    escaped = F.col(k)
+    for c, by in (short | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in short}).items():
+        escaped = F.replace(escaped, F.lit(c), F.lit(by))
     return F.when(F.col(k).isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
 
-def tag_entities(news: DataFrame, terms: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """(news_id, ticker, terms): whole words, case-blind, one alternation a ticker; matched terms sorted."""
+#: Characters that a term must not stand next to.
+WORD_CHARS = "0-9A-Za-zА-Яа-яЁё"
+
+
+def _term(term: str) -> str:
+    """Pattern of a term: any white space for white space, е and ё alike, all else as it is."""
+    return "".join(r"\s+" if c.isspace() else "[её]" if c in "еёЕЁ" else re.escape(c) for c in term)
+
+
+def tag_entities(news: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
+    """(news_id, ticker, terms): the terms of a ticker that title or text have as whole words, case-blind; sorted."""
+    both = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    whole = lambda p: F.col("both").rlike(f"(?iu)(?<![{WORD_CHARS}])(?:{p})(?![{WORD_CHARS}])")
     hits = []
     for ticker, words in sorted(terms.items()):
-        one = "(?iu)(?<![\\p{L}\\p{N}_])(" + "|".join(words) + ")(?![\\p{L}\\p{N}_])"
-        found = F.when(F.col(text).rlike(one), F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(one), F.lit(1)), F.lower))))
-        hits.append(F.struct(F.lit(ticker).alias("ticker"), found.alias("terms")))
-    tagged = news.select("news_id", F.explode(F.filter(F.array(*hits), lambda h: h["terms"].isNotNull())).alias("h"))
+        each = F.array_compact(F.array(*[F.when(whole(_term(w)), F.lit(w)) for w in sorted(set(words))]))
+        hits.append(F.struct(F.lit(ticker).alias("ticker"), F.when(whole("|".join(map(_term, words))), each).alias("terms")))
+    tagged = news.select("news_id", both.alias("both")).select("news_id", F.explode(F.filter(F.array(*hits), lambda h: h["terms"].isNotNull())).alias("h"))
     return tagged.select("news_id", "h.ticker", "h.terms")
 
 
@@ -78,9 +94,11 @@ def context_route(context: DataFrame, universe: list[str]) -> DataFrame:
     return context.withColumns({"route": F.when(own, "ticker").when(market, "market"), "strength": strength}).filter("route is not null")
 
 
-def untagged(news: DataFrame, tags: DataFrame, limit: int) -> DataFrame:
-    """Newest items without a tag: at most 3 * limit read, then one a story, then the limit."""
-    read = news.join(tags.select("news_id"), "news_id", "left_anti").orderBy("received_at", "news_id").limit(3 * limit)
+def untagged(news: DataFrame, tags: DataFrame, as_of: str, limit: int) -> DataFrame:
+    """Oldest items of as_of's day, received by then, without a tag: at most 3 * limit read, then one a story, then the limit."""
+    at = F.lit(as_of).cast("timestamp_ntz")
+    seen = news.filter((F.col("received_at") <= at) & (F.col("received_at") >= F.date_trunc("day", at).cast("timestamp_ntz")))
+    read = seen.join(tags.select("news_id"), "news_id", "left_anti").orderBy("received_at", "news_id").limit(3 * limit)
     w = Window.partitionBy(F.coalesce("story_id", "news_id")).orderBy("received_at", "news_id")
     return read.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn").orderBy("received_at", "news_id").limit(limit)
 

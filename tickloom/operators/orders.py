@@ -34,17 +34,34 @@ def order_candidates(x: DataFrame) -> DataFrame:
     return out.withColumn("priority", F.row_number().over(first))
 
 
-def depth_cost(levels: Column, shares: Column, mid: Column) -> Column:
-    """Walk levels array<struct<price, quantity>> from the best: filled shares, cost against mid, shortfall."""
-    zero = F.struct(F.lit(0.0).alias("filled"), F.lit(0.0).alias("value"))
+def risk_increasing(current: Column, target: Column) -> Column:
+    """Whether a move from the current to the target position opens, enlarges or turns it."""
+    same_side = F.signum(current) * F.signum(target) > 0
+    return (current != target) & F.when(same_side, F.abs(target) > F.abs(current)).otherwise(target != 0)
 
-    def step(s: Column, level: Column) -> Column:
-        take = F.least(level["quantity"], F.greatest(shares - s["filled"], F.lit(0.0)))
-        return F.struct((s["filled"] + take).alias("filled"), (s["value"] + take * level["price"]).alias("value"))
 
-    end = F.aggregate(levels, zero, step)
-    cost = F.when(end["filled"] > 0, F.abs(end["value"] / end["filled"] / mid - 1)).otherwise(F.lit(0.0))
-    return F.struct(end["filled"].alias("filled"), cost.alias("cost"), (end["filled"] < shares).alias("shortfall"))
+def depth_cost(levels: Column, side: Column, lots: Column, lot_size: Column, mid: Column, fallback: Column) -> Column:
+    """Walk levels array<struct<price, quantity>> from the best for lots of an order on that side ("ask": a buy).
+
+    cost is what the average price is worse than mid (than the fallback, if mid
+    isn't above 0), at least 0; max_lots is what the whole book holds. Levels
+    without a price or quantity above 0 are skipped.
+    """
+    zero = F.struct(F.lit(0.0).alias("filled"), F.lit(0.0).alias("value"), F.lit(0.0).alias("available"))
+    shares = (F.greatest(lots, F.lit(0)) * F.greatest(lot_size, F.lit(1))).cast("double")
+
+    def step(s: Column, level: Column) -> Column:
+        take = F.least(level["quantity"], shares - s["filled"])
+        return F.struct((s["filled"] + take).alias("filled"), (s["value"] + take * level["price"]).alias("value"), (s["available"] + level["quantity"]).alias("available"))
+
+    end = F.aggregate(F.filter(levels, lambda x: (x["price"] > 0) & (x["quantity"] > 0)), zero, step)
+    reference = F.when(mid > 0, mid).otherwise(fallback)
+    move = (end["value"] / end["filled"] - reference) / reference
+    cost = F.when((end["filled"] > 0) & (reference > 0), F.greatest(F.when(side == "ask", move).otherwise(-move), F.lit(0.0))).otherwise(0.0)
+    most = F.floor(end["available"] / F.greatest(lot_size, F.lit(1))).cast("long")
+    found = F.struct(end["filled"].alias("filled"), cost.alias("cost"), most.alias("max_lots"), (end["filled"] < shares).alias("shortfall"))
+    none = F.struct(F.lit(0.0).alias("filled"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("max_lots"), F.lit(False).alias("shortfall"))
+    return F.when(shares > 0, found).otherwise(none)
 
 
 def cash_cap(orders: DataFrame) -> DataFrame:

@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized
 from .scores import clipped
 
 PER_TICKER, MARKETWIDE, TITLE_CHARS, TEXT_CHARS = 8, 20, 260, 500
-#: Score columns with their defaults, text columns with their default and longest length.
-SCORE_DEFAULTS = {"bull": 0.5, "bear": 0.0, "risk": 0.0, "confidence": 0.5}
-NOTE_LENGTHS = {"label": ("none", 80), "reason": ("none", 500)}
+#: Score columns with their defaults, text columns with their default and longest length, relations and market tickers.
+SCORE_DEFAULTS = {"bullish_score": 0.5, "confidence": 0.0, "relation_strength": 0.0, "already_priced_risk": 0.5}
+NOTE_LENGTHS = {"direct_effect": ("none", 80), "marketwide_effect": ("none", 80), "reason": ("", 500)}
 RELATIONS = ("direct", "cluster", "marketwide")
+MARKET_TICKERS = ("MARKET", "MOEX_MARKET")
+
+
+def _object(raw: Column) -> Column:
+    """A JSON object as a map of name to JSON text; null if it is something else."""
+    return F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, "map<string, string>"))
 
 
 def normalize_scores(raw: DataFrame, universe: DataFrame) -> DataFrame:
-    """Scores of every ticker of the universe from rows (as_of, raw_json), a map of ticker to fields; gaps take defaults."""
-    parsed = raw.select("as_of", F.from_json("raw_json", "map<string, map<string, string>>").alias("m"))
-    x = parsed.join(F.broadcast(universe.select("ticker")), how="cross").withColumn("f", F.col("m")[F.col("ticker")])
+    """Scores of every ticker of the universe from rows (as_of, raw_json), an object of ticker to fields.
+
+    What is absent, is no number or is no object takes the field's default, alone:
+    an odd entry of one ticker leaves the others as they are.
+    """
+    parsed = raw.select("as_of", _object(F.col("raw_json")).alias("m"))
+    tickers = universe.select("ticker").distinct()
+    x = parsed.join(sized(tickers), how="cross").withColumn("f", _object(F.col("m")[F.col("ticker")]))
     numbers = [clipped(F.expr(f"try_cast(f['{c}'] as double)"), v).alias(c) for c, v in SCORE_DEFAULTS.items()]
-    notes = [F.substring(F.coalesce(F.nullif(F.col("f")[c], F.lit("")), F.lit(v)), 1, n).alias(c) for c, (v, n) in NOTE_LENGTHS.items()]
+    notes = [F.substring(F.coalesce(F.col("f")[c], F.lit(v)), 1, n).alias(c) for c, (v, n) in NOTE_LENGTHS.items()]
     return x.select("as_of", "ticker", *numbers, *notes)
 
 
 def normalize_relation_tags(raw: DataFrame, known: DataFrame, tickers: list[str]) -> DataFrame:
-    """Valid tags (news_id, ticker, relation, confidence, strength) from rows (raw_json), each a list of items with tags."""
-    kind = "array<struct<news_id: string, tags: array<struct<ticker: string, relation: string, confidence: string, strength: string>>>>"
-    x = raw.select(F.explode(F.from_json("raw_json", kind)).alias("i")).select("i.news_id", F.explode("i.tags").alias("t"))
-    x = x.select("news_id", F.lower(F.trim("t.relation")).alias("relation"), F.upper(F.trim("t.ticker")).alias("ticker"), F.lower("t.confidence").alias("confidence"), F.expr("try_cast(t.strength as double)").alias("s"))
-    wide = F.col("relation") == "marketwide"
-    x = x.filter(F.col("relation").isin(*RELATIONS)).withColumn("ticker", F.when(wide, "MARKET").otherwise(F.col("ticker"))).filter(wide | F.col("ticker").isin(*tickers))
-    confidence = F.when(F.col("confidence").isin("high", "medium", "low"), F.col("confidence")).otherwise("medium")
-    strength = F.coalesce(clipped(F.col("s"), 0.0), F.lit(0.0))
-    default = F.when(F.col("relation") == "direct", 0.8).otherwise(0.6)
-    x = x.withColumns({"confidence": confidence, "strength": F.when(F.col("s").isNull() | F.isnan("s"), default).otherwise(strength)}).drop("s")
-    return x.join(known.select("news_id"), "news_id", "left_semi")
+    """Valid tags (news_id, ticker, relation, confidence, strength, reason, tags) from rows (raw_json), each {"items": [{"news_id", "tags": [...]}]}.
+
+    Items and tags that are no objects are skipped. An absent strength is 0.6 for
+    a cluster and 0.8 else; one that is no number is 0. Marketwide tags are the
+    market's; a direct one may name the market too.
+    """
+    items = F.from_json(_object(F.col("raw_json"))["items"], "array<string>")
+    x = raw.select(F.explode(items).alias("i")).select(_object(F.col("i")).alias("i"))
+    x = x.select(F.col("i")["news_id"].alias("news_id"), F.explode(F.from_json(F.col("i")["tags"], "array<string>")).alias("t")).select("news_id", _object(F.col("t")).alias("t"))
+    field = lambda k: F.col("t")[k]
+    relation = F.lower(field("relation_type"))
+    x = x.withColumns({"relation": relation, "ticker": F.when(relation == "marketwide", "MARKET").otherwise(F.upper(field("ticker")))})
+    x = x.filter(F.col("relation").isin(*RELATIONS) & F.col("ticker").isin(*tickers, *MARKET_TICKERS))
+    confidence = F.lower(field("confidence"))
+    default = F.when(F.col("relation") == "cluster", 0.6).otherwise(0.8)
+    strength = F.when(F.map_contains_key("t", "relation_strength"), F.coalesce(clipped(F.expr("try_cast(t['relation_strength'] as double)"), 0.0), F.lit(0.0))).otherwise(default)
+    x = x.select(
+        "news_id", "ticker", "relation", F.when(confidence.isin("low", "medium", "high"), confidence).otherwise("medium").alias("confidence"), strength.alias("strength"),
+        F.substring(F.coalesce(field("reason"), F.lit("")), 1, 500).alias("reason"), F.coalesce(field("tags"), F.lit("[]")).alias("tags"),
+    )
+    return x.join(known.select("news_id").distinct(), "news_id", "left_semi")
 
 
 def trim_context(context: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ TREES, DEPTH, RATE, LAST_ROWS, LEAST_ROWS = 60, 3, 0.05, 512, 48
 
 
 def returns_map(raw: Column, legacy: dict[str, Column]) -> Column:
-    """A JSON map of returns; legacy columns stand in for absent keys."""
+    """A JSON map of returns; legacy columns stand in for absent keys, and a null is 0."""
     got = F.coalesce(F.from_json(raw, "map<string, double>"), F.create_map().cast("map<string, double>"))
-    old = F.map_filter(F.create_map(*[x for k, c in legacy.items() for x in (F.lit(k), c.cast("double"))]), lambda k, v: v.isNotNull() & ~F.map_contains_key(got, k))
+    got = F.transform_values(got, lambda k, v: F.coalesce(v, F.lit(0.0)))
+    old = F.map_filter(F.create_map(*[x for k, c in legacy.items() for x in (F.lit(k), F.coalesce(c.cast("double"), F.lit(0.0)))]), lambda k, v: ~F.map_contains_key(got, k))
     return F.map_concat(got, old)
 
 
@@ -55,10 +56,13 @@ def window_metrics(pred: DataFrame) -> DataFrame:
 
 
 def select_universe(candidates: DataFrame, targets: DataFrame, reference: int, top_n: int, coverage: float) -> DataFrame:
-    """The first top_n candidates (ticker, cap) by cap that have coverage * reference targets or more, with their first and last."""
+    """The first top_n candidates (ticker, cap) by cap that have coverage * reference targets or more, with their first and last; an error if there are fewer."""
     have = targets.groupBy("ticker").agg(F.count("*").alias("n_targets"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     x = candidates.join(have, "ticker").withColumn("coverage", F.col("n_targets") / reference).filter(F.col("n_targets") >= F.ceil(F.lit(reference * coverage)))
-    return x.orderBy(F.col("cap").desc(), "ticker").limit(top_n)
+    out = x.orderBy(F.col("cap").desc(), "ticker").limit(top_n)
+    if (found := out.count()) < top_n:
+        raise ValueError(f"{found} of {top_n} candidates have enough targets")
+    return out
 
 
 def drop_incomplete_daily(bars: DataFrame, today: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import new_folder
 from ..functions.text import enough_signal, title_numbers, title_tokens
 
 WINDOW_SECONDS, THRESHOLD, RARE_DF = 3600, 70.0, 8
@@ -17,9 +17,7 @@ WINDOW_SECONDS, THRESHOLD, RARE_DF = 3600, 70.0, 8
 
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the checkpoint folder that executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    new_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -27,9 +27,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as news: the title is the first line's first twelve words, times follow the id."""
+    """Documents as news: the title is the first line, times follow the id."""
     d = table(spark, sf_dir, "documents")
-    title = F.array_join(F.slice(F.split(F.element_at(F.split("text", "\n"), 1), " "), 1, 12), " ")
+    title = F.substring_index("text", "\n", 1)
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(secs=(F.col("doc_id") * 180).cast("decimal(18,6)"))
     return d.select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("news_id"), "doc_id", "source", at.alias("ts"), title.alias("title"), "text")
 
@@ -43,4 +43,4 @@ def bars_sql(minutes: int = 30, ticker: str = "event_type") -> str:
 
 PRICES_SQL = f"{bars_sql(360, 'user')}, prices AS (SELECT ts AS as_of, ticker, close AS price FROM bars)"
 NEWS_SQL = """news AS (SELECT source || ':' || CAST(doc_id AS VARCHAR) AS news_id, doc_id, source, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 180) AS ts,
-            array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:12], ' ') AS title, text FROM documents)"""
+            string_split(text, chr(10))[1] AS title, text FROM documents)"""

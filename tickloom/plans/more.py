@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.common import new_folder as folder
 from ..operators import backtest, market, news, orders, portfolio, reports, requests, scores, selectors, stories
 from ..sources import feeds, tables
 from ..streaming import jobs
 from .inputs import NEWS_SQL, PRICES_SQL, bars, bars_sql, prices, table, ticks
 from .inputs import news as news_of
-from .queries import _CONTEXT, _ORDERS, _PAIRS, _RECORDS, _ROLLED, _TAG_SQL, ORACLE, QUERIES, _context, _orders, _records, _scores, _tags, _targets, _weights, query
+from .queries import _CONTEXT, _ORDERS, _PAIRS, _QUOTES, _RECORDS, _ROLLED, _TAG_SQL, ORACLE, QUERIES, _context, _orders, _records, _scores, _tags, _targets, _weights, query, quotes
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
-def folder(s) -> str:
-    """A new folder beside the checkpoints, which executors share."""
-    sc = s.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 # sources ---------------------------------------------------------------------------------------
 
 
@@ -84,10 +74,12 @@ def _(s, d):
 
 @query(
     "j13_enrich_full_text",
-    "SELECT doc_id, CASE WHEN length(text) < 900 AND page_id IS NOT NULL AND length('t' || chr(10) || chr(10) || html) > length(text) THEN length(html) + 3 ELSE length(text) END AS n FROM documents LEFT JOIN pages ON page_id = doc_id WHERE NOT regexp_matches(text, '(\\.\\.\\.|…)\\s*$')",
+    """WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '... ' WHEN doc_id % 3 = 1 THEN '…' ELSE '' END AS text FROM documents)
+       SELECT doc_id, CASE WHEN (length(text) < 900 OR regexp_matches(text, '(\\.\\.\\.|…) *$')) AND page_id IS NOT NULL AND length(html) + 3 > length(text) THEN length(html) + 3 ELSE length(text) END AS n FROM x LEFT JOIN pages ON page_id = doc_id""",
 )
 def _(s, d):
-    items = table(s, d, "documents").filter(~F.col("text").rlike(r"(\.\.\.|…)\s*$")).select("doc_id", F.col("doc_id").alias("url"), F.lit("t").alias("title"), "text")
+    tail = F.when(F.col("doc_id") % 3 == 0, "... ").when(F.col("doc_id") % 3 == 1, "…").otherwise("")
+    items = table(s, d, "documents").select("doc_id", F.col("doc_id").alias("url"), F.lit("t").alias("title"), F.concat("text", tail).alias("text"))
     pages = table(s, d, "pages").select(F.col("page_id").alias("url"), F.col("html").alias("body"))
     return feeds.enrich_full_text(items, pages).select("doc_id", F.char_length("text").cast("long").alias("n"))
 
@@ -105,23 +97,27 @@ def _(s, d):
     return selectors.drop_incomplete_daily(bars(s, d, 1440), "2024-01-20").select("ticker", "ts", "end_ts")
 
 
-_QUOTES = """q AS (SELECT p_partkey AS ticker, p_size AS as_of, p_retailprice AS last_price, p_size % 5 = 0 AS missing_bbo, p_retailprice / 1e6::DOUBLE AS cost FROM part WHERE p_partkey % 3 <> 0)"""
-
-
-def _quotes(s, d):
-    p = table(s, d, "part").filter("p_partkey % 3 <> 0")
-    return p.select(F.col("p_partkey").alias("ticker"), F.col("p_size").alias("as_of"), (F.col("p_size") % 5 == 0).alias("missing_bbo"), (F.col("p_retailprice") / 1e6).alias("cost"), F.lit("book").alias("source_quality"))
-
-
-@query("p13_fill_missing", f"WITH {_QUOTES} SELECT p_partkey AS ticker, q.ticker IS NOT NULL AS tradable, CASE WHEN q.ticker IS NULL THEN 'missing' ELSE 'book' END AS source_quality FROM part LEFT JOIN q ON q.ticker = p_partkey")
+@query(
+    "p13_fill_missing",
+    f"""WITH {_QUOTES} SELECT p_partkey AS ticker, coalesce(tradable, false) AS tradable, coalesce(s.source_quality, 'missing') AS source_quality, coalesce(cost, 0.0015) AS cost, coalesce(mid, 0) AS mid, coalesce(spread, 0) AS spread, coalesce(missing_bbo, true) AS missing_bbo,
+        coalesce(depth_unknown, true) AS depth_unknown, s.ticker IS NULL AS depth_shortfall, coalesce(bid_depth_value, 0) AS bid_depth_value FROM part LEFT JOIN (SELECT * FROM snap WHERE ticker % 3 <> 0) s ON s.ticker = p_partkey""",
+    "cost mid spread bid_depth_value",
+)
 def _(s, d):
     universe = table(s, d, "part").select(F.col("p_partkey").alias("ticker"))
-    return market.fill_missing(_quotes(s, d), universe).select("ticker", "tradable", "source_quality")
+    found = quotes(s, d).filter("ticker % 3 <> 0").drop("as_of")
+    return market.fill_missing(found, universe).select("ticker", "tradable", "source_quality", "cost", "mid", "spread", "missing_bbo", "depth_unknown", "depth_shortfall", "bid_depth_value")
 
 
-@query("a18_quote_quality", f"WITH {_QUOTES} SELECT as_of, count(*) AS n, count(*) FILTER (NOT missing_bbo) AS tradable, count(*) FILTER (missing_bbo) AS missing, max(cost) AS max_cost FROM q GROUP BY as_of", "max_cost")
+@query(
+    "a18_quote_quality",
+    f"""WITH {_QUOTES} SELECT as_of, count(*) AS n, count(*) FILTER (tradable) AS tradable, count(*) FILTER (last > 0) AS priced, count(*) FILTER (missing_bbo) AS missing, count(*) FILTER (liquidity_degraded) AS degraded, count(*) FILTER (depth_unknown) AS depth_unknown, max(cost) AS max_cost,
+        (SELECT string_agg(source_quality || '=' || n, ',' ORDER BY source_quality) FROM (SELECT source_quality, count(*) AS n FROM snap b WHERE b.as_of = a.as_of GROUP BY 1)) AS qualities FROM snap a GROUP BY as_of""",
+    "max_cost",
+)
 def _(s, d):
-    return market.quote_quality(_quotes(s, d).withColumn("tradable", ~F.col("missing_bbo")))
+    counts = F.array_join(F.transform(F.map_entries("qualities"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return market.quote_quality(quotes(s, d)).withColumn("qualities", counts)
 
 
 @query(
@@ -181,28 +177,36 @@ def _(s, d):
 
 @query(
     "p15_normalize_scores",
-    f"WITH {PRICES_SQL}, t AS (SELECT DISTINCT as_of FROM prices), u AS (SELECT DISTINCT ticker FROM prices) SELECT as_of, ticker, CASE WHEN price IS NULL THEN 0.5 ELSE least(1, greatest(0, price / 97)) END AS bull, 0.0 AS bear, CASE WHEN price IS NULL THEN 'none' ELSE 'news' END AS label FROM t CROSS JOIN u LEFT JOIN prices USING (as_of, ticker)",
-    "bull bear",
+    f"""WITH {PRICES_SQL}, t AS (SELECT DISTINCT as_of FROM prices), u AS (SELECT DISTINCT ticker FROM prices), x AS (SELECT as_of, ticker, price, ticker = 'u3' OR price IS NULL AS odd FROM t CROSS JOIN u LEFT JOIN prices USING (as_of, ticker))
+        SELECT as_of, ticker, CASE WHEN odd THEN 0.5 ELSE least(1, greatest(0, price / 97)) END AS bullish_score, 0.0 AS confidence, CASE WHEN odd THEN 0.0 ELSE 1.0 END AS relation_strength, 0.5 AS already_priced_risk,
+          CASE WHEN odd THEN 'none' ELSE repeat('x', 80) END AS direct_effect, 'none' AS marketwide_effect, CASE WHEN odd THEN '' ELSE 'said "so"' END AS reason FROM x""",
+    "bullish_score confidence relation_strength already_priced_risk",
 )
 def _(s, d):
     p = prices(s, d)
-    fields = F.create_map(F.lit("bull"), (F.col("price") / 97).cast("string"), F.lit("bear"), F.lit("n/a"), F.lit("label"), F.lit("news"))
-    raw = p.groupBy("as_of").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", fields.alias("f"))))).alias("raw_json"))
-    return requests.normalize_scores(raw, p.select("ticker").distinct()).select("as_of", "ticker", "bull", "bear", "label")
+    fields = F.to_json(F.struct((F.col("price") / 97).alias("bullish_score"), F.lit("n/a").alias("confidence"), F.lit("7").alias("relation_strength"), F.repeat(F.lit("x"), F.lit(90)).alias("direct_effect"), F.lit('said "so"').alias("reason")))
+    entry = F.concat(F.lit('"'), "ticker", F.lit('": '), F.when(F.col("ticker") == "u3", '[1, "no object"]').otherwise(fields))
+    raw = p.groupBy("as_of").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("raw_json"))
+    return requests.normalize_scores(raw, p.select("ticker").distinct())
 
 
 @query(
     "p16_normalize_relation_tags",
-    f"""WITH {NEWS_SQL} SELECT news_id, CASE WHEN doc_id % 4 = 1 THEN 'MARKET' ELSE 'AAA' END AS ticker, CASE doc_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'marketwide' ELSE 'cluster' END AS relation, 'medium' AS confidence,
-        CASE WHEN doc_id % 4 = 2 THEN 1.0 WHEN doc_id % 4 = 0 THEN 0.8 ELSE 0.6 END AS strength FROM news WHERE doc_id % 4 <> 3 AND doc_id % 6 <> 0""",
+    f"""WITH {NEWS_SQL} SELECT news_id, CASE WHEN doc_id % 8 = 1 THEN 'MARKET' WHEN doc_id % 8 = 4 THEN 'MOEX_MARKET' ELSE 'AAA' END AS ticker, CASE WHEN doc_id % 8 IN (0, 4, 5) THEN 'direct' WHEN doc_id % 8 = 1 THEN 'marketwide' ELSE 'cluster' END AS relation, CASE WHEN doc_id % 8 = 5 THEN 'high' ELSE 'medium' END AS confidence,
+        CASE doc_id % 8 WHEN 2 THEN 1.0 WHEN 5 THEN 0.0 WHEN 6 THEN 0.6 ELSE 0.8 END AS strength, CASE WHEN doc_id % 8 = 6 THEN 'why' ELSE '' END AS reason, CASE WHEN doc_id % 8 = 6 THEN '["t"]' ELSE '[]' END AS tags FROM news WHERE doc_id % 8 IN (0, 1, 2, 4, 5, 6) AND doc_id % 6 <> 0""",
     "strength",
 )
 def _(s, d):
-    n, i = news_of(s, d), F.col("doc_id") % 4
-    relation = F.when(i == 0, "Direct").when(i == 1, "marketwide").when(i == 2, "cluster").otherwise("other")
-    tag = F.struct(F.when(i == 1, "zzz").otherwise(" aaa").alias("ticker"), relation.alias("relation"), F.lit("sure").alias("confidence"), F.when(i == 2, "7").otherwise("x").alias("strength"))
-    raw = n.select(F.to_json(F.array(F.struct("news_id", F.array(tag).alias("tags")))).alias("raw_json"))
-    return requests.normalize_relation_tags(raw, n.filter("doc_id % 6 <> 0"), ["AAA"])
+    n, i = news_of(s, d), F.col("doc_id") % 8
+    # 0, 1 and 4: no strength; 2: above 1; 3: no relation; 5: no number; 6: a cluster without strength; 7: no known ticker
+    tag = F.when(i == 0, '{"ticker": "aaa", "relation_type": "Direct", "confidence": "sure"}').when(i == 1, '{"ticker": "zzz", "relation_type": "marketwide"}')
+    tag = tag.when(i == 2, '{"ticker": "AAA", "relation_type": "cluster", "relation_strength": 7}').when(i == 3, '{"ticker": "AAA", "relation_type": "other"}').when(i == 4, '{"ticker": "moex_market", "relation_type": "direct"}')
+    tag = tag.when(i == 5, '{"ticker": "AAA", "relation_type": "direct", "relation_strength": "strong", "confidence": "HIGH"}')
+    tag = tag.when(i == 6, '{"ticker": "AAA", "relation_type": "cluster", "reason": "why", "tags": ["t"]}').otherwise('{"ticker": "QQQ", "relation_type": "direct"}')
+    item = F.concat(F.lit('{"news_id": "'), "news_id", F.lit('", "tags": ["no object", '), tag, F.lit("]}"))
+    raw = n.select(F.concat(F.lit('{"items": [5, '), item, F.lit("]}")).alias("raw_json"))
+    lists = n.select(F.concat(F.lit("["), item, F.lit("]")).alias("raw_json"))
+    return requests.normalize_relation_tags(raw.union(lists), n.filter("doc_id % 6 <> 0"), ["AAA"])
 
 
 def _trimmed(s, d):
@@ -254,10 +258,10 @@ def _(s, d):
     return reports.decision_summary(_targets(s, d).select("as_of", "selector", "ticker", F.round("weight", 9).alias("weight")))
 
 
-@query("f7_returns_map", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 5.0 ELSE value END AS a, CASE WHEN event_id % 3 = 0 THEN 7.0 END AS b FROM events", "a b")
+@query("f7_returns_map", "SELECT event_id, CASE WHEN event_id % 10 = 4 THEN 0.0 WHEN event_id % 2 = 0 THEN 5.0 ELSE value END AS a, CASE WHEN event_id % 3 = 0 THEN 7.0 ELSE 0.0 END AS b FROM events", "a b")
 def _(s, d):
     e = table(s, d, "events")
-    raw = F.when(F.col("event_id") % 2 == 0, '{"a": 5.0}')
+    raw = F.when(F.col("event_id") % 10 == 4, '{"a": null}').when(F.col("event_id") % 2 == 0, '{"a": 5.0}')
     m = selectors.returns_map(raw, {"a": F.col("value"), "b": F.when(F.col("event_id") % 3 == 0, 7.0)})
     return e.select("event_id", m["a"].alias("a"), m["b"].alias("b"))
 
@@ -370,12 +374,12 @@ def _(s, d):
 
 @query(
     "o3_liquidity_cap",
-    f"""WITH {_ORDERS}, x AS (SELECT *, CASE WHEN as_of % 3 = 0 THEN as_of % 40 END AS depth, as_of % 2 = 0 AND abs(target_lots) > abs(lots) AS thin, floor(20000 / lot_value) AS most FROM cand),
+    f"""WITH {_ORDERS}, x AS (SELECT *, CASE WHEN as_of % 3 = 0 THEN as_of % 40 END AS depth, as_of % 2 = 0 AND CASE WHEN target_lots = lots THEN false WHEN target_lots * lots > 0 THEN abs(target_lots) > abs(lots) ELSE target_lots <> 0 END AS thin, floor(20000 / lot_value) AS most FROM cand),
         y AS (SELECT *, CASE WHEN depth IS NOT NULL THEN depth WHEN thin THEN most END AS room FROM x)
         SELECT as_of, ticker, CAST(CASE WHEN room < requested THEN room ELSE requested END AS BIGINT) AS allowed, CASE WHEN room < requested THEN CASE WHEN depth IS NOT NULL THEN CASE WHEN room > 0 THEN 'depth_cap' ELSE 'depth_shortfall' END WHEN room > 0 THEN 'degraded_liquidity_cap' ELSE 'degraded_liquidity_skip' END ELSE '' END AS reason FROM y""",
 )
 def _(s, d):
-    x = _orders(s, d).withColumns({"depth_lots": F.when(F.col("as_of") % 3 == 0, F.col("as_of") % 40), "degraded": F.col("as_of") % 2 == 0, "risk_increasing": F.abs("target_lots") > F.abs("lots")})
+    x = _orders(s, d).withColumns({"depth_lots": F.when(F.col("as_of") % 3 == 0, F.col("as_of") % 40), "degraded": F.col("as_of") % 2 == 0, "risk_increasing": orders.risk_increasing(F.col("lots"), F.col("target_lots"))})
     return reports.liquidity_cap(x).select("as_of", "ticker", "allowed", "reason")
 
 
@@ -386,7 +390,7 @@ def _items(s, d):
     return table(s, d, "events").select(F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("external_id"), F.col("ts").alias("published_at"), F.col("event_id").alias("pos"))
 
 
-_MARKS = "marks AS (SELECT event_type AS source, arg_max(event_id, (ts, CAST(event_id AS VARCHAR))) AS mark_id, max(ts) AS mark_at FROM events WHERE event_id % 100 = 0 GROUP BY 1)"
+_MARKS = "marks AS (SELECT event_type AS source, arg_max(event_id, (ts, -event_id)) AS mark_id, max(ts) AS mark_at FROM events WHERE event_id % 100 = 0 GROUP BY 1)"
 
 
 def _marks(s, d):
@@ -399,9 +403,12 @@ def _(s, d):
     return jobs.late_items(_items(s, d), _marks(s, d)).select("pos", "late")
 
 
-@query("t2_advance_marks", "SELECT event_type AS source, arg_max(CAST(event_id AS VARCHAR), (ts, CAST(event_id AS VARCHAR))) AS mark_id, max(ts) AS mark_at FROM events GROUP BY 1")
+@query("t2_advance_marks", f"""WITH {_MARKS}, x AS (SELECT event_type AS source, event_id AS pos, CASE WHEN event_type = 'click' OR event_id % 7 = 0 THEN NULL ELSE ts END AS seen, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS id FROM events),
+       n AS (SELECT source, max(seen) AS seen, coalesce(arg_max(id, (seen, -pos)) FILTER (seen IS NOT NULL AND id <> ''), arg_min(id, pos) FILTER (id <> '')) AS id FROM x GROUP BY 1)
+       SELECT source, coalesce(id, CAST(mark_id AS VARCHAR)) AS mark_id, CASE WHEN seen IS NOT NULL AND (mark_at IS NULL OR seen >= mark_at) THEN seen ELSE mark_at END AS mark_at FROM n FULL JOIN marks USING (source)""")
 def _(s, d):
-    return jobs.advance_marks(_marks(s, d), _items(s, d))
+    x = _items(s, d).withColumns({"published_at": F.when((F.col("source") != "click") & (F.col("pos") % 7 != 0), F.col("published_at")), "external_id": F.when(F.col("pos") % 3 == 0, "").otherwise(F.col("external_id"))})
+    return jobs.advance_marks(_marks(s, d), x)
 
 
 @query("t4_bootstrap_select", "WITH x AS (SELECT *, ts >= TIMESTAMP '2024-01-25' AND event_type <> 'view' AS recent FROM events) SELECT event_id AS pos FROM x QUALIFY CASE WHEN max(CAST(recent AS INT)) OVER (PARTITION BY event_type) = 1 THEN recent ELSE row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 10 END")

@@ -158,10 +158,9 @@ def _(s, d):
 _WORDS = r"list_filter(regexp_extract_all(replace(lower(title), 'ё', 'е'), '[a-zа-я0-9]+'), lambda w: length(w) >= 3)"
 
 
-@query("f1_title_tokens", f"WITH {NEWS_SQL} SELECT doc_id, array_to_string({_WORDS}, ' ') AS tokens FROM news WHERE NOT regexp_matches(title, '[А-я]')")
+@query("f1_title_tokens", f"WITH {NEWS_SQL} SELECT doc_id, array_to_string({_WORDS}, ' ') AS tokens FROM news")
 def _(s, d):
-    n = news_of(s, d).filter(~F.col("title").rlike("[А-я]"))
-    return n.select("doc_id", F.array_join(text.title_tokens(F.col("title")), " ").alias("tokens"))
+    return news_of(s, d).select("doc_id", F.array_join(text.title_tokens(F.col("title")), " ").alias("tokens"))
 
 
 @query("f2_title_numbers", rf"WITH {NEWS_SQL} SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+(?:[,.]\d+)?'))) AS n FROM news")
@@ -440,19 +439,24 @@ def _(s, d):
 
 # news ------------------------------------------------------------------------------------------
 
-_TERMS = {"AAA": ["thing", "than"], "BBB": ["ment", "leur"], "CCC": ["und", "der"], "DDD": ["with", "this that"]}
+_TERMS = {"AAA": ["thing", "than"], "BBB": ["ment", "leur"], "CCC": ["und", "der"], "DDD": ["with", "this that"], "EEE": ["a.b", "c++", "ещё один", "over the"]}
 
 
 def _tags(s, d):
     return news.tag_entities(news_of(s, d), _TERMS)
 
 
-_TAG_SQL = " UNION ALL ".join(f"SELECT news_id, '{t}' AS ticker FROM news WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN_])({'|'.join(w)})($|[^\\pL\\pN_])')" for t, w in _TERMS.items())
+#: The terms as patterns of DuckDB's, which knows no look-around.
+_PATTERNS = {t: [w.replace("+", "\\+").replace(".", "\\.").replace("е", "[её]").replace(" ", "\\s+") for w in words] for t, words in _TERMS.items()}
+_EDGE = "[^0-9A-Za-zА-Яа-яЁё]"
+_BOTH = "coalesce(title, '') || chr(10) || coalesce(text, '')"
+_TAG_SQL = " UNION ALL ".join(f"SELECT news_id, '{t}' AS ticker FROM news WHERE regexp_matches({_BOTH}, '(?i)(^|{_EDGE})({'|'.join(w)})($|{_EDGE})')" for t, w in _PATTERNS.items())
+_TERMS_SQL = " UNION ALL ".join(f"SELECT news_id, '{t}' AS ticker, '{w}' AS term FROM news WHERE regexp_matches({_BOTH}, '(?i)(^|{_EDGE}){p}($|{_EDGE})')" for t, words in _TERMS.items() for w, p in zip(words, _PATTERNS[t], strict=True))
 
 
-@query("n1_tag_entities", f"WITH {NEWS_SQL} {_TAG_SQL}")
+@query("n1_tag_entities", f"WITH {NEWS_SQL}, x AS ({_TERMS_SQL}) SELECT news_id, ticker, string_agg(term, ',' ORDER BY term) AS terms FROM x GROUP BY ALL")
 def _(s, d):
-    return _tags(s, d).select("news_id", "ticker")
+    return _tags(s, d).select("news_id", "ticker", F.array_join("terms", ",").alias("terms"))
 
 
 @query(
@@ -478,13 +482,15 @@ def _(s, d):
 def _context(s, d):
     n = news_of(s, d).select("news_id", F.col("ts").alias("received_at"))
     tags = _tags(s, d).select("news_id", "ticker", F.when(F.col("ticker") == "BBB", "cluster").when(F.col("ticker") == "DDD", "marketwide").otherwise("direct").alias("relation"), F.lit(0.8).alias("strength"))
-    none = s.createDataFrame([], "news_id string, story_id string")
+    in_story = news_of(s, d).filter("doc_id % 4 < 2").select("news_id", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 4).cast("string")).alias("story_id"))
     grid = n.select(F.expr("date_trunc('HOUR', received_at) + interval 6 hours").cast("timestamp_ntz").alias("as_of")).distinct()
-    return news.context_dedupe(news.news_context(n, tags, none, grid))
+    return news.context_dedupe(news.news_context(n, tags, in_story, grid))
 
 
 _CONTEXT = f"""{NEWS_SQL}, tags AS ({_TAG_SQL}), g AS (SELECT DISTINCT date_trunc('hour', ts) + INTERVAL 6 HOURS AS as_of FROM news),
-    context AS (SELECT as_of, news_id, ts AS received_at, ticker, CASE WHEN ticker = 'BBB' THEN 'cluster' WHEN ticker = 'DDD' THEN 'marketwide' WHEN ticker IS NOT NULL THEN 'direct' END AS relation FROM news JOIN g ON CAST(ts AS DATE) = CAST(as_of AS DATE) AND ts <= as_of LEFT JOIN tags USING (news_id))"""
+    seen AS (SELECT as_of, news_id, ts AS received_at, ticker, CASE WHEN ticker = 'BBB' THEN 'cluster' WHEN ticker = 'DDD' THEN 'marketwide' WHEN ticker IS NOT NULL THEN 'direct' END AS relation, CASE WHEN doc_id % 4 < 2 THEN 's' || doc_id // 4 END AS story_id
+        FROM news JOIN g ON CAST(ts AS DATE) = CAST(as_of AS DATE) AND ts <= as_of LEFT JOIN tags USING (news_id)),
+    context AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY as_of, coalesce(story_id, news_id), coalesce(ticker, ''), coalesce(relation, 'direct') ORDER BY received_at, news_id) = 1)"""
 
 
 @query("j2_news_context", f"WITH {_CONTEXT} SELECT as_of, count(*) AS n, count(ticker) AS tagged FROM context GROUP BY as_of")
@@ -510,11 +516,12 @@ def _(s, d):
 
 @query(
     "j6_untagged_news",
-    f"WITH {NEWS_SQL}, tags AS ({_TAG_SQL}) SELECT news_id, ts AS received_at FROM news WHERE news_id NOT IN (SELECT news_id FROM tags) ORDER BY ts, news_id LIMIT 50",
+    f"""WITH {NEWS_SQL}, tags AS ({_TAG_SQL}), x AS (SELECT news_id, ts AS received_at, source || doc_id // 9 AS story_id FROM news WHERE news_id NOT IN (SELECT news_id FROM tags) AND ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-01 20:00:00' ORDER BY ts, news_id LIMIT 60),
+        f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY received_at, news_id) = 1) SELECT news_id, received_at FROM f ORDER BY received_at, news_id LIMIT 20""",
 )
 def _(s, d):
-    n = news_of(s, d).select("news_id", F.col("ts").alias("received_at"), F.lit(None).cast("string").alias("story_id"))
-    return news.untagged(n, _tags(s, d), 50).select("news_id", "received_at")
+    n = news_of(s, d).select("news_id", F.col("ts").alias("received_at"), F.concat("source", F.floor(F.col("doc_id") / 9).cast("string")).alias("story_id"))
+    return news.untagged(n, _tags(s, d), "2024-01-01 20:00:00", 20).select("news_id", "received_at")
 
 
 @query(
@@ -528,9 +535,15 @@ def _(s, d):
     return news.normalize_items(n, trust).select("news_id", F.char_length("title").cast("long").alias("title_chars"), "confidence")
 
 
-@query("p10_news_identity", f"""WITH {NEWS_SQL} SELECT doc_id, source || ':' || CASE WHEN doc_id % 2 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE sha256('{{"text": null, "title": "' || replace(replace(title, '\\', '\\\\'), '"', '\\"') || '", "url": null}}') END AS news_id FROM news""")
+@query(
+    "p10_news_identity",
+    f"""WITH {NEWS_SQL}, x AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text || chr(9) || chr(13) || chr(1) || chr(12) END AS body, 'http://h/"' || doc_id AS url FROM news)
+        SELECT doc_id, source || ':' || CASE WHEN doc_id % 2 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE sha256('{{"text": ' || coalesce(CAST(to_json(body) AS VARCHAR), 'null') || ', "title": ' || CAST(to_json(title) AS VARCHAR) || ', "url": ' || CAST(to_json(url) AS VARCHAR) || '}}') END AS news_id FROM x""",
+)
 def _(s, d):
-    n = news_of(s, d).withColumns({"url": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "external_id": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise("")})
+    i = F.col("doc_id")
+    body = F.when(i % 5 != 0, F.concat("text", F.lit("\t\r\x01\f")))
+    n = news_of(s, d).withColumns({"url": F.concat(F.lit('http://h/"'), i.cast("string")), "text": body, "external_id": F.when(i % 2 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise("")})
     return news.news_identity(n).select("doc_id", "news_id")
 
 
@@ -598,7 +611,7 @@ def _orders(s, d):
 
 
 _ORDERS = """lines AS (SELECT l_orderkey AS as_of, CAST(l_linenumber AS VARCHAR) AS ticker, CASE WHEN l_linenumber = 1 THEN l_partkey % 40 ELSE 0 END AS lots, CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * l_quantity / 100 AS target_weight,
-        l_extendedprice / l_quantity / 10 AS price FROM lineitem WHERE l_linenumber <= 3),
+        l_extendedprice / l_quantity / 10 AS price FROM lineitem),
     t AS (SELECT *, CAST(sign(100000.0::DOUBLE * target_weight / price) * floor(abs(100000.0::DOUBLE * target_weight / price) / 10) AS BIGINT) AS target_lots FROM lines WHERE price > 0),
     cand AS (SELECT *, target_lots - lots AS delta, CASE WHEN target_lots > lots THEN 'B' ELSE 'S' END AS direction, abs(target_lots - lots) AS requested, 10 * price AS lot_value FROM t WHERE target_lots <> lots AND abs(target_lots - lots) * 10 * price >= 100)"""
 
@@ -616,15 +629,23 @@ def _(s, d):
 
 @query(
     "o2_depth_cost",
-    """WITH l AS (SELECT l_orderkey, l_extendedprice / l_quantity AS price, l_quantity AS q, sum(l_quantity) OVER w - l_quantity AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice / l_quantity, l_quantity, l_linenumber ROWS UNBOUNDED PRECEDING)),
-       f AS (SELECT *, least(q, greatest(60 - before, 0)) AS take FROM l)
-       SELECT l_orderkey, sum(take) AS filled, CASE WHEN sum(take) > 0 THEN abs(sum(take * price) / sum(take) / 1500 - 1) ELSE 0 END AS cost, sum(take) < 60 AS shortfall FROM f GROUP BY l_orderkey""",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_orderkey % 2 = 0 AS ask, CASE WHEN l_orderkey % 5 = 0 THEN 1400 ELSE 1500 END AS ref, l_extendedprice / l_quantity AS price, CASE WHEN l_linenumber = 4 THEN 0 ELSE l_quantity END AS q FROM lineitem),
+       l AS (SELECT *, sum(q) OVER w - q AS before FROM b WHERE price > 0 AND q > 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY CASE WHEN ask THEN price ELSE -price END, q, l_linenumber ROWS UNBOUNDED PRECEDING)),
+       f AS (SELECT *, least(q, greatest(60 - before, 0)) AS take FROM l),
+       s AS (SELECT l_orderkey, any_value(ask) AS ask, any_value(ref) AS ref, sum(take) AS filled, sum(take * price) / sum(take) AS vwap, sum(q) AS available FROM f GROUP BY l_orderkey),
+       k AS (SELECT DISTINCT l_orderkey, l_orderkey % 7 = 0 AS idle FROM lineitem)
+       SELECT l_orderkey, CASE WHEN idle THEN 0 ELSE coalesce(filled, 0) END AS filled, CASE WHEN idle OR filled IS NULL THEN 0 ELSE greatest((CASE WHEN ask THEN 1 ELSE -1 END) * (vwap - ref) / ref, 0) END AS cost,
+         CASE WHEN idle THEN 0 ELSE coalesce(floor(available / 10), 0)::BIGINT END AS max_lots, NOT idle AND coalesce(filled, 0) < 60 AS shortfall FROM k LEFT JOIN s USING (l_orderkey)""",
     "filled cost",
 )
 def _(s, d):
-    level = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), "l_linenumber")
+    key, price = F.col("l_orderkey"), F.col("l_extendedprice") / F.col("l_quantity")
+    quantity = F.when(F.col("l_linenumber") == 4, 0.0).otherwise(F.col("l_quantity"))
+    level = F.struct(F.when(key % 2 == 0, price).otherwise(-price).alias("o"), quantity.alias("quantity"), "l_linenumber", price.alias("price"))
     books = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(level)).alias("levels"))
-    return books.select("l_orderkey", orders.depth_cost(F.col("levels"), F.lit(60.0), F.lit(1500.0)).alias("x")).select("l_orderkey", "x.*")
+    lots = F.when(key % 7 == 0, 0).otherwise(6)
+    x = orders.depth_cost(F.col("levels"), F.when(key % 2 == 0, "ask").otherwise("bid"), lots, F.lit(10), F.when(key % 5 == 0, 0.0).otherwise(1500.0), F.lit(1400.0))
+    return books.select("l_orderkey", x.alias("x")).select("l_orderkey", "x.*")
 
 
 @query(
@@ -655,27 +676,45 @@ def _(s, d):
 @query(
     "o5_ledger_admit",
     """WITH l AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 3 = 0), u AS (SELECT day, count(*) AS used FROM l GROUP BY day),
-       x AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS dup FROM orders WHERE o_orderkey % 2 = 0 )
+       x AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 = 0 AS dup FROM orders)
        SELECT order_key, CASE WHEN dup THEN 'duplicate_skipped' WHEN coalesce(used, 0) + sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY order_key ROWS UNBOUNDED PRECEDING) <= 4 THEN 'dry_run' ELSE 'blocked' END AS status FROM x LEFT JOIN u USING (day)""",
 )
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("order_key"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("seq"))
-    return orders.ledger_admit(o.filter("order_key % 2 = 0"), o.filter("order_key % 3 = 0"), 4).select("order_key", "status")
+    return orders.ledger_admit(o, o.filter("order_key % 3 = 0"), 4).select("order_key", "status")
 
 
 # market ----------------------------------------------------------------------------------------
 
 
-@query(
-    "p12_cost_snapshot",
-    """WITH q AS (SELECT p_partkey, p_retailprice AS last_price, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_retailprice - p_size / 100.0::DOUBLE END AS bid, p_retailprice + p_size / 50.0::DOUBLE AS ask FROM part), m AS (SELECT *, bid > 0 AND ask > 0 AS ok, (bid + ask) / 2 AS mid FROM q)
-       SELECT p_partkey, NOT ok AS missing_bbo, CASE WHEN ok THEN (ask - bid) / mid END AS spread, CASE WHEN ok THEN greatest((ask - bid) / mid / 2, 0.0005) ELSE 0.0015 END AS cost FROM m""",
-    "spread cost",
-)
+#: Quotes of every part: some without a bid, some crossed, some with a book of two levels a side, some without any price.
+_QUOTES = """q AS (SELECT p_partkey AS ticker, p_size AS as_of, CASE WHEN p_size % 11 = 0 THEN 0 ELSE p_retailprice END AS last, CASE WHEN p_size % 5 = 0 OR p_size % 11 = 0 THEN 0 ELSE p_retailprice - p_size / 100.0::DOUBLE END AS bid,
+         CASE WHEN p_size % 11 = 0 THEN 0 ELSE p_retailprice + CASE WHEN p_size % 7 = 0 THEN -1 ELSE 1 END * p_size / 50.0::DOUBLE END AS ask, p_size % 3 = 0 AS deep, p_retailprice * 30 AS depth FROM part),
+       r AS (SELECT ticker, as_of, last, deep, depth, CASE WHEN bid = 0 AND deep THEN last - 1 ELSE bid END AS bid, CASE WHEN ask = 0 AND deep THEN last + 1 ELSE ask END AS ask, CASE WHEN last > 0 THEN last ELSE 0 END AS p FROM q),
+       m AS (SELECT *, bid > 0 AND ask > 0 AND ask >= bid AS ok, CASE WHEN deep THEN 'depth' WHEN bid <> 0 AND ask <> 0 THEN 'bbo' ELSE 'missing_bbo' END AS source_quality FROM r),
+       snap AS (SELECT ticker, as_of, source_quality, NOT ok AS missing_bbo, NOT ok OR source_quality = 'missing_bbo' AS unknown_cost, CASE WHEN ok THEN (bid + ask) / 2 ELSE last END AS mid, CASE WHEN ok THEN (ask - bid) / ((bid + ask) / 2) ELSE 0 END AS spread,
+         CASE WHEN NOT ok OR source_quality = 'missing_bbo' THEN 0.0015 ELSE greatest((ask - bid) / ((bid + ask) / 2) / 2, 0.0005) END AS cost, CASE WHEN last > 0 THEN last WHEN ok THEN (bid + ask) / 2 ELSE last END AS last,
+         coalesce(CASE WHEN last > 0 THEN last WHEN ok THEN (bid + ask) / 2 END, 0) > 0 AS tradable, NOT deep AS depth_unknown, source_quality <> 'depth' OR NOT ok AS liquidity_degraded, CASE WHEN deep THEN depth ELSE 0 END AS bid_depth_value FROM m)"""
+
+
+def quotes(s, d):
+    p, size, price = table(s, d, "part"), F.col("p_size"), F.col("p_retailprice")
+    none = size % 11 == 0
+    last = F.when(none, 0.0).otherwise(price)
+    book = lambda by: F.when(size % 3 == 0, F.array(F.struct((last + by).alias("price"), F.lit(0.0).alias("quantity")), F.struct(price.alias("price"), F.lit(30.0).alias("quantity"))))
+    q = p.select(
+        F.col("p_partkey").alias("ticker"), size.alias("as_of"), last.alias("last_price"), F.lit(None).cast("double").alias("prev_price"), F.when((size % 5 == 0) | none, 0.0).otherwise(price - size / 100).alias("bid"),
+        F.when(none, 0.0).otherwise(price + F.when(size % 7 == 0, -1).otherwise(1) * size / 50).alias("ask"), book(-1).alias("bid_levels"), book(1).alias("ask_levels"),
+    )
+    return market.cost_snapshot(q)
+
+
+_SNAPSHOT = ["ticker", "source_quality", "missing_bbo", "unknown_cost", "mid", "spread", "cost", "last", "tradable", "depth_unknown", "liquidity_degraded", "bid_depth_value"]
+
+
+@query("p12_cost_snapshot", f"WITH {_QUOTES} SELECT {', '.join(_SNAPSHOT)} FROM snap", "mid spread cost last bid_depth_value")
 def _(s, d):
-    p = table(s, d, "part")
-    q = p.select("p_partkey", F.col("p_retailprice").alias("last_price"), F.lit(None).cast("double").alias("prev_price"), F.when(F.col("p_size") % 5 == 0, 0.0).otherwise(F.col("p_retailprice") - F.col("p_size") / 100).alias("bid"), (F.col("p_retailprice") + F.col("p_size") / 50).alias("ask"))
-    return market.cost_snapshot(q).select("p_partkey", "missing_bbo", "spread", "cost")
+    return quotes(s, d).select(*_SNAPSHOT)
 
 
 @query(
@@ -691,12 +730,13 @@ def _(s, d):
 
 @query(
     "j1_universe_candidates",
-    """SELECT c_custkey AS secid, c_acctbal AS cap FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 ORDER BY cap DESC, secid LIMIT 20""",
+    """SELECT c_custkey AS secid, c_acctbal AS cap FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 AND c_mktsegment <> 'MACHINERY' ORDER BY cap DESC, secid LIMIT 20""",
 )
 def _(s, d):
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("secid"), F.col("c_nationkey").alias("board"), F.col("c_acctbal").alias("cap"))
+    kind = F.when(F.col("c_mktsegment") == "MACHINERY", "2").otherwise("1")
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("secid"), F.col("c_nationkey").alias("board"), F.col("c_acctbal").alias("cap"), kind.alias("sectype"))
     n = table(s, d, "nation").select(F.col("n_nationkey").alias("board"))
-    return market.universe_candidates(c, n.join(c.select("secid", "board"), "board"), 20).select("secid", "cap")
+    return market.universe_candidates(c.select("secid", "board", "sectype"), n.join(c.select("secid", "board", "cap"), "board"), 20).select("secid", "cap")
 
 
 # sources and sinks -----------------------------------------------------------------------------

@@ -30,11 +30,18 @@ def late_items(items: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def advance_marks(marks: DataFrame, items: DataFrame) -> DataFrame:
-    """Newest published item of each source replaces its mark when it isn't older."""
-    new = items.filter("published_at is not null").groupBy("source").agg(F.max(F.struct("published_at", "external_id")).alias("x"))
-    x = marks.join(new.select("source", F.col("x.published_at").alias("p"), F.col("x.external_id").alias("e")), "source", "full")
+    """Marks (source, mark_id, mark_at) after a run over items (source, pos, external_id, published_at).
+
+    The time moves to the newest item's if that isn't older; the id moves to that
+    of the newest item that has one, the first in feed order if several are; of a
+    source without times, to the first id in feed order. No id leaves the mark's.
+    """
+    has_id = F.coalesce(F.col("external_id") != "", F.lit(False))
+    newest = F.max_by("external_id", F.when(has_id & F.col("published_at").isNotNull(), F.struct("published_at", (-F.col("pos")).alias("p"))))
+    new = items.groupBy("source").agg(F.max("published_at").alias("p"), F.coalesce(newest, F.min_by("external_id", F.when(has_id, F.col("pos")))).alias("e"))
+    x = marks.join(new, "source", "full")
     newer = F.col("p").isNotNull() & (F.col("mark_at").isNull() | (F.col("p") >= F.col("mark_at")))
-    return x.select("source", F.when(newer, F.col("e")).otherwise(F.col("mark_id")).alias("mark_id"), F.when(newer, F.col("p")).otherwise(F.col("mark_at")).alias("mark_at"))
+    return x.select("source", F.coalesce("e", "mark_id").alias("mark_id"), F.when(newer, F.col("p")).otherwise(F.col("mark_at")).alias("mark_at"))
 
 
 def bootstrap_select(items: DataFrame, since: str, k: int) -> DataFrame:
