@@ -58,12 +58,28 @@ def backtest_summary(pred: DataFrame) -> DataFrame:
     )
 
 
-def context_matrix(bars: DataFrame, length: int) -> DataFrame:
-    """Per (ticker, ts): z-scores of the close over the last `length` bars, clipped to 5, as an array."""
+PRICE_COLUMNS = ("open", "high", "low", "close")
+
+
+def context_matrix(bars: DataFrame, length: int, clip: float = 5.0) -> DataFrame:
+    """Per (ticker, ts) with `length` bars up to it: z, the clipped z-scores of the six columns of each bar, and stamps, its calendar parts.
+
+    An absent volume makes volume and amount 0; an absent amount is volume times
+    the mean of the four prices.
+    """
+    x = bars
+    if "volume" not in x.columns:
+        x = x.withColumns({"volume": F.lit(0.0), "amount": F.lit(0.0)})
+    if "amount" not in x.columns:
+        x = x.withColumn("amount", F.col("volume") * sum((F.col(c) for c in PRICE_COLUMNS), F.lit(0.0)) / len(PRICE_COLUMNS))
+    names = (*PRICE_COLUMNS, "volume", "amount")
     w = Window.partitionBy("ticker").orderBy("ts").rowsBetween(-length + 1, 0)
-    x = bars.withColumns({"mean": F.avg("close").over(w), "std": F.stddev_pop("close").over(w), "ctx": F.collect_list("close").over(w)}).filter(F.size("ctx") == length)
-    z = F.transform("ctx", lambda c: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (c - F.col("mean")) / (F.col("std") + 1e-5))))
-    return x.select("ticker", "ts", z.alias("z"))
+    bar = F.struct("ts", *[F.col(c).cast("double").alias(c) for c in names])
+    x = x.withColumns({"ctx": F.collect_list(bar).over(w)} | {f"{f}_{c}": g(c).over(w) for c in names for f, g in (("mean", F.avg), ("std", F.stddev_pop))}).filter(F.size("ctx") == length)
+    score = lambda b, c: F.greatest(F.lit(-clip), F.least(F.lit(clip), (b[c] - F.col(f"mean_{c}")) / (F.col(f"std_{c}") + 1e-5)))
+    z = F.transform("ctx", lambda b: F.array(*[score(b, c) for c in names]))
+    stamps = F.transform("ctx", lambda b: F.array(*[p(b["ts"]) for p in (F.minute, F.hour, F.weekday, F.dayofmonth, F.month)]))
+    return x.select("ticker", "ts", z.alias("z"), stamps.alias("stamps"))
 
 
 def rolling_backtest(bars: DataFrame, targets: DataFrame, predictor: Callable[[pd.DataFrame], list[float]], context: int) -> DataFrame:

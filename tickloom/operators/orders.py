@@ -30,7 +30,7 @@ def order_candidates(x: DataFrame) -> DataFrame:
     out = x.filter("price > 0").withColumn("target_lots", target).withColumn("delta", F.col("target_lots") - F.col("lots")).filter("delta <> 0")
     out = out.withColumns({"direction": F.when(F.col("delta") > 0, "B").otherwise("S"), "requested": F.abs("delta"), "lot_value": F.col("lot_size") * F.col("price")})
     out = out.filter(F.col("requested") * F.col("lot_value") >= MIN_ORDER_VALUE)
-    first = Window.partitionBy("as_of").orderBy((F.col("direction") == "B").cast("int"), F.abs("target_weight").desc(), "ticker")
+    first = Window.partitionBy("as_of").orderBy((F.col("direction") == "B").cast("int"), F.abs("target_weight").desc(), "ticker", "requested", "lot_value")
     return out.withColumn("priority", F.row_number().over(first))
 
 

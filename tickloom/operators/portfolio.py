@@ -49,6 +49,17 @@ def conflict_metrics(selector_weights: DataFrame, targets: DataFrame) -> DataFra
     return c.groupBy("as_of", "ticker").agg(up.alias("long_sum"), down.alias("short_sum"), F.sum("c").alias("net"), (F.least(up, down) * 2).alias("cancelled"))
 
 
+def conflict_report(selector_weights: DataFrame, targets: DataFrame, top: int = 10) -> DataFrame:
+    """Per as_of: gross before and after blending, conflicts and what they cancel; one row for each of the `top` conflicts, or one of zeros and ticker ''."""
+    per = conflict_metrics(selector_weights, targets).withColumn("conflict", F.col("cancelled") > 0)
+    total = per.groupBy("as_of").agg(
+        F.sum(F.col("long_sum") + F.col("short_sum")).alias("gross_before"), F.sum(F.abs("net")).alias("gross_after"), F.count(F.when(F.col("conflict"), 1)).alias("conflicts"), F.sum("cancelled").alias("cancelled_total")
+    )
+    place = F.row_number().over(Window.partitionBy("as_of").orderBy(F.round("cancelled", 9).desc(), "ticker"))
+    worst = per.filter("conflict").withColumn("place", place).filter(F.col("place") <= top).drop("conflict")
+    return total.join(worst, "as_of", "left").na.fill(0).na.fill("", ["ticker"])
+
+
 def paper_returns(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Sum of weight * (next price / price - 1) where both are above 0, for each (as_of, selector)."""
     ret = F.when((F.col("price") > 0) & (F.col("next_price") > 0), F.col("weight") * (F.col("next_price") / F.col("price") - 1)).otherwise(F.lit(0.0))
@@ -69,3 +80,10 @@ def held_times(schedule: DataFrame) -> DataFrame:
     w = Window.partitionBy("selector").orderBy("ts")
     due = F.col("due") | (F.row_number().over(w) == 1)
     return schedule.withColumn("computed_at", F.last(F.when(due, F.col("ts")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def held_weights(schedule: DataFrame, targets: DataFrame) -> DataFrame:
+    """(selector, as_of, ticker, weight, held) at each time of the schedule (selector, ts, due): the targets computed when it was last due."""
+    at = held_times(schedule).select("selector", F.col("ts").alias("as_of"), "computed_at")
+    t = targets.select("selector", F.col("as_of").alias("computed_at"), "ticker", "weight")
+    return at.join(t, ["selector", "computed_at"]).select("selector", "as_of", "ticker", "weight", (F.col("as_of") != F.col("computed_at")).alias("held"))

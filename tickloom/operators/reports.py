@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def story_stats(clusters: DataFrame) -> DataFrame:
-    """Counts of stories (story_id, items): stories, items in them, items saved by them."""
-    return clusters.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("items"), F.lit(0)).alias("clustered"), F.coalesce(F.sum(F.col("items") - 1), F.lit(0)).alias("deduplicated"))
+#: Errors that a half hour reports.
+ERRORS = 20
+
+
+def story_stats(clusters: DataFrame, news_items: int) -> DataFrame:
+    """Counts of stories (story_id, items): stories, items in them, items saved by them; unique_stories are all items less the saved ones."""
+    total = clusters.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("items"), F.lit(0)).alias("clustered"), F.coalesce(F.sum(F.col("items") - 1), F.lit(0)).alias("deduplicated"))
+    return total.withColumn("unique_stories", F.lit(news_items) - F.col("deduplicated"))
 
 
 def story_report(clusters: DataFrame, items: DataFrame, limit: int) -> DataFrame:
@@ -24,12 +29,21 @@ def rebuild_stories(new: DataFrame, old: DataFrame, now: str) -> DataFrame:
 
 
 def source_run_stats(log: DataFrame) -> DataFrame:
-    """Runs, saved items and errors of each half hour and source, and of each half hour (source null)."""
-    w = F.window("ts", "30 minutes")["start"]
-    x = log.withColumn("window_start", w)
-    return x.rollup("window_start", "source").agg(
-        F.count("*").alias("runs"), F.sum("saved").alias("saved"), F.sum("errors").cast("long").alias("errors"), F.max("ts").alias("last_run")
+    """Totals of each half hour and source, and of each half hour (source null), with its first 20 errors.
+
+    log: ts, source, fetched, selected, saved, duplicates, skipped, error (text or null).
+    """
+    x = log.withColumn("window_start", F.window("ts", "30 minutes")["start"])
+    counts = ("fetched", "selected", "saved", "duplicates", "skipped")
+    out = x.rollup("window_start", "source").agg(
+        F.count("*").alias("runs"), *[F.sum(c).cast("long").alias(c) for c in counts], F.count("error").alias("errors"), F.max("ts").alias("last_run"),
     ).filter("window_start is not null")
+    first = F.row_number().over(Window.partitionBy("window_start").orderBy("ts", "source", "error"))
+    errors = x.filter("error is not null").withColumn("rn", first).filter(F.col("rn") <= ERRORS)
+    item = F.struct("rn", "source", F.substring("error", 1, 500).alias("error"))
+    sample = errors.groupBy("window_start").agg(F.transform(F.array_sort(F.collect_list(item)), lambda e: F.struct(e["source"].alias("source"), e["error"].alias("error"))).alias("errors_sample"))
+    empty = F.array().cast("array<struct<source: string, error: string>>")
+    return out.join(sample, "window_start", "left").withColumn("errors_sample", F.when(F.col("source").isNull(), F.coalesce("errors_sample", empty)))
 
 
 def news_store_summary(news: DataFrame, tags: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized
+
 
 def percentile_scores(values: DataFrame, tie: str = "ticker") -> DataFrame:
     """(as_of, ticker, value) with score: place in rising order / count; a missing value scores 0.5."""
@@ -46,25 +48,44 @@ def clipped(x: Column, default: float) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
-def interval_features(inputs: DataFrame) -> DataFrame:
-    """Features of a time over all its (as_of, ticker) rows: forecast, news_score, confidence, risk, cost, spread, flags, counts."""
+def interval_features(inputs: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """Features of a time over all its (as_of, ticker) rows; absent values take the defaults of a ticker without data.
+
+    inputs: forecast, news_score, confidence, priced_risk, cost, spread, tradable,
+    degraded, depth_unknown, missing_bbo, news_count; market: (as_of,
+    marketwide_news_count).
+    """
     f, s = clipped(F.col("forecast"), 0.5), clipped(F.col("news_score"), 0.5)
-    x = inputs.withColumns({"f": f, "s": s, "d": F.abs(f - s), "c": clipped(F.col("confidence"), 0.0)})
+    number = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c)), 0.0).otherwise(F.col(c))
+    x = inputs.withColumns({"f": f, "s": s, "d": F.abs(f - s), "c": clipped(F.col("confidence"), 0.0), "r": clipped(F.col("priced_risk"), 0.5), "cost": number("cost"), "spread": number("spread")})
     aggs = [g(c).alias(f"{name}_{n}") for c, name in (("f", "forecast"), ("s", "news")) for n, g in (("mean", F.avg), ("std", F.stddev_pop), ("top", F.max), ("bottom", F.min))]
+    aggs += [g(c).alias(f"{name}_{n}") for c, name in (("d", "disagreement"), ("c", "confidence"), ("r", "priced_risk"), ("cost", "cost"), ("spread", "bbo_spread")) for n, g in (("mean", F.avg), ("max", F.max))]
+    flag = lambda c, default: F.sum(F.coalesce(c, F.lit(default)).cast("double"))
+    news = F.coalesce("news_count", F.lit(0)).cast("double")
     out = x.groupBy("as_of").agg(
-        *aggs, F.avg("d").alias("disagreement_mean"), F.max("d").alias("disagreement_max"), F.avg("c").alias("confidence_mean"), F.max("c").alias("confidence_max"),
-        F.avg("cost").alias("cost_mean"), F.max("cost").alias("cost_max"), F.sum(F.col("tradable").cast("double")).alias("tradable_count"),
-        F.sum("news_count").cast("double").alias("ticker_news_total"), F.sum((F.col("news_count") > 0).cast("double")).alias("ticker_news_coverage"),
+        *aggs, flag("tradable", True).alias("tradable_count"), flag("degraded", False).alias("degraded_count"), flag("depth_unknown", False).alias("depth_unknown_count"), flag("missing_bbo", False).alias("missing_bbo_count"),
+        F.sum(news).alias("ticker_news_total"), F.max(news).alias("ticker_news_max"), F.sum((news > 0).cast("double")).alias("ticker_news_coverage"),
     )
+    out = out.withColumn("marketwide_news_count", F.lit(0.0)) if market is None else out.join(market.select("as_of", "marketwide_news_count"), "as_of", "left")
     t = F.col("as_of")
+    wide = F.coalesce("marketwide_news_count", F.lit(0.0)).cast("double")
     return out.withColumns(
         {
-            "forecast_spread": F.col("forecast_top") - F.col("forecast_bottom"), "news_spread": F.col("news_top") - F.col("news_bottom"),
+            "forecast_spread": F.col("forecast_top") - F.col("forecast_bottom"), "news_spread": F.col("news_top") - F.col("news_bottom"), "marketwide_news_count": wide, "total_news_count": F.col("ticker_news_total") + wide,
             "hour": F.hour(t).cast("double"), "minute": F.minute(t).cast("double"), "day_of_week": F.weekday(t).cast("double"), "is_weekend": (F.weekday(t) >= 5).cast("double"),
         }
     )
 
 
+def carried_scores(decisions: DataFrame, scores: DataFrame, universe: DataFrame) -> DataFrame:
+    """(as_of, ticker, score) of every decision: its own set of scores, else the last whole set before it, else 0.5 for the universe."""
+    has = decisions.join(scores.select("as_of", F.lit(True).alias("has_scores")).distinct(), "as_of", "left").select("as_of", F.coalesce("has_scores", F.lit(False)).alias("has_scores"))
+    at = carry_forward(has).select("as_of", "source_as_of")
+    known = at.join(scores.withColumnRenamed("as_of", "source_as_of"), "source_as_of").select("as_of", "ticker", "score")
+    none = at.filter("source_as_of is null").join(sized(universe.select("ticker").distinct()), how="cross").select("as_of", "ticker", F.lit(0.5).alias("score"))
+    return known.union(none)
+
+
 def carry_forward(decisions: DataFrame) -> DataFrame:
     """(as_of, has_scores) with source_as_of: the last time that had scores; null before the first."""
     known = F.last(F.when(F.col("has_scores"), F.col("as_of")), ignorenulls=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scores import interval_features, rank_weights
+
 TREES, DEPTH, RATE, LAST_ROWS, LEAST_ROWS = 60, 3, 0.05, 512, 48
 
 
@@ -45,6 +47,24 @@ def fit_selector_model(matrix: DataFrame, features: list[str], last: int = LAST_
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), trees]).fit(newest)
 
 
+def selector_weights(matrix: DataFrame, features: list[str], since, power: float = 2.0) -> DataFrame:
+    """(ts, selector, weight) of the matrix's times from `since` on, ranked by a model of the rows before it only.
+
+    With too few rows before it, or one label, the selectors rank by their index.
+    """
+    now = matrix.filter(F.col("ts") >= F.lit(since))
+    model = fit_selector_model(matrix.filter(F.col("ts") < F.lit(since)), features)
+    scored = now.withColumn("prediction", F.lit(0.0)) if model is None else model.transform(now)
+    return rank_weights(scored, ["ts"], "prediction", "selector_index", power).select("ts", "selector", "weight", "prediction")
+
+
+def bootstrap_rows(inputs: DataFrame, paper: DataFrame) -> DataFrame:
+    """Training rows of past times: features of inputs (as_of, ticker, forecast), all else at its default, with the paper returns (as_of, selector, ret) as a map."""
+    absent = {c: F.lit(None).cast("double") for c in ("news_score", "confidence", "priced_risk", "cost", "spread", "news_count")} | {c: F.lit(None).cast("boolean") for c in ("tradable", "degraded", "depth_unknown", "missing_bbo")}
+    returns = paper.groupBy("as_of").agg(F.map_from_entries(F.collect_list(F.struct("selector", "ret"))).alias("returns"))
+    return interval_features(inputs.withColumns(absent)).join(returns, "as_of")
+
+
 def window_metrics(pred: DataFrame) -> DataFrame:
     """Errors and direction accuracy of (model, ticker, window) from rows with actual, prediction and last_close."""
     err = F.col("prediction") - F.col("actual")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import ids, text
 from ..operators.common import new_folder as folder
 from ..operators import backtest, market, news, orders, portfolio, reports, requests, scores, selectors, stories
 from ..sources import feeds, tables
 from ..streaming import jobs
 from .inputs import NEWS_SQL, PRICES_SQL, bars, bars_sql, prices, table, ticks
 from .inputs import news as news_of
-from .queries import _CONTEXT, _ORDERS, _PAIRS, _QUOTES, _RECORDS, _ROLLED, _TAG_SQL, ORACLE, QUERIES, _context, _orders, _records, _scores, _tags, _targets, _weights, query, quotes
+from .queries import _CONTEXT, _ORDERS, _PAIRS, _QUOTES, _RECORDS, _RETURNS, _ROLLED, _TAG_SQL, ORACLE, QUERIES, _context, _orders, _records, _scores, _tags, _targets, _weights, query, quotes
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -84,6 +85,41 @@ def _(s, d):
     return feeds.enrich_full_text(items, pages).select("doc_id", F.char_length("text").cast("long").alias("n"))
 
 
+@query("io2_read_candles", f"WITH {bars_sql(30, 'user')} SELECT ticker, ts, end_ts, open, high, low, close, volume, amount FROM bars", "volume amount")
+def _(s, d):
+    path = folder(s)
+    bars(s, d, 30, "user").withColumnsRenamed({"ts": "begin", "end_ts": "end", "amount": "value"}).write.parquet(path)
+    return tables.read_candles(s, path)
+
+
+@query("j12_known_id_filter", f"WITH {NEWS_SQL}, k AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'other:' || doc_id ELSE news_id END AS news_id, source FROM news WHERE doc_id % 3 = 0) SELECT doc_id FROM news WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = news.source AND k.news_id = news.source || ':' || news.doc_id)")
+def _(s, d):
+    n = news_of(s, d)
+    stored = n.filter("doc_id % 3 = 0").select("source", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("other:"), F.col("doc_id").cast("string"))).otherwise(F.col("news_id")).alias("news_id"))
+    return feeds.known_id_filter(n.select("source", F.col("doc_id").cast("string").alias("external_id"), "doc_id"), stored).select("doc_id")
+
+
+@query(
+    "f6_ids",
+    f"""WITH {NEWS_SQL} SELECT doc_id, 'story:' || substr(sha1(news_id), 1, 16) AS story_id, substr(sha256('{{"as_of": "' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '", "selector_weights": {{"a": 0.5, "b": ' || doc_id || '.25}}}}'), 1, 24) AS decision_id,
+        sha256('{{"decision_id": "d' || doc_id || '", "quantity": ' || doc_id || ', "ticker": "' || source || '"}}') AS order_key FROM news""",
+)
+def _(s, d):
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    i = F.col("doc_id").cast("string")
+    weights = F.create_map(F.lit("b"), F.concat(i, F.lit(".25")), F.lit("a"), F.lit("0.5"))
+    return news_of(s, d).select(
+        "doc_id", ids.story_id(F.col("news_id")).alias("story_id"), ids.decision_id(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), weights).alias("decision_id"),
+        ids.order_key(F.concat(F.lit("d"), i), {"ticker": text(F.col("source")), "quantity": i}).alias("order_key"),
+    )
+
+
+@query("p11_redact_map", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, 'pza_|(?i)bearer\\s') THEN '[REDACTED]' ELSE text END AS text, '[REDACTED]' AS token FROM (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'Bearer verysecretvalue' ELSE role END AS text FROM conversations)")
+def _(s, d):
+    x = table(s, d, "conversations").withColumn("m", F.create_map(F.lit("text"), F.when(F.col("turn") == 0, "Bearer verysecretvalue").otherwise(F.col("role")), F.lit("api_token"), F.lit("abc")))
+    return x.withColumn("m", text.redact_map(F.col("m"))).select("conv_id", "turn", F.col("m")["text"].alias("text"), F.col("m")["api_token"].alias("token"))
+
+
 @query("p19_extract_articles")
 def _(s, d):
     return feeds.extract_articles(table(s, d, "pages"))
@@ -293,21 +329,28 @@ def _matrix(s, d):
 @query("m4_selector_weights")
 def _(s, d):
     m = _matrix(s, d)
-    model = selectors.fit_selector_model(m, ["price_mean", "price_top", "selector_index", "is_fast", "is_even", "is_longs", "is_sharp"])
-    if model is None:
-        return _weights(s, d).select("ts", "selector", "weight")
-    return scores.rank_weights(model.transform(m), ["ts"], "prediction", "selector_index", 2.0).select("ts", "selector", "weight")
+    names = ["price_mean", "price_top", "selector_index", "is_fast", "is_even", "is_longs", "is_sharp"]
+    # the newest fifth of the times is weighed by a model of the rows before them
+    since = m.agg(F.percentile_approx("ts", 0.8)).first()[0] if not m.isEmpty() else None
+    return selectors.selector_weights(m, names, since).select("ts", "selector", "weight")
 
 
-@query("m5_bootstrap_rows")
+@query(
+    "m5_bootstrap_rows",
+    f"""WITH {_RETURNS}, n AS (SELECT as_of FROM pairs GROUP BY as_of HAVING count(*) FILTER (next_price > 0) >= 3), f AS (SELECT as_of, avg(score) AS forecast_mean, max(score) AS forecast_top, avg(abs(score - 0.5)) AS disagreement_mean, count(*)::DOUBLE AS tradable_count FROM scored GROUP BY as_of)
+        SELECT as_of, forecast_mean, forecast_top, disagreement_mean, tradable_count, (SELECT string_agg(selector, ',' ORDER BY selector) FROM rets r WHERE r.as_of = f.as_of) AS selectors, (SELECT sum(ret) FROM rets r WHERE r.as_of = f.as_of) AS total FROM f JOIN n USING (as_of) WHERE as_of IN (SELECT as_of FROM rets)""",
+    "forecast_mean forecast_top disagreement_mean total",
+)
 def _(s, d):
     pairs = _scores(s, d)
+    return _bootstrap(pairs, _targets(s, d)).select("as_of", "forecast_mean", "forecast_top", "disagreement_mean", "tradable_count", F.array_join(F.array_sort(F.map_keys("returns")), ",").alias("selectors"), F.aggregate(F.map_values("returns"), F.lit(0.0), lambda t, v: t + v).alias("total"))
+
+
+def _bootstrap(pairs, targets):
     enough = pairs.groupBy("as_of").agg(F.count(F.when(F.col("next_price") > 0, 1)).alias("n")).filter("n >= 3").select("as_of")
-    x = pairs.join(enough, "as_of").select("as_of", "ticker", F.col("score").alias("forecast"), F.lit(0.5).alias("news_score"), F.lit(0.5).alias("confidence"), F.lit(0.0015).alias("cost"), F.lit(True).alias("tradable"), F.lit(0).alias("news_count"))
     later = pairs.select("as_of", "ticker", "price", "next_price")
-    paper = portfolio.paper_returns(_targets(s, d).select("as_of", "selector", "ticker", "weight"), later)
-    returns = paper.groupBy("as_of").agg(F.map_from_entries(F.collect_list(F.struct("selector", "ret"))).alias("returns"))
-    return scores.interval_features(x).join(returns.select("as_of", F.to_json("returns").alias("returns")), "as_of")
+    paper = portfolio.paper_returns(targets.select("as_of", "selector", "ticker", "weight"), later)
+    return selectors.bootstrap_rows(pairs.join(enough, "as_of").select("as_of", "ticker", F.col("score").alias("forecast")), paper)
 
 
 # news and stories ------------------------------------------------------------------------------
@@ -338,9 +381,9 @@ def _clusters(s, d):
     return stories.story_aggregate(_story_items(s, d)).select("story_id", "items", "first_at")
 
 
-@query("a8_story_stats", f"WITH {_STORIES} SELECT count(*) AS clusters, sum(items)::BIGINT AS clustered, sum(items - 1)::BIGINT AS deduplicated FROM clusters")
+@query("a8_story_stats", f"WITH {_STORIES} SELECT count(*) AS clusters, sum(items)::BIGINT AS clustered, sum(items - 1)::BIGINT AS deduplicated, (SELECT count(*) FROM news) - sum(items - 1)::BIGINT AS unique_stories FROM clusters")
 def _(s, d):
-    return reports.story_stats(_clusters(s, d))
+    return reports.story_stats(_clusters(s, d), news_of(s, d).count())
 
 
 @query("w12_story_report", f"WITH {_STORIES}, top AS (SELECT * FROM clusters ORDER BY items DESC, first_at, story_id LIMIT 20) SELECT story_id, items AS story_items, news_id, row_number() OVER (PARTITION BY story_id ORDER BY ts, news.source, news_id) AS place FROM news JOIN top ON story_id = source || ':' || doc_id // 7")
@@ -354,9 +397,18 @@ def _(s, d):
     return reports.rebuild_stories(c, c.filter("items > 2").withColumn("created_at", F.col("first_at")), "2024-06-01").select("story_id", "items", "created_at")
 
 
-@query("a14_source_run_stats", "SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS window_start, event_type AS source, count(*) AS runs, sum(event_id % 5)::BIGINT AS saved, count(*) FILTER (event_id % 17 = 0) AS errors, max(ts) AS last_run FROM events GROUP BY GROUPING SETS ((1, 2), (1))")
+@query(
+    "a14_source_run_stats",
+    """WITH x AS (SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS window_start, ts, event_type AS source, event_id % 9 AS fetched, event_id % 7 AS selected, event_id % 5 AS saved, event_id % 3 AS duplicates, event_id % 2 AS skipped, CASE WHEN event_id % 17 = 0 THEN 'e' || event_id END AS error FROM events),
+        s AS (SELECT window_start, string_agg(source || ':' || error, ',' ORDER BY ts, source, error) AS errors_sample FROM (SELECT * FROM x WHERE error IS NOT NULL QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY ts, source, error) <= 20) GROUP BY 1),
+        t AS (SELECT window_start, source, count(*) AS runs, sum(fetched)::BIGINT AS fetched, sum(selected)::BIGINT AS selected, sum(saved)::BIGINT AS saved, sum(duplicates)::BIGINT AS duplicates, sum(skipped)::BIGINT AS skipped, count(error) AS errors, max(ts) AS last_run FROM x GROUP BY GROUPING SETS ((1, 2), (1)))
+        SELECT t.*, CASE WHEN source IS NULL THEN coalesce(errors_sample, '') ELSE '-' END AS errors_sample FROM t LEFT JOIN s USING (window_start)""",
+)
 def _(s, d):
-    return reports.source_run_stats(table(s, d, "events").select("ts", F.col("event_type").alias("source"), (F.col("event_id") % 5).alias("saved"), (F.col("event_id") % 17 == 0).cast("int").alias("errors")))
+    i = F.col("event_id")
+    log = table(s, d, "events").select("ts", F.col("event_type").alias("source"), (i % 9).alias("fetched"), (i % 7).alias("selected"), (i % 5).alias("saved"), (i % 3).alias("duplicates"), (i % 2).alias("skipped"), F.when(i % 17 == 0, F.concat(F.lit("e"), i.cast("string"))).alias("error"))
+    sample = F.array_join(F.transform("errors_sample", lambda e: F.concat_ws(":", e["source"], e["error"])), ",")
+    return reports.source_run_stats(log).withColumn("errors_sample", F.coalesce(sample, F.lit("-")))
 
 
 @query("a15_news_store_summary", f"WITH {NEWS_SQL}, tags AS ({_TAG_SQL}) SELECT items, sources, newest_at, newest_id, tags, tagged FROM (SELECT count(*) AS items, count(DISTINCT source) AS sources, max(ts) AS newest_at, arg_max(news_id, doc_id) AS newest_id FROM news), (SELECT count(*) AS tags, count(DISTINCT news_id) AS tagged FROM tags)")
@@ -398,6 +450,20 @@ def _marks(s, d):
     return jobs.advance_marks(none, _items(s, d).filter("pos % 100 = 0"))
 
 
+@query(
+    "t1_ingest_stream",
+    f"""WITH {_MARKS}, x AS (SELECT event_type AS source, event_id AS pos, CAST(event_id // 2 AS VARCHAR) AS external_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS published_at FROM events),
+        y AS (SELECT x.*, coalesce(external_id = CAST(mark_id AS VARCHAR) OR published_at < mark_at, false) AS late FROM x LEFT JOIN marks USING (source))
+        SELECT pos, source, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY source, external_id, late ORDER BY pos) > 1 THEN 'duplicate' ELSE 'saved' END AS status FROM y""",
+)
+def _(s, d):
+    e = _stream(s, d)
+    i = F.col("event_id")
+    x = e.select(F.col("event_type").alias("source"), F.floor(i / 2).cast("string").alias("external_id"), F.when(i % 13 != 0, F.col("ts")).alias("published_at"), i.alias("pos"))
+    items, _ = jobs.ingest(x, folder(s), _marks(s, d))
+    return items.select("pos", "source", "status")
+
+
 @query("t1_late_items", f"WITH {_MARKS} SELECT event_id AS pos, coalesce(event_id = mark_id OR ts < mark_at, false) AS late FROM events LEFT JOIN marks ON source = event_type")
 def _(s, d):
     return jobs.late_items(_items(s, d), _marks(s, d)).select("pos", "late")
@@ -428,9 +494,9 @@ def _collected(s, stream):
     return s.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-@query("t3_dedupe_stream", "SELECT DISTINCT user_id, event_type FROM events")
+@query("t3_dedupe_stream", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def _(s, d):
-    return _collected(s, _stream(s, d).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"))
+    return jobs.dedupe_stream(_stream(s, d).select("user_id", "event_type", "event_id"), folder(s), ["user_id", "event_type"], "event_id")
 
 
 @query("t5_candle_stream", f"WITH {bars_sql()} SELECT ticker, ts, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(tick_at) - INTERVAL 1 HOUR FROM ticks)", "volume")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, text
 from ..operators import backtest, candles, market, news, orders, portfolio, scores, stories
-from ..sources import tables
+from ..sources import feeds, tables
 from .inputs import NEWS_SQL, PRICES_SQL, bars, bars_sql, prices, table, ticks
 from .inputs import news as news_of
 
@@ -293,48 +293,68 @@ def _(s, d):
 
 @query(
     "a12_conflict_metrics",
-    f"""WITH {_ROLLED}, c AS (SELECT t.as_of, t.ticker, r.weight * t.weight AS c FROM targets t JOIN rolled r ON r.ts = t.as_of AND r.selector = t.selector WHERE abs(r.weight * t.weight) >= 1e-12)
-        SELECT as_of, ticker, sum(greatest(c, 0)) AS long_sum, sum(greatest(-c, 0)) AS short_sum, sum(c) AS net, 2 * least(sum(greatest(c, 0)), sum(greatest(-c, 0))) AS cancelled FROM c GROUP BY ALL""",
-    "long_sum short_sum net cancelled",
+    f"""WITH {_ROLLED}, c AS (SELECT t.as_of, t.ticker, r.weight * t.weight AS c FROM targets t JOIN rolled r ON r.ts = t.as_of AND r.selector = t.selector WHERE abs(r.weight * t.weight) >= 1e-12),
+        p AS (SELECT as_of, ticker, sum(greatest(c, 0)) AS long_sum, sum(greatest(-c, 0)) AS short_sum, sum(c) AS net, 2 * least(sum(greatest(c, 0)), sum(greatest(-c, 0))) AS cancelled, sum(abs(c)) AS gross FROM c GROUP BY ALL),
+        q AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY round(cancelled, 9) DESC, ticker) AS place FROM p WHERE cancelled > 0),
+        t AS (SELECT as_of, sum(gross) AS gross_before, sum(abs(net)) AS gross_after, count(*) FILTER (cancelled > 0) AS conflicts, sum(cancelled) AS cancelled_total FROM p GROUP BY as_of)
+        SELECT as_of, gross_before, gross_after, conflicts, cancelled_total, coalesce(ticker, '') AS ticker, coalesce(place, 0) AS place, coalesce(long_sum, 0) AS long_sum, coalesce(short_sum, 0) AS short_sum, coalesce(net, 0) AS net, coalesce(cancelled, 0) AS cancelled FROM t LEFT JOIN (SELECT * FROM q WHERE place <= 10) USING (as_of)""",
+    "gross_before gross_after cancelled_total long_sum short_sum net cancelled",
 )
 def _(s, d):
     w = _weights(s, d).select(F.col("ts").alias("as_of"), "selector", "weight")
-    return portfolio.conflict_metrics(w, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
+    return portfolio.conflict_report(w, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
 
 
 @query(
     "w7_held_weights",
-    f"""WITH {PRICES_SQL}, t AS (SELECT DISTINCT as_of AS ts FROM prices), x AS (SELECT selector, ts, m, m <= 30 OR (hour(ts) * 60 + minute(ts) >= 720 AND (hour(ts) * 60 + minute(ts) - 720) % m = 0) AS due FROM t, (VALUES ('a', 30), ('b', 720), ('c', 500)) v(selector, m))
-        SELECT selector, ts, due, last_value(CASE WHEN due OR rn = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY selector ORDER BY ts) AS computed_at FROM (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY ts) AS rn FROM x)""",
+    f"""WITH {_TARGETS}, t AS (SELECT DISTINCT as_of AS ts FROM prices), x AS (SELECT selector, ts, m <= 30 OR (hour(ts) * 60 + minute(ts) >= 720 AND (hour(ts) * 60 + minute(ts) - 720) % m = 0) AS due FROM t, (VALUES ('fast', 30), ('even', 720), ('longs', 500)) v(selector, m)),
+        h AS (SELECT selector, ts, last_value(CASE WHEN due OR rn = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY selector ORDER BY ts) AS computed_at FROM (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY ts) AS rn FROM x))
+        SELECT selector, ts AS as_of, ticker, weight, ts <> computed_at AS held FROM h JOIN targets USING (selector) WHERE targets.as_of = computed_at""",
+    "weight",
 )
 def _(s, d):
     t = prices(s, d).select(F.col("as_of").alias("ts")).distinct()
-    periods = F.explode(F.map_from_arrays(F.array(*map(F.lit, "abc")), F.array(*map(F.lit, (30, 720, 500)))))
+    periods = F.explode(F.map_from_arrays(F.array(*map(F.lit, ("fast", "even", "longs"))), F.array(*map(F.lit, (30, 720, 500)))))
     x = t.select("ts", periods.alias("selector", "m"))
-    return portfolio.held_times(x.withColumn("due", calendar.selector_due(F.col("ts"), F.col("m"))).drop("m"))
+    schedule = x.withColumn("due", calendar.selector_due(F.col("ts"), F.col("m"))).drop("m")
+    return portfolio.held_weights(schedule, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
 
 
-@query(
-    "a6_interval_features",
-    f"""WITH {_PAIRS}, x AS (SELECT as_of, score AS f, least(1, greatest(0, price / 97)) AS s, price / 10000 AS cost FROM scored)
-        SELECT as_of, avg(f) AS forecast_mean, stddev_pop(f) AS forecast_std, max(f) - min(f) AS forecast_spread, avg(s) AS news_mean, avg(abs(f - s)) AS disagreement_mean, max(cost) AS cost_max, CAST(count(*) AS DOUBLE) AS tradable_count,
-            CAST(hour(as_of) AS DOUBLE) AS hour, CAST(isodow(as_of) - 1 AS DOUBLE) AS day_of_week FROM x GROUP BY as_of""",
-    "forecast_mean forecast_std forecast_spread news_mean disagreement_mean cost_max",
-)
+_FEATURES = f"""{_PAIRS}, q AS (SELECT as_of, coalesce(score, 0.5) AS f, CASE WHEN price > 0 THEN least(1, greatest(0, price / 97)) ELSE 0.5 END AS s, CASE WHEN ticker = 'u1' THEN 0.0 ELSE 0.4 END AS c, CASE WHEN ticker = 'u2' THEN 0.5 ELSE 1.0 END AS r,
+        price / 10000 AS cost, price / 20000 AS spread, ticker <> 'u3' AS tradable, ticker = 'u4' AS degraded, ticker IN ('u4', 'u5') AS depth_unknown, ticker = 'u6' AS missing_bbo, CASE WHEN ticker = 'u7' THEN 0 ELSE CAST(substr(ticker, 2) AS INT) END AS news FROM scored),
+    features AS (SELECT as_of, avg(f) AS forecast_mean, stddev_pop(f) AS forecast_std, max(f) AS forecast_top, min(f) AS forecast_bottom, max(f) - min(f) AS forecast_spread, avg(s) AS news_mean, stddev_pop(s) AS news_std, max(s) AS news_top, min(s) AS news_bottom, max(s) - min(s) AS news_spread,
+        avg(abs(f - s)) AS disagreement_mean, max(abs(f - s)) AS disagreement_max, avg(c) AS confidence_mean, max(c) AS confidence_max, avg(r) AS priced_risk_mean, max(r) AS priced_risk_max, avg(cost) AS cost_mean, max(cost) AS cost_max, avg(spread) AS bbo_spread_mean, max(spread) AS bbo_spread_max,
+        count(*) FILTER (tradable)::DOUBLE AS tradable_count, count(*) FILTER (degraded)::DOUBLE AS degraded_count, count(*) FILTER (depth_unknown)::DOUBLE AS depth_unknown_count, count(*) FILTER (missing_bbo)::DOUBLE AS missing_bbo_count,
+        sum(news)::DOUBLE AS ticker_news_total, max(news)::DOUBLE AS ticker_news_max, count(*) FILTER (news > 0)::DOUBLE AS ticker_news_coverage, CASE WHEN day(as_of) % 2 = 0 THEN 3.0 ELSE 0.0 END AS marketwide_news_count, sum(news) + CASE WHEN day(as_of) % 2 = 0 THEN 3.0 ELSE 0.0 END AS total_news_count,
+        hour(as_of)::DOUBLE AS hour, minute(as_of)::DOUBLE AS minute, (isodow(as_of) - 1)::DOUBLE AS day_of_week, CASE WHEN isodow(as_of) > 5 THEN 1.0 ELSE 0.0 END AS is_weekend FROM q GROUP BY as_of)"""
+_ROUNDED = "forecast_mean forecast_std forecast_top forecast_bottom forecast_spread news_mean news_std news_top news_bottom news_spread disagreement_mean disagreement_max confidence_mean confidence_max priced_risk_mean priced_risk_max cost_mean cost_max bbo_spread_mean bbo_spread_max"
+
+
+def _features(s, d):
+    t = F.col("ticker")
+    x = _scores(s, d).select(
+        "as_of", "ticker", F.col("score").alias("forecast"), (F.col("price") / 97).alias("news_score"), F.when(t != "u1", 0.4).alias("confidence"), F.when(t != "u2", 7.0).alias("priced_risk"), (F.col("price") / 10000).alias("cost"), (F.col("price") / 20000).alias("spread"),
+        F.when(t == "u3", False).alias("tradable"), F.when(t == "u4", True).alias("degraded"), t.isin("u4", "u5").alias("depth_unknown"), (t == "u6").alias("missing_bbo"), F.when(t != "u7", F.substring(t, 2, 1).cast("int")).alias("news_count"),
+    )
+    market = x.select("as_of").distinct().filter(F.dayofmonth("as_of") % 2 == 0).withColumn("marketwide_news_count", F.lit(3.0))
+    return scores.interval_features(x, market)
+
+
+@query("a6_interval_features", f"WITH {_FEATURES} SELECT * FROM features", _ROUNDED)
 def _(s, d):
-    x = _scores(s, d).select("as_of", "ticker", F.col("score").alias("forecast"), (F.col("price") / 97).alias("news_score"), F.lit(0.5).alias("confidence"), (F.col("price") / 10000).alias("cost"), F.lit(True).alias("tradable"), F.lit(1).alias("news_count"))
-    keep = "as_of forecast_mean forecast_std forecast_spread news_mean disagreement_mean cost_max tradable_count hour day_of_week".split()
-    return scores.interval_features(x).select(*keep)
+    return _features(s, d)
 
 
 @query(
     "w17_carry_forward",
-    f"""WITH {PRICES_SQL}, t AS (SELECT as_of, count(*) >= 8 AND day(as_of) % 3 = 0 AS has_scores FROM prices GROUP BY as_of)
-        SELECT *, last_value(CASE WHEN has_scores THEN as_of END IGNORE NULLS) OVER (ORDER BY as_of) AS source_as_of FROM t""",
+    f"""WITH {_PAIRS}, t AS (SELECT as_of, count(*) >= 8 AND day(as_of) % 3 = 0 AS has_scores FROM prices GROUP BY as_of), k AS (SELECT as_of, last_value(CASE WHEN has_scores THEN as_of END IGNORE NULLS) OVER (ORDER BY as_of) AS source_as_of FROM t)
+        SELECT k.as_of, ticker, score FROM k JOIN scored ON scored.as_of = source_as_of UNION ALL SELECT as_of, ticker, 0.5 FROM k CROSS JOIN (SELECT DISTINCT ticker FROM prices) WHERE source_as_of IS NULL""",
+    "score",
 )
 def _(s, d):
-    t = prices(s, d).groupBy("as_of").agg(((F.count("*") >= 8) & (F.dayofmonth("as_of") % 3 == 0)).alias("has_scores"))
-    return scores.carry_forward(t)
+    x = _scores(s, d).select("as_of", "ticker", "score")
+    good = x.groupBy("as_of").agg(F.count("*").alias("n")).filter((F.col("n") >= 8) & (F.dayofmonth("as_of") % 3 == 0)).select("as_of")
+    return scores.carried_scores(x.select("as_of").distinct(), x.join(good, "as_of"), x)
 
 
 # backtest --------------------------------------------------------------------------------------
@@ -387,11 +407,11 @@ def _predictions(s, d):
         m AS (SELECT ticker, ts, last, actual, 'last' AS model, last AS prediction FROM l WHERE older IS NOT NULL UNION ALL SELECT ticker, ts, last, actual, 'trend', 2 * last - older FROM l WHERE older IS NOT NULL),
         p AS (SELECT *, CAST(sign(prediction - last) = sign(actual - last) AS DOUBLE) AS hit, 1 / (1 + abs(prediction - last) / 50) AS confidence, prediction - actual AS err FROM m)
         SELECT model, ticker, ts, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse, avg(CASE WHEN actual <> 0 THEN abs(err / actual) END) AS mape, avg(hit) AS accuracy, avg(confidence) AS confidence,
-            avg(CAST(confidence >= 0.6 AS DOUBLE)) AS coverage, avg(CASE WHEN confidence >= 0.6 THEN hit END) AS strict_accuracy, count(*) AS n FROM p GROUP BY GROUPING SETS ((model), (model, ticker), (model, ts))""",
-    "mae rmse mape accuracy confidence coverage strict_accuracy",
+            avg(CAST(confidence >= 0.6 AS DOUBLE)) AS coverage, avg(CASE WHEN confidence >= 0.6 THEN hit END) AS strict_accuracy, avg(minute(ts) / 60) AS seconds, avg(CAST(hour(ts) AS DOUBLE)) AS bars, count(*) AS n FROM p GROUP BY GROUPING SETS ((model), (model, ticker), (model, ts))""",
+    "mae rmse mape accuracy confidence coverage strict_accuracy seconds bars",
 )
 def _(s, d):
-    return backtest.backtest_summary(_predictions(s, d))
+    return backtest.backtest_summary(_predictions(s, d).withColumns({"seconds": F.minute("ts") / 60, "bars": F.hour("ts")}))
 
 
 @query(
@@ -410,12 +430,14 @@ def _(s, d):
 
 @query(
     "w15_context_matrix",
-    f"""WITH {bars_sql()}, x AS (SELECT ticker, ts, close, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
-        SELECT ticker, ts, greatest(-5, least(5, (close - m) / (sd + 1e-5))) AS z_last FROM x WHERE n = 16""",
-    "z_last",
+    f"""WITH {bars_sql()}, w AS (SELECT ticker, ts, {', '.join(f"{c}, avg({c}) OVER w AS m_{c}, stddev_pop({c}) OVER w AS s_{c}" for c in ("open", "high", "low", "close", "volume", "amount"))}, count(*) OVER w AS n, lag(ts, 15) OVER (PARTITION BY ticker ORDER BY ts) AS first_ts FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
+        SELECT ticker, ts, {', '.join(f"greatest(-5, least(5, ({c} - m_{c}) / (s_{c} + 1e-5))) AS z_{c}" for c in ("open", "high", "low", "close", "volume", "amount"))}, hour(first_ts) * 10000 + minute(first_ts) * 100 + (isodow(first_ts) - 1) AS first_stamp, month(ts) * 100 + day(ts) AS last_stamp FROM w WHERE n = 16""",
+    "z_open z_high z_low z_close z_volume z_amount",
 )
 def _(s, d):
-    return backtest.context_matrix(bars(s, d), 16).select("ticker", "ts", F.element_at("z", -1).alias("z_last"))
+    last, first, end = F.element_at("z", -1), F.element_at("stamps", 1), F.element_at("stamps", -1)
+    z = [last[i].alias(f"z_{c}") for i, c in enumerate((*backtest.PRICE_COLUMNS, "volume", "amount"))]
+    return backtest.context_matrix(bars(s, d), 16).select("ticker", "ts", *z, (first[1] * 10000 + first[0] * 100 + first[2]).alias("first_stamp"), (end[4] * 100 + end[3]).alias("last_stamp"))
 
 
 def mean_of_last(context) -> list[float]:
@@ -567,7 +589,7 @@ def _(s, d):
 
 _SCORED = f"""{_RECORDS}, sig AS (SELECT *, len(list_filter(tokens, lambda w: NOT regexp_full_match(w, '[0-9]+'))) AS nw FROM records),
     pairs AS (SELECT x.news_id AS a, y.news_id AS b, x.tokens AS ta, y.tokens AS tb, x.nums AS na, y.nums AS nb, x.k AS ka, y.k AS kb, x.h AS ha, y.h AS hb, (x.nw >= 3 OR (x.nw >= 2 AND len(x.nums) > 0)) AND (y.nw >= 3 OR (y.nw >= 2 AND len(y.nums) > 0)) AS ok
-        FROM sig x JOIN sig y ON x.news_id < y.news_id AND x.source <> y.source AND abs(x.t - y.t) <= 3600),
+        FROM sig x JOIN (SELECT *, unnest([t // 3600 - 1, t // 3600, t // 3600 + 1]) AS near FROM sig) y ON x.t // 3600 = y.near AND x.news_id < y.news_id AND x.source <> y.source AND abs(x.t - y.t) <= 3600),
     c AS (SELECT *, list_intersect(ta, tb) AS shared, len(list_intersect(na, nb)) AS nn FROM pairs),
     r AS (SELECT a, b, count(*) AS rare FROM (SELECT a, b, unnest(shared) AS token FROM c) JOIN rarity USING (token) WHERE df <= 8 GROUP BY a, b),
     s AS (SELECT c.a, c.b, ha = hb AS same, ok AND len(ta) > 0 AND len(tb) > 0 AS ok, (CASE WHEN ka <> '' AND ka = kb THEN 100 ELSE 0 END) + (CASE WHEN len(shared) >= 3 THEN 25 ELSE 0 END) + (CASE WHEN coalesce(rare, 0) >= 2 THEN 25 ELSE 0 END)
@@ -621,7 +643,16 @@ def _(s, d):
     return _orders(s, d).select("as_of", "ticker", "direction", "requested", "target_lots", "target_weight", "lot_value")
 
 
-@query("o4_cash_cap")
+@query(
+    "o4_cash_cap",
+    f"""WITH RECURSIVE {_ORDERS}, c AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY direction = 'B', abs(target_weight) DESC, ticker, requested, lot_value) AS priority FROM cand),
+        r AS (SELECT DISTINCT as_of, 0::BIGINT AS priority, NULL::VARCHAR AS ticker, NULL::VARCHAR AS direction, 0::BIGINT AS requested, 0::BIGINT AS quantity, 0.0::DOUBLE AS order_value, 60000.0::DOUBLE AS cash, false AS capped FROM c
+          UNION ALL SELECT as_of, priority, ticker, direction, requested, q, q * lot_value, CASE WHEN direction = 'B' THEN greatest(cash - q * lot_value, 0) ELSE cash END, capped FROM
+            (SELECT c.*, cash, direction_ok AND floor(cash / lot_value) < c.requested AS capped, CASE WHEN direction_ok AND floor(cash / lot_value) < c.requested THEN least(c.requested, greatest(floor(cash / lot_value), 0)) ELSE c.requested END::BIGINT AS q
+             FROM r JOIN (SELECT *, direction = 'B' AS direction_ok FROM c) c ON c.as_of = r.as_of AND c.priority = r.priority + 1))
+        SELECT as_of, ticker, direction, requested, quantity, order_value, CASE WHEN direction = 'B' THEN cash END AS cash_after, capped FROM r WHERE priority > 0 AND quantity > 0 AND order_value >= 100""",
+    "order_value cash_after",
+)
 def _(s, d):
     x = _orders(s, d).withColumns({"quantity": F.col("requested"), "cash": F.lit(60000.0)})
     return orders.cash_cap(x)
@@ -770,11 +801,20 @@ def _(s, d):
     return tables.replace_children(x, x.filter("l_orderkey % 10 = 0").select("l_orderkey"), new, ["l_orderkey"])
 
 
-@query("p18_discover_links")
+@query(
+    "p18_discover_links",
+    """WITH h AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, unnest(list_zip(l, range(1, len(l) + 1))) AS x
+         FROM (SELECT page_id, url, list_concat(regexp_extract_all(html, '<a\\s[^>]*href=["'']([^"'']*)', 1), ['//' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '/news/1#top', '../news/' || page_id || '/./b', 'mailto:news@a.b', 'http://elsewhere.example/news/2', '/news/3', '?news/4']) AS l FROM pages)),
+       a AS (SELECT page_id, url, host, x[2] AS pos, regexp_replace(x[1], '#.*$', '') AS href, regexp_replace(url, '[?#].*$', '') AS base FROM h WHERE x[1] <> ''),
+       b AS (SELECT page_id, url, host, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN split_part(url, '://', 1) || ':' || href WHEN href LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || href
+           WHEN href LIKE '?%' THEN base || href WHEN href = '' THEN regexp_replace(url, '#.*$', '') WHEN href LIKE '../%' THEN regexp_replace(regexp_replace(base, '[^/]*$', ''), '([a-z]/)[^/]+/$', '\\1') || replace(substr(href, 4), './', '') ELSE regexp_replace(base, '[^/]*$', '') || href END AS link FROM a),
+       c AS (SELECT page_id, link, min(pos) AS pos FROM b WHERE link LIKE '%://' || host || '%' AND split_part(split_part(split_part(link, '://', 2), '/', 1), '?', 1) = host AND link <> regexp_replace(url, '#.*$', '') AND contains(lower(link), 'news') GROUP BY ALL)
+       SELECT page_id, link, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM c) WHERE n <= 3 AND NOT link LIKE '%/news/3'""",
+)
 def _(s, d):
-    p = table(s, d, "pages")
-    links = p.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("""<a\\s[^>]*href=["']([^"'#]+)"""), F.lit(1))).alias("pos", "href"))
-    absolute = F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.expr("try_parse_url(url, 'PROTOCOL')"), F.lit("://"), F.expr("try_parse_url(url, 'HOST')"), F.regexp_replace("href", "^(?!/)", "/")))
-    x = links.withColumn("link", absolute).filter((F.col("link") != F.col("url")) & F.col("link").isNotNull())
-    first = x.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-    return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter("n <= 20").select("page_id", "link", "n")
+    own = """<a href="//{host}/news/1#top"><a href='../news/{id}/./b'><a class=x href="mailto:news@a.b"><a href="http://elsewhere.example/news/2"><a href="/news/3"><a href="?news/4">"""
+    host, left = F.expr("try_parse_url(url, 'HOST')"), F.lit(own)
+    tail = F.replace(F.replace(left, F.lit("{host}"), host), F.lit("{id}"), F.col("page_id").cast("string"))
+    p = table(s, d, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), tail))
+    known = p.select("page_id", F.concat(F.expr("try_parse_url(url, 'PROTOCOL')"), F.lit("://"), host, F.lit("/news/3")).alias("link"))
+    return feeds.discover_links(p, 3, known, allow=["NEWS"])

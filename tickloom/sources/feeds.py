@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_news_url
+
 ITEM = "guid string, id string, link string, title string, description string, pubDate string"
 SHORT_TEXT = 900
 
@@ -52,6 +56,56 @@ def enrich_full_text(items: DataFrame, pages: DataFrame) -> DataFrame:
     return x.withColumn("enriched", F.coalesce(take, F.lit(False))).withColumn("text", F.when(F.col("enriched"), full).otherwise(F.col("text"))).drop("body")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. parts."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(path, "/")
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), end), "/")
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """href as seen from the page at base, without its fragment."""
+    href, page = F.regexp_replace(href, "#.*$", ""), F.regexp_replace(base, "#.*$", "")
+    scheme, root = F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(page, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0)
+    path = F.regexp_extract(page, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
+    own, query = F.regexp_extract(href, "^[^?]*", 0), F.regexp_extract(href, "[?].*$", 0)
+    folder = F.coalesce(F.nullif(F.regexp_replace(path, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href == "", page)
+        .when(own == "", F.concat(root, path, query)).otherwise(F.concat(root, _without_dots(joined), query))
+    )
+
+
+def discover_links(pages: DataFrame, max_items: int, known: DataFrame | None = None, allow: list[str] = (), block: list[str] = ()) -> DataFrame:
+    """(page_id, link, n): the first max_items links of each page (page_id, url, html) to pages of its own host.
+
+    A link must hold one of the allowed parts and none of the blocked ones,
+    case-blind; with none given it must look like news. Known ones (page_id,
+    link) are taken out after the count, so a page may give fewer.
+    """
+    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("""<a\\s[^>]*href=["']([^"']*)"""), F.lit(1))).alias("pos", "href"))
+    x = found.filter("href <> ''").select("page_id", "pos", F.regexp_replace("url", "#.*$", "").alias("url"), absolute_url(F.col("url"), F.col("href")).alias("link"))
+    holds = lambda parts: reduce(or_, [F.contains(F.lower("link"), F.lit(p.lower())) for p in parts], F.lit(False))
+    wanted = holds(allow) if allow else is_news_url(F.col("link"))
+    host = lambda c: F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)
+    x = x.filter((host("link") == host("url")) & (F.col("link") != F.col("url")) & ~holds(block) & wanted)
+    first = x.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("n") <= max_items).select("page_id", "link", "n")
+    return first if known is None else first.join(known.select("page_id", "link"), ["page_id", "link"], "left_anti")
+
+
+def known_id_filter(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """items (source, external_id, ...) that aren't stored (source, news_id) under the id source:external_id."""
+    prefix = F.concat("source", F.lit(":"))
+    known = stored.filter(F.startswith("news_id", prefix)).select("source", F.expr("substring(news_id, char_length(source) + 2)").alias("external_id")).distinct()
+    return items.join(known, ["source", "external_id"], "left_anti")
+
+
 class _Article(HTMLParser):
     """Texts of the first h1, of title, article and main, and the first time."""
 

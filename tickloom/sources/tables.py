@@ -14,12 +14,19 @@ def read_block_lines(lines: DataFrame, block: str) -> DataFrame:
     return rows.select("block", "row", F.inline(F.arrays_zip(F.col("columns").alias("name"), F.col("cells").alias("value"))))
 
 
-def read_block_json(spark: SparkSession, path: str, block: str) -> DataFrame:
-    """Rows of {block: {columns: [...], data: [[...]]}} as (row, column, value); a missing block gives none."""
-    kind = "map<string, struct<columns: array<string>, data: array<array<string>>>>"
-    blocks = spark.read.text(path, wholetext=True).select(F.from_json("value", kind)[block].alias("b")).filter("b is not null")
-    rows = blocks.select("b.columns", F.posexplode("b.data").alias("row", "cells"))
-    return rows.select("row", F.inline(F.arrays_zip(F.col("columns").alias("name"), F.col("cells").alias("value"))))
+def read_candles(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Candles (ticker, ts, end_ts, open, high, low, close, volume, amount) of files; a missing column is an error.
+
+    Files name the start `begin` and the amount `value`, or as here.
+    """
+    x = spark.read.option("header", True).format(kind).load(path)
+    old = {"begin": "ts", "end": "end_ts", "value": "amount"}
+    x = x.withColumnsRenamed({k: v for k, v in old.items() if k in x.columns and v not in x.columns})
+    needed = ["ticker", "ts", "end_ts", "open", "high", "low", "close", "volume", "amount"]
+    if missing := [c for c in needed if c not in x.columns]:
+        raise ValueError(f"missing candle columns {missing}; got {x.columns}")
+    number = lambda c: F.expr(f"try_cast(`{c}` as double)").alias(c)
+    return x.select("ticker", F.col("ts").cast("timestamp_ntz"), F.col("end_ts").cast("timestamp_ntz"), *map(number, needed[3:]))
 
 
 def read_jsonl_cache(lines: DataFrame, schema: str, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import append_ignore
+
 
 def candle_stream(ticks: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
     """Closed bars of a stream of ticks (ticker, ts, price, volume, event_id), in append mode."""
@@ -57,5 +59,46 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
     stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None]) -> None:
+def _each_batch(stream: DataFrame, folder: str, schema: str, made: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream to its end; made(batch, stored) gives a batch's rows of the table, stored being those of earlier batches.
+
+    A batch writes a part of the table that is its own, so one that is repeated
+    after a failure replaces what it wrote before.
+    """
+    session = stream.sparkSession
+
+    def each(batch: DataFrame, n: int) -> None:
+        stored = session.read.schema(f"{schema}, batch long").parquet(f"{folder}/table").filter(F.col("batch") < n) if n else session.createDataFrame([], f"{schema}, batch long")
+        made(batch, stored.drop("batch")).write.mode("overwrite").parquet(f"{folder}/table/batch={n}")
+
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return session.read.schema(f"{schema}, batch long").parquet(f"{folder}/table").drop("batch")
+
+
+def dedupe_stream(stream: DataFrame, folder: str, key: list[str], order: str) -> DataFrame:
+    """The first row of each key over the whole stream. What was stored is the state, so memory stays that of a batch."""
+    schema = stream.schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return _each_batch(stream, folder, ddl, lambda batch, stored: append_ignore(stored, batch, key, order))
+
+
+INGESTED = "source string, external_id string, published_at timestamp_ntz, pos long, status string"
+
+
+def ingest(stream: DataFrame, folder: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items (source, external_id, published_at, pos) with status late, duplicate or saved, and the marks after the run.
+
+    All batches of a run are judged by the marks as they were when it began; the
+    first item of an id is saved, in feed order.
+    """
+
+    def judged(batch: DataFrame, stored: DataFrame) -> DataFrame:
+        x = late_items(batch.select("source", "external_id", "published_at", "pos"), marks)
+        known = stored.filter("status = 'saved'").select("source", "external_id", F.lit(True).alias("known"))
+        first = F.row_number().over(Window.partitionBy("source", "external_id", "late").orderBy("pos")) == 1
+        x = x.withColumn("first", first).join(known, ["source", "external_id"], "left")
+        status = F.when(F.col("late"), "late").when(F.col("known") | ~F.col("first"), "duplicate").otherwise("saved")
+        return x.select("source", "external_id", "published_at", "pos", status.alias("status"))
+
+    items = _each_batch(stream, folder, INGESTED, judged)
+    return items, advance_marks(marks, items.filter("status <> 'late'"))
