@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
-from tickloom.operators import backtest, candles, market, news, orders, portfolio, scores, stories
+from tickloom.operators import backtest, candles, market, news, orders, portfolio, scores, selectors, stories
 from tickloom.sources import tables
 from tickloom.streaming import jobs
 
@@ -189,12 +189,66 @@ def test_candle_stream_equals_batch(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 4
 
 
-def test_marks_are_frozen_during_a_run(spark):
-    schema = "source string, external_id string, published_at timestamp_ntz"
-    items = spark.createDataFrame([("s", "1", T), ("s", "2", T + dt.timedelta(hours=1)), ("s", "3", None), ("s", "0", T - dt.timedelta(hours=1))], schema)
-    marks = spark.createDataFrame([("s", "1", T)], "source string, mark_id string, mark_at timestamp_ntz")
-    assert {r.external_id: r.late for r in jobs.late_items(items, marks).collect()} == {"1": True, "2": False, "3": False, "0": True}
-    assert jobs.advance_marks(marks, items).first().mark_id == "2"
+def test_marks_are_frozen_during_a_run(spark, tmp_path):
+    """Batches of a stream are judged by the marks at its start; an older newest item and one without a time move the id only."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    t = [dt.datetime(2024, 1, 1, h) for h in range(12)]
+    schema = "source string, external_id string, published_at timestamp_ntz, pos long"
+    marks = spark.createDataFrame([("a", "m", t[5]), ("b", "n", t[6]), ("c", None, None)], "source string, mark_id string, mark_at timestamp_ntz")
+    rows = [("a", "x", t[9], 1), ("a", "old", t[4], 2), ("a", "m", t[9], 3), ("a", "y", t[7], 4), ("b", "", None, 5), ("b", "q", None, 6), ("b", "r", None, 7), ("c", "", t[3], 8), ("a", "x", t[9], 9)]
+    for k, part in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    items, after = jobs.ingest(stream, str(tmp_path / "out"), marks)
+    found = {r.pos: r.status for r in items.collect()}
+    assert found == {1: "saved", 2: "late", 3: "late", 4: "saved", 5: "saved", 6: "saved", 7: "saved", 8: "saved", 9: "duplicate"}
+    got = {r.source: (r.mark_id, r.mark_at) for r in after.collect()}
+    assert got == {"a": ("x", t[9]), "b": ("q", t[6]), "c": (None, t[3])}
+
+
+def test_unique_ids_over_batches(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 4, k * 4 + 8).selectExpr("id % 10 AS key", f"{k} * 100 + id AS at").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("key long, at long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = [r.key for r in jobs.dedupe_stream(stream, str(tmp_path / "out"), ["key"], "at").collect()]
+    assert sorted(got) == list(range(10))
+
+
+def test_missing_columns_and_short_universes_are_errors(spark, tmp_path):
+    from tickloom.sources import tables
+
+    spark.range(2).write.parquet(str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="missing candle columns"):
+        tables.read_candles(spark, str(tmp_path / "c"))
+    caps = spark.createDataFrame([("A", 1.0)], "ticker string, cap double")
+    with pytest.raises(ValueError, match="0 of 1"):
+        selectors.select_universe(caps, spark.createDataFrame([("A", 1)], "ticker string, ts int"), 10, 1, 0.5)
+
+
+def test_links_are_resolved(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    from pyspark.sql import functions as F
+
+    from tickloom.sources import feeds
+
+    bases = ["http://h.example/a/b/c.html?x=1#f", "https://h.example", "http://h.example/a/"]
+    hrefs = ["d", "/d", "../d", "../../../d", "./", "..", "?q=1", "//k.example/z", "mailto:a@b.c", "#top", "e/./f/../g", "https://o.example/p#q"]
+    cases = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(cases, "b string, h string").select("b", "h", feeds.absolute_url(F.col("b"), F.col("h")).alias("u")).collect()
+    assert {(r.b, r.h): r.u for r in got} == {(b, h): urldefrag(urljoin(b, h))[0] for b, h in cases}
+
+
+def test_selector_weights_use_the_past_only(spark):
+    rows = [(t, s, float(s == (t // 40) % 2), float(t % 7)) for t in range(80) for s in (0, 1)]
+    m = spark.createDataFrame(rows, "ts int, selector_index int, label double, x double").selectExpr("ts", "concat('s', selector_index) AS selector", "selector_index", "label", "x")
+    a = selectors.selector_weights(m, ["x", "selector_index"], 40).collect()
+    b = selectors.selector_weights(m.withColumn("label", F.expr("if(ts >= 40, -label, label)")), ["x", "selector_index"], 40).collect()
+    assert sorted(a) == sorted(b) and {r.ts for r in a} == set(range(40, 80))
+    assert all(r.weight > 0.5 for r in a if r.selector == "s0")
 
 
 def test_extract_articles(spark):
@@ -231,7 +285,7 @@ def test_all_lines_of_an_order_become_candidates(spark):
             target = int(math.copysign(math.floor(abs(raw) / 10), raw))
             held = r.l_partkey % 40 if r.l_linenumber == 1 else 0
             if target != held and abs(target - held) * 10 * price >= 100:
-                cand.setdefault(r.l_orderkey, []).append((target > held, -abs(weight), str(r.l_linenumber), abs(target - held), 10 * price, abs(target) > abs(held)))
+                cand.setdefault(r.l_orderkey, []).append((target > held, -abs(weight), str(r.l_linenumber), abs(target - held), 10 * price, abs(target) > abs(held) if target * held > 0 else target != 0))
     want = {n: [] for n in ("o1_order_candidates", "w16_order_priority", "o3_liquidity_cap", "o4_cash_cap")}
     for key, lines in cand.items():
         left = 60000.0
