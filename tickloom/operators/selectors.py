@@ -43,8 +43,8 @@ def fit_selector_model(matrix: DataFrame, features: list[str], last: int = LAST_
     n, lo, hi = newest.agg(F.count("*"), F.min("label"), F.max("label")).first()
     if n < least or lo == hi:
         return None
-    trees = GBTRegressor(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), trees]).fit(newest)
+    trees = GBTRegressor(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), trees]).fit(newest)
 
 
 def selector_weights(matrix: DataFrame, features: list[str], since, power: float = 2.0) -> DataFrame:
