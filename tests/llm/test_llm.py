@@ -332,6 +332,45 @@ def test_plain_prose_has_no_disguise():
         assert pii.find(t) == ([], [])
 
 
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    """The base patterns as the contract writes them, with a plain check of each."""
+    import re
+
+    def luhn(s):
+        return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(s))) % 10 == 0
+
+    for k, kind in enumerate(BASE):
+        for m in re.finditer(BASE[kind], text):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                yield k, m.start(), m.end()
+
+
+def test_base_spans_against_the_patterns():
+    rng = random.Random(12)
+    bits = ["a", "b.c", "@", ".", "-", "+", " ", "1", "25", "4111 1111 1111 1111", "10.0.0.1", "256", "x@y.zz", "%", "_", "(", ")", "é", "\n", "+7 900 123-45-67", "00", "@@", ".."]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        want = list(brute_spans(text))
+        assert pii.detect(text) == want, text
+        found += len(want)
+    assert found > 5000
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    n = 1_000_000
+    start = time.time()
+    for text in ("9" * n, "a" * n + " x@y", "a" * n + "@", " " * n + "(at) b", "(" * n, ("one " * (n // 4))[:-1], "+" + "1 " * (n // 2), "a@" * (n // 2), "1." * (n // 2), ("a@b.cc " * (n // 7)) + "x (at) y", " dot " * (n // 5) + " at x", "@" + "a." * (n // 2)):
+        pii.find(text)
+    assert time.time() - start < 90
+
+
 def test_secrets(spark, docs):
     rng = random.Random(6)
     key = lambda n, a: "".join(rng.choice(a) for _ in range(n))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: What follows an address's @, and the other kinds. Runs start where no digit stands before and are never given back: the same matches, in linear time.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _DIGIT = re.compile("[0-9]")
@@ -36,7 +38,7 @@ _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]")
 _SPELLED = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _RUN = re.compile(rf"(?i)(?<![a-z])(?:plus[\s-]+)?{_SPELLED}(?:[\s,-]+{_SPELLED}){{3,}}(?![a-z])")
 _WORD = re.compile(r"[a-z]+", re.I)
-_BRACKET = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
+_BRACKET = re.compile(r"(?i)[\[({<]\s*+(at|dot)\s*+[\])}>]\s*+")
 _OCTET = rf"(?:[0-9]+|{_SPELLED}(?:[\s,-]+{_SPELLED}){{0,2}})"
 _QUAD = re.compile(rf"(?i)(?<![a-z0-9.]){_OCTET}(?:(?:\.|[\s,-]+dot[\s,-]+){_OCTET}){{3}}(?![a-z0-9])")
 _PART = re.compile(r"(?i)[\s,-]*(?:([a-z]+)|[0-9]+|\.)")
@@ -64,7 +66,7 @@ def _luhn(digits: str) -> bool:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in s.split("."))
+        return all(int(p.lstrip("0")[:4] or 0) <= 255 for p in s.split("."))
     if kind == "card":
         digits = s.replace(" ", "").replace("-", "")
         return 13 <= len(digits) <= 19 and _luhn(digits)
@@ -73,11 +75,28 @@ def _valid(kind: str, s: str) -> bool:
     return True
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, each from its @: the domain behind it, and the run before it as far as the last address."""
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and (text[start - 1] in _LOCAL or text[start - 1] == "."):
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at)):
+            yield start, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind's place in KINDS, start, end), ordered; leftmost matches that don't overlap, failing ones dropped."""
-    digits = _DIGIT.search(text) is not None
-    on = ("@" in text, digits, digits, digits and "+" in text)
-    return [(k, m.start(), m.end()) for k, kind in enumerate(KINDS) if on[k] for m in PATTERNS[kind].finditer(text) if _valid(kind, m.group())]
+    found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
+    if _DIGIT.search(text):
+        for k, kind in enumerate(KINDS[1:], 1):
+            if kind != "phone" or "+" in text:
+                found += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m.group())]
+    return found
 
 
 Edits = list[tuple[int, int, str]]
@@ -91,7 +110,14 @@ def _odd(text: str, low: str) -> Edits:
 def _brackets(text: str, low: str) -> Edits:
     """at and dot in brackets."""
     if any(f"{o}{w}{c}" in low for w in ("at", "dot") for o, c in ("[]", "()", "{}", "<>")) or re.search(r"[\[({<]\s+(?:at|dot)\b|\b(?:at|dot)\s+[\])}>]", low):
-        return [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKET.finditer(text)]
+        found, done = [], 0
+        for m in _BRACKET.finditer(text):
+            start = m.start()
+            while start > done and text[start - 1].isspace():
+                start -= 1
+            done = m.end()
+            found.append((start, done, "@" if m[1].lower() == "at" else "."))
+        return found
     return []
 
 
@@ -195,10 +221,12 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if plain is None:
         return base, base
     norm, starts, ends = plain
-    more = []
+    more, own = [], [[x for x in base if x[0] == k] for k in range(len(KINDS))]
     for k, a, b in detect(norm):
         span = (k, starts[a], ends[b - 1])
-        if not any(x[0] == k and x[1] < span[2] and span[1] < x[2] for x in base):
+        # spans of a kind are in order and don't overlap, so one that starts before this ends is enough to look at
+        i = bisect_left(own[k], span[2], key=lambda x: x[1])
+        if not i or own[k][i - 1][2] <= span[1]:
             more.append(span)
     return base, sorted(base + more)
 
