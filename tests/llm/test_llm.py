@@ -272,13 +272,39 @@ def test_packing(docs, rows):
 def test_patterns_are_near_the_bound():
     rng = random.Random(2)
     h = {n: rng.randrange(1, 60) for n in range(1, 1025)}
-    p = packing.solve_patterns(h, iterations=60)
+    p = packing.solve_patterns(h)
     made = {}
     for times, a in p:
         assert sum(n * k for n, k in a.items()) <= 1024
         for n, k in a.items():
             made[n] = made.get(n, 0) + times * k
-    assert made == h and sum(t for t, _ in p) <= sum(n * k for n, k in h.items()) / 1024 * 1.04 + 1
+    assert made == h and sum(t for t, _ in p) <= sum(n * k for n, k in h.items()) / 1024 * 1.02 + 1
+
+
+@pytest.mark.parametrize("pieces", [{3: 2, 5: 1, 7: 4}, {6: 5}, {1: 3, 4: 2, 9: 1, 10: 1}, {2: 1}, {9: 3, 8: 3, 1: 2, 2: 2}])
+def test_program_covers_and_its_dual_bounds(pieces):
+    """Small histograms too go through the program: each length covered, the bound under the best packing of all."""
+    limit, lengths = 10, np.array(sorted(pieces))
+    n = np.array([pieces[x] for x in lengths])
+    x, bound = packing.configuration_program(lengths, n, limit)
+    covered = np.zeros(len(n))
+    for (at, counts), share in x.items():
+        assert sum(lengths[i] * k for i, k in zip(at, counts)) <= limit
+        covered[list(at)] += np.array(counts) * share
+    assert (covered >= n * (1 - 1e-6)).all()
+
+    def fewest(left):
+        """Bins of the best packing: the largest piece with every set of others that fits."""
+        if not any(left):
+            return 0
+        i = max(k for k, c in enumerate(left) if c)
+        options = itertools.product(*[range(c + 1) for c in left])
+        fit = [o for o in options if o[i] and sum(a * lengths[k] for k, a in enumerate(o)) <= limit]
+        return 1 + min(fewest(tuple(c - a for c, a in zip(left, o))) for o in fit if not any(all(p >= q for p, q in zip(w, o)) and w != o for w in fit))
+
+    best = fewest(tuple(n.tolist()))
+    assert bound <= best + 1e-9 and sum(x.values()) >= bound - 1e-9
+    assert sum(t for t, _ in packing.solve_patterns(pieces, limit)) <= best + 1
 
 
 def test_pii(docs, rows):

@@ -115,29 +115,60 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, end_
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), end_id, limit), PIECES)
 
 
-def _best_pattern(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, limit: int) -> np.ndarray:
-    """Knapsack DP: how many pieces of each length fill `limit` at the highest total value.
-
-    Unbounded per length in the table; a pattern that asks for more than `most`
-    of a length is cut down to it.
-    """
+def _best_fills(values: np.ndarray, lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack DP: the highest total value of pieces in each room up to limit, and the piece that it took last (-1: none)."""
     best, took = np.zeros(limit + 1), np.full(limit + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(limit + 1), "right")
     for c in range(1, limit + 1):
-        k = np.searchsorted(lengths, c, "right")
-        best[c], took[c] = best[c - 1], -1
+        best[c], k = best[c - 1], fits[c]
         if k:
             v = best[c - lengths[:k]] + values[:k]
             j = int(v.argmax())
             if v[j] > best[c]:
                 best[c], took[c] = v[j], j
-    counts, c = np.zeros(len(lengths), int), limit
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
+    return best, took
+
+
+def _fill(took: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
+    """The pieces (by index of their length) that the DP puts in a room."""
+    out = []
+    while room > 0:
+        if took[room] < 0:
+            room -= 1
         else:
-            counts[took[c]] += 1
-            c -= lengths[took[c]]
-    return np.minimum(counts, most)
+            out.append(int(took[room]))
+            room -= lengths[out[-1]]
+    return out
+
+
+def configuration_program(lengths: np.ndarray, n: np.ndarray, limit: int, epochs: int = 40, eta: float = 0.3, group: int = 64) -> tuple[dict[tuple, float], float]:
+    """A fractional solution of min sum(x) with n pieces of each length covered, and its least over any solution by the dual.
+
+    Multiplicative weights: a piece's price is its length times exp(-eta * (how
+    far its length is covered, less how far all should be)). Each epoch brings
+    every length up to the next share of its pieces: under the current prices the
+    knapsack DP gives the best pattern that holds a length, for a group of those
+    that lag most at a time; then prices change and the DP is solved again. No
+    step adds more than an epoch's share of any length. x is a map of patterns
+    (indices, counts); n * price / the DP's best value bounds every solution.
+    """
+    covered, x, bound = np.zeros(len(n)), {}, 0.0
+    for epoch in range(1, epochs + 1):
+        goal = epoch / epochs
+        while len(low := np.flatnonzero(covered < goal - 1e-9)):
+            price = lengths * np.exp(-eta * (covered - goal))
+            best, took = _best_fills(price, lengths, limit)
+            bound = max(bound, float(n @ price / best[limit]))
+            for i in low[np.lexsort((-lengths[low], covered[low]))][:group]:
+                if covered[i] >= goal:
+                    continue
+                at, a = np.unique([i, *_fill(took, lengths, limit - lengths[i])], return_counts=True)
+                a = np.minimum(a, n[at])
+                step = min(float((n[at] / a).min()) / epochs, (goal - covered[i]) * n[i] / a[at == i][0])
+                covered[at] += a * step / n[at]
+                key = (tuple(at.tolist()), tuple(a.tolist()))
+                x[key] = x.get(key, 0.0) + step
+    return x, bound
 
 
 def _fullest(lengths: np.ndarray, left: np.ndarray, limit: int) -> np.ndarray:
@@ -163,44 +194,30 @@ def _fullest(lengths: np.ndarray, left: np.ndarray, limit: int) -> np.ndarray:
     return counts
 
 
-def solve_patterns(histogram: dict[int, int], limit: int = 1024, iterations: int = 400, eps: float = 0.25) -> list[tuple[int, dict[int, int]]]:
+def solve_patterns(histogram: dict[int, int], limit: int = 1024) -> list[tuple[int, dict[int, int]]]:
     """Patterns (times, {length: pieces}) that hold the histogram exactly in few sequences of at most limit.
 
-    The configuration program min sum(x) with each length covered is solved by
-    multiplicative weights: each step prices a pattern by the knapsack DP under
-    the current weights, raises x for it, and lowers the weights of the lengths
-    that it covers. The solution is scaled so that no length is over-covered and
-    rounded down; its patterns that are at least 99.5 % full are taken, and the
-    rest, mostly the larger part, is packed by subset sums, longest first.
-    Its work depends on the number of lengths, not of pieces.
+    The configuration program's patterns are rounded from the largest share
+    down: what is cut off one is carried to the next, and a pattern is taken as
+    often as that says and the pieces that are left allow. Subset sums, longest
+    first, then pack the pieces that rounding leaves. The work depends on the
+    number of lengths, not of pieces.
     """
     lengths = np.array(sorted(n for n in histogram if 0 < n < limit), int)
-    n = np.array([histogram[x] for x in lengths], int)
+    left = np.array([histogram[x] for x in lengths], int)
     out: list[tuple[int, dict[int, int]]] = [(histogram[limit], {limit: 1})] if histogram.get(limit) else []
     if not len(lengths):
         return out
-    covered, tried = np.zeros(len(n)), {}
-    log_w = np.zeros(len(n))
-    for _ in range(iterations if n.sum() > 4 * len(n) else 0):
-        # a piece of length L is worth its share of a sequence, more where its cover lags
-        a = _best_pattern(lengths * (1 + np.exp(log_w - log_w.max())), lengths, np.minimum(n, limit // lengths), limit)
-        if not a.any():
-            break
-        on = a > 0
-        step = eps * float((n[on] / a[on]).min())
-        covered += a * step / n
-        log_w -= eps * a * step / n
-        tried[tuple(a)] = tried.get(tuple(a), 0.0) + step
-    left = n.copy()
-    if tried:
-        scale = 1.0 / max(covered.max(), 1e-12)
-        for a, x in sorted(tried.items(), key=lambda p: -p[1]):
-            a = np.array(a)
-            on = a > 0
-            times = min(int(x * scale), int((left[on] // a[on]).min()))
-            if times > 0 and (a * lengths).sum() >= 0.995 * limit:
-                left -= times * a
-                out.append((times, {int(lengths[i]): int(a[i]) for i in np.flatnonzero(a)}))
+    x, _ = configuration_program(lengths, left, limit)
+    carried = 0.0
+    for (at, counts), share in sorted(x.items(), key=lambda p: (-p[1], p[0])):
+        at, counts = np.array(at), np.array(counts)
+        carried += share
+        times = min(int(carried), int((left[at] // counts).min()))
+        carried -= int(carried)
+        if times:
+            left[at] -= times * counts
+            out.append((times, dict(zip(lengths[at].tolist(), counts.tolist(), strict=True))))
     while left.any():
         a = _fullest(lengths, left, limit)
         on = a > 0
