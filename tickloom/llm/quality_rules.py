@@ -9,14 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import stable, unit_random
 from .textstats import RATIOS, text_stats
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rows that the trees are grown from, trees, rows a tree, and the share of good labelled rows that the threshold keeps.
-SAMPLE, TREES, ROWS, KEEP_GOOD = 8192, 100, 256, 0.998
-#: Ratios that don't follow the length of a text.
-USED = [i for i, k in enumerate(RATIOS) if k not in ("log_words", "line_words")]
+#: Rows that the trees are grown from (as expected), trees, rows a tree, and the share of good labelled rows that the threshold keeps.
+SAMPLE, TREES, ROWS, KEEP_GOOD = 8192, 100, 64, 0.998
+#: Statistics that a forest looks at. Each set has a forest of its own; the labelled rows say which one decides.
+SETS = (
+    ("word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "marks", "distinct"),
+    ("word_length", "symbols", "marks"),
+    ("dup_lines", "repeats", "distinct"),
+    ("upper", "digits", "marks"),
+)
+BINS = 2000
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,39 +86,63 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.feature) / max(self.mean, 1e-9))
 
 
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.column_stack([batch.column(k).to_numpy() for k in names]) if batch.num_rows else np.zeros((0, len(names)))
+
+
+def _calibrated(stats: DataFrame, labels: DataFrame, forests: list[IsolationForest]) -> tuple[int, float]:
+    """The forest and threshold that find most bad labelled rows among those that keep KEEP_GOOD of the good; (0, 2.0) finds none."""
+    shared = stats.sparkSession.sparkContext.broadcast(forests)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (forest, names) in enumerate(zip(shared.value, SETS, strict=True)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i, np.int32)), b.column("quality"), pa.array((forest.score(_columns(b, names)) * BINS).astype(np.int32))], names=["forest", "quality", "bin"])
+
+    marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = stats.filter("not base_failed").join(marks, "doc_id").select("quality", *RATIOS)
+    bins = known.mapInArrow(scored, "forest int, quality int, bin int").groupBy("forest", "quality", "bin").agg(F.count("*").alias("n")).collect()
+    best, found = (0, 2.0), 0.0
+    for i in range(len(forests)):
+        good, bad = (np.bincount([r["bin"] for r in bins if r["forest"] == i and r["quality"] == q], [r["n"] for r in bins if r["forest"] == i and r["quality"] == q], BINS + 1) for q in (1, 0))
+        if not good.sum() or not bad.sum():
+            continue
+        kept_good, kept_bad = good.cumsum() / good.sum(), bad.cumsum() / bad.sum()
+        gain = np.where(kept_good >= KEEP_GOOD, kept_good - kept_bad, -1)
+        at = len(gain) - 1 - int(gain[::-1].argmax())
+        if gain[at] > found + 1e-9:
+            best, found = (i, (at + 1) / BINS), float(gain[at])
+    return best
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, COUNTS, base_failed, anomaly, kept.
 
     base_failed: under 10 words, or over 20 % of the words in repeated 5-word
     windows. Rows that pass are kept unless their anomaly is above a threshold:
-    trees grow from SAMPLE rows picked by a hash of the id; over all labelled
-    rows that pass the rules, the threshold is the one that removes most bad
-    rows less good rows (each as a share) among those that keep KEEP_GOOD of the
-    good. Without labelled bad rows nothing is removed by it. Null texts are
-    empty and fail; ids may repeat or be null. An empty table gives no rows.
+    for each of SETS trees grow from about SAMPLE rows picked by a hash, equal
+    rows once; over all labelled rows that pass the rules, forest and threshold
+    are those that remove most bad rows less good rows (each as a share) among
+    those that keep KEEP_GOOD of the good. Without labelled rows of both kinds
+    nothing is removed by it. Null texts are empty and fail; ids may repeat or
+    be null. An empty table gives no rows; other columns are ignored.
     """
-    stats = stable(rule_stats(docs))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    sample = stats.filter("not base_failed").orderBy(F.xxhash64("doc_id", F.lit(5)), *COUNTS).limit(SAMPLE).select(*[RATIOS[i] for i in USED]).toPandas().to_numpy(float)
+    stats = stable(rule_stats(docs).withColumn("base_failed", failed))
+    passed = stats.filter("not base_failed")
+    chosen = passed.filter(unit_random("doc_id", *COUNTS, seed=5) < SAMPLE / max(1, passed.count())).select("doc_id", *COUNTS, *RATIOS).distinct()
+    sample = chosen.toPandas().sort_values(["doc_id", *COUNTS, *RATIOS])
     if len(sample) < 2:
         return stats.select("doc_id", *COUNTS, "base_failed", F.lit(0.0).alias("anomaly"), (~F.col("base_failed")).alias("kept"))
-    forest = stats.sparkSession.sparkContext.broadcast(IsolationForest(sample))
+    forests = [IsolationForest(sample[list(names)].to_numpy(float)) for names in SETS]
+    at, threshold = _calibrated(stats, labels, forests)
+    forest, names = stats.sparkSession.sparkContext.broadcast(forests[at]), SETS[at]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = ["doc_id", *COUNTS, "base_failed"]
         for b in batches:
-            x = np.column_stack([b.column(RATIOS[i]).to_numpy() for i in USED]) if b.num_rows else np.zeros((0, len(USED)))
-            names = ["doc_id", *COUNTS, "base_failed"]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(forest.value.score(x))], names=[*names, "anomaly"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(forest.value.score(_columns(b, names)))], names=[*keep, "anomaly"])
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "anomaly double"])
-    found = stable(stats.mapInArrow(scored, schema))
-    marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    bins = found.filter("not base_failed").join(marks, "doc_id").groupBy("quality", F.floor(F.col("anomaly") * 2000).alias("bin")).agg(F.count("*").alias("n")).collect()
-    good, bad = (np.bincount([r["bin"] for r in bins if r["quality"] == q], [r["n"] for r in bins if r["quality"] == q], 2001) for q in (1, 0))
-    threshold = 2.0
-    if good.sum() and bad.sum():
-        kept_good, kept_bad = good.cumsum() / good.sum(), bad.cumsum() / bad.sum()
-        gain = np.where(kept_good >= KEEP_GOOD, kept_good - kept_bad, -1)
-        threshold = (len(gain) - int(gain[::-1].argmax())) / 2000
+    found = stats.mapInArrow(scored, schema)
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))

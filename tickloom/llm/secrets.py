@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import stable, unit_random
 
 #: A value after a telling name, or a long run of characters that keys are made of.
 CANDIDATE = r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{8,}|[A-Za-z0-9+/_-]{16,}={0,2}"""
@@ -77,10 +77,14 @@ def rule_label() -> Column:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> RandomForestClassificationModel | None:
-    """Forest from labelled findings (candidates() and label 0 or 1): half of fit_rows of each label at most, by a hash."""
-    each = fit_rows // 2
-    picked = [labelled.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id", "ordinal", F.lit(SEED)), "value").limit(each) for y in (0, 1)]
-    rows = stable(with_features(picked[0].union(picked[1])).select("label", *FEATURES))
+    """Forest from labelled findings (candidates() and label 0 or 1): of each label about half of fit_rows, by a hash, equal findings once."""
+    known = labelled.filter(F.col("label").isin(0, 1))
+    n = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return None
+    rate = F.when(F.col("label") == 1, fit_rows / 2 / n[1]).otherwise(fit_rows / 2 / n[0])
+    picked = known.filter(unit_random("doc_id", "ordinal", "value", seed=SEED) < rate).select("label", "value", "candidate", "before", "after", "path").distinct()
+    rows = stable(with_features(picked).select("label", *FEATURES))
     if rows.select("label").distinct().count() < 2:
         return None
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
