@@ -508,6 +508,23 @@ def test_quality_model_held_out(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_drop_poor_against_explicit_pairs(spark):
+    """The quality stage keeps the rows whose score, from all pairs one by one, reaches the threshold."""
+    rng = random.Random(19)
+    rows = [(i, prose(rng, 25) if i % 3 else " ".join(w.upper() + "!!" for w in prose(rng, 25).split())) for i in range(200)] + [(None, None), (500, ""), (3, "x"), (3, prose(rng, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    m, want = quality_model.fit(docs, marks), []
+    for i, t in rows:
+        ids, vals = quality_model._sparse(t, quality_model._Buckets())
+        z = m.w0 + m.w[ids] @ vals + sum(m.v[a] @ m.v[b] * p * q for (a, p), (b, q) in itertools.combinations(zip(ids, vals), 2))
+        score = 1 / (1 + np.exp(-z))
+        assert abs(score - 0.7) > 1e-5
+        if score >= 0.7:
+            want.append((i, t))
+    assert sorted(map(tuple, quality_model.drop_poor(docs, marks).collect()), key=str) == sorted(want, key=str) and 50 < len(want) < 200
+
+
 def test_factorisation_machine_pairs():
     m = quality_model.FactorisationMachine()
     ids, vals = np.array([3, 8, 20]), np.array([1.0, 2.0, 0.5])
