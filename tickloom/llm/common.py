@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
@@ -14,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Lists of the tables that open scratch() blocks have written, the innermost last.
+_made: list[list[str]] = []
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write df as a table in the checkpoint folder that executors share, and read it from there.
 
@@ -30,9 +36,29 @@ def stable(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made[-1:]:
+        made.append(path)
     return session.read.schema(df.schema).parquet(path)
 
 
+def remove(session: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    sc = session.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(session: SparkSession) -> Iterator[list[str]]:
+    """Tables that stable() writes inside are listed, and those still in the list at the end are deleted."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        remove(session, _made.pop())
+
+
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
