@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import stable
+from tickloom.llm.common import remove, scratch, stable
 from tickloom.llm.exact_dedup import drop_copies
 from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import drop_near_copies
@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. Each stage's own tables, and the documents before it, are deleted once what it keeps is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = stable(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:
+            docs = stable(stage(spark, docs, sf_dir))
+            written = made.pop()
+        remove(spark, before)
+        before = [written]
     return STAGES[-1][1](spark, docs, sf_dir)
