@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a key table that is broadcast after its size has been counted.
 BROADCAST_ROWS = 200_000
+#: Most bytes of texts or sets in an Arrow batch of a step that stable() writes (a single longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
 
 
 #: Lists of the tables that open scratch() blocks have written, the innermost last.
@@ -26,6 +28,8 @@ def stable(df: DataFrame) -> DataFrame:
     checkpoint() would keep the partitioning and order that the plan had; over
     rounds of joins those descriptions multiply until planning takes minutes.
     The table has none, so a join shuffles both sides and may split hot keys.
+    Python gets small batches meanwhile: a batch is held by the JVM and, often
+    more than once, by each Python worker beside the heap.
     """
     session = df.sparkSession
     sc = session.sparkContext
@@ -35,7 +39,13 @@ def stable(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = session.conf.get(most)
+    session.conf.set(most, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        session.conf.set(most, before)
     for made in _made[-1:]:
         made.append(path)
     return session.read.schema(df.schema).parquet(path)
