@@ -19,7 +19,7 @@ def plain(v):
         return plain(v.item())
     if isinstance(v, int) and not isinstance(v, bool):
         return float(v)
-    return None if v is None or str(v) == "NaT" else v if isinstance(v, bool) else str(v)
+    return None if v is None or str(v) in ("NaT", "<NA>") else v if isinstance(v, bool) else str(v)
 
 
 def rows(pdf):
