@@ -469,12 +469,19 @@ def _(s, d):
     return jobs.late_items(_items(s, d), _marks(s, d)).select("pos", "late")
 
 
-@query("t2_advance_marks", f"""WITH {_MARKS}, x AS (SELECT event_type AS source, event_id AS pos, CASE WHEN event_type = 'click' OR event_id % 7 = 0 THEN NULL ELSE ts END AS seen, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS id FROM events),
-       n AS (SELECT source, max(seen) AS seen, coalesce(arg_max(id, (seen, -pos)) FILTER (seen IS NOT NULL AND id <> ''), arg_min(id, pos) FILTER (id <> '')) AS id FROM x GROUP BY 1)
-       SELECT source, coalesce(id, CAST(mark_id AS VARCHAR)) AS mark_id, CASE WHEN seen IS NOT NULL AND (mark_at IS NULL OR seen >= mark_at) THEN seen ELSE mark_at END AS mark_at FROM n FULL JOIN marks USING (source)""")
+@query(
+    "t2_advance_marks",
+    f"""WITH {_MARKS}, x AS (SELECT event_type AS source, event_id AS pos, CASE WHEN event_type = 'click' OR event_id % 7 = 0 THEN NULL ELSE ts - to_hours((event_id * 37) % 800) END AS seen,
+            CASE WHEN event_id % 3 = 0 OR (event_type = 'search' AND event_id % 2 = 0) THEN '' ELSE CAST(event_id AS VARCHAR) END AS id FROM events),
+        h AS (SELECT *, seen IS NOT NULL AND coalesce(seen > max(seen) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS high FROM x),
+        n AS (SELECT source, max(seen) AS seen, coalesce(arg_max(id, pos) FILTER (high AND id <> ''), arg_min(id, pos) FILTER (id <> '')) AS id FROM h GROUP BY 1)
+        SELECT source, coalesce(id, CAST(mark_id AS VARCHAR)) AS mark_id, CASE WHEN seen IS NOT NULL AND (mark_at IS NULL OR seen >= mark_at) THEN seen ELSE mark_at END AS mark_at FROM n FULL JOIN marks USING (source)""",
+)
 def _(s, d):
-    x = _items(s, d).withColumns({"published_at": F.when((F.col("source") != "click") & (F.col("pos") % 7 != 0), F.col("published_at")), "external_id": F.when(F.col("pos") % 3 == 0, "").otherwise(F.col("external_id"))})
-    return jobs.advance_marks(_marks(s, d), x)
+    pos, source = F.col("pos"), F.col("source")
+    seen = F.when((source != "click") & (pos % 7 != 0), F.col("published_at") - F.make_interval(hours=F.pmod(pos * 37, F.lit(800)).cast("int")))
+    no_id = (pos % 3 == 0) | ((source == "search") & (pos % 2 == 0))
+    return jobs.advance_marks(_marks(s, d), _items(s, d).withColumns({"published_at": seen, "external_id": F.when(no_id, "").otherwise(F.col("external_id"))}))
 
 
 @query("t4_bootstrap_select", "WITH x AS (SELECT *, ts >= TIMESTAMP '2024-01-25' AND event_type <> 'view' AS recent FROM events) SELECT event_id AS pos FROM x QUALIFY CASE WHEN max(CAST(recent AS INT)) OVER (PARTITION BY event_type) = 1 THEN recent ELSE row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 10 END")
@@ -499,15 +506,50 @@ def _(s, d):
     return jobs.dedupe_stream(_stream(s, d).select("user_id", "event_type", "event_id"), folder(s), ["user_id", "event_type"], "event_id")
 
 
-@query("t5_candle_stream", f"WITH {bars_sql()} SELECT ticker, ts, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(tick_at) - INTERVAL 1 HOUR FROM ticks)", "volume")
+def _tick_stream(s, d):
+    return _stream(s, d).select("event_id", F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
+
+
+def _naive(x, *names):
+    return x.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
+
+
+_CLOSED = f"WITH {bars_sql()} SELECT ticker, ts, open, high, low, close, volume, amount, end_ts FROM bars WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(tick_at) - INTERVAL 1 HOUR FROM ticks)"
+
+
+@query("t5_candle_stream", _CLOSED, "volume amount")
 def _(s, d):
-    e = _stream(s, d)
-    x = e.select("event_id", F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
-    out = _collected(s, jobs.candle_stream(x, 30))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _naive(_collected(s, jobs.candle_stream(_tick_stream(s, d), 30)), "ts", "end_ts")
 
 
-@query("t6_run_stats_stream", "SELECT * FROM (SELECT time_bucket(INTERVAL 30 MINUTES, e.ts) AS ts, event_type AS source, count(*) AS runs, sum(event_id % 5)::BIGINT AS saved FROM events e GROUP BY 1, 2) WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(e.ts) - INTERVAL 1 HOUR FROM events e)")
+@query("t5_candle_table", _CLOSED, "volume amount")
+def _(s, d):
+    path = folder(s)
+    jobs.candles_to_table(_tick_stream(s, d), path, 30)
+    return _naive(jobs.closed_bars(s.read.parquet(f"{path}/bars"), 30), "ts", "end_ts")
+
+
+@query(
+    "t6_run_stats_stream",
+    """SELECT * FROM (SELECT time_bucket(INTERVAL 30 MINUTES, e.ts) AS ts, event_type AS source, count(*) AS runs, sum(event_id % 9)::BIGINT AS fetched, sum(event_id % 7)::BIGINT AS selected, sum(event_id % 5)::BIGINT AS saved,
+        sum(event_id % 3)::BIGINT AS duplicates, sum(event_id % 2)::BIGINT AS skipped, count(*) FILTER (event_id % 11 = 0) AS errors, max(e.ts) AS last_run FROM events e GROUP BY 1, 2)
+        WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(e.ts) - INTERVAL 1 HOUR FROM events e)""",
+)
+def _(s, d):
+    i = F.col("event_id")
+    counts = [(i % k).alias(c) for c, k in zip(jobs.RUN_COUNTS, (9, 7, 5, 3, 2))]
+    x = _stream(s, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), *counts, F.when(i % 11 == 0, "failed").alias("error"))
+    return _naive(_collected(s, jobs.run_stats_stream(x)), "ts", "last_run")
+
+
+@query(
+    "io6_upsert_partitions",
+    """WITH x AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, user_id % 50 AS bucket, ts, event_id, value FROM events)
+        SELECT * FROM x WHERE event_id % 2 = 0 OR dayofmonth(ts) <= 10 QUALIFY row_number() OVER (PARTITION BY day, event_type, bucket ORDER BY ts DESC, event_id DESC) = 1""",
+)
 def _(s, d):
-    x = _stream(s, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), (F.col("event_id") % 5).alias("saved"))
-    return _collected(s, jobs.run_stats_stream(x)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    x = table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", (F.col("user_id") % 50).alias("bucket"), "ts", "event_id", "value")
+    path, key = folder(s), ["day", "event_type", "bucket"]
+    tables.upsert_partitions(path, x.filter("event_id % 2 = 0"), key, "ts", "event_id", "day")
+    tables.upsert_partitions(path, x.filter("event_id % 2 = 1 and dayofmonth(ts) <= 10"), key, "ts", "event_id", "day")
+    return s.read.schema(x.schema).parquet(path)

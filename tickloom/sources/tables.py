@@ -46,6 +46,33 @@ def upsert_replace(table: DataFrame, rows: DataFrame, key: list[str], updated: s
     return table.unionByName(rows).withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
 
 
+def exists(session: SparkSession, path: str) -> bool:
+    """Whether a folder with rows is at path."""
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def upsert_partitions(path: str, rows: DataFrame, key: list[str], updated: str, seq: str, by: str) -> None:
+    """Bring rows into the table at path: the newest row of each key by (updated, seq) stays, rows of no touched partition are neither read nor written.
+
+    The table is partitioned by `by`, which the key determines. A batch's distinct
+    values of it, no more than the folders it writes, go to the driver, so that the
+    scan prunes the rest; a dynamic overwrite replaces their folders once all new
+    files are written. The same batch again gives the same table.
+    """
+    session = rows.sparkSession
+    touched = [r[0] for r in rows.select(by).distinct().collect()]
+    new = rows
+    if exists(session, path) and touched:
+        stored = session.read.schema(rows.schema).parquet(path)
+        here = F.col(by).isin([v for v in touched if v is not None])
+        new = stored.filter(here | F.col(by).isNull() if None in touched else here)
+        new = upsert_replace(new, rows, key, updated, seq)
+    else:
+        new = upsert_replace(rows.limit(0), rows, key, updated, seq)
+    new.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def replace_children(table: DataFrame, parents: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.join(parents.select(*key).distinct(), key, "left_anti").unionByName(rows)
 
