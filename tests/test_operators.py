@@ -242,15 +242,6 @@ def test_links_are_resolved(spark):
     assert {(r.b, r.h): r.u for r in got} == {(b, h): urldefrag(urljoin(b, h))[0] for b, h in cases}
 
 
-def test_selector_weights_use_the_past_only(spark):
-    rows = [(t, s, float(s == (t // 40) % 2), float(t % 7)) for t in range(80) for s in (0, 1)]
-    m = spark.createDataFrame(rows, "ts int, selector_index int, label double, x double").selectExpr("ts", "concat('s', selector_index) AS selector", "selector_index", "label", "x")
-    a = selectors.selector_weights(m, ["x", "selector_index"], 40).collect()
-    b = selectors.selector_weights(m.withColumn("label", F.expr("if(ts >= 40, -label, label)")), ["x", "selector_index"], 40).collect()
-    assert sorted(a) == sorted(b) and {r.ts for r in a} == set(range(40, 80))
-    assert all(r.weight > 0.5 for r in a if r.selector == "s0")
-
-
 def test_extract_articles(spark):
     from tickloom.sources.feeds import extract_articles
 
@@ -259,16 +250,6 @@ def test_extract_articles(spark):
     assert [tuple(r) for r in got] == [(1, "Head", "2024-01-02", "a b"), (2, "", None, ""), (3, "only", None, "only")]
 
 
-def test_selector_model_needs_rows_and_a_varied_label(spark):
-    from tickloom.operators.selectors import fit_selector_model
-
-    rows = spark.range(60).selectExpr("cast('2024-01-01' as timestamp_ntz) + make_interval(0,0,0,0,id) as ts", "'a' as selector", "cast(id % 2 as double) as x0", "cast(id % 2 as double) as label")
-    model = fit_selector_model(rows, ["x0"])
-    assert all(abs(r.prediction - r.label) < 0.05 for r in model.transform(rows).collect())
-    assert fit_selector_model(rows.limit(47), ["x0"]) is None
-    assert fit_selector_model(rows.withColumn("label", rows.x0 * 0), ["x0"]) is None
-
-
 def test_all_lines_of_an_order_become_candidates(spark):
     """o1, w16, o3 and o4 against a loop over every line of lineitem, up to seven tickers an order."""
     import math

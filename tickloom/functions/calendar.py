@@ -25,7 +25,26 @@ def selector_due(ts: Column, rebalance_minutes: Column) -> Column:
     return (rebalance_minutes <= 30) | ((m >= MIDDAY) & (F.pmod(m - MIDDAY, F.greatest(rebalance_minutes, F.lit(1))) == 0))
 
 
-def decision_grid(spark: SparkSession, start: str, end: str, minutes: int, delay: int = 0) -> DataFrame:
-    """Times every `minutes` between two days at which the market is open, `delay` minutes later."""
+def next_decision(ts: Column, minutes: int = 30, delay_seconds: int = 90) -> Column:
+    """The first decision time after ts: slots of an hour's `minutes`, delay_seconds later, at which the market is open.
+
+    Within the delay after a slot that slot's own time is still ahead. A closed
+    stretch lasts 15 hours at most, so the slots up to it, or of eight days where
+    they may miss a whole session, hold the next open one; they are only listed
+    for a closed candidate.
+    """
+    hour = F.date_trunc("HOUR", ts).cast("timestamp_ntz")
+    later = lambda t, k: t + F.make_interval(mins=k)
+    slot = later(hour, (F.floor(F.minute(ts) / minutes) * minutes).cast("int"))
+    first = slot + F.make_interval(secs=F.lit(delay_seconds).cast("decimal(18,6)"))
+    first = F.when(first <= ts, later(first, F.lit(minutes))).otherwise(first)
+    reach = 15 * 60 + minutes if minutes <= 60 else 8 * 24 * 60
+    more = F.transform(F.sequence(F.lit(1), F.lit(reach // minutes + 1)), lambda k: later(first, (k * minutes).cast("int")))
+    return F.when(market_open(first), first).otherwise(F.get(F.filter(more, market_open), F.lit(0)))
+
+
+def decision_grid(spark: SparkSession, start: str, end: str, minutes: int, delay_seconds: int = 0) -> DataFrame:
+    """Times delay_seconds after every slot of `minutes` between two days, at which the market is open."""
     t = spark.sql(f"SELECT explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', interval {minutes} minutes)) AS slot")
-    return t.filter(market_open(F.col("slot"))).select((F.col("slot") + F.make_interval(mins=F.lit(delay))).alias("as_of"))
+    x = t.select((F.col("slot") + F.make_interval(secs=F.lit(delay_seconds).cast("decimal(18,6)"))).alias("as_of"))
+    return x.filter(market_open(F.col("as_of")))

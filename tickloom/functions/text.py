@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Parts of addresses that are news or aren't, and phrases of pages that aren't articles.
 NEWS_PATHS = (
@@ -84,3 +86,43 @@ def redact_text(text: Column) -> Column:
 
 def redact_map(payload: Column) -> Column:
     return F.transform_values(payload, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit(REDACTED)).otherwise(redact_text(v)))
+
+
+def _blotted(value: Column, kind: DataType) -> Column:
+    """A value all of which is secret, in its own type: texts are REDACTED, all else is null."""
+    if isinstance(kind, StringType):
+        return F.lit(REDACTED)
+    if isinstance(kind, StructType):
+        return F.struct(*[_blotted(value[f.name], f.dataType).alias(f.name) for f in kind])
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: _blotted(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: _blotted(v, kind.valueType))
+    return F.lit(None).cast(kind)
+
+
+def redact(value: Column, kind: DataType) -> Column:
+    """A value of any type without secrets: structs, maps and arrays are walked by their type, whatever their depth.
+
+    What stands under a secret key is REDACTED, null too; a struct's field becomes
+    that text, whatever it was, while a map's values keep their common type, in
+    which texts become REDACTED and all else null. Of other texts those that look
+    like a secret are REDACTED; all other values, nulls among them, stay.
+    """
+    if isinstance(kind, StringType):
+        return redact_text(value)
+    if isinstance(kind, StructType):
+        secret = re.compile(SECRET_KEY.removeprefix("(?i)"), re.IGNORECASE)
+        fields = [(F.lit(REDACTED) if secret.search(f.name) else redact(value[f.name], f.dataType)).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: redact(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, v: F.when(k.cast("string").rlike(SECRET_KEY), _blotted(v, kind.valueType)).otherwise(redact(v, kind.valueType)))
+    return value
+
+
+def redact_rows(rows: DataFrame) -> DataFrame:
+    """rows with every column redacted as a field of that name."""
+    whole = redact(F.struct(*[F.col(f"`{c}`").alias(c) for c in rows.columns]), rows.schema)
+    return rows.select(whole.alias("row")).select("row.*")

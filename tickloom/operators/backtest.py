@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candles import micros
+from .common import sized
+from .scores import percentile_scores
 
 
 def valid_targets(bars: DataFrame, context_minutes: int, min_bars: int, last: int) -> DataFrame:
@@ -82,7 +84,11 @@ def context_matrix(bars: DataFrame, length: int, clip: float = 5.0) -> DataFrame
     return x.select("ticker", "ts", z.alias("z"), stamps.alias("stamps"))
 
 
-def rolling_backtest(bars: DataFrame, targets: DataFrame, predictor: Callable[[pd.DataFrame], list[float]], context: int) -> DataFrame:
+#: From the bars known (in order of ts) and the times to come: samples of the close at each of those times.
+Predictor = Callable[[pd.DataFrame, list], Sequence[Sequence[float]]]
+
+
+def rolling_backtest(bars: DataFrame, targets: DataFrame, predictor: Predictor, context: int) -> DataFrame:
     """Samples of a pluggable predictor for each target from the bars before it.
 
     Bars and targets of a ticker and month meet in one group, with one context
@@ -98,7 +104,49 @@ def rolling_backtest(bars: DataFrame, targets: DataFrame, predictor: Callable[[p
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("seq").reset_index(drop=True)
-        out = [(r.ticker, r.ts, predictor(g.iloc[max(0, i - context) : i]), g["close"].iloc[i - 1], r.close) for i, r in enumerate(g.itertuples()) if r.wanted is True and r.own and i > 0]
+        out = [(r.ticker, r.ts, list(predictor(g.iloc[max(0, i - context) : i], [r.ts])[0]), g["close"].iloc[i - 1], r.close) for i, r in enumerate(g.itertuples()) if r.wanted is True and r.own and i > 0]
         return pd.DataFrame(out, columns=["ticker", "ts", "samples", "last_close", "actual"])
 
     return rows.groupBy("ticker", "m").applyInPandas(run, "ticker string, ts timestamp_ntz, samples array<double>, last_close double, actual double")
+
+
+def business_days(last: Column, n: int) -> Column:
+    """The n days after last's that are no Saturday or Sunday, at midnight."""
+    day = F.to_date(last)
+    days = F.sequence(F.date_add(day, 1), F.date_add(day, n + 2 * (n // 5) + 4))
+    return F.transform(F.slice(F.filter(days, lambda d: F.weekday(d) < 5), 1, n), lambda d: d.cast("timestamp_ntz"))
+
+
+def coming_hours(last: Column, n: int) -> Column:
+    """The n times an hour apart after last."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: last + F.make_interval(hours=k))
+
+
+def forecast(context: DataFrame, predictor: Predictor, stamps: Callable[[Column], Column], least: int = 30) -> DataFrame:
+    """(as_of, ticker, step, ts, samples, last_close, bars): samples of a predictor for coming times, from the bars that an as_of knows.
+
+    context: (as_of, ticker, ts, close, ...) with a bounded number of bars for each
+    as_of and ticker, as bars_as_of() gives; under `least` there is no forecast.
+    stamps gives the coming times from the last bar's, see business_days() and
+    coming_hours().
+    """
+    w = Window.partitionBy("as_of", "ticker")
+    x = context.withColumns({"_n": F.count("*").over(w), "_last": F.max("ts").over(w)}).filter(F.col("_n") >= least).withColumn("_stamps", stamps(F.col("_last"))).drop("_last")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ts")
+        first = g.iloc[0]
+        times = [pd.Timestamp(t) for t in first["_stamps"]]
+        found = predictor(g.drop(columns=["_n", "_stamps"]).reset_index(drop=True), times)
+        rows = [(first["as_of"], first["ticker"], k, t, [float(v) for v in s], float(g["close"].iloc[-1]), len(g)) for k, (t, s) in enumerate(zip(times, found, strict=True), 1)]
+        return pd.DataFrame(rows, columns=["as_of", "ticker", "step", "ts", "samples", "last_close", "bars"])
+
+    return x.groupBy("as_of", "ticker").applyInPandas(run, "as_of timestamp_ntz, ticker string, step int, ts timestamp_ntz, samples array<double>, last_close double, bars int")
+
+
+def forecast_scores(forecasts: DataFrame, decisions: DataFrame, universe: DataFrame) -> DataFrame:
+    """(as_of, ticker, value, score) of the whole universe: the mean sample of the first step as a return, ranked among the tickers; without a forecast 0.5."""
+    mean = F.aggregate("samples", F.lit(0.0), lambda a, s: a + s) / F.size("samples")
+    first = forecasts.filter("step = 1").select("as_of", "ticker", F.when(F.col("last_close") > 0, mean / F.col("last_close") - 1).otherwise(0.0).alias("value"))
+    every = decisions.select("as_of").distinct().join(sized(universe.select("ticker").distinct()), how="cross")
+    return percentile_scores(every.join(first, ["as_of", "ticker"], "left")).select("as_of", "ticker", "value", "score")

@@ -26,3 +26,10 @@ def new_folder(session: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df written as a table in the checkpoint folder that executors share, and read from there: computed once, with no lineage to replay."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from .common import sized
 
 MARKET = ("", "MARKET", "MOEX_MARKET")
 
@@ -35,25 +36,75 @@ def _quoted(k: str) -> Column:
     return F.when(F.col(k).isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
 
-#: Characters that a term must not stand next to.
+#: Characters that a term must not stand next to, and the ticker that stands for all.
 WORD_CHARS = "0-9A-Za-zА-Яа-яЁё"
+EVERY = "ALL"
 
 
-def _term(term: str) -> str:
-    """Pattern of a term: any white space for white space, е and ё alike, all else as it is."""
-    return "".join(r"\s+" if c.isspace() else "[её]" if c in "еёЕЁ" else re.escape(c) for c in term)
+def _plain(term: str) -> str:
+    """A term as matches are looked up: case-blind, one blank for white space, е for ё."""
+    return re.sub(r"\s+", " ", term).upper().lower().replace("ё", "е")
 
 
-def tag_entities(news: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
-    """(news_id, ticker, terms): the terms of a ticker that title or text have as whole words, case-blind; sorted."""
+def _one_pattern(terms: list[str]) -> str:
+    """All terms as one pattern that shares common beginnings, so that its cost at a place grows with a term's length, not with their number; the longest fits first."""
+    root: dict = {}
+    for term in sorted(terms):
+        node = root
+        for c in re.sub(r"\s+", " ", term):
+            node = node.setdefault(r"\s+" if c == " " else "[её]" if c in "еёЕЁ" else re.escape(c.lower()), {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [k + written(v) for k, v in node.items() if k]
+        body = "|".join(ways)
+        return f"(?:{body})?" if "" in node and ways else f"(?:{body})" if len(ways) > 1 else body
+
+    return written(root)
+
+
+def _looked_up(terms: dict[str, list[str]]) -> dict[str, list[tuple[str, str]]]:
+    """What a match stands for: (ticker, term) of the terms that read as it does, or as its beginning up to an edge of a word."""
+    pairs = [(_plain(w), t, w) for t, words in terms.items() for w in words]
+    edge = re.compile(f"[{WORD_CHARS}]")
+    found: dict[str, list[tuple[str, str]]] = {}
+    for long in {p for p, _, _ in pairs}:
+        found[long] = [(t, w) for p, t, w in pairs if long == p or (long.startswith(p) and not edge.match(long[len(p)]))]
+    return found
+
+
+def tag_entities(news: DataFrame, terms: dict[str, list[str]], sources: DataFrame | None = None) -> DataFrame:
+    """(news_id, ticker, matched_by, terms): the terms of a ticker that title or text have as whole words, case-blind, in one scan; sorted.
+
+    With sources (source, tickers array) an item also gets its source's own tickers
+    that terms has, but for EVERY, with the term source:<source>; matched_by names
+    what found a ticker, `regex`, `source` or both. The scan looks ahead from every
+    place, so that a match hides no other that begins within it.
+    """
     both = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    whole = lambda p: F.col("both").rlike(f"(?iu)(?<![{WORD_CHARS}])(?:{p})(?![{WORD_CHARS}])")
-    hits = []
-    for ticker, words in sorted(terms.items()):
-        each = F.array_compact(F.array(*[F.when(whole(_term(w)), F.lit(w)) for w in sorted(set(words))]))
-        hits.append(F.struct(F.lit(ticker).alias("ticker"), F.when(whole("|".join(map(_term, words))), each).alias("terms")))
-    tagged = news.select("news_id", both.alias("both")).select("news_id", F.explode(F.filter(F.array(*hits), lambda h: h["terms"].isNotNull())).alias("h"))
-    return tagged.select("news_id", "h.ticker", "h.terms")
+    session, words = news.sparkSession, {t: [w for w in ws if w.strip()] for t, ws in terms.items()}
+    means = session.createDataFrame([(k, t, w) for k, v in _looked_up(words).items() for t, w in v], "match string, ticker string, term string")
+    pattern = f"(?iuU)(?<![{WORD_CHARS}])(?=({_one_pattern([w for ws in words.values() for w in ws]) or '(?!)'})(?![{WORD_CHARS}]))"
+    plain = F.transform(F.regexp_extract_all(both, F.lit(pattern), F.lit(1)), lambda m: F.regexp_replace(F.regexp_replace(F.lower(F.upper(m)), "ё", "е"), r"(?U)\s+", " "))
+    matches = news.select("news_id", F.explode(F.array_distinct(plain)).alias("match")).join(sized(means), "match")
+    found = matches.select("news_id", "ticker", F.lit("regex").alias("by"), "term")
+    if sources is not None:
+        known = session.createDataFrame([(t,) for t in terms if t != EVERY], "ticker string")
+        own = sources.select("source", F.explode("tickers").alias("ticker")).distinct().join(sized(known), "ticker", "left_semi")
+        found = found.unionByName(news.select("news_id", "source").join(sized(own), "source").select("news_id", "ticker", F.lit("source").alias("by"), F.concat(F.lit("source:"), "source").alias("term")))
+    return found.groupBy("news_id", "ticker").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("matched_by"), F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def with_tickers(news: DataFrame, tags: DataFrame) -> DataFrame:
+    """news with tickers: the sorted tickers of its tags, empty without any."""
+    per = tags.groupBy("news_id").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
+    return news.drop("tickers").join(per, "news_id", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
+
+
+def retag_all(news: DataFrame, terms: dict[str, list[str]], sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """News with tickers written anew, and all their tags."""
+    tags = tag_entities(news, terms, sources)
+    return with_tickers(news, tags), tags
 
 
 def merge_tags(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -70,6 +121,11 @@ def ticker_stats(news: DataFrame, tags: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("total"), F.count("n").alias("tagged"), F.sum(F.col("n").isNull().cast("long")).alias("untagged"), F.sum(F.coalesce((F.col("n") > 1).cast("long"), F.lit(0))).alias("multi"))
 
 
+def ticker_counts(tags: DataFrame) -> DataFrame:
+    """(ticker, n): items tagged with each ticker."""
+    return tags.groupBy("ticker").agg(F.countDistinct("news_id").alias("n"))
+
+
 def news_context(news: DataFrame, tags: DataFrame, stories: DataFrame, decisions: DataFrame) -> DataFrame:
     """Items received on the day of as_of and not after it, with their tags and story; an equi-join on the day."""
     n = news.withColumn("day", F.to_date("received_at"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import sized
 from .scores import clipped
 
-PER_TICKER, MARKETWIDE, TITLE_CHARS, TEXT_CHARS = 8, 20, 260, 500
+PER_TICKER, MARKETWIDE, TITLE_CHARS, REASON_CHARS, TEXT_CHARS = 8, 20, 260, 260, 500
 #: Score columns with their defaults, text columns with their default and longest length, relations and market tickers.
 SCORE_DEFAULTS = {"bullish_score": 0.5, "confidence": 0.0, "relation_strength": 0.0, "already_priced_risk": 0.5}
 NOTE_LENGTHS = {"direct_effect": ("none", 80), "marketwide_effect": ("none", 80), "reason": ("", 500)}
@@ -35,16 +35,19 @@ def normalize_scores(raw: DataFrame, universe: DataFrame) -> DataFrame:
     return x.select("as_of", "ticker", *numbers, *notes)
 
 
-def normalize_relation_tags(raw: DataFrame, known: DataFrame, tickers: list[str]) -> DataFrame:
+def normalize_relation_tags(raw: DataFrame, known: DataFrame, tickers: list[str], order: str = "raw_json") -> DataFrame:
     """Valid tags (news_id, ticker, relation, confidence, strength, reason, tags) from rows (raw_json), each {"items": [{"news_id", "tags": [...]}]}.
 
+    Of tags of one (news_id, ticker, relation) the first stays, in the order of
+    `order` over rows, then of the items and tags in a row.
+
     Items and tags that are no objects are skipped. An absent strength is 0.6 for
     a cluster and 0.8 else; one that is no number is 0. Marketwide tags are the
     market's; a direct one may name the market too.
     """
     items = F.from_json(_object(F.col("raw_json"))["items"], "array<string>")
-    x = raw.select(F.explode(items).alias("i")).select(_object(F.col("i")).alias("i"))
-    x = x.select(F.col("i")["news_id"].alias("news_id"), F.explode(F.from_json(F.col("i")["tags"], "array<string>")).alias("t")).select("news_id", _object(F.col("t")).alias("t"))
+    x = raw.select(F.col(order).alias("o"), F.posexplode(items).alias("p", "i")).select("o", "p", _object(F.col("i")).alias("i"))
+    x = x.select("o", "p", F.col("i")["news_id"].alias("news_id"), F.posexplode(F.from_json(F.col("i")["tags"], "array<string>")).alias("q", "t")).select("o", "p", "q", "news_id", _object(F.col("t")).alias("t"))
     field = lambda k: F.col("t")[k]
     relation = F.lower(field("relation_type"))
     x = x.withColumns({"relation": relation, "ticker": F.when(relation == "marketwide", "MARKET").otherwise(F.upper(field("ticker")))})
@@ -52,23 +55,39 @@ def normalize_relation_tags(raw: DataFrame, known: DataFrame, tickers: list[str]
     confidence = F.lower(field("confidence"))
     default = F.when(F.col("relation") == "cluster", 0.6).otherwise(0.8)
     strength = F.when(F.map_contains_key("t", "relation_strength"), F.coalesce(clipped(F.expr("try_cast(t['relation_strength'] as double)"), 0.0), F.lit(0.0))).otherwise(default)
-    x = x.select(
+    first = F.row_number().over(Window.partitionBy("news_id", "ticker", "relation").orderBy("o", "p", "q"))
+    x = x.join(known.select("news_id").distinct(), "news_id", "left_semi").withColumn("n", first).filter("n = 1")
+    return x.select(
         "news_id", "ticker", "relation", F.when(confidence.isin("low", "medium", "high"), confidence).otherwise("medium").alias("confidence"), strength.alias("strength"),
         F.substring(F.coalesce(field("reason"), F.lit("")), 1, 500).alias("reason"), F.coalesce(field("tags"), F.lit("[]")).alias("tags"),
     )
-    return x.join(known.select("news_id").distinct(), "news_id", "left_semi")
+
+
+#: Fields of an item of a scorer's payload, with what stands in for an absent one.
+PAYLOAD = {"published_at": None, "received_at": None, "relation_type": None, "source": None, "source_count": 1, "title": "", "reason": "", "text": "", "tags": "[]"}
+CUTS = {"title": TITLE_CHARS, "reason": REASON_CHARS, "text": TEXT_CHARS}
 
 
 def trim_context(context: DataFrame) -> DataFrame:
-    """The newest rows of each (as_of, ticker, route), fewer for tickers than for the market, with cut texts."""
+    """The newest rows of each (as_of, ticker, route), fewer for tickers than for the market, with the fields of PAYLOAD, long texts cut.
+
+    relation_type is the context's relation; a field that the context lacks, or a null one that has a default, takes the default.
+    """
     w = Window.partitionBy("as_of", "ticker", "route").orderBy(F.col("received_at").desc(), F.col("news_id").desc())
-    kept = context.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.when(F.col("route") == "market", MARKETWIDE).otherwise(PER_TICKER))
-    return kept.withColumns({"title": F.substring("title", 1, TITLE_CHARS), "text": F.substring("text", 1, TEXT_CHARS)})
+    kept = context.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.when(F.col("route") == "market", MARKETWIDE).otherwise(PER_TICKER)).drop("rn")
+    if "relation_type" not in kept.columns and "relation" in kept.columns:
+        kept = kept.withColumn("relation_type", F.col("relation"))
+    fields = {}
+    for name, default in PAYLOAD.items():
+        own = F.col(name) if name in kept.columns else F.lit(default)
+        own = own if default is None else F.coalesce(own, F.lit(default))
+        fields[name] = F.substring(own, 1, CUTS[name]) if name in CUTS else own
+    return kept.withColumns(fields)
 
 
 def score_requests(trimmed: DataFrame, decisions: DataFrame, cache: DataFrame) -> DataFrame:
     """One row a decision: the content's hash and whether it needs no request ('neutral'), is in the cache ('hit') or not ('miss')."""
-    item = F.struct("ticker", "route", "received_at", "news_id", "title", "text")
+    item = F.struct("ticker", "route", "received_at", "news_id", *[c for c in PAYLOAD if c != "received_at"])
     payload = trimmed.groupBy("as_of").agg(F.array_sort(F.collect_list(item)).alias("items"))
     x = decisions.select("as_of").distinct().join(payload, "as_of", "left")
     x = x.withColumn("content_hash", F.when(F.col("items").isNotNull(), F.sha2(F.to_json("items"), 256))).drop("items")

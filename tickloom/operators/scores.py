@@ -39,6 +39,27 @@ def rolling_rank_weights(returns: DataFrame, lookback: int = 24, power: float =
     return rank_weights(known, ["ts"], "score", "ord", power).select("ts", "selector", "rank", "weight", "ret")
 
 
+def rolling_rank_weights_at(returns: DataFrame, decisions: DataFrame, names: DataFrame, lookback: int = 24, power: float = 2.0) -> DataFrame:
+    """(as_of, selector, rank, weight) of any decision times from the sums of the `lookback` intervals strictly before each.
+
+    returns (ts, selector, ret) may lack selectors, whose returns are 0; names
+    (selector, ord) are all of them. Each time gets the sums up to and with it, and
+    each decision those of the last time before it; with under max(6, lookback // 4)
+    times before it the default order ranks.
+    """
+    small = F.broadcast(names.select("selector", "ord"))
+    times = returns.select("ts").distinct()
+    dense = times.join(small, how="cross").join(returns.select("ts", "selector", "ret"), ["ts", "selector"], "left").na.fill(0.0, ["ret"])
+    w = Window.partitionBy("selector").orderBy("ts").rowsBetween(-lookback + 1, 0)
+    sums = dense.select("ts", "selector", F.count("ret").over(w).alias("n"), F.sum("ret").over(w).alias("total"))
+    marks = times.select(F.col("ts").alias("t"), F.col("ts").alias("known")).unionByName(decisions.select(F.col("as_of").alias("t"), F.lit(None).cast("timestamp_ntz").alias("known")))
+    before = F.last("known", ignorenulls=True).over(Window.orderBy("t", F.col("known").isNotNull()).rowsBetween(Window.unboundedPreceding, -1))
+    at = marks.withColumn("ts", before).filter("known is null").select(F.col("t").alias("as_of"), "ts")
+    x = at.join(small, how="cross").join(sums, ["ts", "selector"], "left")
+    x = x.withColumn("score", F.when(F.col("n") >= max(6, lookback // 4), F.round("total", 12)).otherwise(F.lit(0.0)))
+    return rank_weights(x, ["as_of"], "score", "ord", power).select("as_of", "selector", "rank", "weight")
+
+
 def combine_returns(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("ts").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
 

@@ -1,13 +1,11 @@
-"""Training rows, matrices and the boosted-tree model of selectors."""
+"""Training rows and matrices of selectors, metrics of windows, and universes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scores import interval_features, rank_weights
-
-TREES, DEPTH, RATE, LAST_ROWS, LEAST_ROWS = 60, 3, 0.05, 512, 48
+from .scores import interval_features
 
 
 def returns_map(raw: Column, legacy: dict[str, Column]) -> Column:
@@ -25,39 +23,14 @@ def training_rows(features: DataFrame, returns: DataFrame, limit: int, required:
 
 
 def selector_matrix(rows: DataFrame, features: list[str], selectors: list[str]) -> DataFrame:
-    """One row for each time and selector: features in sorted order (not finite: 0), index and one-hot of the selector, label."""
+    """One row for each time and selector: features in sorted order (not finite: 0), index and one-hot of the selector, label (an absent return: 0)."""
     value = [F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)).alias(c) for c in sorted(features)]
-    x = rows.select("ts", *value, F.explode("returns").alias("selector", "label"))
-    names = F.array(*map(F.lit, selectors))
-    x = x.withColumn("selector_index", F.array_position(names, F.col("selector")) - 1).filter("selector_index >= 0")
+    label = lambda s: F.coalesce(F.when(~F.isnan(F.col("returns")[s]) & (F.abs(F.col("returns")[s]) != float("inf")), F.col("returns")[s]), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(s).alias("selector"), F.lit(i).cast("long").alias("selector_index"), label(s).alias("label")) for i, s in enumerate(selectors)])
+    x = rows.select("ts", *value, F.inline(each))
     return x.withColumns({f"is_{s}": (F.col("selector") == s).cast("double") for s in selectors})
 
 
-def fit_selector_model(matrix: DataFrame, features: list[str], last: int = LAST_ROWS, least: int = LEAST_ROWS):
-    """Boosted trees on the newest rows of a matrix; None with too few rows or a constant label."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    newest = matrix.orderBy(F.col("ts").desc(), "selector").limit(last)
-    n, lo, hi = newest.agg(F.count("*"), F.min("label"), F.max("label")).first()
-    if n < least or lo == hi:
-        return None
-    trees = GBTRegressor(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), trees]).fit(newest)
-
-
-def selector_weights(matrix: DataFrame, features: list[str], since, power: float = 2.0) -> DataFrame:
-    """(ts, selector, weight) of the matrix's times from `since` on, ranked by a model of the rows before it only.
-
-    With too few rows before it, or one label, the selectors rank by their index.
-    """
-    now = matrix.filter(F.col("ts") >= F.lit(since))
-    model = fit_selector_model(matrix.filter(F.col("ts") < F.lit(since)), features)
-    scored = now.withColumn("prediction", F.lit(0.0)) if model is None else model.transform(now)
-    return rank_weights(scored, ["ts"], "prediction", "selector_index", power).select("ts", "selector", "weight", "prediction")
-
-
 def bootstrap_rows(inputs: DataFrame, paper: DataFrame) -> DataFrame:
     """Training rows of past times: features of inputs (as_of, ticker, forecast), all else at its default, with the paper returns (as_of, selector, ret) as a map."""
     absent = {c: F.lit(None).cast("double") for c in ("news_score", "confidence", "priced_risk", "cost", "spread", "news_count")} | {c: F.lit(None).cast("boolean") for c in ("tradable", "degraded", "depth_unknown", "missing_bbo")}

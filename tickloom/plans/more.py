@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators.common import new_folder as folder
-from ..operators import backtest, market, news, orders, portfolio, reports, requests, scores, selectors, stories
+from ..operators import backtest, candles, market, news, orders, portfolio, reports, requests, scores, selectors, stories, walk_forward
 from ..sources import feeds, tables
 from ..streaming import jobs
 from .inputs import NEWS_SQL, PRICES_SQL, bars, bars_sql, prices, table, ticks
 from .inputs import news as news_of
-from .queries import _CONTEXT, _ORDERS, _PAIRS, _QUOTES, _RECORDS, _RETURNS, _ROLLED, _TAG_SQL, ORACLE, QUERIES, _context, _orders, _records, _scores, _tags, _targets, _weights, query, quotes
+from .queries import _CONTEXT, _ORDERS, _PAIRS, _QUOTES, _RECORDS, _RETURNS, _ROLLED, _TAG_SQL, ORACLE, QUERIES, _context, _orders, _OWN_SQL, _records, _scores, _source_tickers, _tags, _targets, _TERMS, _TERMS_SQL, _weights, mean_and_last, query, quotes
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -75,14 +75,21 @@ def _(s, d):
 
 @query(
     "j13_enrich_full_text",
-    """WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '... ' WHEN doc_id % 3 = 1 THEN '…' ELSE '' END AS text FROM documents)
-       SELECT doc_id, CASE WHEN (length(text) < 900 OR regexp_matches(text, '(\\.\\.\\.|…) *$')) AND page_id IS NOT NULL AND length(html) + 3 > length(text) THEN length(html) + 3 ELSE length(text) END AS n FROM x LEFT JOIN pages ON page_id = doc_id""",
+    r"""WITH x AS (SELECT doc_id, doc_id % 100 AS page_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 't' END AS title, CASE doc_id % 6 WHEN 0 THEN text || '... ' WHEN 1 THEN text || '…' || chr(10) || chr(9) WHEN 2 THEN left(text, 880) || repeat(' ', 60) WHEN 3 THEN left(text, 899) || ' .. .' WHEN 4 THEN left(text, 898) ELSE text END AS text FROM documents),
+       p AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s]+|[\s]+$', '', 'g') AS body FROM pages WHERE page_id < 100),
+       y AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM x LEFT JOIN p USING (page_id)),
+       z AS (SELECT *, doc_id % 11 <> 0 AND coalesce((length(s) < 900 OR s LIKE '%...' OR s LIKE '%…') AND length(body) > length(text), false) AS take FROM y)
+       SELECT doc_id, take AS enriched, length(CASE WHEN take THEN CASE WHEN title = '' THEN body ELSE title || chr(10) || chr(10) || body END ELSE text END) AS n, md5(CASE WHEN take THEN CASE WHEN title = '' THEN body ELSE title || chr(10) || chr(10) || body END ELSE text END) AS digest FROM z""",
 )
 def _(s, d):
-    tail = F.when(F.col("doc_id") % 3 == 0, "... ").when(F.col("doc_id") % 3 == 1, "…").otherwise("")
-    items = table(s, d, "documents").select("doc_id", F.col("doc_id").alias("url"), F.lit("t").alias("title"), F.concat("text", tail).alias("text"))
-    pages = table(s, d, "pages").select(F.col("page_id").alias("url"), F.col("html").alias("body"))
-    return feeds.enrich_full_text(items, pages).select("doc_id", F.char_length("text").cast("long").alias("n"))
+    # pages stand in for a hundred documents each; texts around 900 characters, with blanks and ellipses at the end, and of any length near the page's
+    i, t = F.col("doc_id"), F.col("text")
+    end = F.when(i % 6 == 0, F.concat(t, F.lit("... "))).when(i % 6 == 1, F.concat(t, F.lit("…\n\t"))).when(i % 6 == 2, F.concat(F.left(t, F.lit(880)), F.repeat(F.lit(" "), F.lit(60)))).when(i % 6 == 3, F.concat(F.left(t, F.lit(899)), F.lit(" .. .")))
+    end = end.when(i % 6 == 4, F.left(t, F.lit(898))).otherwise(t)
+    url = F.when(i % 11 == 0, "").otherwise((i % 100).cast("string"))
+    items = table(s, d, "documents").select("doc_id", url.alias("url"), F.when(i % 7 == 0, "").otherwise("t").alias("title"), end.alias("text"))
+    pages = table(s, d, "pages").filter("page_id < 100").select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("body"))
+    return feeds.enrich_full_text(items, pages).select("doc_id", "enriched", F.char_length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("io2_read_candles", f"WITH {bars_sql(30, 'user')} SELECT ticker, ts, end_ts, open, high, low, close, volume, amount FROM bars", "volume amount")
@@ -120,6 +127,26 @@ def _(s, d):
     return x.withColumn("m", text.redact_map(F.col("m"))).select("conv_id", "turn", F.col("m")["text"].alias("text"), F.col("m")["api_token"].alias("token"))
 
 
+@query(
+    "p11_redact_nested",
+    """SELECT conv_id, turn, '[REDACTED]' AS api_key, CASE WHEN role = 'user' THEN '[REDACTED]' ELSE 'plain ' || role END AS deep_text, '[REDACTED]' AS deep_token, '[REDACTED]' AS in_map, CASE WHEN turn % 3 = 0 THEN '[REDACTED]' ELSE 'sk-or-' || turn END AS in_array,
+        turn * 7 AS number, '[REDACTED]' AS map_secret, CAST(NULL AS BIGINT) AS map_number, role AS kept FROM conversations""",
+)
+def _(s, d):
+    role, turn = F.col("role"), F.col("turn")
+    note = F.when(role == "user", "Authorization: Bearer verysecretvalue").otherwise(F.concat(F.lit("plain "), role))
+    key = F.when(turn % 3 == 0, F.concat(F.lit("sk-or-abcdefgh"), turn.cast("string"))).otherwise(F.concat(F.lit("sk-or-"), turn.cast("string")))
+    leaf = F.struct(note.alias("note"), (turn * 7).alias("number"), F.create_map(F.lit("X-Api-Key"), F.lit("abc"), F.lit("role"), role).alias("headers"), F.array(key).alias("keys"), F.lit("abc").alias("refreshToken"))
+    secret = F.create_map(F.lit("password_store"), F.struct(F.lit("p").alias("text"), turn.alias("n")))
+    x = table(s, d, "conversations").select("conv_id", "turn", F.struct(F.array(F.struct(leaf.alias("leaf"))).alias("items"), F.struct(F.lit(1).alias("n")).alias("API-KEY"), secret.alias("stores")).alias("payload"))
+    p = text.redact_rows(x).withColumn("leaf", F.col("payload.items")[0]["leaf"])
+    store = F.col("payload.stores")["password_store"]
+    return p.select(
+        "conv_id", "turn", F.col("payload.API-KEY").alias("api_key"), F.col("leaf.note").alias("deep_text"), F.col("leaf.refreshToken").alias("deep_token"), F.col("leaf.headers")["X-Api-Key"].alias("in_map"), F.col("leaf.keys")[0].alias("in_array"),
+        F.col("leaf.number").alias("number"), store["text"].alias("map_secret"), store["n"].alias("map_number"), F.col("leaf.headers")["role"].alias("kept"),
+    )
+
+
 @query("p19_extract_articles")
 def _(s, d):
     return feeds.extract_articles(table(s, d, "pages"))
@@ -197,15 +224,35 @@ def _(s, d):
 
 @query(
     "m2_latest_forecast",
-    f"""WITH {bars_sql(30, 'user')}, l AS (SELECT ticker, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 16),
-        f AS (SELECT ticker, round(avg(close) / arg_max(close, ts) - 1, 9) AS value FROM l GROUP BY ticker) SELECT ticker, value, row_number() OVER (ORDER BY value, ticker) / count(*) OVER () AS score FROM f""",
+    f"""WITH {bars_sql(30, 'user')}, l AS (SELECT ticker, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 40),
+        f AS (SELECT ticker, avg(close) AS mean, arg_max(close, ts) AS last_close, max(ts) AS last, count(*) AS bars FROM l GROUP BY ticker HAVING count(*) >= 30),
+        d AS (SELECT *, list_filter(generate_series(date_trunc('day', last) + INTERVAL 1 DAY, date_trunc('day', last) + INTERVAL 20 DAYS, INTERVAL 1 DAY), lambda t: isodow(t) < 6)[1:7] AS days FROM f)
+        SELECT ticker, k AS step, days[k] AS ts, mean, last_close + k - 1 AS other, last_close, bars FROM d, (SELECT unnest(range(1, 8)) AS k)""",
+    "mean other last_close",
+)
+def _(s, d):
+    end = s.createDataFrame([("2100-01-01",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("as_of"))
+    known = candles.bars_as_of(bars(s, d, 30, "user"), end, 40)
+    f = backtest.forecast(known, mean_and_last, lambda last: backtest.business_days(last, 7))
+    return f.select("ticker", "step", "ts", F.col("samples")[0].alias("mean"), F.col("samples")[1].alias("other"), "last_close", "bars")
+
+
+@query(
+    "m2_hourly_scores",
+    f"""WITH {bars_sql(60, 'user')}, a AS (SELECT DISTINCT time_bucket(INTERVAL 12 HOURS, ts) + INTERVAL 100 MINUTES AS as_of FROM bars), u AS (SELECT DISTINCT ticker FROM bars),
+        l AS (SELECT as_of, ticker, b.ts, close FROM a JOIN bars b ON b.ts < date_trunc('hour', as_of) QUALIFY row_number() OVER (PARTITION BY as_of, ticker ORDER BY b.ts DESC) <= 48),
+        f AS (SELECT as_of, ticker, (avg(close) + arg_max(close, ts)) / 2 / arg_max(close, ts) - 1 AS value FROM l GROUP BY ALL HAVING count(*) >= 30 AND arg_max(close, ts) > 0),
+        x AS (SELECT a.as_of, u.ticker, value FROM a CROSS JOIN u LEFT JOIN f ON f.as_of = a.as_of AND f.ticker = u.ticker)
+        SELECT as_of, ticker, value, CASE WHEN value IS NULL THEN 0.5 ELSE row_number() OVER (PARTITION BY as_of, value IS NULL ORDER BY value, ticker) / count(*) OVER (PARTITION BY as_of, value IS NULL) END AS score FROM x""",
     "value score",
 )
 def _(s, d):
-    w = Window.partitionBy("ticker").orderBy(F.col("ts").desc())
-    last = bars(s, d, 30, "user").withColumn("back", F.row_number().over(w)).filter("back <= 16")
-    f = last.groupBy("ticker").agg(F.round(F.avg("close") / F.max_by("close", "ts") - 1, 9).alias("value"))
-    return scores.percentile_scores(f.withColumn("as_of", F.lit(0))).select("ticker", "value", "score")
+    b = bars(s, d, 60, "user")
+    a = b.select(F.expr("window(ts, '12 hours').start + interval 100 minutes").cast("timestamp_ntz").alias("as_of")).distinct()
+    hours = a.select(F.date_trunc("hour", "as_of").cast("timestamp_ntz").alias("as_of"))
+    f = backtest.forecast(candles.bars_as_of(b, hours, 48), mean_and_last, lambda last: backtest.coming_hours(last, 1))
+    f = f.withColumn("as_of", F.col("as_of") + F.expr("interval 40 minutes"))
+    return backtest.forecast_scores(f, a, b)
 
 
 # scores, requests, training --------------------------------------------------------------------
@@ -233,16 +280,19 @@ def _(s, d):
     "strength",
 )
 def _(s, d):
-    n, i = news_of(s, d), F.col("doc_id") % 8
+    n, i = news_of(s, d).withColumn("seq", F.lit(0)), F.col("doc_id") % 8
     # 0, 1 and 4: no strength; 2: above 1; 3: no relation; 5: no number; 6: a cluster without strength; 7: no known ticker
     tag = F.when(i == 0, '{"ticker": "aaa", "relation_type": "Direct", "confidence": "sure"}').when(i == 1, '{"ticker": "zzz", "relation_type": "marketwide"}')
     tag = tag.when(i == 2, '{"ticker": "AAA", "relation_type": "cluster", "relation_strength": 7}').when(i == 3, '{"ticker": "AAA", "relation_type": "other"}').when(i == 4, '{"ticker": "moex_market", "relation_type": "direct"}')
     tag = tag.when(i == 5, '{"ticker": "AAA", "relation_type": "direct", "relation_strength": "strong", "confidence": "HIGH"}')
     tag = tag.when(i == 6, '{"ticker": "AAA", "relation_type": "cluster", "reason": "why", "tags": ["t"]}').otherwise('{"ticker": "QQQ", "relation_type": "direct"}')
-    item = F.concat(F.lit('{"news_id": "'), "news_id", F.lit('", "tags": ["no object", '), tag, F.lit("]}"))
-    raw = n.select(F.concat(F.lit('{"items": [5, '), item, F.lit("]}")).alias("raw_json"))
-    lists = n.select(F.concat(F.lit("["), item, F.lit("]")).alias("raw_json"))
-    return requests.normalize_relation_tags(raw.union(lists), n.filter("doc_id % 6 <> 0"), ["AAA"])
+    # each tag comes again with another reason in its own item and in a later row, where the first stays
+    again = F.replace(tag, F.lit('"relation_type"'), F.lit('"reason": "again", "relation_type"'))
+    item = lambda *tags: F.concat(F.lit('{"news_id": "'), "news_id", F.lit('", "tags": ["no object", '), *tags, F.lit("]}"))
+    raw = n.select("seq", F.concat(F.lit('{"items": [5, '), item(tag, F.lit(", "), again), F.lit("]}")).alias("raw_json"))
+    later = n.select(F.lit(1).alias("seq"), F.concat(F.lit('{"items": ['), item(again), F.lit("]}")).alias("raw_json"))
+    lists = n.select("seq", F.concat(F.lit("["), item(tag), F.lit("]")).alias("raw_json"))
+    return requests.normalize_relation_tags(later.union(raw).union(lists), n.filter("doc_id % 6 <> 0"), ["AAA"], "seq")
 
 
 def _trimmed(s, d):
@@ -254,9 +304,16 @@ _TRIM = f"""{_CONTEXT}, routed AS (SELECT as_of, news_id, received_at, coalesce(
     trimmed AS (SELECT * FROM routed QUALIFY row_number() OVER (PARTITION BY as_of, ticker, route ORDER BY received_at DESC, news_id DESC) <= CASE WHEN route = 'market' THEN 20 ELSE 8 END)"""
 
 
-@query("w14_trim_context", f"WITH {_TRIM} SELECT as_of, news_id, ticker, route, left(title, 260) AS title, left(text, 500) AS text FROM trimmed JOIN news USING (news_id)")
+@query(
+    "w14_trim_context",
+    f"""WITH {_TRIM}, rel AS (SELECT as_of, news_id, coalesce(ticker, 'MARKET') AS ticker, relation FROM context)
+        SELECT t.as_of, t.news_id, t.ticker, route, t.received_at, ts AS published_at, relation AS relation_type, source, 1 AS source_count, left(title, 260) AS title, left(text, 260) AS reason, left(text, 500) AS text, '[]' AS tags
+        FROM trimmed t JOIN news USING (news_id) JOIN rel ON rel.as_of = t.as_of AND rel.news_id = t.news_id AND rel.ticker = t.ticker""",
+)
 def _(s, d):
-    return _trimmed(s, d).select("as_of", "news_id", "ticker", "route", "title", "text")
+    c = news.context_route(_context(s, d), ["AAA", "BBB"]).select("as_of", "news_id", F.coalesce("ticker", F.lit("MARKET")).alias("ticker"), "route", "received_at", "relation")
+    n = news_of(s, d).select("news_id", "source", F.col("ts").alias("published_at"), "title", F.col("text").alias("reason"), "text")
+    return requests.trim_context(c.join(n, "news_id")).select("as_of", "news_id", "ticker", "route", *requests.PAYLOAD)
 
 
 @query("m7_score_requests", f"WITH {_TRIM} SELECT as_of, CASE WHEN count(t.news_id) = 0 THEN 'neutral' WHEN day(as_of) % 2 = 0 THEN 'hit' ELSE 'miss' END AS state FROM (SELECT as_of FROM g UNION SELECT TIMESTAMP '2030-01-01') LEFT JOIN trimmed t USING (as_of) GROUP BY as_of")
@@ -317,22 +374,38 @@ def _(s, d):
     return _training(s, d).select("ts", "price_mean", "price_top")
 
 
-@query("m3_selector_matrix", f"WITH {_TRAIN} SELECT ts, price_mean, price_top, selector, CASE selector WHEN 'fast' THEN 0 WHEN 'even' THEN 1 WHEN 'longs' THEN 2 ELSE 3 END AS selector_index, CAST(selector = 'fast' AS INT) AS is_fast, ret AS label FROM train JOIN rolled USING (ts)", "price_mean price_top label")
+@query("m3_selector_matrix", f"WITH {_TRAIN} SELECT train.ts, price_mean, price_top, v.selector, v.i AS selector_index, CAST(v.selector = 'fast' AS INT) AS is_fast, coalesce(ret, 0) AS label FROM train CROSS JOIN (VALUES ('fast', 0), ('absent', 1), ('longs', 2), ('sharp', 3)) v(selector, i) LEFT JOIN rolled ON rolled.ts = train.ts AND rolled.selector = v.selector", "price_mean price_top label")
 def _(s, d):
     return _matrix(s, d).select("ts", "price_mean", "price_top", "selector", "selector_index", F.col("is_fast").cast("int").alias("is_fast"), "label")
 
 
 def _matrix(s, d):
-    return selectors.selector_matrix(_training(s, d), ["price_mean", "price_top"], ["fast", "even", "longs", "sharp"])
+    return selectors.selector_matrix(_training(s, d), ["price_mean", "price_top"], ["fast", "absent", "longs", "sharp"])
+
+
+def _walk(s, d):
+    rows = _training(s, d, 10_000)
+    decisions = _scores(s, d).groupBy("as_of").agg(F.avg("price").alias("price_mean"), F.max("price").alias("price_top"))
+    return walk_forward.walk_forward_weights(rows, decisions, ["price_mean", "price_top"], ["fast", "even", "longs", "sharp"])
 
 
 @query("m4_selector_weights")
 def _(s, d):
-    m = _matrix(s, d)
-    names = ["price_mean", "price_top", "selector_index", "is_fast", "is_even", "is_longs", "is_sharp"]
-    # the newest fifth of the times is weighed by a model of the rows before them
-    since = m.agg(F.percentile_approx("ts", 0.8)).first()[0] if not m.isEmpty() else None
-    return selectors.selector_weights(m, names, since).select("ts", "selector", "weight")
+    return _walk(s, d)
+
+
+# Decisions with under 48 times before them rank by the sums of returns; all decision times are judged, also those without returns.
+@query(
+    "m4_selector_fallback",
+    f"""WITH {_ROLLED}, t AS (SELECT DISTINCT ts FROM rolled WHERE selector IN ('fast', 'even')), a AS (SELECT DISTINCT as_of FROM prices),
+        c AS (SELECT as_of, count(t.ts) AS n FROM a LEFT JOIN t ON t.ts < as_of GROUP BY as_of),
+        h AS (SELECT as_of, n, names.selector, ord, (SELECT coalesce(sum(ret), 0) FROM (SELECT ret FROM rolled WHERE rolled.selector = names.selector AND rolled.ts < c.as_of ORDER BY rolled.ts DESC LIMIT 24)) AS total FROM c CROSS JOIN names WHERE n < 48),
+        r AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY CASE WHEN n >= 6 THEN round(total, 12) ELSE 0 END DESC, ord) AS rank FROM h)
+        SELECT as_of, selector, rank, pow(rank, -2.0) / sum(pow(rank, -2.0)) OVER (PARTITION BY as_of) AS weight FROM r""",
+    "weight",
+)
+def _(s, d):
+    return _walk(s, d).filter("mode = 'fallback'").select("as_of", "selector", "rank", "weight")
 
 
 @query(
@@ -356,7 +429,13 @@ def _bootstrap(pairs, targets):
 # news and stories ------------------------------------------------------------------------------
 
 
-@query("n2_retag_all", f"WITH {NEWS_SQL}, tags AS ({_TAG_SQL}) SELECT news_id, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers FROM tags GROUP BY news_id")
+@query("n2_retag_all", f"WITH {NEWS_SQL}, terms AS ({_TERMS_SQL}), {_OWN_SQL} SELECT news.news_id, coalesce(string_agg(DISTINCT ticker, ',' ORDER BY ticker), '') AS tickers FROM news LEFT JOIN found USING (news_id) GROUP BY ALL")
+def _(s, d):
+    stale = news_of(s, d).withColumn("tickers", F.array(F.lit("OLD")))
+    return news.retag_all(stale, _TERMS, _source_tickers(s, d))[0].select("news_id", F.array_join("tickers", ",").alias("tickers"))
+
+
+@query("n2_replaced_tags", f"WITH {NEWS_SQL}, tags AS ({_TAG_SQL}) SELECT news_id, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers FROM tags GROUP BY news_id")
 def _(s, d):
     found = _tags(s, d).select("news_id", "ticker")
     stored = news_of(s, d).filter("doc_id % 2 = 0").select("news_id", F.lit("OLD").alias("ticker"))
@@ -435,6 +514,49 @@ def _(s, d):
     return reports.liquidity_cap(x).select("as_of", "ticker", "allowed", "reason")
 
 
+def _book():
+    """Quotes of a line: a book of its own of three levels a side (some useless, some none at all), flags and costs."""
+    k, q = F.col("l_orderkey"), F.col("l_quantity")
+    level = lambda f, n: F.struct((F.col("l_extendedprice") / q / 10 * f).alias("price"), n.cast("double").alias("quantity"))
+    second = F.when(k % 2 == 0, 0.0).otherwise(50.0)
+    side = lambda a, b: F.when(k % 3 == 0, F.array(level(a, q * 10), level(1.0, second), level(b, q * 40))).when((k % 3 == 1) & (k % 9 != 1), F.array(level(a, F.lit(0.0))))
+    return [
+        side(0.999, 0.99).alias("bid_levels"), side(1.001, 1.01).alias("ask_levels"), F.when(k % 5 == 0, 0.0).otherwise(F.col("l_extendedprice") / q / 10).alias("mid_price"), F.when(k % 4 == 0, 0.0005).alias("estimated_cost_pct"),
+        (k % 2 == 0).alias("liquidity_degraded"), (k % 7 == 0).alias("missing_bbo"), F.lit(False).alias("unknown_cost"), F.lit(0.001).alias("bbo_spread_pct"), F.lit("book").alias("source"),
+        F.when(k % 3 == 0, "depth").otherwise("bbo").alias("source_quality"), (k % 3 != 0).alias("depth_unknown"), F.lit(60000.0).alias("cash"),
+    ]
+
+
+_PLANNED = f"""{_ORDERS}, c AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY direction = 'B', abs(target_weight) DESC, ticker, requested, lot_value) AS priority,
+        line_quantity AS q, as_of % 3 = 0 OR (as_of % 3 = 1 AND as_of % 9 <> 1) AS deep, price AS ref FROM cand),
+    lv AS (SELECT as_of, priority, i, requested * 10.0::DOUBLE AS shares, direction, ref, price * CASE i WHEN 1 THEN CASE direction WHEN 'B' THEN 1.001::DOUBLE ELSE 0.999::DOUBLE END WHEN 2 THEN 1.0::DOUBLE ELSE CASE direction WHEN 'B' THEN 1.01::DOUBLE ELSE 0.99::DOUBLE END END AS p,
+        CASE i WHEN 1 THEN q * 10 WHEN 2 THEN CASE WHEN as_of % 2 = 0 THEN 0 ELSE 50 END ELSE q * 40 END AS size FROM c, (SELECT unnest([1, 2, 3]) AS i) WHERE as_of % 3 = 0),
+    lw AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY as_of, priority ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lv WHERE size > 0),
+    book AS (SELECT as_of, priority, floor(sum(size) FILTER (before < shares) / 10)::BIGINT AS max_lots, sum(least(size, shares - before)) FILTER (before < shares) < any_value(shares) AS shortfall,
+        greatest(CASE any_value(direction) WHEN 'B' THEN 1 ELSE -1 END * (sum(least(size, shares - before) * p) FILTER (before < shares) / sum(least(size, shares - before)) FILTER (before < shares) - any_value(ref)) / any_value(ref), 0) AS cost FROM lw GROUP BY as_of, priority),
+    room AS (SELECT c.*, CASE WHEN deep THEN coalesce(cost, 0) END AS cost, CASE WHEN deep THEN coalesce(shortfall, true) ELSE false END AS shortfall, CASE WHEN deep THEN coalesce(max_lots, 0)
+        WHEN (as_of % 2 = 0 OR as_of % 7 = 0) AND CASE WHEN target_lots * lots > 0 THEN abs(target_lots) > abs(lots) ELSE target_lots <> 0 END THEN floor(20000 / lot_value)::BIGINT END AS room FROM c LEFT JOIN book USING (as_of, priority)),
+    liq AS (SELECT *, CASE WHEN room < requested THEN greatest(room, 0) ELSE requested END AS lq, CASE WHEN room < requested THEN CASE WHEN deep THEN CASE WHEN room > 0 THEN 'depth_cap' ELSE 'depth_shortfall' END WHEN room > 0 THEN 'degraded_liquidity_cap' ELSE 'degraded_liquidity_skip' END ELSE '' END AS lr FROM room),
+    r AS (SELECT DISTINCT as_of, 0::BIGINT AS priority, NULL::VARCHAR AS ticker, 0::BIGINT AS quantity, 60000.0::DOUBLE AS before, 60000.0::DOUBLE AS cash, NULL::VARCHAR AS reason FROM liq
+      UNION ALL SELECT as_of, priority, ticker, quantity, before, CASE WHEN direction = 'B' THEN greatest(before - quantity * lot_value, 0) ELSE before END, concat_ws('+', nullif(lr, ''), CASE WHEN short THEN 'cash_cap' END) FROM
+        (SELECT n.*, cash AS before, direction = 'B' AND floor(cash / lot_value) < requested AS short, CASE WHEN direction = 'B' AND floor(cash / lot_value) < requested THEN least(lq, greatest(floor(cash / lot_value), 0)) ELSE lq END::BIGINT AS quantity
+         FROM r JOIN liq n ON n.as_of = r.as_of AND n.priority = r.priority + 1))"""
+
+
+@query(
+    "o3_order_plan",
+    f"""WITH RECURSIVE {_PLANNED} SELECT r.as_of, r.priority, r.ticker, direction, r.quantity, requested AS requested_quantity, lots AS current_position, lots + CASE direction WHEN 'B' THEN r.quantity ELSE -r.quantity END AS target_position, target_lots AS requested_target_position,
+        r.quantity * lot_value AS order_value, CASE WHEN direction = 'B' THEN r.before END AS cash_before_order, CASE WHEN direction = 'B' THEN r.cash END AS cash_after_order, reason AS cap_reason, lr AS liquidity_cap_reason,
+        greatest(coalesce(cost, 0), CASE WHEN r.as_of % 4 = 0 THEN 0.0005 ELSE 0 END) AS expected_cost_pct, shortfall AS depth_shortfall, CASE WHEN r.as_of % 3 = 0 THEN 'depth' ELSE 'bbo' END AS source_quality
+        FROM r JOIN liq ON liq.as_of = r.as_of AND liq.priority = r.priority WHERE r.quantity > 0 AND r.quantity * lot_value >= 100""",
+    "order_value cash_before_order cash_after_order expected_cost_pct",
+)
+def _(s, d):
+    x = _orders(s, d, *_book())
+    names = "as_of priority ticker direction quantity requested_quantity current_position target_position requested_target_position order_value cash_before_order cash_after_order cap_reason liquidity_cap_reason expected_cost_pct depth_shortfall source_quality"
+    return orders.plan_orders(x).select(*names.split())
+
+
 # streams ---------------------------------------------------------------------------------------
 
 

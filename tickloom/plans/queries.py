@@ -116,18 +116,23 @@ def _(s, d):
 
 @query(
     "w11_next_decision",
-    f"""WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 30 MINUTES)) AS ts), o AS (SELECT ts AS slot FROM g WHERE {_OPEN})
-        SELECT event_id, slot + INTERVAL 1 MINUTE AS as_of FROM events ASOF LEFT JOIN o ON events.ts < o.slot""",
+    f"""WITH t AS (SELECT event_id, ts AS seen FROM events UNION ALL SELECT -event_id - 1, time_bucket(INTERVAL 30 MINUTES, ts) + to_seconds(event_id % 4 * 45) FROM events),
+        c AS (SELECT event_id, CASE WHEN time_bucket(INTERVAL 30 MINUTES, seen) + INTERVAL 90 SECONDS <= seen THEN INTERVAL 30 MINUTES ELSE INTERVAL 0 MINUTES END + time_bucket(INTERVAL 30 MINUTES, seen) + INTERVAL 90 SECONDS AS c FROM t),
+        k AS (SELECT event_id, c + to_minutes(30 * k) AS ts FROM c, (SELECT unnest(range(0, 200)) AS k))
+        SELECT event_id, min(ts) AS as_of FROM k WHERE {_OPEN} GROUP BY event_id""",
 )
 def _(s, d):
-    grid = calendar.decision_grid(s, "2024-01-01", "2024-03-01", 30, 1)
-    slots = grid.select(F.expr("as_of - interval 1 minute").alias("ts"), F.lit(None).cast("long").alias("event_id"), "as_of")
-    e = table(s, d, "events").select("ts", "event_id", F.lit(None).cast("timestamp_ntz").alias("as_of"))
-    # slots of a day and the next two hold the next open one; each event looks up its day's list
-    days = slots.withColumn("day", F.explode(F.sequence(F.expr("to_date(ts) - 2"), F.to_date("ts")))).groupBy("day").agg(F.array_sort(F.collect_list("as_of")).alias("list"))
-    first = F.element_at(F.filter("list", lambda t: t > F.expr("ts + interval 1 minute")), 1)
-    x = e.drop("as_of").withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day", "left")
-    return x.select("event_id", F.when(F.size(F.filter("list", lambda t: t > F.expr("ts + interval 1 minute"))) > 0, first).alias("as_of"))
+    # every event's time, and times at and near the slots
+    e, i = table(s, d, "events"), F.col("event_id")
+    at = F.window("ts", "30 minutes")["start"] + F.make_interval(secs=(i % 4 * 45).cast("decimal(18,6)"))
+    t = e.select("event_id", "ts").union(e.select(-i - 1, at))
+    return t.select("event_id", calendar.next_decision(F.col("ts"), 30, 90).alias("as_of"))
+
+
+@query("w11_decision_grid", f"SELECT ts AS as_of FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 30 MINUTES)) + INTERVAL 90 SECONDS AS ts) WHERE {_OPEN} AND (SELECT count(*) FROM events) > 0")
+def _(s, d):
+    some = table(s, d, "events").limit(1).select(F.lit(1).alias("one"))
+    return calendar.decision_grid(s, "2024-01-01", "2024-03-01", 30, 90).join(some, how="cross").drop("one")
 
 
 # text ------------------------------------------------------------------------------------------
@@ -440,9 +445,10 @@ def _(s, d):
     return backtest.context_matrix(bars(s, d), 16).select("ticker", "ts", *z, (first[1] * 10000 + first[0] * 100 + first[2]).alias("first_stamp"), (end[4] * 100 + end[3]).alias("last_stamp"))
 
 
-def mean_of_last(context) -> list[float]:
-    """A predictor for tests and queries: the mean close and the last one."""
-    return [float(context["close"].mean()), float(context["close"].iloc[-1])]
+def mean_and_last(context, stamps) -> list[list[float]]:
+    """A predictor for tests and queries: the mean close, and the last one with a point for each further step."""
+    mean, last = float(context["close"].mean()), float(context["close"].iloc[-1])
+    return [[mean, last + k] for k in range(len(stamps))]
 
 
 @query(
@@ -455,7 +461,7 @@ def mean_of_last(context) -> list[float]:
 )
 def _(s, d):
     b = bars(s, d)
-    out = backtest.rolling_backtest(b, backtest.valid_targets(b, 1440, 20, 100), mean_of_last, 16)
+    out = backtest.rolling_backtest(b, backtest.valid_targets(b, 1440, 20, 100), mean_and_last, 16)
     return out.select("ticker", "ts", "actual", F.col("samples")[0].alias("mean_close"), "last_close")
 
 
@@ -468,6 +474,14 @@ def _tags(s, d):
     return news.tag_entities(news_of(s, d), _TERMS)
 
 
+def _source_tickers(s, d):
+    """Sources with tickers of their own: one or two of the terms', one that no term has, all, or none."""
+    x = news_of(s, d).select("source").distinct()
+    k = F.pmod(F.length("source") + F.ascii(F.substring("source", -1, 1)), F.lit(5))
+    own = F.when(k == 0, F.array(F.lit("AAA"), F.lit("CCC"))).when(k == 1, F.array(F.lit("ALL"), F.lit("ZZZ"))).when(k == 2, F.array(F.lit("BBB"), F.lit("ALL"), F.lit("BBB")))
+    return x.withColumn("tickers", own)
+
+
 #: The terms as patterns of DuckDB's, which knows no look-around.
 _PATTERNS = {t: [w.replace("+", "\\+").replace(".", "\\.").replace("е", "[её]").replace(" ", "\\s+") for w in words] for t, words in _TERMS.items()}
 _EDGE = "[^0-9A-Za-zА-Яа-яЁё]"
@@ -476,9 +490,13 @@ _TAG_SQL = " UNION ALL ".join(f"SELECT news_id, '{t}' AS ticker FROM news WHERE
 _TERMS_SQL = " UNION ALL ".join(f"SELECT news_id, '{t}' AS ticker, '{w}' AS term FROM news WHERE regexp_matches({_BOTH}, '(?i)(^|{_EDGE}){p}($|{_EDGE})')" for t, words in _TERMS.items() for w, p in zip(words, _PATTERNS[t], strict=True))
 
 
-@query("n1_tag_entities", f"WITH {NEWS_SQL}, x AS ({_TERMS_SQL}) SELECT news_id, ticker, string_agg(term, ',' ORDER BY term) AS terms FROM x GROUP BY ALL")
+_OWN_SQL = """own AS (SELECT news_id, unnest(CASE (length(source) + ascii(right(source, 1))) % 5 WHEN 0 THEN ['AAA', 'CCC'] WHEN 2 THEN ['BBB'] ELSE [] END) AS ticker, source FROM news),
+    found AS (SELECT news_id, ticker, 'regex' AS m, term FROM terms UNION ALL SELECT news_id, ticker, 'source', 'source:' || source FROM own)"""
+
+
+@query("n1_tag_entities", f"WITH {NEWS_SQL}, terms AS ({_TERMS_SQL}), {_OWN_SQL} SELECT news_id, ticker, string_agg(DISTINCT m, ',' ORDER BY m) AS matched_by, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM found GROUP BY ALL")
 def _(s, d):
-    return _tags(s, d).select("news_id", "ticker", F.array_join("terms", ",").alias("terms"))
+    return news.tag_entities(news_of(s, d), _TERMS, _source_tickers(s, d)).withColumn("terms", F.array_join("terms", ","))
 
 
 @query(
@@ -490,15 +508,19 @@ def _(s, d):
     return news.ticker_stats(news_of(s, d), _tags(s, d))
 
 
+@query("a7_ticker_counts", f"WITH {NEWS_SQL}, terms AS ({_TERMS_SQL}), {_OWN_SQL} SELECT ticker, count(DISTINCT news_id) AS n FROM found GROUP BY ticker")
+def _(s, d):
+    return news.ticker_counts(news.tag_entities(news_of(s, d), _TERMS, _source_tickers(s, d)))
+
+
 @query(
     "u2_merge_tags",
-    f"""WITH {NEWS_SQL}, tags AS ({_TAG_SQL}), x AS (SELECT news_id, ticker, 'regex' AS m FROM tags UNION ALL SELECT news_id, CASE WHEN doc_id % 2 = 0 THEN 'AAA' ELSE 'CCC' END, 'source' FROM news WHERE doc_id % 3 = 0)
-        SELECT news_id, ticker, string_agg(DISTINCT m, ',' ORDER BY m) AS matched_by FROM x GROUP BY ALL""",
+    f"""WITH {NEWS_SQL}, terms AS ({_TERMS_SQL}), x AS (SELECT news_id, ticker, 'regex' AS m, term FROM terms UNION ALL SELECT news_id, CASE WHEN doc_id % 2 = 0 THEN 'AAA' ELSE 'CCC' END, 'source', 'source:' || source FROM news WHERE doc_id % 3 = 0)
+        SELECT news_id, ticker, string_agg(DISTINCT m, ',' ORDER BY m) AS matched_by, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM x GROUP BY ALL""",
 )
 def _(s, d):
-    regex = _tags(s, d).withColumn("matched_by", F.lit("regex"))
-    own = news_of(s, d).filter("doc_id % 3 = 0").select("news_id", F.when(F.col("doc_id") % 2 == 0, "AAA").otherwise("CCC").alias("ticker"), F.array(F.lit("source")).alias("terms"), F.lit("source").alias("matched_by"))
-    return news.merge_tags(regex, own).drop("terms")
+    own = news_of(s, d).filter("doc_id % 3 = 0").select("news_id", F.when(F.col("doc_id") % 2 == 0, "AAA").otherwise("CCC").alias("ticker"), F.array(F.concat(F.lit("source:"), "source")).alias("terms"), F.lit("source").alias("matched_by"))
+    return news.merge_tags(_tags(s, d), own).withColumn("terms", F.array_join("terms", ","))
 
 
 def _context(s, d):
@@ -624,16 +646,16 @@ def _(s, d):
 # orders ----------------------------------------------------------------------------------------
 
 
-def _orders(s, d):
+def _orders(s, d, *more):
     line = table(s, d, "lineitem")
     held = F.when(F.col("l_linenumber") == 1, F.col("l_partkey") % 40).otherwise(0)
     sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
-    x = line.select(F.col("l_orderkey").alias("as_of"), F.col("l_linenumber").cast("string").alias("ticker"), held.cast("long").alias("lots"), (sign * F.col("l_quantity") / 100).alias("target_weight"), (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("price"), F.lit(10).alias("lot_size"), F.lit(100000.0).alias("equity"))
+    x = line.select(F.col("l_orderkey").alias("as_of"), F.col("l_linenumber").cast("string").alias("ticker"), held.cast("long").alias("lots"), (sign * F.col("l_quantity") / 100).alias("target_weight"), (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("price"), F.lit(10).alias("lot_size"), F.lit(100000.0).alias("equity"), *more)
     return orders.order_candidates(x)
 
 
 _ORDERS = """lines AS (SELECT l_orderkey AS as_of, CAST(l_linenumber AS VARCHAR) AS ticker, CASE WHEN l_linenumber = 1 THEN l_partkey % 40 ELSE 0 END AS lots, CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * l_quantity / 100 AS target_weight,
-        l_extendedprice / l_quantity / 10 AS price FROM lineitem),
+        l_extendedprice / l_quantity / 10 AS price, l_quantity AS line_quantity FROM lineitem),
     t AS (SELECT *, CAST(sign(100000.0::DOUBLE * target_weight / price) * floor(abs(100000.0::DOUBLE * target_weight / price) / 10) AS BIGINT) AS target_lots FROM lines WHERE price > 0),
     cand AS (SELECT *, target_lots - lots AS delta, CASE WHEN target_lots > lots THEN 'B' ELSE 'S' END AS direction, abs(target_lots - lots) AS requested, 10 * price AS lot_value FROM t WHERE target_lots <> lots AND abs(target_lots - lots) * 10 * price >= 100)"""
 
@@ -663,7 +685,7 @@ def _(s, d):
     """WITH b AS (SELECT l_orderkey, l_linenumber, l_orderkey % 2 = 0 AS ask, CASE WHEN l_orderkey % 5 = 0 THEN 1400 ELSE 1500 END AS ref, l_extendedprice / l_quantity AS price, CASE WHEN l_linenumber = 4 THEN 0 ELSE l_quantity END AS q FROM lineitem),
        l AS (SELECT *, sum(q) OVER w - q AS before FROM b WHERE price > 0 AND q > 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY CASE WHEN ask THEN price ELSE -price END, q, l_linenumber ROWS UNBOUNDED PRECEDING)),
        f AS (SELECT *, least(q, greatest(60 - before, 0)) AS take FROM l),
-       s AS (SELECT l_orderkey, any_value(ask) AS ask, any_value(ref) AS ref, sum(take) AS filled, sum(take * price) / sum(take) AS vwap, sum(q) AS available FROM f GROUP BY l_orderkey),
+       s AS (SELECT l_orderkey, any_value(ask) AS ask, any_value(ref) AS ref, sum(take) AS filled, sum(take * price) / sum(take) AS vwap, sum(q) FILTER (before < 60) AS available FROM f GROUP BY l_orderkey),
        k AS (SELECT DISTINCT l_orderkey, l_orderkey % 7 = 0 AS idle FROM lineitem)
        SELECT l_orderkey, CASE WHEN idle THEN 0 ELSE coalesce(filled, 0) END AS filled, CASE WHEN idle OR filled IS NULL THEN 0 ELSE greatest((CASE WHEN ask THEN 1 ELSE -1 END) * (vwap - ref) / ref, 0) END AS cost,
          CASE WHEN idle THEN 0 ELSE coalesce(floor(available / 10), 0)::BIGINT END AS max_lots, NOT idle AND coalesce(filled, 0) < 60 AS shortfall FROM k LEFT JOIN s USING (l_orderkey)""",
@@ -706,13 +728,21 @@ def _(s, d):
 
 @query(
     "o5_ledger_admit",
-    """WITH l AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 3 = 0), u AS (SELECT day, count(*) AS used FROM l GROUP BY day),
-       x AS (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 = 0 AS dup FROM orders)
-       SELECT order_key, CASE WHEN dup THEN 'duplicate_skipped' WHEN coalesce(used, 0) + sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY order_key ROWS UNBOUNDED PRECEDING) <= 4 THEN 'dry_run' ELSE 'blocked' END AS status FROM x LEFT JOIN u USING (day)""",
-)
-def _(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("order_key"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("seq"))
-    return orders.ledger_admit(o, o.filter("order_key % 3 = 0"), 4).select("order_key", "status")
+    """WITH o AS (SELECT CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 4 ELSE o_orderkey END AS order_key, o_orderkey AS seq, date_trunc('month', o_orderdate) AS day FROM orders),
+       l AS (SELECT o_orderkey AS order_key, date_trunc('month', o_orderdate) AS day, CASE o_orderkey % 4 WHEN 0 THEN 'submitted' WHEN 1 THEN 'dry_run' WHEN 2 THEN 'error' ELSE 'cancelled' END AS status FROM orders WHERE o_orderkey % 3 = 0),
+       u AS (SELECT day, count(*) AS used FROM l WHERE status IN ('submitted', 'dry_run') GROUP BY day),
+       x AS (SELECT *, order_key IN (SELECT order_key FROM l) OR row_number() OVER (PARTITION BY day, order_key ORDER BY seq) > 1 AS dup FROM o)
+       SELECT seq, order_key, CASE WHEN coalesce(used, 0) + coalesce(sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 60 THEN 'blocked_daily_trade_limit'
+           WHEN dup THEN 'duplicate_skipped' ELSE 'dry_run' END AS status FROM x LEFT JOIN u USING (day)""",
+)
+def _(s, d):
+    # a month stands for a day, so that caps are reached; some keys come twice, and ledger rows have every status
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").withColumn("day", F.date_trunc("month", "o_orderdate"))
+    status = F.when(k % 4 == 0, "submitted").when(k % 4 == 1, "dry_run").when(k % 4 == 2, "error").otherwise("cancelled")
+    ledger = o.filter(k % 3 == 0).select(k.alias("order_key"), "day", status.alias("status"))
+    x = o.select(F.when(k % 10 == 9, k - 4).otherwise(k).alias("order_key"), "day", k.alias("seq"))
+    return orders.ledger_admit(x, ledger, 60).select("seq", "order_key", "status")
 
 
 # market ----------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_news_url
+from ..functions.text import clean_text, is_news_url
 
 ITEM = "guid string, id string, link string, title string, description string, pubDate string"
 SHORT_TEXT = 900
@@ -48,12 +48,14 @@ def resolve_publish_time(article: Column, hhmm: Column, now: Column) -> Column:
 
 
 def enrich_full_text(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """items (url, title, text) whose text is short or cut take the page's text (url, body), with their title, if that is longer."""
+    """items (url, title, text) whose stripped text is short or cut take the page's (url, body), if that, cleaned, is longer than the text: title, blank line, page."""
     x = items.join(pages, "url", "left")
-    wanted = (F.char_length("text") < SHORT_TEXT) | F.rtrim("text").rlike(r"(\.\.\.|…)$")
-    full = F.concat_ws("\n\n", "title", "body")
-    take = wanted & F.col("body").isNotNull() & (F.char_length(full) > F.char_length("text"))
-    return x.withColumn("enriched", F.coalesce(take, F.lit(False))).withColumn("text", F.when(F.col("enriched"), full).otherwise(F.col("text"))).drop("body")
+    stripped = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    wanted = (F.char_length(stripped) < SHORT_TEXT) | stripped.endswith("...") | stripped.endswith("…")
+    body = clean_text(F.col("body"))
+    full = clean_text(F.array_join(F.filter(F.array(F.coalesce("title", F.lit("")), body), lambda t: t != ""), "\n\n"))
+    take = F.coalesce(wanted & (F.coalesce("url", F.lit("")) != "") & (F.char_length(body) > F.char_length("text")), F.lit(False))
+    return x.withColumn("enriched", take).withColumn("text", F.when(F.col("enriched"), full).otherwise(F.col("text"))).drop("body")
 
 
 def _without_dots(path: Column) -> Column:
