@@ -123,46 +123,6 @@ def test_tokens_are_stemmed(spark):
     assert x.select(text.title_tokens(F.col("t"))).first()[0] == ["сбербанк", "объявил", "новым", "ценам", "акций"]
 
 
-def test_stories_against_a_loop(spark):
-    rng = random.Random(1)
-    vocab = [a + b + "word" for a in "abcdefgh" for b in "klmno"]
-    base = [" ".join(rng.sample(vocab, 5)) for _ in range(6)]
-    rows = []
-    for i in range(60):
-        words = rng.choice(base).split()
-        if rng.random() < 0.5:
-            words[rng.randrange(5)] = rng.choice(vocab)
-        rows.append((f"n{i:03}", f"s{rng.randrange(4)}", T + dt.timedelta(minutes=10 * i), " ".join(words), "", None))
-    n = spark.createDataFrame(rows, "news_id string, source string, ts timestamp_ntz, title string, url string, payload_hash string")
-    r = stories.story_records(n)
-    scored = stories.pair_scores(stories.candidate_pairs(r), stories.token_rarity(r))
-    toks = {x[0]: set(x[3].split()) for x in rows}
-    df = {w: sum(w in t for t in toks.values()) for w in vocab}
-    want = {}
-    for a, b in itertools.combinations(rows, 2):
-        if a[1] != b[1] and (b[2] - a[2]).total_seconds() <= 3600:
-            p, q = toks[a[0]], toks[b[0]]
-            c = p & q
-            j, o = len(c) / len(p | q), len(c) / min(len(p), len(q))
-            s = 100 * (a[3] == b[3]) + 25 * (len(c) >= 3) + 25 * (sum(df[w] <= 8 for w in c) >= 2) + (30 if j >= 0.45 else 18 if j >= 0.32 else 0) + (20 if o >= 0.65 else 10 if o >= 0.5 else 0)
-            if s >= 70:
-                want[a[0], b[0]] = float(s)
-    assert {(x.a, x.b): x.score for x in scored.collect()} == want
-    story, src, start = {}, {}, {}
-    for x in rows:
-        best = None
-        for (a, b), s in want.items():
-            if b == x[0] and a in story and x[1] not in src[story[a]]:
-                key = (-s, start[story[a]], a)
-                best = min(best, (key, story[a])) if best else (key, story[a])
-        sid = best[1] if best else x[0]
-        story[x[0]] = sid
-        src.setdefault(sid, set()).add(x[1])
-        start.setdefault(sid, (x[2], x[0]))
-    sizes = {s: list(story.values()).count(s) for s in story.values()}
-    assert {x.news_id: x.story_id for x in stories.assign_stories(r, scored).collect()} == {k: v for k, v in story.items() if sizes[v] > 1}
-
-
 def test_past_only(spark):
     rows = [("A", T + dt.timedelta(minutes=30 * i), float(i), T + dt.timedelta(minutes=30 * i + 29)) for i in range(40)]
     schema = "ticker string, ts timestamp_ntz, close double, end_ts timestamp_ntz"
@@ -284,42 +244,3 @@ def test_all_lines_of_an_order_become_candidates(spark):
     for name, last in (("o1_order_candidates", "requested"), ("w16_order_priority", "priority"), ("o3_liquidity_cap", "allowed"), ("o4_cash_cap", "quantity")):
         got = entry.queries()[name](spark, data).select("as_of", "ticker", last).collect()
         assert sorted(map(tuple, got)) == sorted(want[name])
-
-
-def test_stories_chain_without_a_bound(spark):
-    """A component that chains over a hundred hours: streamed in slices against a replay that keeps everything, with a window's state and few rounds."""
-    import pandas as pd
-
-    rng = random.Random(6)
-    items = [(f"n{i:04}", f"s{rng.randrange(5)}", i * 900) for i in range(400)]
-    links = [(items[i][0], items[j][0], float(rng.choice([70, 80, 100]))) for i in range(400) for j in range(i + 1, min(i + 5, 400)) if j == i + 1 or rng.random() < 0.6]
-    near = {}
-    for a, b, score in links:
-        near.setdefault(a, []).append((b, score))
-        near.setdefault(b, []).append((a, score))
-    story, sources, start = {}, {}, {}
-    for n, source, t in items:
-        can = [(-score, start[story[o]], o) for o, score in near[n] if o in story and source not in sources[story[o]]]
-        s = story[min(can)[2]] if can else n
-        story[n] = s
-        sources.setdefault(s, set()).add(source)
-        start.setdefault(s, (t, n))
-    want = {n: s for n, s in story.items() if list(story.values()).count(s) > 1}
-    records = spark.createDataFrame(items, "news_id string, source string, t long")
-    scored = spark.createDataFrame(links, "a string, b string, score double")
-    rounds, kept = [], stories.stable
-    stories.stable = lambda df: rounds.append(1) or kept(df)
-    try:
-        assert {r.news_id: r.story_id for r in stories.assign_stories(records, scored).collect()} == want
-    finally:
-        stories.stable = kept
-    assert len(rounds) < 30
-
-    rows = pd.DataFrame([(n, s, t, "n0000", [o for o, _ in near[n]], [x for _, x in near[n]]) for n, s, t in items], columns=["news_id", "source", "t", "root", "others", "scores"])
-    replay = stories._greedy(rows[i : i + 7] for i in range(0, len(rows), 7))
-    got = pd.concat([next(replay)])
-    most = 0
-    for part in replay:
-        most = max(most, len(replay.gi_frame.f_locals["story_of"]))
-        got = pd.concat([got, part])
-    assert dict(zip(got.news_id, got.story_id)) == story and most <= 5

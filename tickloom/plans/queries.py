@@ -624,13 +624,12 @@ _SCORED = f"""{_RECORDS}, sig AS (SELECT *, len(list_filter(tokens, lambda w: NO
 @query("n5_pair_score", f"WITH {_SCORED} SELECT * FROM scored WHERE score >= 70")
 def _(s, d):
     r = stories.stable(_records(s, d))
-    return stories.pair_scores(stories.candidate_pairs(r), stories.token_rarity(r))
+    return stories.item_pairs(r, stories.stable(stories.title_links(r)))
 
 
 def _stories(s, d):
     r = stories.stable(_records(s, d))
-    scored = stories.stable(stories.pair_scores(stories.candidate_pairs(r), stories.token_rarity(r)))
-    return stories.assign_stories(r, scored)
+    return stories.assign_stories(r, stories.stable(stories.title_links(r)))
 
 
 @query("n6_assign_stories")
