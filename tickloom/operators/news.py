@@ -14,26 +14,36 @@ MARKET = ("", "MARKET", "MOEX_MARKET")
 
 
 def normalize_items(news: DataFrame, sources: DataFrame) -> DataFrame:
-    """Clean title and text, no empty texts, empty fields null, confidence at least the source's trust."""
-    x = news.withColumns({c: F.nullif(clean_text(F.col(c)), F.lit("")) for c in ("title", "text", "url")}).filter("text is not null")
-    return x.join(sources, "source", "left").withColumn("confidence", F.greatest("confidence", "trust")).drop("trust")
+    """Clean title, text, summary and external_id, of those there are; no empty texts, empty fields null; confidence at least the source's trust."""
+    own = [c for c in ("title", "text", "summary", "external_id") if c in news.columns]
+    x = news.withColumns({c: F.nullif(clean_text(F.col(c)), F.lit("")) for c in own}).filter("text is not null")
+    return x.join(sized(sources), "source", "left").withColumn("confidence", F.greatest("confidence", "trust")).drop("trust")
 
 
 def news_identity(news: DataFrame) -> DataFrame:
-    """payload_hash of the item as key-sorted JSON, and news_id = source:(external id or hash)."""
-    field = lambda k: F.concat(F.lit(f'"{k}": '), _quoted(k))
-    body = F.concat(F.lit("{"), field("text"), F.lit(", "), field("title"), F.lit(", "), field("url"), F.lit("}"))
-    x = news.withColumn("payload_hash", F.sha2(body, 256))
+    """payload_hash of the item as key-sorted JSON, and news_id = source:(external id or hash).
+
+    The JSON is that of raw, a map of texts, where an item has one, even if it is
+    empty; else that of text, title and url.
+    """
+    pair = lambda k, v: F.concat(_quoted(k), F.lit(": "), _quoted(v))
+    own = [pair(F.lit(k), F.col(k)) for k in ("text", "title", "url")]
+    if "raw" in news.columns:
+        raw = F.transform(F.array_sort(F.map_entries("raw")), lambda e: pair(e["key"], e["value"]))
+        fields = F.when(F.col("raw").isNotNull(), raw).otherwise(F.array(*own))
+    else:
+        fields = F.array(*own)
+    x = news.withColumn("payload_hash", F.sha2(F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}")), 256))
     return x.withColumn("news_id", F.concat_ws(":", "source", F.coalesce(F.nullif(F.col("external_id"), F.lit("")), F.col("payload_hash"))))
 
 
-def _quoted(k: str) -> Column:
+def _quoted(text: Column) -> Column:
     """A text as JSON: quotes, backslashes and control characters escaped, all else as it is."""
     short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f"}
-    escaped = F.col(k)
+    escaped = text
     for c, by in (short | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in short}).items():
         escaped = F.replace(escaped, F.lit(c), F.lit(by))
-    return F.when(F.col(k).isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
 
 #: Characters that a term must not stand next to, and the ticker that stands for all.

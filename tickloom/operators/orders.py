@@ -10,7 +10,8 @@ _LEVELS = "array<struct<price:double,quantity:double>>"
 
 
 def shares_to_lots(shares: Column, lot: Column) -> Column:
-    return F.when(shares.isNull() | F.isnan(shares), F.lit(0).cast("long")).otherwise((F.signum(shares) * F.floor(F.abs(shares) / lot)).cast("long"))
+    finite = F.coalesce(F.abs(shares) < float("inf"), F.lit(False))  # NaN sorts above infinity
+    return F.when(finite, (F.signum(shares) * F.floor(F.abs(shares) / lot)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def position_targets(held: DataFrame, targets: DataFrame) -> DataFrame:

@@ -65,6 +65,18 @@ def decision_summary(positions: DataFrame, top: int = 3) -> DataFrame:
     )
 
 
+def score_summary(scores: DataFrame, top: int = 3) -> DataFrame:
+    """Of scores (as_of, ticker, score): count, least and greatest, and the top and bottom tickers with their scores; equal ones by ticker."""
+    item = lambda k: F.struct(k.alias("k"), F.col("ticker").alias("ticker"), F.col("score").alias("score"))
+    best = lambda k: F.transform(F.slice(F.array_sort(F.collect_list(item(k))), 1, top), lambda x: F.struct(x["ticker"].alias("ticker"), x["score"].alias("score")))
+    return scores.groupBy("as_of").agg(F.count("*").alias("count"), F.min("score").alias("min"), F.max("score").alias("max"), best(-F.col("score")).alias("top"), best(F.col("score")).alias("bottom"))
+
+
+def status_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, status) counted by status; a null one is unknown."""
+    return rows.groupBy(*keys, F.coalesce(F.col("status").cast("string"), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def liquidity_cap(orders: DataFrame, share: float = 0.2) -> DataFrame:
     """allowed and reason of orders (requested, depth_lots, degraded, risk_increasing, equity, lot_value): book depth first, else a share of equity."""
     book = F.col("depth_lots").isNotNull()

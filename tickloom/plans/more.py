@@ -53,6 +53,34 @@ def _(s, d):
     return s.read.parquet(f"{path}/predictions")
 
 
+@query(
+    "io8_backtest_outputs",
+    f"""WITH {bars_sql()}, p AS (SELECT ticker, ts, close, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS prediction FROM bars),
+        e AS (SELECT ticker, ts, prediction, abs(prediction - close) AS err FROM p WHERE prediction IS NOT NULL), n AS (SELECT ticker, count(*) AS n FROM e GROUP BY ticker ORDER BY n DESC, ticker LIMIT 3)
+        SELECT 'predictions' AS output, ticker, ts, prediction AS value FROM e UNION ALL SELECT 'summary_by_model', NULL, NULL, avg(err) FROM e UNION ALL SELECT 'summary_by_ticker', ticker, NULL, avg(err) FROM e GROUP BY ticker
+        UNION ALL SELECT 'summary_by_timestamp', NULL, ts, avg(err) FROM e GROUP BY ts UNION ALL SELECT 'selected_universe', ticker, NULL, n FROM n UNION ALL SELECT 'target_timestamps', ticker, ts, NULL FROM e UNION ALL SELECT 'model_errors', 'broken', NULL, NULL FROM (SELECT 1 FROM e LIMIT 1)""",
+    "value",
+)
+def _(s, d):
+    # all seven outputs written and read again as rows of one table
+    b = bars(s, d)
+    p = b.withColumn("prediction", F.lag("close").over(Window.partitionBy("ticker").orderBy("ts"))).filter("prediction is not null")
+    p = p.select(F.lit("last").alias("model"), "ticker", "ts", F.col("close").alias("actual"), "prediction", F.lit(True).alias("hit"), F.lit(1.0).alias("confidence"), F.lit(True).alias("confident"))
+    caps = p.groupBy("ticker").agg(F.count("*").alias("cap"))
+    times = p.select("ticker", "ts")
+    errors = p.limit(1).select(F.lit("broken").alias("model"), F.lit("failed").alias("error"))
+    path = folder(s)
+    names = tables.write_backtest(p, backtest.backtest_summary(p), selectors.select_universe(caps, times, 1, 3, 1.0), times, errors, path)
+    none = lambda kind: F.lit(None).cast(kind)
+    shown = {"predictions": ("ticker", "ts", "prediction"), "summary_by_model": (None, None, "mae"), "summary_by_ticker": ("ticker", None, "mae"), "summary_by_timestamp": (None, "ts", "mae"), "selected_universe": ("ticker", None, "n_targets"), "target_timestamps": ("ticker", "ts", None), "model_errors": ("model", None, None)}
+    out = None
+    for name in names:
+        cells = zip(shown[name], ("ticker", "ts", "value"), ("string", "timestamp_ntz", "double"), strict=True)
+        x = s.read.parquet(f"{path}/{name}").select(F.lit(name).alias("output"), *[(F.col(c).cast(kind) if c else none(kind)).alias(alias) for c, alias, kind in cells])
+        out = x if out is None else out.union(x)
+    return out
+
+
 @query("f4_parse_msk", f"WITH {NEWS_SQL} SELECT doc_id, strftime(CASE WHEN doc_id % 3 = 2 THEN ts + INTERVAL 3 HOURS ELSE ts END, '%Y-%m-%d %H:%M:%S') AS at FROM news")
 def _(s, d):
     n = news_of(s, d)
@@ -147,7 +175,13 @@ def _(s, d):
     )
 
 
-@query("p19_extract_articles")
+@query(
+    "p19_extract_articles",
+    r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+        t AS (SELECT page_id, regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, regexp_extract(h, '(?is)<article[^>]*>(.*)</article>', 1) AS body FROM b)
+        SELECT page_id, trim(regexp_replace(html_unescape(title), '\s+', ' ', 'g')) AS title, NULL AS published, body AS text FROM t""".replace("html_unescape(title)", "replace(replace(replace(replace(regexp_replace(title, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")
+    .replace("body AS text", "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g')) AS text"),
+)
 def _(s, d):
     return feeds.extract_articles(table(s, d, "pages"))
 
@@ -351,6 +385,24 @@ def _(s, d):
     return reports.decision_summary(_targets(s, d).select("as_of", "selector", "ticker", F.round("weight", 9).alias("weight")))
 
 
+@query(
+    "a17_score_summary",
+    f"""WITH {_PAIRS}, s AS (SELECT as_of, ticker, round(score, 9) AS score FROM scored) SELECT as_of, count(*) AS count, min(score) AS min, max(score) AS max, array_to_string(list(ticker ORDER BY score DESC, ticker)[1:3], ',') AS top, array_to_string(list(ticker ORDER BY score, ticker)[1:3], ',') AS bottom,
+        list(score ORDER BY score DESC, ticker)[1] AS best FROM s GROUP BY as_of""",
+    "min max best",
+)
+def _(s, d):
+    x = reports.score_summary(_scores(s, d).select("as_of", "ticker", F.round("score", 9).alias("score")))
+    names = lambda c: F.array_join(F.transform(c, lambda t: t["ticker"]), ",").alias(c)
+    return x.select("as_of", "count", "min", "max", names("top"), names("bottom"), F.get("top", F.lit(0))["score"].alias("best"))
+
+
+@query("a17_status_counts", "SELECT o_orderpriority AS batch, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY ALL")
+def _(s, d):
+    x = table(s, d, "orders").select(F.col("o_orderpriority").alias("batch"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("status"))
+    return reports.status_counts(x, ["batch"])
+
+
 @query("f7_returns_map", "SELECT event_id, CASE WHEN event_id % 10 = 4 THEN 0.0 WHEN event_id % 2 = 0 THEN 5.0 ELSE value END AS a, CASE WHEN event_id % 3 = 0 THEN 7.0 ELSE 0.0 END AS b FROM events", "a b")
 def _(s, d):
     e = table(s, d, "events")

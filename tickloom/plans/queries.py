@@ -173,6 +173,16 @@ def _(s, d):
     return news_of(s, d).select("doc_id", F.size(text.title_numbers(F.col("text"))).cast("long").alias("n"))
 
 
+@query(
+    "f3_enough_signal",
+    rf"WITH {NEWS_SQL}, w AS (SELECT doc_id, len(list_filter(list_distinct({_WORDS}), lambda w: NOT regexp_full_match(w, '[0-9]+'))) AS n, len(regexp_extract_all(title, '\d+(?:[,.]\d+)?')) AS k FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN title WHEN 1 THEN left(title, 14) WHEN 2 THEN left(title, 14) || ' 7,5' ELSE '2024 12 100 ' || left(title, 8) END AS title FROM news)) SELECT doc_id, n >= 3 OR (n >= 2 AND k > 0) AS enough FROM w",
+)
+def _(s, d):
+    i, t = F.col("doc_id"), F.col("title")
+    short = F.when(i % 4 == 0, t).when(i % 4 == 1, F.left(t, F.lit(14))).when(i % 4 == 2, F.concat(F.left(t, F.lit(14)), F.lit(" 7,5"))).otherwise(F.concat(F.lit("2024 12 100 "), F.left(t, F.lit(8))))
+    return news_of(s, d).select("doc_id", text.enough_signal(text.title_tokens(short), text.title_numbers(short)).alias("enough"))
+
+
 @query("p11_redact_text", rf"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{text.SECRET_VALUE}') OR regexp_matches(text, '{text.LONG_SECRET}') THEN '[REDACTED]' ELSE text END AS text FROM conversations")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", text.redact_text(F.col("text")).alias("text"))
@@ -326,7 +336,7 @@ def _(s, d):
 
 
 _FEATURES = f"""{_PAIRS}, q AS (SELECT as_of, coalesce(score, 0.5) AS f, CASE WHEN price > 0 THEN least(1, greatest(0, price / 97)) ELSE 0.5 END AS s, CASE WHEN ticker = 'u1' THEN 0.0 ELSE 0.4 END AS c, CASE WHEN ticker = 'u2' THEN 0.5 ELSE 1.0 END AS r,
-        price / 10000 AS cost, price / 20000 AS spread, ticker <> 'u3' AS tradable, ticker = 'u4' AS degraded, ticker IN ('u4', 'u5') AS depth_unknown, ticker = 'u6' AS missing_bbo, CASE WHEN ticker = 'u7' THEN 0 ELSE CAST(substr(ticker, 2) AS INT) END AS news FROM scored),
+        price / 9973 AS cost, price / 19937 AS spread, ticker <> 'u3' AS tradable, ticker = 'u4' AS degraded, ticker IN ('u4', 'u5') AS depth_unknown, ticker = 'u6' AS missing_bbo, CASE WHEN ticker = 'u7' THEN 0 ELSE CAST(substr(ticker, 2) AS INT) END AS news FROM scored),
     features AS (SELECT as_of, avg(f) AS forecast_mean, stddev_pop(f) AS forecast_std, max(f) AS forecast_top, min(f) AS forecast_bottom, max(f) - min(f) AS forecast_spread, avg(s) AS news_mean, stddev_pop(s) AS news_std, max(s) AS news_top, min(s) AS news_bottom, max(s) - min(s) AS news_spread,
         avg(abs(f - s)) AS disagreement_mean, max(abs(f - s)) AS disagreement_max, avg(c) AS confidence_mean, max(c) AS confidence_max, avg(r) AS priced_risk_mean, max(r) AS priced_risk_max, avg(cost) AS cost_mean, max(cost) AS cost_max, avg(spread) AS bbo_spread_mean, max(spread) AS bbo_spread_max,
         count(*) FILTER (tradable)::DOUBLE AS tradable_count, count(*) FILTER (degraded)::DOUBLE AS degraded_count, count(*) FILTER (depth_unknown)::DOUBLE AS depth_unknown_count, count(*) FILTER (missing_bbo)::DOUBLE AS missing_bbo_count,
@@ -338,7 +348,7 @@ _ROUNDED = "forecast_mean forecast_std forecast_top forecast_bottom forecast_spr
 def _features(s, d):
     t = F.col("ticker")
     x = _scores(s, d).select(
-        "as_of", "ticker", F.col("score").alias("forecast"), (F.col("price") / 97).alias("news_score"), F.when(t != "u1", 0.4).alias("confidence"), F.when(t != "u2", 7.0).alias("priced_risk"), (F.col("price") / 10000).alias("cost"), (F.col("price") / 20000).alias("spread"),
+        "as_of", "ticker", F.col("score").alias("forecast"), (F.col("price") / 97).alias("news_score"), F.when(t != "u1", 0.4).alias("confidence"), F.when(t != "u2", 7.0).alias("priced_risk"), (F.col("price") / 9973).alias("cost"), (F.col("price") / 19937).alias("spread"),
         F.when(t == "u3", False).alias("tradable"), F.when(t == "u4", True).alias("degraded"), t.isin("u4", "u5").alias("depth_unknown"), (t == "u6").alias("missing_bbo"), F.when(t != "u7", F.substring(t, 2, 1).cast("int")).alias("news_count"),
     )
     market = x.select("as_of").distinct().filter(F.dayofmonth("as_of") % 2 == 0).withColumn("marketwide_news_count", F.lit(3.0))
@@ -568,27 +578,36 @@ def _(s, d):
     return news.untagged(n, _tags(s, d), "2024-01-01 20:00:00", 20).select("news_id", "received_at")
 
 
+_STRIP = "regexp_replace(regexp_replace({}, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
 @query(
     "p9_normalize_items",
-    f"""WITH {NEWS_SQL} SELECT news_id, length(title) AS title_chars, greatest(CASE WHEN doc_id % 4 = 0 THEN 0.9 ELSE 0.1 END, CASE WHEN source = 'src0' THEN 0.7 WHEN source = 'src1' THEN 0.4 END)::DOUBLE AS confidence FROM news WHERE doc_id % 9 <> 0""",
+    f"""WITH {NEWS_SQL} SELECT news_id, length({_STRIP.format("replace(title, chr(160), ' ')")}) AS title_chars, CASE WHEN doc_id % 4 = 1 THEN 'a b' END AS summary, CASE WHEN doc_id % 3 = 1 THEN 'x ' || doc_id END AS external_id, ' u ' AS url,
+        greatest(CASE WHEN doc_id % 4 = 0 THEN 0.9 ELSE 0.1 END, CASE WHEN source = 'src0' THEN 0.7 WHEN source = 'src1' THEN 0.4 END)::DOUBLE AS confidence FROM news WHERE doc_id % 9 <> 0""",
     "confidence",
 )
 def _(s, d):
-    n = news_of(s, d).withColumns({"url": F.lit(""), "text": F.when(F.col("doc_id") % 9 == 0, " \n ").otherwise(F.col("text")), "confidence": F.when(F.col("doc_id") % 4 == 0, 0.9).otherwise(0.1)})
+    i = F.col("doc_id")
+    n = news_of(s, d).withColumns({"url": F.lit(" u "), "text": F.when(i % 9 == 0, " \n ").otherwise(F.col("text")), "confidence": F.when(i % 4 == 0, 0.9).otherwise(0.1), "summary": F.when(i % 4 == 1, " a\u00a0 b ").when(i % 4 == 2, "\u00a0"), "external_id": F.when(i % 3 == 1, F.concat(F.lit("\tx  "), i.cast("string"))).when(i % 3 == 2, " ")})
     trust = s.createDataFrame([("src0", 0.7), ("src1", 0.4)], "source string, trust double")
-    return news.normalize_items(n, trust).select("news_id", F.char_length("title").cast("long").alias("title_chars"), "confidence")
+    return news.normalize_items(n, trust).select("news_id", F.char_length("title").cast("long").alias("title_chars"), "summary", "external_id", "url", "confidence")
 
 
 @query(
     "p10_news_identity",
-    f"""WITH {NEWS_SQL}, x AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text || chr(9) || chr(13) || chr(1) || chr(12) END AS body, 'http://h/"' || doc_id AS url FROM news)
-        SELECT doc_id, source || ':' || CASE WHEN doc_id % 2 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE sha256('{{"text": ' || coalesce(CAST(to_json(body) AS VARCHAR), 'null') || ', "title": ' || CAST(to_json(title) AS VARCHAR) || ', "url": ' || CAST(to_json(url) AS VARCHAR) || '}}') END AS news_id FROM x""",
+    f"""WITH {NEWS_SQL}, x AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text || chr(9) || chr(13) || chr(1) || chr(12) END AS body, 'http://h/"' || doc_id AS url FROM news),
+        p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '{{"Zeit": null, "body": ' || CAST(to_json(left(text, 50)) AS VARCHAR) || ', "lang": "é\\""}}' WHEN doc_id % 7 = 0 THEN '{{}}'
+            ELSE '{{"text": ' || coalesce(CAST(to_json(body) AS VARCHAR), 'null') || ', "title": ' || CAST(to_json(title) AS VARCHAR) || ', "url": ' || CAST(to_json(url) AS VARCHAR) || '}}' END AS payload FROM x)
+        SELECT doc_id, source || ':' || CASE WHEN doc_id % 2 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE sha256(payload) END AS news_id, sha256(payload) AS payload_hash FROM p""",
 )
 def _(s, d):
+    # an item's raw payload is hashed if it has one, also an empty one; else title, text and url are
     i = F.col("doc_id")
     body = F.when(i % 5 != 0, F.concat("text", F.lit("\t\r\x01\f")))
-    n = news_of(s, d).withColumns({"url": F.concat(F.lit('http://h/"'), i.cast("string")), "text": body, "external_id": F.when(i % 2 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise("")})
-    return news.news_identity(n).select("doc_id", "news_id")
+    raw = F.when(i % 3 == 0, F.create_map(F.lit("lang"), F.lit('é"'), F.lit("body"), F.left("text", F.lit(50)), F.lit("Zeit"), F.lit(None).cast("string"))).when(i % 7 == 0, F.create_map().cast("map<string,string>"))
+    n = news_of(s, d).withColumns({"raw": raw, "url": F.concat(F.lit('http://h/"'), i.cast("string")), "text": body, "external_id": F.when(i % 2 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise("")})
+    return news.news_identity(n).select("doc_id", "news_id", "payload_hash")
 
 
 # stories ---------------------------------------------------------------------------------------
@@ -632,16 +651,47 @@ def _stories(s, d):
     return stories.assign_stories(r, stories.stable(stories.title_links(r)))
 
 
-@query("n6_assign_stories")
+#: The replay of items in order of time and id: st holds those of the last hour with their story, its start and its sources.
+_REPLAYED = f"""{_SCORED}, near AS (SELECT news_id, map_from_entries(list((o, score))) AS near FROM (SELECT b AS news_id, a AS o, score FROM scored WHERE score >= 70 UNION ALL SELECT a, b, score FROM scored WHERE score >= 70) GROUP BY news_id),
+    seq AS (SELECT row_number() OVER (ORDER BY t, records.news_id) AS k, records.news_id, source, t, coalesce(near, map_from_entries([('', 0.0::DOUBLE)])) AS near FROM records LEFT JOIN near USING (news_id)),
+    z AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS news_id, ''::VARCHAR AS story, []::STRUCT(k BIGINT, id VARCHAR, t BIGINT, story VARCHAR, start BIGINT, srcs VARCHAR[])[] AS st
+        UNION ALL SELECT k, news_id, story, list_append(list_transform(held, lambda e: CASE WHEN e.story = y.story THEN struct_pack(k := e.k, id := e.id, t := e.t, story := e.story, start := e.start, srcs := list_append(coalesce(best.srcs, []), source)) ELSE e END),
+            struct_pack(k := k, id := news_id, t := t, story := story, start := coalesce(best.start, t), srcs := list_append(coalesce(best.srcs, []), source))) FROM
+        (SELECT *, coalesce(best.story, news_id) AS story FROM (SELECT s.k, s.news_id, s.source, s.t, held, list_sort(list_transform(list_filter(held, lambda e: s.near[e.id] IS NOT NULL AND NOT list_contains(e.srcs, s.source)),
+                lambda e: struct_pack(a := -s.near[e.id], start := e.start, k := e.k, story := e.story, srcs := e.srcs)))[1] AS best
+            FROM (SELECT z.k, list_filter(z.st, lambda e: e.t >= q.t - 3600) AS held FROM z JOIN seq q ON q.k = z.k + 1) h JOIN seq s ON s.k = h.k + 1)) y),
+    told AS (SELECT news_id, story AS story_id FROM z WHERE k > 0 QUALIFY count(*) OVER (PARTITION BY story) > 1)"""
+
+
+@query("n6_assign_stories", f"WITH RECURSIVE {_REPLAYED} SELECT * FROM told")
 def _(s, d):
     return _stories(s, d)
 
 
-@query("a9_story_aggregate")
+@query(
+    "a9_story_aggregate",
+    f"""WITH RECURSIVE {_REPLAYED} SELECT story_id, arg_min(title, (n.ts, n.news_id)) FILTER (title <> '') AS title, min(n.ts) AS first_at, max(n.ts) AS last_at, count(*) AS items, count(DISTINCT source) AS n_sources,
+        array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM told JOIN news n USING (news_id) GROUP BY story_id""",
+)
 def _(s, d):
     return stories.story_aggregate(_stories(s, d).join(news_of(s, d).select("news_id", "ts", "title", "source"), "news_id"))
 
 
+@query(
+    "n4_candidate_pairs",
+    f"""WITH {_RECORDS}, sig AS (SELECT *, len(list_filter(tokens, lambda w: NOT regexp_full_match(w, '[0-9]+'))) AS nw FROM records),
+        ok AS (SELECT *, md5(k || '|' || array_to_string(list_sort(nums), ' ')) AS title FROM sig WHERE len(tokens) > 0 AND (nw >= 3 OR (nw >= 2 AND len(nums) > 0))),
+        own AS (SELECT title, any_value(tokens) AS tokens, any_value(k) AS k, count(*) AS n FROM ok GROUP BY title), h AS (SELECT DISTINCT title, t // 3600 AS hour FROM ok),
+        p AS (SELECT title, token, df, len(tokens) AS n, row_number() OVER (PARTITION BY title ORDER BY df, token) AS place FROM (SELECT title, tokens, unnest(tokens) AS token FROM own) JOIN rarity USING (token)),
+        keys AS (SELECT 't=' || token AS key, title FROM p WHERE df > 1 AND (df <= 8 OR place <= n - ceil(n * 0.32) + 1) UNION ALL SELECT 'k=' || k, title FROM own),
+        near AS (SELECT DISTINCT key, title, hour FROM keys JOIN h USING (title))
+        SELECT x.title AS a, y.title AS b FROM near x JOIN near y ON x.key = y.key AND x.title < y.title AND abs(x.hour - y.hour) <= 1 GROUP BY ALL UNION ALL SELECT title, title FROM own WHERE n > 1""",
+)
+def _(s, d):
+    r = stories.stable(_records(s, d))
+    return stories.candidate_pairs(stories.named_records(r), stories.token_rarity(r)).select("a", "b")
+
+
 # orders ----------------------------------------------------------------------------------------
 
 
@@ -744,6 +794,25 @@ def _(s, d):
     return orders.ledger_admit(x, ledger, 60).select("seq", "order_key", "status")
 
 
+@query(
+    "f5_shares_to_lots",
+    "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE (l_quantity - 25) * l_extendedprice / 100 END AS shares, 1 + l_suppkey % 10 AS lot FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN shares IS NULL THEN 0 ELSE CAST(sign(shares) * floor(abs(shares) / lot) AS BIGINT) END AS lots FROM x",
+)
+def _(s, d):
+    line = table(s, d, "lineitem")
+    odd = F.when(F.col("l_orderkey") % 3 == 0, F.lit(None)).when(F.col("l_orderkey") % 3 == 1, float("nan")).otherwise(float("inf")).cast("double")
+    shares = F.when(F.col("l_linenumber") % 7 == 0, odd).otherwise((F.col("l_quantity") - 25) * F.col("l_extendedprice") / 100)
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", orders.shares_to_lots(shares, 1 + F.col("l_suppkey") % 10).alias("lots"))
+
+
+@query(
+    "f8_risk_increasing",
+    "WITH x AS (SELECT event_id, user_id % 7 - 3 AS now, event_id % 9 - 4 AS target FROM events) SELECT event_id, now <> target AND CASE WHEN now * target > 0 THEN abs(target) > abs(now) ELSE target <> 0 END AS more FROM x",
+)
+def _(s, d):
+    return table(s, d, "events").select("event_id", orders.risk_increasing(F.col("user_id") % 7 - 3, F.col("event_id") % 9 - 4).alias("more"))
+
+
 # market ----------------------------------------------------------------------------------------
 
 
@@ -811,6 +880,15 @@ def _(s, d):
     return tables.append_ignore(e.filter("event_id % 97 = 0"), e, ["user_id"], "event_id")
 
 
+@query(
+    "io5_created",
+    "SELECT event_id, user_id, event_id % 97 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0) AND row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS created FROM events",
+)
+def _(s, d):
+    e = table(s, d, "events").select("user_id", "event_id")
+    return tables.created(e.filter("event_id % 97 = 0"), e, ["user_id"], "event_id")
+
+
 @query(
     "io6_upsert_replace",
     "SELECT event_type, user_id, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1",

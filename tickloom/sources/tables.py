@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,14 @@ def append_ignore(table: DataFrame, rows: DataFrame, key: list[str], order: str)
     return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn").join(table.select(*key), key, "left_anti")
 
 
+def created(table: DataFrame, rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """All rows of the batch with created: whether append_ignore() appends it."""
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(order)) == 1
+    known = table.select(*key, F.lit(True).alias("_known")).distinct()
+    x = rows.withColumn("_first", first).join(known, key, "left")
+    return x.withColumn("created", F.col("_first") & F.col("_known").isNull()).drop("_first", "_known")
+
+
 def upsert_replace(table: DataFrame, rows: DataFrame, key: list[str], updated: str, seq: str) -> DataFrame:
     newest = Window.partitionBy(*key).orderBy(F.col(updated).desc(), F.col(seq).desc())
     return table.unionByName(rows).withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
@@ -77,6 +88,30 @@ def replace_children(table: DataFrame, parents: DataFrame, rows: DataFrame, key:
     return table.join(parents.select(*key).distinct(), key, "left_anti").unionByName(rows)
 
 
+#: The outputs of a backtest; model_errors is written only if there are any.
+OUTPUTS = ("predictions", "summary_by_model", "summary_by_ticker", "summary_by_timestamp", "selected_universe", "target_timestamps", "model_errors")
+
+
+def write_backtest(predictions: DataFrame, summary: DataFrame, universe: DataFrame, targets: DataFrame, errors: DataFrame, folder: str) -> list[str]:
+    """Write the seven outputs of a backtest and tell which ones; no predictions are an error.
+
+    summary has the rows of backtest_summary(): by model, by (model, ticker) and by
+    (model, ts). Predictions are written by model and ticker. targets are the times
+    of each ticker.
+    """
+    if predictions.isEmpty():
+        raise ValueError("no predictions were made")
+    none = lambda *c: reduce(and_, [F.col(x).isNull() for x in c])
+    frames = {
+        "predictions": predictions, "summary_by_model": summary.filter(none("ticker", "ts")).drop("ticker", "ts"), "summary_by_ticker": summary.filter("ticker is not null").drop("ts"),
+        "summary_by_timestamp": summary.filter("ts is not null").drop("ticker"), "selected_universe": universe, "target_timestamps": targets,
+    }
+    if not errors.isEmpty():
+        frames["model_errors"] = errors
+    write_results(frames, folder, {"predictions": ["model", "ticker"]})
+    return list(frames)
+
+
 def write_results(frames: dict[str, DataFrame], folder: str, by: dict[str, list[str]] | None = None) -> None:
     for name, df in frames.items():
         df.write.mode("overwrite").partitionBy(*(by or {}).get(name, [])).parquet(f"{folder}/{name}")
