@@ -14,19 +14,25 @@ def _lowered(text: str | Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Most distinct lengths that are broadcast: one number each.
+LENGTHS = 2_000_000
+
+
 def _hashed(docs: DataFrame, prefix_chars: int, hash_all: bool) -> DataFrame:
-    """doc_id, th (text_hash()), alike (length and prefix hash repeat), sha (of alike rows; with hash_all of all)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    length = F.octet_length("text").cast("long")
-    prefix = F.xxhash64(_lowered(F.substring("text", 1, prefix_chars)), length)
-    narrow = stable(base.select(length.alias("len"), prefix.alias("prefix")))
-    lengths = stable(narrow.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1"))
-    same_length = lookup(narrow, lengths, "len").filter("n is not null")
-    prefixes = stable(same_length.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"))
-    flagged = lookup(base.withColumn("prefix", prefix), prefixes, "prefix")
+    """doc_id, th (text_hash() of alike rows), alike (length and prefix hash repeat), sha (of alike rows; with hash_all of all).
+
+    Each step reads the documents with the lists of the steps before it: lengths
+    that repeat, then prefix hashes that repeat among rows of such lengths.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("raw"), F.coalesce("text", F.lit("")).alias("text")).withColumn("len", F.octet_length("text").cast("long"))
+    lengths = stable(base.groupBy("len").agg(F.count("*").alias("same_length")).filter("same_length > 1"))
+    prefix = F.when(F.col("same_length").isNotNull(), F.xxhash64(_lowered(F.substring("text", 1, prefix_chars)), F.col("len")))
+    rows = lookup(base, lengths, "len", LENGTHS).withColumn("prefix", prefix)
+    prefixes = stable(rows.filter("prefix is not null").groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"))
     alike = F.col("n").isNotNull()
     sha = F.sha2(_lowered("text").cast("binary"), 256)
-    return stable(flagged.select("doc_id", "th", alike.alias("alike"), (sha if hash_all else F.when(alike, sha)).alias("sha")))
+    flagged = lookup(rows, prefixes, "prefix")
+    return stable(flagged.select("doc_id", F.when(alike, text_hash(text="raw")).alias("th"), alike.alias("alike"), (sha if hash_all else F.when(alike, sha)).alias("sha")))
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False) -> DataFrame:
