@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at_most, sized, stable
-from .exact_dedup import LOWER, UPPER
 
-#: A term is a run of letters A to Z and of characters from U+0080 on.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of letters A to Z, in lower case, and of characters from U+0080 on; all other bytes become blanks.
+TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 MIN_DOCS, TOP_TERMS, ALL_TERMS, SCALE = 10, 10, 2**31 - 1, 1_000_000_000
 #: No term is empty: each document has this one besides, so that a fit always finds a vocabulary.
 MARK = ""
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
+def term_lists(docs: DataFrame) -> DataFrame:
+    """lang, source, terms, kinds of docs (text, lang, source): a text's terms, and each of them once, joined by blanks behind MARK."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [[b"", *(t or "").encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()] for t in b.column(2).to_pylist()]
+            cols = [pa.array([b" ".join(f(x)) for x in lists], pa.binary()).cast(pa.string()) for f in (list, dict.fromkeys)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["lang", "source", "terms", "kinds"])
+
+    named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    return named.mapInArrow(rows, "lang string, source string, terms string, kinds string")
 
 
-def _vectors(rows: DataFrame, min_docs: int) -> tuple[list[str], DataFrame | None]:
-    """The terms that min_docs rows or more of rows (source, terms) have, in order of their UTF-8, and (source, v): exact counts of each row.
+def _vectors(rows: DataFrame, min_docs: int) -> tuple[dict[int, str], DataFrame]:
+    """The terms, by their places, that min_docs rows or more of rows (source, terms, kinds) have, and (source, v): exact counts of each row.
 
-    Each row must have MARK, and there must be min_docs rows.
+    The vocabulary hangs on numbers of documents alone, so it is fitted on each
+    row's terms once. There must be min_docs rows.
     """
-    fitted = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=ALL_TERMS).fit(rows)
-    kept = sorted(t for t in fitted.vocabulary if t != MARK)
-    return kept, CountVectorizerModel.from_vocabulary(kept, inputCol="terms", outputCol="v").transform(rows).select("source", "v") if kept else None
+    words = lambda c: F.split(c, " ").alias("words")
+    fitted = CountVectorizer(inputCol="words", outputCol="v", minDF=float(min_docs), vocabSize=ALL_TERMS).fit(rows.select(words("kinds")))
+    kept = {i: t for i, t in enumerate(fitted.vocabulary) if t != MARK}
+    return kept, fitted.transform(rows.select("source", words("terms"))).select("source", "v")
 
 
-def group_sums(vectors: DataFrame) -> DataFrame:
-    """(source, term, n): sums of the sparse vectors v of each source, without the zeros; a task sums its own rows before the shuffle."""
+def group_sums(vectors: DataFrame, without: list[int]) -> DataFrame:
+    """(source, term, n): sums of the sparse vectors v of each source, without the zeros and those places; a task sums its own rows before the shuffle."""
     v = F.unwrap_udt("v")
     cells = vectors.select("source", F.inline(F.arrays_zip(v["indices"].alias("term"), v["values"].alias("x"))))
-    return cells.groupBy("source", "term").agg(F.sum(F.col("x").cast("long")).alias("n"))
+    return cells.filter(~F.col("term").isin(without)).groupBy("source", "term").agg(F.sum(F.col("x").cast("long")).alias("n"))
 
 
 def _scaled(n: Column, total: Column, v: Column) -> Column:
@@ -65,19 +78,20 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
     language's kept terms pass through the driver: they grow as its vocabulary,
     not as its documents. Sums and pairs stay on the executors.
     """
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.concat(F.array(F.lit(MARK)), terms(F.col("text"))).alias("terms"))
     session = docs.sparkSession
+    rows = stable(term_lists(docs))
     groups = stable(rows.groupBy("lang", "source").agg(F.count("*").alias("docs")))
     kept, sums = {}, []
     for lang, n in groups.groupBy("lang").agg(F.sum("docs")).collect():
-        kept[lang], vectors = _vectors(rows.filter(F.col("lang") == lang).select("source", "terms"), min_docs) if n >= min_docs else ([], None)
-        if vectors is not None:
-            sums.append(stable(group_sums(vectors).select(F.lit(lang).alias("lang"), "source", "term", "n")))
+        kept[lang], vectors = _vectors(rows.filter(F.col("lang") == lang), min_docs) if n >= min_docs else ({}, None)
+        if kept[lang]:
+            own = group_sums(vectors, [i for i in range(len(kept[lang]) + 1) if i not in kept[lang]])
+            sums.append(stable(own.select(F.lit(lang).alias("lang"), "source", "term", "n")))
     counts = sums[0] if sums else session.createDataFrame([], "lang string, source string, term int, n long")
     for s in sums[1:]:
         counts = counts.unionByName(s)
     sizes = session.createDataFrame([(k, len(v)) for k, v in kept.items()], "lang string, v long")
-    names = [(k, i, t) for k, v in kept.items() for i, t in enumerate(v)]
+    names = session.createDataFrame([(k, i, t) for k, v in kept.items() for i, t in v.items()], "lang string, term int, item string")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = groups.select("lang", "source").join(F.broadcast(sizes), "lang").join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
     known = known.withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang")))
@@ -85,14 +99,17 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
     small = at_most(known, 200_001)
     x = counts.join(sized(known, small), ["lang", "source"]).withColumn("p", _scaled(F.col("n"), F.col("total"), F.col("v")))
     x = stable(x.select("lang", "source", "term", "n", "p", "p0", "v", "lang_total"))
-    return _pairs(x, known, small).unionByName(_top_terms(x, top).join(session.createDataFrame(names, "lang string, term int, item string"), ["lang", "term"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
+    return _pairs(x, known, small).unionByName(_top_terms(x, names, top))
 
 
-def _top_terms(x: DataFrame, top: int) -> DataFrame:
-    """(lang, source, term, value, rank) of the terms that a group uses more than its language, the `top` first."""
+def _top_terms(x: DataFrame, names: DataFrame, top: int) -> DataFrame:
+    """The rows of part `term`: a group's `top` terms of those that it uses more than its language. Only they, and their equals in value, get their names."""
     of_lang = F.sum("n").over(Window.partitionBy("lang", "term"))
     y = x.withColumn("q", _scaled(of_lang, F.col("lang_total"), F.col("v"))).filter("p > q").withColumn("value", _part(F.col("p"), F.col("q")))
-    return y.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "term"))).filter(F.col("rank") <= top)
+    group = Window.partitionBy("lang", "source")
+    y = y.select("lang", "source", "term", "value", F.rank().over(group.orderBy(F.col("value").desc())).alias("place")).filter(F.col("place") <= top)
+    y = y.join(names, ["lang", "term"]).withColumn("rank", F.row_number().over(group.orderBy(F.col("value").desc(), "item"))).filter(F.col("rank") <= top)
+    return y.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
 
 def _pairs(x: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
