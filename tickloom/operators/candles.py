@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -61,7 +63,7 @@ def bars_as_of(bars: DataFrame, decisions: DataFrame, limit: int) -> DataFrame:
     """
     by_time = Window.partitionBy("ticker").orderBy("ts")
     seq = bars.withColumn("seq", F.row_number().over(by_time))
-    asked = bars.select("ticker").distinct().join(F.broadcast(decisions.select("as_of")), how="cross") if "ticker" not in decisions.columns else decisions
+    asked = bars.select("ticker").distinct().join(sized(decisions.select("as_of")), how="cross") if "ticker" not in decisions.columns else decisions
     marks = seq.select("ticker", "ts", "seq").unionByName(asked.select("ticker", F.col("as_of").alias("ts"), F.lit(None).cast("int").alias("seq")))
     known = F.max("seq").over(Window.partitionBy("ticker").orderBy(micros("ts")).rangeBetween(Window.unboundedPreceding, -1))
     at = marks.withColumn("upto", known).filter("seq is null and upto is not null").select("ticker", F.col("ts").alias("as_of"), "upto")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized
 from .scores import clipped
 
 EPS = 1e-12
@@ -16,7 +17,7 @@ def target_weights(scores: DataFrame, params: DataFrame) -> DataFrame:
     params: selector, forecast_weight, news_weight, threshold, rank_power,
     max_gross, allow_short; a few rows, met with every score by broadcast.
     """
-    x = scores.filter(F.col("forecast").isNotNull() & F.coalesce("tradable", F.lit(True))).join(F.broadcast(params), how="cross")
+    x = scores.filter(F.col("forecast").isNotNull() & F.coalesce("tradable", F.lit(True))).join(sized(params), how="cross")
     f, n, total = clipped(F.col("forecast"), 0.5), clipped(F.col("news"), 0.5), F.col("forecast_weight") + F.col("news_weight")
     bull = (F.col("forecast_weight") * f + F.col("news_weight") * n) / total
     bear = (F.col("forecast_weight") * (1 - f) + F.col("news_weight") * (1 - n)) / total

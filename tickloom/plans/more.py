@@ -350,13 +350,18 @@ def _(s, d):
     return requests.trim_context(c.join(n, "news_id")).select("as_of", "news_id", "ticker", "route", *requests.PAYLOAD)
 
 
-@query("m7_score_requests", f"WITH {_TRIM} SELECT as_of, CASE WHEN count(t.news_id) = 0 THEN 'neutral' WHEN day(as_of) % 2 = 0 THEN 'hit' ELSE 'miss' END AS state FROM (SELECT as_of FROM g UNION SELECT TIMESTAMP '2030-01-01') LEFT JOIN trimmed t USING (as_of) GROUP BY as_of")
+@query(
+    "m7_score_requests",
+    f"""WITH {_TRIM}, i AS (SELECT as_of, list(struct_pack(ticker, route, received_at := strftime(t.received_at, '%Y-%m-%dT%H:%M:%S.000'), news_id := t.news_id, source_count := 1, title := left(coalesce(title, ''), 260), reason := '', text := left(coalesce(text, ''), 500), tags := '[]') ORDER BY ticker, route, t.received_at, t.news_id) AS items
+            FROM trimmed t JOIN news USING (news_id) GROUP BY as_of)
+        SELECT a.as_of, CASE WHEN items IS NULL THEN 'neutral' WHEN day(a.as_of) % 2 = 0 THEN 'hit' ELSE 'miss' END AS state, sha256(CAST(to_json(items) AS VARCHAR)) AS content_hash FROM (SELECT as_of FROM g UNION SELECT TIMESTAMP '2030-01-01') a LEFT JOIN i USING (as_of)""",
+)
 def _(s, d):
     trimmed = _trimmed(s, d)
     grid = news_of(s, d).select(F.expr("date_trunc('HOUR', ts) + interval 6 hours").cast("timestamp_ntz").alias("as_of")).union(s.sql("SELECT timestamp_ntz'2030-01-01' AS as_of")).distinct()
     none = s.createDataFrame([], "content_hash string")
     cached = requests.score_requests(trimmed, grid.filter(F.dayofmonth("as_of") % 2 == 0), none).filter("content_hash is not null")
-    return requests.score_requests(trimmed, grid, cached).select("as_of", "state")
+    return requests.score_requests(trimmed, grid, cached).select("as_of", "state", "content_hash")
 
 
 @query("j3_context_dedupe", f"WITH {_CONTEXT}, x AS (SELECT c.*, n.doc_id // 3 AS story FROM context c JOIN news n USING (news_id)) SELECT as_of, news_id, ticker FROM x QUALIFY row_number() OVER (PARTITION BY as_of, story, coalesce(ticker, ''), coalesce(relation, 'direct') ORDER BY received_at, news_id) = 1")

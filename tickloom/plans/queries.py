@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, text
 from ..operators import backtest, candles, market, news, orders, portfolio, scores, stories
+from ..operators.common import stable
 from ..sources import feeds, tables
 from .inputs import NEWS_SQL, PRICES_SQL, bars, bars_sql, prices, table, ticks
 from .inputs import news as news_of
@@ -201,8 +202,8 @@ def _(s, d):
     return portfolio.price_pairs(prices(s, d))
 
 
-def _scores(s, d):
-    pairs = portfolio.price_pairs(prices(s, d))
+def _scores(s, d, pairs=None):
+    pairs = portfolio.price_pairs(prices(s, d)) if pairs is None else pairs
     value = F.when((F.col("price") > 0) & (F.col("prev_price") > 0), F.round(F.col("price") / F.col("prev_price") - 1, 9))
     return scores.percentile_scores(pairs.withColumn("value", value))
 
@@ -226,8 +227,8 @@ def _params(s):
     return s.createDataFrame(_PARAMS, "selector string, forecast_weight double, news_weight double, threshold double, rank_power double, max_gross double, allow_short boolean")
 
 
-def _targets(s, d):
-    x = _scores(s, d).select("as_of", "ticker", F.col("ticker").alias("ord"), F.col("score").alias("forecast"), F.lit(0.5).alias("news"), F.lit(True).alias("tradable"))
+def _targets(s, d, pairs=None):
+    x = _scores(s, d, pairs).select("as_of", "ticker", F.col("ticker").alias("ord"), F.col("score").alias("forecast"), F.lit(0.5).alias("news"), F.lit(True).alias("tradable"))
     return portfolio.target_weights(x, _params(s))
 
 
@@ -245,9 +246,15 @@ def _(s, d):
     return _targets(s, d)
 
 
-def _returns(s, d):
-    pairs = portfolio.price_pairs(prices(s, d)).select("as_of", "ticker", "price", "next_price")
-    return portfolio.paper_returns(_targets(s, d).select("as_of", "selector", "ticker", "weight"), pairs)
+def _stored(s, d):
+    """Price pairs and the targets made of them, each computed once."""
+    pairs = stable(portfolio.price_pairs(prices(s, d)))
+    return pairs, stable(_targets(s, d, pairs))
+
+
+def _returns(s, d, stored=None):
+    pairs, targets = stored or _stored(s, d)
+    return portfolio.paper_returns(targets.select("as_of", "selector", "ticker", "weight"), pairs.select("as_of", "ticker", "price", "next_price"))
 
 
 _RETURNS = f"""{_TARGETS}, rets AS (SELECT as_of, selector, sum(CASE WHEN price > 0 AND next_price > 0 THEN weight * (next_price / price - 1) ELSE 0 END) AS ret
@@ -259,9 +266,9 @@ def _(s, d):
     return _returns(s, d)
 
 
-def _weights(s, d):
+def _weights(s, d, stored=None):
     names = s.createDataFrame([(p[0], i) for i, p in enumerate(_PARAMS)], "selector string, ord int")
-    r = _returns(s, d).join(F.broadcast(names), "selector").select(F.col("as_of").alias("ts"), "selector", "ord", F.round("ret", 9).alias("ret"))
+    r = _returns(s, d, stored).join(F.broadcast(names), "selector").select(F.col("as_of").alias("ts"), "selector", "ord", F.round("ret", 9).alias("ret"))
     return scores.rolling_rank_weights(r)
 
 
@@ -287,8 +294,9 @@ _BLEND = f"{_ROLLED}, blended2 AS (SELECT t.as_of, t.ticker, sum(r.weight * t.we
 
 
 def _blend(s, d):
-    w = _weights(s, d).select(F.col("ts").alias("as_of"), "selector", "weight")
-    return portfolio.blend_weights(w, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
+    stored = _stored(s, d)
+    w = _weights(s, d, stored).select(F.col("ts").alias("as_of"), "selector", "weight")
+    return portfolio.blend_weights(w, stored[1].select("as_of", "selector", "ticker", "weight"))
 
 
 @query("a11_blend_weights", f"WITH {_BLEND} SELECT * FROM blended2", "weight")
@@ -316,8 +324,9 @@ def _(s, d):
     "gross_before gross_after cancelled_total long_sum short_sum net cancelled",
 )
 def _(s, d):
-    w = _weights(s, d).select(F.col("ts").alias("as_of"), "selector", "weight")
-    return portfolio.conflict_report(w, _targets(s, d).select("as_of", "selector", "ticker", "weight"))
+    stored = _stored(s, d)
+    w = _weights(s, d, stored).select(F.col("ts").alias("as_of"), "selector", "weight")
+    return portfolio.conflict_report(w, stored[1].select("as_of", "selector", "ticker", "weight"))
 
 
 @query(
