@@ -185,3 +185,17 @@ def test_run_stats_count_every_field(spark, tmp_path):
     jobs.run_to_table(jobs.run_stats_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/data")).select("source", "runs", "fetched", "selected", "saved", "duplicates", "skipped", "errors").collect())
     assert got == [("a", 1, 3, 2, 1, 1, 1, 1), ("a", 2, 6, 4, 2, 2, 2, 1), ("b", 1, 3, 2, 1, 1, 1, 0)]
+
+
+def test_keys_are_forgotten_after_their_time(spark, tmp_path):
+    """With keep_ms a key that comes again later than that is new; without, it never is."""
+    import time
+
+    schema = "key long, at long"
+    for keep, want in ((1, [1, 1]), (None, [1])):
+        place = tmp_path / f"k{keep}"
+        for n in range(2):
+            spark.range(1).selectExpr("1l key", f"{n}l at").coalesce(1).write.parquet(str(place / f"in/{n}"))
+            got = jobs.dedupe_stream(feed(spark, place / "in", schema), str(place / "out"), ["key"], "at", keep)
+            time.sleep(0.1)
+        assert [r.key for r in got.collect()] == want
