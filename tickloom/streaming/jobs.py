@@ -118,14 +118,23 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append", by: list[
 
 @contextmanager
 def _states_on_disk(session: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their states in RocksDB: what an executor holds in memory doesn't grow with the keys."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = session.conf.get(name)
-    session.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams that start inside keep their states in RocksDB: what an executor holds in memory doesn't grow with the keys.
+
+    Nor do they run batches without rows, which a time to live would ask for again
+    and again, so that a run over what is there would never end.
+    """
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {k: session.conf.get(k) for k in own}
+    for k, v in own.items():
+        session.conf.set(k, v)
     try:
         yield
     finally:
-        session.conf.set(name, before)
+        for k, v in before.items():
+            session.conf.set(k, v)
 
 
 class _FirstOfKey(StatefulProcessor):
