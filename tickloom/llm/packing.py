@@ -20,6 +20,8 @@ from .common import numbered, stable
 KEPT_WORDS, RECENT_WORDS = 400_000, 50_000
 #: A space before other white space: there words may not be encoded one by one.
 ODD_SPACE = re.compile(r" \s")
+#: Epochs of the program for the histogram, and of the one for what its rounding leaves.
+PROGRAMS = (100, 40)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -117,16 +119,18 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, end_
 
 def _best_fills(values: np.ndarray, lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Knapsack DP: the highest total value of pieces in each room up to limit, and the piece that it took last (-1: none)."""
-    best, took = np.zeros(limit + 1), np.full(limit + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(limit + 1), "right")
+    worth, index = np.full(limit + 1, -np.inf), np.full(limit + 1, -1)
+    worth[lengths], index[lengths] = values, np.arange(len(lengths))
+    # the best of room c is at limit - c, so that rooms c - 1, c - 2, ... lie in the order of the lengths they leave
+    best, took, sums = np.zeros(limit + 1), np.full(limit + 1, -1), np.empty(limit + 1)
     for c in range(1, limit + 1):
-        best[c], k = best[c - 1], fits[c]
-        if k:
-            v = best[c - lengths[:k]] + values[:k]
-            j = int(v.argmax())
-            if v[j] > best[c]:
-                best[c], took[c] = v[j], j
-    return best, took
+        v = np.add(best[limit - c + 1 :], worth[1 : c + 1], out=sums[:c])
+        j, before = v.argmax(), best[limit - c + 1]
+        if v[j] > before:
+            best[limit - c], took[c] = v[j], index[j + 1]
+        else:
+            best[limit - c] = before
+    return best[::-1], took
 
 
 def _fill(took: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
@@ -141,7 +145,7 @@ def _fill(took: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def configuration_program(lengths: np.ndarray, n: np.ndarray, limit: int, epochs: int = 40, eta: float = 0.3, group: int = 64) -> tuple[dict[tuple, float], float]:
+def configuration_program(lengths: np.ndarray, n: np.ndarray, limit: int, epochs: int = 100, eta: float = 0.3, group: int = 64) -> tuple[dict[tuple, float], float]:
     """A fractional solution of min sum(x) with n pieces of each length covered, and its least over any solution by the dual.
 
     Multiplicative weights: a piece's price is its length times exp(-eta * (how
@@ -199,25 +203,28 @@ def solve_patterns(histogram: dict[int, int], limit: int = 1024) -> list[tuple[i
 
     The configuration program's patterns are rounded from the largest share
     down: what is cut off one is carried to the next, and a pattern is taken as
-    often as that says and the pieces that are left allow. Subset sums, longest
-    first, then pack the pieces that rounding leaves. The work depends on the
-    number of lengths, not of pieces.
+    often as that says and the pieces that are left allow. What rounding leaves
+    is a histogram again: PROGRAMS programs are solved, each for what the one
+    before left. Subset sums, longest first, then pack the rest. The work
+    depends on the number of lengths, not of pieces.
     """
     lengths = np.array(sorted(n for n in histogram if 0 < n < limit), int)
     left = np.array([histogram[x] for x in lengths], int)
     out: list[tuple[int, dict[int, int]]] = [(histogram[limit], {limit: 1})] if histogram.get(limit) else []
-    if not len(lengths):
-        return out
-    x, _ = configuration_program(lengths, left, limit)
-    carried = 0.0
-    for (at, counts), share in sorted(x.items(), key=lambda p: (-p[1], p[0])):
-        at, counts = np.array(at), np.array(counts)
-        carried += share
-        times = min(int(carried), int((left[at] // counts).min()))
-        carried -= int(carried)
-        if times:
-            left[at] -= times * counts
-            out.append((times, dict(zip(lengths[at].tolist(), counts.tolist(), strict=True))))
+    for epochs in PROGRAMS:
+        on = np.flatnonzero(left)
+        if not len(on):
+            break
+        x, _ = configuration_program(lengths[on], left[on], limit, epochs)
+        carried = 0.0
+        for (at, counts), share in sorted(x.items(), key=lambda p: (-p[1], p[0])):
+            at, counts = on[list(at)], np.array(counts)
+            carried += share
+            times = min(int(carried), int((left[at] // counts).min()))
+            carried -= int(carried)
+            if times:
+                left[at] -= times * counts
+                out.append((times, dict(zip(lengths[at].tolist(), counts.tolist(), strict=True))))
     while left.any():
         a = _fullest(lengths, left, limit)
         on = a > 0
