@@ -1,8 +1,11 @@
 """Corpus operators against brute force on small fixtures, with nulls, ties, repeats and empty tables."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -439,7 +442,63 @@ def test_secrets(spark, docs):
     texts += [f"{prose(rng, 9)} {key(20, 'abcdefghijklmnopqrstuvwxyz')} x {key(16, '0123456789')} {prose(rng, 4)}" for _ in range(60)]
     out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in out if r.is_secret} == set(range(60))
-    assert secrets.scan(docs).count() >= 0
+    # nothing of docs is beyond doubt as a secret: every candidate counts as one
+    loose = secrets.scan(docs).collect()
+    assert len(loose) == sum(len(re.findall(secrets.CANDIDATE, t or "")) for _, t in docs.select("doc_id", "text").collect())
+    assert all(r.score is None and r.is_secret for r in loose)
+
+
+def secret_texts(rng, n):
+    """(doc_id, text, source, whether its one finding is a secret): keys of several forms, named or not, and what looks like them."""
+    key = lambda m, a: "".join(rng.choice(a) for _ in range(m))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    joined = lambda glue, m: glue.join(rng.choice(WORDS) for _ in range(m))
+    made = [
+        (lambda: f'password = "{key(20, mixed)}"', True), (lambda: f"login with {key(40, hexes)}", True), (lambda: f"AKIA{key(16, mixed[:26])}", True), (lambda: f"auth: {key(32, mixed)}", True),
+        (lambda: f"commit {key(40, hexes)}", False), (lambda: f"md5 {key(32, hexes)}", False), (lambda: joined("_", 5), False), (lambda: f"password = {joined('-', 3)}", False), (lambda: key(18, "0123456789"), False),
+        (lambda: "".join(w.capitalize() for w in joined(" ", 5).split()), False),
+    ]
+    out = []
+    for i in range(n):
+        make, secret = made[i % len(made)]
+        out.append((i, f"{prose(rng, 8)} {make()} {prose(rng, 6)}", rng.choice(["src/app", "tests/mock"]), secret))
+    return out
+
+
+def test_secrets_on_planted_findings(spark):
+    """Labels of some documents' findings, precision and recall on other documents'."""
+    rng = random.Random(21)
+    frame = lambda rows: spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    known, other = secret_texts(rng, 600), secret_texts(rng, 400)
+    truth = spark.createDataFrame([(r[0], int(r[3])) for r in known], "doc_id long, label int")
+    out = secrets.scan(frame(other), secrets.candidates(frame(known)).join(truth, "doc_id")).collect()
+    found, planted = {r.doc_id for r in out if r.is_secret}, {r[0] for r in other if r[3]}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)
+
+
+def test_secret_features_against_loops(spark):
+    """Dictionary coverage and letter transitions by hand; a long candidate takes linear time."""
+    rng = random.Random(22)
+    rows = [(i, prose(rng, 60) + (" RiverStone_paperXq9 " if i == 3 else " ") + ("qz" * 100_000 if i == 4 else "")) for i in range(40)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = collections.Counter(w for _, t in rows for w in re.findall(r"(?<!\w)[a-z]{3,20}(?!\w)", (t or "").lower()))
+    counts = {w: n for w, n in counts.items() if n >= secrets.LEAST_USES}
+    words = secrets.corpus_words(docs)
+    assert {r.word: r.n for r in words.collect()} == counts
+    pairs = collections.Counter()
+    for w, n in counts.items():
+        for a, b in zip(w, w[1:]):
+            pairs[a, b] += n
+    after = lambda a: sum(n for (x, _), n in pairs.items() if x == a)
+    by = lambda a, b: math.log2(26 * (pairs[a, b] + 1) / (after(a) + 26))
+    likelier = secrets.letter_transitions(words)
+    assert likelier == pytest.approx([by(chr(97 + a), chr(97 + b)) for a in range(26) for b in range(26)])
+    got = {r.doc_id: r for r in secrets.with_features(secrets.candidates(docs), words, likelier).collect() if r.doc_id in (3, 4)}
+    parts = [p for p in re.findall(secrets.PARTS, "RiverStone_paperXq9") if p.lower() in counts]
+    assert got[3].value == "RiverStone_paperXq9" and got[3].dictionary == pytest.approx(sum(map(len, parts)) / 19)
+    v = "riverstone_paperxq9"
+    steps = [by(a, b) for a, b in zip(v, v[1:]) if a.isalpha() and b.isalpha()]
+    assert got[3].transitions == pytest.approx(sum(steps) / len(steps)) and len(got[4].value) == 200_000
 
 
 def test_language(spark, nothing):

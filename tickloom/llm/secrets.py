@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable, unit_random
+from .common import attach, stable, unit_random
 
 #: A value after a telling name, or a long run of characters that keys are made of.
 CANDIDATE = r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{8,}|[A-Za-z0-9+/_-]{16,}={0,2}"""
@@ -17,18 +19,16 @@ NAMED = r"""^(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s
 FIT_ROWS, TREES, DEPTH, SEED = 20_000, 30, 6, 13
 CONTEXT = 40
 
-# Frequent words and word parts of prose and of code.
-DICTIONARY = (
-    "about after again also and are because been before being between both but came can come could did does down each even "
-    "example false file first for from function get good great had has have her here him his how import int into its just know "
-    "less like list long look made make many more most much must name never new not now null number off one only open other our "
-    "out over own part path people place return right said same see set she should show small some sort state still string such "
-    "take tell test than that the their them then there these they thing think this those three through time too true two under "
-    "use user value very want was water way well were what when where which while who will with word work would write year you "
-    "your ing tion ment heit keit ung lich schaft ción mente eur eux elle ent ers est ous ion ate ble"
-).split()
+#: Words of which the dictionary and the transitions are learned: occurrences at least, in all texts.
+LEAST_USES = 5
+#: Whole words of 3 to 20 letters, not parts of runs with digits or other letters.
+LETTERS = r"(?<![\p{L}\p{N}])[a-z]{3,20}(?![\p{L}\p{N}])"
+#: Parts of a candidate that are looked up: runs of one case, capitals first.
+PARTS = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
 
-FEATURES = ("length", "digits", "uppers", "marks", "transitions", "distinct", "vowels", "dictionary", "named", "assigned", "quoted", "telling", "harmless", "prefix", "path_test", "path_length")
+FEATURES = ("length", "digits", "uppers", "marks", "switches", "transitions", "distinct", "vowels", "dictionary", "named", "assigned", "quoted", "telling", "harmless", "prefix", "path_test", "path_length")
+#: What rule_label() reads itself: a forest from its labels does without, so it can't restate them.
+OF_THE_RULE = ("named", "prefix")
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -42,7 +42,36 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return rows.select("doc_id", "ordinal", "x.candidate", F.regexp_replace("x.candidate", NAMED, "").alias("value"), "x.before", "x.after", "path")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(word, n): lower-cased words of all texts of docs that occur LEAST_USES times at least."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))
+    return docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_USES)
+
+
+def letter_transitions(words: DataFrame) -> list[float]:
+    """At 26 * a + b, how much likelier letter b is after a in words (word, n) than any letter, as log2; 676 numbers, smoothed by one."""
+    letters = F.split("word", "")
+    pairs = F.zip_with(F.slice(letters, 1, F.size(letters) - 1), F.slice(letters, 2, F.size(letters) - 1), lambda a, b: (F.ascii(a) - 97) * 26 + F.ascii(b) - 97)
+    counts = {r["at"]: r["n"] for r in words.select(F.explode(pairs).alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    after = [sum(counts.get(26 * a + b, 0) for b in range(26)) for a in range(26)]
+    return [math.log2(26 * (counts.get(26 * a + b, 0) + 1) / (after[a] + 26)) for a in range(26) for b in range(26)]
+
+
+def _covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(value, covered): characters of each value in parts that are words."""
+    parts = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all("value", F.lit(PARTS), F.lit(0))).alias("part"))
+    known = attach(parts.withColumn("word", F.lower("part")), words, "word").filter("n is not null")
+    return known.groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
+
+
+def with_features(found: DataFrame, words: DataFrame, likelier: list[float]) -> DataFrame:
+    """found (candidates()) with FEATURES; words are corpus_words(), likelier their letter_transitions()."""
+    found = attach(found, _covered(found, words), "value")
+    small = F.split(F.lower("value"), "")
+    letter = lambda c: c.between("a", "z")
+    step = lambda a, b: F.when(letter(a) & letter(b), F.get(F.lit(likelier), (F.ascii(a) - 97) * 26 + F.ascii(b) - 97))
+    steps = F.array_compact(F.zip_with(F.slice(small, 1, F.size(small) - 1), F.slice(small, 2, F.size(small) - 1), step))
+    mean = F.aggregate(steps, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(steps), F.lit(1))
     v, n = F.col("value"), F.greatest(F.length("value"), F.lit(1))
     share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
@@ -52,10 +81,11 @@ def with_features(found: DataFrame) -> DataFrame:
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "marks": share("[^A-Za-z0-9]"),
-        "transitions": F.regexp_count(classes, F.lit("(?<=0)[Aa]|(?<=[Aa])0|(?<=a)A")) / n,
+        "switches": F.regexp_count(classes, F.lit("(?<=0)[Aa]|(?<=[Aa])0|(?<=a)A")) / n,
+        "transitions": mean,
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "vowels": share("[AEIOUaeiou]"),
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")) / n,
+        "dictionary": F.coalesce("covered", F.lit(0)) / n,
         "named": yes(F.col("candidate") != v),
         "assigned": yes(F.col("before").rlike(r"[=:]\s*[\"']?$")),
         "quoted": yes(F.col("after").rlike("^[\"']")),
@@ -65,7 +95,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "path_test": yes(F.col("path").rlike(r"(?i)test|example|mock|fixture|sample|lock$")),
         "path_length": F.coalesce(F.length("path"), F.lit(0)).cast("double"),
     }
-    return found.withColumns(columns)
+    return found.withColumns(columns).drop("covered")
 
 
 def rule_label() -> Column:
@@ -76,7 +106,7 @@ def rule_label() -> Column:
     return F.when(F.coalesce(known, F.lit(False)), 1.0).when(F.coalesce(prose, F.lit(False)), 0.0)
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> RandomForestClassificationModel | None:
+def fit(labelled: DataFrame, words: DataFrame, likelier: list[float], features: tuple[str, ...] = FEATURES, fit_rows: int = FIT_ROWS) -> RandomForestClassificationModel | None:
     """Forest from labelled findings (candidates() and label 0 or 1): of each label about half of fit_rows, by a hash, equal findings once."""
     known = labelled.filter(F.col("label").isin(0, 1))
     n = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -84,10 +114,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> RandomForestClassifica
         return None
     rate = F.when(F.col("label") == 1, fit_rows / 2 / n[1]).otherwise(fit_rows / 2 / n[0])
     picked = known.filter(unit_random("doc_id", "ordinal", "value", seed=SEED) < rate).select("label", "value", "candidate", "before", "after", "path").distinct()
-    rows = stable(with_features(picked).select("label", *FEATURES))
+    rows = stable(with_features(picked, words, likelier).select("label", *features))
     if rows.select("label").distinct().count() < 2:
         return None
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(data)
 
 
@@ -96,16 +126,21 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
 
     labelled holds findings as candidates() gives them, with label 0 or 1; if
     none are given, rule_label() labels those of docs that are beyond doubt. The
-    forest sees length, character classes and transitions, dictionary coverage,
-    the path and the text around. With labels of one kind or none, score is
+    forest sees length, character classes, letter transitions, dictionary coverage,
+    the path and the text around; from rule labels it does without OF_THE_RULE.
+    The dictionary and the transitions come from the words of all texts of docs:
+    without any, nothing is covered and transitions are 0. With labels of one kind or none, score is
     null and every candidate counts as a secret, so nothing is lost. Null and
     empty texts have no candidates; equal texts have equal ones. A null path has
     length 0. An empty table gives no rows; other columns are ignored.
     """
     found = stable(candidates(docs, path))
-    model = fit(found.withColumn("label", rule_label()) if labelled is None else labelled)
+    words = stable(corpus_words(docs))
+    likelier = letter_transitions(words)
+    features = tuple(c for c in FEATURES if labelled is not None or c not in OF_THE_RULE)
+    model = fit(found.withColumn("label", rule_label()) if labelled is None else labelled, words, likelier, features)
     if model is None:
         return found.select("doc_id", "ordinal", "candidate", F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_secret"))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(found))
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(with_features(found, words, likelier))
     out = model.transform(rows).select("doc_id", "ordinal", "candidate", vector_to_array("probability")[1].alias("score"))
     return out.withColumn("is_secret", F.col("score") >= threshold)
