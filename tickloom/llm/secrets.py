@@ -27,7 +27,7 @@ LETTERS = r"(?<![\p{L}\p{N}])[a-z]{3,20}(?![\p{L}\p{N}])"
 PARTS = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
 
 FEATURES = ("length", "digits", "uppers", "marks", "switches", "transitions", "distinct", "vowels", "dictionary", "named", "assigned", "quoted", "telling", "harmless", "prefix", "path_test", "path_length")
-#: What rule_label() reads itself: a forest from its labels does without, so it can't restate them.
+#: Features that rule_label() reads outright: a forest from its labels does without. It still sees length and characters, which the rule reads in part.
 OF_THE_RULE = ("named", "prefix")
 
 
