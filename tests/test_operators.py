@@ -210,6 +210,25 @@ def test_extract_articles(spark):
     assert [tuple(r) for r in got] == [(1, "Head", "2024-01-02", "a b"), (2, "", None, ""), (3, "only", None, "only")]
 
 
+def test_references_without_a_semicolon(spark, tmp_path):
+    """p19 leaves a cut reference as it is, like its SQL; the operator reads it, as browsers do, unless told not to."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tickloom.sources.feeds import extract_articles
+
+    heads = ["a&amp", "b&am", "c& d", "e&amp;amp", "f&lt;g&gt;&quot;", "h&amplitude", "i&ampx;", "j&amp;lt;", "k&#38", "l&lt", "m&#", "n&amp&amp;", "o&&amp;&"]
+    html = [f"<title>t</title><h1>{h}</h1><article><p>{h}</p> x <b>{h}</b></article>" for h in heads]
+    pages = spark.createDataFrame([(i, "", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duckdb.sql(f"SELECT page_id, title, text FROM ({entry.oracle_sql()['p19_extract_articles']})").fetchall()
+    got = entry.queries()["p19_extract_articles"](spark, str(tmp_path)).select("page_id", "title", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    read = extract_articles(pages).filter("page_id in (0, 8)").orderBy("page_id").collect()
+    assert [r.title for r in read] == ["a&", "k&"]
+
+
 def test_all_lines_of_an_order_become_candidates(spark):
     """o1, w16, o3 and o4 against a loop over every line of lineitem, up to seven tickers an order."""
     import math

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
+from html.entities import html5
 from html.parser import HTMLParser
 from operator import or_
 
@@ -141,15 +143,27 @@ class _Article(HTMLParser):
         return next((t for t in (" ".join(" ".join(self.parts[k]).split()) for k in kinds) if t), "")
 
 
-def extract_articles(pages: DataFrame) -> DataFrame:
-    """title (h1, else title), published (first time or meta), text (article, else main, else title) of pages (page_id, html); null is as empty."""
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9A-Fa-f]+);|([A-Za-z][A-Za-z0-9]*;)?)")
+
+
+def _ended_only(html: str) -> str:
+    """html in which a & that begins no whole reference, one that ends in a semicolon, stands for itself."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] in html5 or m[0].startswith("&#") else "&amp;" + m[0][1:], html)
+
+
+def extract_articles(pages: DataFrame, bare: bool = True) -> DataFrame:
+    """title (h1, else title), published (first time or meta), text (article, else main, else title) of pages (page_id, html); null is as empty.
+
+    bare: also read references that lack their semicolon, as browsers do, such as the
+    &amp that is left of a cut &amp; without it they stay as they are written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for html in b.column(1).to_pylist():
                 p = _Article()
-                p.feed(html or "")
+                p.feed((html or "") if bare else _ended_only(html or ""))
                 p.close()
                 out.append((p.text("h1", "title"), p.at, p.text("article", "main", "h1", "title")))
             cols = [pa.array([r[k] for r in out], pa.string()) for k in range(3)]
