@@ -210,6 +210,55 @@ def test_extract_articles(spark):
     assert [tuple(r) for r in got] == [(1, "Head", "2024-01-02", "a b"), (2, "", None, ""), (3, "only", None, "only")]
 
 
+def test_newest_context(spark):
+    """The newest rows without pairs of items and decisions are those of all pairs, deduped, routed and trimmed: many a decision, equal times, stories, several tags."""
+    from tickloom.operators import requests
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    items = [(f"n{i}", start + dt.timedelta(minutes=10 * rng.randrange(400))) for i in range(900)] + [("none", None)]
+    tags = [(i, t, r, 0.9) for i, _ in items for t, r in (("AAA", "direct"), ("AAA", "marketwide"), ("BBB", "cluster"), ("ZZZ", "direct"), ("", "direct")) if rng.random() < 0.3]
+    told = [(i, f"s{rng.randrange(200)}") for i, _ in items if rng.random() < 0.5]
+    n = spark.createDataFrame(items, "news_id string, received_at timestamp_ntz")
+    g = spark.createDataFrame(tags, "news_id string, ticker string, relation string, strength double")
+    st = spark.createDataFrame(told, "news_id string, story_id string")
+    d = spark.createDataFrame([(start + dt.timedelta(minutes=50 * k),) for k in range(90)], "as_of timestamp_ntz")
+    pairs = news.context_route(news.context_dedupe(news.news_context(n, g, st, d)), ["AAA", "BBB"]).fillna("MARKET", ["ticker"])
+    columns = ["as_of", "news_id", "ticker", "route", "received_at", "relation", "strength", "story_id"]
+    want, got = (sorted(map(tuple, x.select(columns).collect()), key=str) for x in (requests.trim_context(pairs), requests.newest_context(n, g, st, d, ["AAA", "BBB"])))
+    assert len(want) > 2000 and pairs.count() > 2 * len(want)
+    assert got == want
+    none = spark.createDataFrame([], "content_hash string")
+    whole = requests.score_requests(requests.trim_context(pairs), d, none)
+    newest = requests.score_requests(requests.payload_fields(requests.newest_context(n, g, st, d, ["AAA", "BBB"])), d, none)
+    assert sorted(map(str, newest.collect())) == sorted(map(str, whole.collect()))
+
+
+def _shuffled(spark, name, data):
+    """MB that a query's shuffles write."""
+    import __spark_entry__ as entry
+
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, quantiles, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    entry.queries()[name](spark, data).write.format("noop").mode("overwrite").save()
+    return sum(v for k, v in written().items() if k not in before) / 1e6
+
+
+@pytest.mark.parametrize("name", ["m7_score_requests"])
+def test_contexts_shuffle_no_whole_texts(spark, name):
+    """Texts are cut before they are joined, and to the newest rows only: what is shuffled stays under the table's size."""
+    import os
+
+    data = "/root/testdata/sf0.01"
+    assert _shuffled(spark, name, data) < os.path.getsize(f"{data}/documents.parquet") / 1e6
+
+
 def test_references_without_a_semicolon(spark, tmp_path):
     """p19 leaves a cut reference as it is, like its SQL; the operator reads it, as browsers do, unless told not to."""
     import duckdb

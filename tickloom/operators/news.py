@@ -144,10 +144,10 @@ def news_context(news: DataFrame, tags: DataFrame, stories: DataFrame, decisions
     return seen.join(tags, "news_id", "left").join(stories, "news_id", "left").drop("day")
 
 
-def context_dedupe(context: DataFrame) -> DataFrame:
+def context_dedupe(context: DataFrame, by: str = "as_of") -> DataFrame:
     """First row for each as_of, story or item, ticker and relation, by time and id."""
     key = [F.coalesce("story_id", "news_id"), F.coalesce("ticker", F.lit("")), F.coalesce("relation", F.lit("direct"))]
-    w = Window.partitionBy("as_of", *key).orderBy("received_at", "news_id")
+    w = Window.partitionBy(by, *key).orderBy("received_at", "news_id")
     return context.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 

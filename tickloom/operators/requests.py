@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized
+from .news import context_dedupe, context_route
 from .scores import clipped
 
 PER_TICKER, MARKETWIDE, TITLE_CHARS, REASON_CHARS, TEXT_CHARS = 8, 20, 260, 260, 500
@@ -68,13 +69,16 @@ PAYLOAD = {"published_at": None, "received_at": None, "relation_type": None, "so
 CUTS = {"title": TITLE_CHARS, "reason": REASON_CHARS, "text": TEXT_CHARS}
 
 
-def trim_context(context: DataFrame) -> DataFrame:
-    """The newest rows of each (as_of, ticker, route), fewer for tickers than for the market, with the fields of PAYLOAD, long texts cut.
+def cut_texts(rows: DataFrame) -> DataFrame:
+    """rows with the long texts of CUTS cut, those there are; before a join, so that it moves no more of them than a payload holds."""
+    return rows.withColumns({c: F.substring(c, 1, n) for c, n in CUTS.items() if c in rows.columns})
+
+
+def payload_fields(kept: DataFrame) -> DataFrame:
+    """kept with the fields of PAYLOAD, long texts cut.
 
     relation_type is the context's relation; a field that the context lacks, or a null one that has a default, takes the default.
     """
-    w = Window.partitionBy("as_of", "ticker", "route").orderBy(F.col("received_at").desc(), F.col("news_id").desc())
-    kept = context.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.when(F.col("route") == "market", MARKETWIDE).otherwise(PER_TICKER)).drop("rn")
     if "relation_type" not in kept.columns and "relation" in kept.columns:
         kept = kept.withColumn("relation_type", F.col("relation"))
     fields = {}
@@ -85,11 +89,42 @@ def trim_context(context: DataFrame) -> DataFrame:
     return kept.withColumns(fields)
 
 
-def score_requests(trimmed: DataFrame, decisions: DataFrame, cache: DataFrame) -> DataFrame:
-    """One row a decision: the content's hash and whether it needs no request ('neutral'), is in the cache ('hit') or not ('miss')."""
+def trim_context(context: DataFrame) -> DataFrame:
+    """The newest rows of each (as_of, ticker, route), fewer for tickers than for the market, as payload_fields() has them."""
+    w = Window.partitionBy("as_of", "ticker", "route").orderBy(F.col("received_at").desc(), F.col("news_id").desc())
+    return payload_fields(context.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.when(F.col("route") == "market", MARKETWIDE).otherwise(PER_TICKER)).drop("rn"))
+
+
+def newest_context(news: DataFrame, tags: DataFrame, stories: DataFrame, decisions: DataFrame, universe: list[str]) -> DataFrame:
+    """The rows that trim_context() keeps of news_context(), context_dedupe() and context_route(), an absent ticker being MARKET, without the pairs of items and decisions that it drops.
+
+    What comes first of a story, ticker and relation on a day comes first for every
+    decision of that day that sees any of them, so rows are deduped by day. A row is
+    among the newest for the decisions from its own time until that of the row so
+    many places later, and meets only those.
+    """
+    seen = news.join(tags, "news_id", "left").join(stories, "news_id", "left").withColumn("day", F.to_date("received_at"))
+    routed = context_route(context_dedupe(seen, "day"), universe).withColumn("ticker", F.coalesce("ticker", F.lit("MARKET")))
+    w = Window.partitionBy("day", "ticker", "route").orderBy("received_at", "news_id")
+    until = F.when(F.col("route") == "market", F.lead("received_at", MARKETWIDE).over(w)).otherwise(F.lead("received_at", PER_TICKER).over(w))
+    d = decisions.select("as_of", F.to_date("as_of").alias("day"))
+    x = routed.withColumn("until", until).join(d, "day")
+    return x.filter((F.col("received_at") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))).drop("day", "until")
+
+
+def content_hashes(trimmed: DataFrame) -> DataFrame:
+    """(as_of, content_hash) of the decisions that have items."""
     item = F.struct("ticker", "route", "received_at", "news_id", *[c for c in PAYLOAD if c != "received_at"])
-    payload = trimmed.groupBy("as_of").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    x = decisions.select("as_of").distinct().join(payload, "as_of", "left")
-    x = x.withColumn("content_hash", F.when(F.col("items").isNotNull(), F.sha2(F.to_json("items"), 256))).drop("items")
+    return trimmed.groupBy("as_of").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(item))), 256).alias("content_hash"))
+
+
+def request_states(hashes: DataFrame, decisions: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row a decision: its hash, if any, and whether it needs no request ('neutral'), is in the cache ('hit') or not ('miss')."""
+    x = decisions.select("as_of").distinct().join(hashes, "as_of", "left")
     x = x.join(cache.select("content_hash", F.lit(True).alias("cached")).distinct(), "content_hash", "left")
     return x.withColumn("state", F.when(F.col("content_hash").isNull(), "neutral").when(F.col("cached"), "hit").otherwise("miss")).drop("cached")
+
+
+def score_requests(trimmed: DataFrame, decisions: DataFrame, cache: DataFrame) -> DataFrame:
+    """request_states() of a trimmed context."""
+    return request_states(content_hashes(trimmed), decisions, cache)
